@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import op6_line_dedup, op10_sharding
+from tessera.llm import op3_substring_dedup, op6_line_dedup, op9_media, op10_sharding
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup.query,
     "op6_line_dedup": op6_line_dedup.query,
+    "op9_media": op9_media.query,
     "op10_sharding": op10_sharding.query,
 }
 ORACLES = {
