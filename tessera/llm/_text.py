@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SEPARATORS = b" \t\n\v\f\r"
-CHUNK_BYTES = 4 << 20
+#: a little under a power of two, to which tables of powers grow
+CHUNK_BYTES = (2 << 20) - 64
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[list(SEPARATORS)] = True
@@ -88,13 +89,13 @@ class Words:
     """Words of consecutive documents.
 
     starts, ends: byte positions in `raw`; first: for document k its words are
-    first[k]:first[k + 1]; doc: the document of each word.
+    first[k]:first[k + 1]; doc: the document of each word.  `separators`: 256 flags.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> None:
         self.raw, self.offsets = raw, offsets
         n = len(raw)
-        word = ~_SEP[raw]
+        word = ~separators[raw]
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         finish = word.copy()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import op3_substring_dedup, op6_line_dedup, op9_media, op10_sharding
+from tessera.llm import op3_substring_dedup, op5_toxicity, op6_line_dedup, op8_decontamination, op9_media, op10_sharding
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup.query,
+    "op5_toxicity": op5_toxicity.query,
     "op6_line_dedup": op6_line_dedup.query,
+    "op8_decontamination": op8_decontamination.query,
     "op9_media": op9_media.query,
     "op10_sharding": op10_sharding.query,
 }
