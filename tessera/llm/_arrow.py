@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm._text import buffers, chunks
+from tessera.llm._text import CHUNK_BYTES, buffers, chunks
 from tessera.runtime import ship
 
-SLICE_BYTES = 8 << 20
-
 
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
@@ -22,7 +20,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most `limit` bytes of text (a longer row stands alone)."""
     _, offsets = buffers(batch.column(text))
     for i, j in chunks(offsets, limit):

@@ -15,7 +15,7 @@ result does not depend on what is removed.
 Volume: a run of windows with one anchor ships as one segment (16-byte head, 6
 bytes a window); windows that already have an earlier occurrence in the same
 slice of documents are linked there and never shipped, so a passage in a third
-of all documents costs one window per 8 MB slice.  Nothing is collected.
+of all documents costs one window per 2 MB slice.  Nothing is collected.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing;
 a null doc_id counts as smallest; rows with one doc_id are one document, where
@@ -119,7 +119,7 @@ def _ship(window: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for i, j, words in text_chunks(batch.column(1), 8 << 20):
+            for i, j, words in text_chunks(batch.column(1)):
                 at = gram_starts(words, window)
                 if not len(at):
                     continue
