@@ -85,6 +85,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """uint64 hash of the bytes of every span; `lower` folds A-Z."""
+    n = len(raw)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    values = _BYTE[_LOWER[raw]] if lower else _BYTE[raw]
+    values *= _POW_P.upto(n)
+    np.cumsum(values, out=sums[1:])
+    h = sums[ends] - sums[starts]
+    h *= _POW_PI.upto(n + 1)[starts]
+    return mix(h)
+
+
 class Words:
     """Words of consecutive documents.
 
@@ -115,14 +127,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """uint64 hash of every word; `lower` folds A-Z."""
-        n = len(self.raw)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        values = _BYTE[_LOWER[self.raw]] if lower else _BYTE[self.raw]
-        values *= _POW_P.upto(n)
-        np.cumsum(values, out=sums[1:])
-        h = sums[self.ends] - sums[self.starts]
-        h *= _POW_PI.upto(n + 1)[self.starts]
-        return mix(h)
+        return span_hashes(self.raw, self.starts, self.ends, lower)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_ngram_jaccard_join, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op8_decontamination, op9_media, op10_sharding
+from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op8_decontamination, op9_media, op10_sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join.query,
+    "op2_sentencepiece": op2_sentencepiece.query,
     "op3_substring_dedup": op3_substring_dedup.query,
     "op4_pii": op4_pii.query,
     "op5_toxicity": op5_toxicity.query,
