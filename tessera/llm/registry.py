@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op8_decontamination, op9_media, op10_sharding
+from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op7_lm_scoring, op8_decontamination, op9_media, op10_sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": op4_pii.query,
     "op5_toxicity": op5_toxicity.query,
     "op6_line_dedup": op6_line_dedup.query,
+    "op7_lm_scoring": op7_lm_scoring.query,
     "op8_decontamination": op8_decontamination.query,
     "op9_media": op9_media.query,
     "op10_sharding": op10_sharding.query,
