@@ -5,16 +5,23 @@ of them).  Texts with equal sets are one class, counted once from here on.  A
 class has a signature of POSITIONS minhashes, and (position, value) pairs are
 the tokens of the join: in every run the root picks each position with
 probability 1 / (threshold * POSITIONS), and classes that share the token there
-share a node.  Nodes of up to SMALL classes are leaves; larger ones pick anew
-and split, down to DEPTH levels.  A pair at the threshold survives a level like
+share a node.  Nodes of up to SMALL classes are leaves.  In a larger one, classes
+that agree on average with its members (a few pivots) are central: the node is
+compared whole for them and they do not recurse.  A partner shares each node of
+a central class with a chance of at least the threshold, so the first `enough`
+nodes in which it is central suffice and it leaves the others.  All others pick
+anew and split, down to DEPTH levels.  A pair at the threshold survives a level like
 a branching process with one expected child, so `runs_needed` runs give the
 target recall (more similar pairs are surer).
 
-Leaves are compared by brute force on whole shingle sets, exactly.  Leaves with
-equal members are one; a large leaf is dealt out in pairs of blocks, so no task
+A leaf keeps the members whose signature comes within SIGMAS deviations of the
+threshold with another's (a pair at the threshold fails this with a chance of
+3e-5); the rest are compared by brute force on whole shingle sets, exactly.
+Leaves with equal members are one; a large leaf is dealt out in pairs of blocks, so no task
 holds more than two blocks of sets.  A pair in several leaves counts in the
 smallest common one.  What leaves a task is, per class, its number of linked
-documents and its smallest partner there: rows grow with classes, not pairs.
+documents and the smallest class of its component there: rows grow with classes,
+not pairs.
 Connected components of those links, by min-label rounds with pointer jumping
 (each checkpointed), are the groups.
 
@@ -31,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import map_arrow
@@ -45,6 +52,9 @@ POSITIONS = 64
 DEPTH = 2
 SMALL = 128
 BLOCK = 256
+SIGMAS = 4
+PIVOTS = 16
+CENTRAL = 0.5
 
 _MULTIPLIERS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
@@ -119,11 +129,11 @@ def _child(node: np.ndarray, position: np.ndarray, value: np.ndarray) -> np.ndar
     return mix(mix(node + np.uint64(0x2545F4914F6CDD1D) * (position.astype(np.uint64) + np.uint64(1))) + value.astype(np.uint64))
 
 
-NODES = "node long, cls long"
+NODES = "node long, pick int, cls long"
 
 
-def _nodes(node: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cls)], names=["node", "cls"])
+def _nodes(node: np.ndarray, pick: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(pick, pa.int32()), pa.array(cls)], names=["node", "pick", "cls"])
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -138,8 +148,8 @@ def _roots(runs: int, threshold: float):
         for batch in batches:
             if len(batch):
                 sig, cls = _signatures(batch.column("sig")), batch.column("cls").to_numpy()
-                for r, p in zip(run_of, position):
-                    yield _nodes(_child(np.full(len(cls), roots[r]), np.full(len(cls), p), sig[:, p]), cls)
+                for k, (r, p) in enumerate(zip(run_of, position)):
+                    yield _nodes(_child(np.full(len(cls), roots[r]), np.full(len(cls), p), sig[:, p]), np.full(len(cls), k), cls)
 
     return run
 
@@ -151,7 +161,7 @@ def _split(threshold: float):
                 sig, cls = _signatures(batch.column("sig")), batch.column("cls").to_numpy()
                 node = batch.column("node").to_numpy().view(np.uint64)
                 row, p = _picked(node, threshold)
-                yield _nodes(_child(node[row], p, sig[row, p]), cls[row])
+                yield _nodes(_child(node[row], p, sig[row, p]), batch.column("pick").to_numpy()[row], cls[row])
 
     return run
 
@@ -164,20 +174,110 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(sizes.where("size > 1"), "node")
 
 
-def leaves(classes: DataFrame, threshold: float, target: float) -> DataFrame:
-    """Distinct (leaf, cls, size) of classes(cls, sig) after all runs."""
+def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a class agrees on average with its node's pivots in CENTRAL of the positions."""
+    for batch in batches:
+        central = []
+        for own, others in zip(batch.column("sig"), batch.column("pivots")):
+            pivots = np.frombuffer(b"".join(x.as_py() for x in others), np.uint32).reshape(-1, POSITIONS)
+            central.append(bool((np.frombuffer(own.as_py(), np.uint32)[None, :] == pivots).mean() >= CENTRAL))
+        if central:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "pick", "cls")), pa.array(central)], names=["node", "pick", "cls", "central"])
+
+
+def _named(sized: DataFrame) -> DataFrame:
+    """Leaves by their members, so that leaves with equal members are one."""
+    return sized.select(F.xxhash64("size", "members", "members2").alias("leaf"), "cls", F.col("size").cast("int").alias("size"))
+
+
+def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct (leaf, cls, size) of classes(cls, sig) after all runs: of split nodes, and of dense ones."""
     runs = runs_needed(threshold, DEPTH, target)
-    nodes = map_arrow(classes.select("cls", "sig"), _roots(runs, threshold), NODES)
-    found = None
-    for depth in range(1, DEPTH + 1):
-        sized = cut(_sized(nodes))
-        leaf = sized if depth == DEPTH else sized.where(F.col("size") <= SMALL)
-        leaf = leaf.select(F.xxhash64("size", "members", "members2").alias("leaf"), "cls", F.col("size").cast("int").alias("size"))
-        found = leaf if found is None else found.unionByName(leaf)
-        if depth < DEPTH:
-            large = sized.where(F.col("size") > SMALL).select("node", "cls")
-            nodes = map_arrow(large.join(classes.select("cls", "sig"), "cls").select("node", "cls", "sig"), _split(threshold), NODES)
-    return cut(found.distinct())
+    sketches = classes.select("cls", "sig")
+    sized = cut(_sized(map_arrow(sketches, _roots(runs, threshold), NODES)))
+    small = _named(sized.where(F.col("size") <= SMALL))
+    large = sized.where(F.col("size") > SMALL).select("node", "pick", "cls", "size").join(sketches, "cls")
+    # about PIVOTS members of every large node, by a hash
+    pivots = large.where(F.pmod(F.xxhash64("cls", "node"), F.col("size")) < PIVOTS).groupBy("node").agg(F.collect_list("sig").alias("pivots"))
+    met = large.join(pivots, "node", "left").select("node", "pick", "cls", "sig", F.coalesce("pivots", F.array("sig")).alias("pivots"))
+    marked = cut(map_arrow(met, _central, "node long, pick int, cls long, central boolean"))
+    enough = math.ceil(math.log(1 - target) / math.log(1 - threshold)) + 2
+    order = Window.partitionBy("cls", "central").orderBy("pick", "node")
+    marked = marked.withColumn("rank", F.row_number().over(order)).where(~F.col("central") | (F.col("rank") <= enough))
+    dense_nodes = marked.where("central").select("node").distinct()
+    dense = _named(_sized(marked.join(dense_nodes, "node", "left_semi").select("node", "pick", "cls")))
+    rest = marked.where(~F.col("central")).select("node", "pick", "cls").join(sketches, "cls").select("node", "pick", "cls", "sig")
+    split = _named(_sized(map_arrow(rest, _split(threshold), NODES)))
+    return small.unionByName(split).distinct(), dense.distinct()
+
+
+def _likely(least: int):
+    """Members of each task that agree with another member in at least `least` positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+
+        def flush() -> tuple[list[int], list[int]]:
+            left = [r for r in rows if not r["right"]]
+            right = [r for r in rows if r["right"]] if rows and rows[0]["both"] else left
+            if not left or not right or len(left) + (right is not left) * len(right) < 2:
+                return [], []
+            a, b = (np.frombuffer(b"".join(r["sig"] for r in x), np.uint32).reshape(-1, POSITIONS) for x in (left, right))
+            agree = np.zeros((len(a), len(b)), dtype=np.int16)
+            for p in range(POSITIONS):
+                agree += a[:, p][:, None] == b[:, p][None, :]
+            near = agree >= least
+            if right is left:
+                np.fill_diagonal(near, False)
+            kept = {left[k]["cls"] for k in np.flatnonzero(near.any(axis=1))} | {right[k]["cls"] for k in np.flatnonzero(near.any(axis=0))}
+            return [rows[0]["leaf"]] * len(kept), list(kept)
+
+        for batch in batches:
+            leaf, cls = [], []
+            for row in batch.to_pylist():
+                if row["task"] != task:
+                    found = flush()
+                    leaf, cls = leaf + found[0], cls + found[1]
+                    task, rows = row["task"], []
+                rows.append(row)
+            if leaf:
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(cls, pa.int64())], names=["leaf", "cls"])
+        leaf, cls = flush()
+        if leaf:
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(cls, pa.int64())], names=["leaf", "cls"])
+
+    return run
+
+
+def likely(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Leaves (leaf, cls, size) reduced to members whose signature has a partner there within SIGMAS
+    deviations below the threshold, a sketch filter before whole sets are fetched."""
+    spread = (threshold * (1 - threshold) / POSITIONS) ** 0.5
+    least = math.floor(POSITIONS * (threshold - SIGMAS * spread))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    dealt = (
+        found.join(classes.select("cls", "sig"), "cls")
+        .withColumn("blocks", blocks)
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
+            "leaf",
+            (F.col("own") != F.col("other")).alias("both"),
+            (F.col("own") > F.col("other")).alias("right"),
+            "cls",
+            "sig",
+        )
+        .repartition(shuffle_partitions(found.sparkSession), "task")
+        .sortWithinPartitions("task")
+    )
+    kept = cut(map_arrow(dealt, _likely(least), "leaf long, cls long").distinct())
+    sizes = kept.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("members"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("members2")
+    )
+    named = kept.join(sizes, "leaf").select(F.xxhash64("size", "members", "members2").alias("leaf"), "cls", F.col("size").cast("int").alias("size"))
+    return cut(named.distinct())
 
 
 DEALT = "task long, leaf long, side int, both boolean, cls long, copies long, shingles binary, leaves binary"
@@ -246,7 +346,7 @@ LINKS = "cls long, links long, partner long"
 
 
 def compare(leaf: int, members: list[dict], threshold: float) -> list[tuple[int, int, int]]:
-    """(cls, linked documents, smallest class of its partners and itself) of one task's classes that have links."""
+    """(cls, linked documents, smallest class of its component here) of one task's classes that have links."""
     left = [m for m in members if m["side"] == 0]
     right = [m for m in members if m["side"] == 1] if members[0]["both"] else left
     if not left or not right:
@@ -272,9 +372,18 @@ def compare(leaf: int, members: list[dict], threshold: float) -> list[tuple[int,
             now[1] = min(now[1], int(partner[k]))
 
     top = np.iinfo(np.int64).max
-    add(ca, counted @ wb, np.where(linked, cb[None, :], top).min(axis=1), linked.any(axis=1))
+    la, lb = ca.copy(), cb.copy() if right is not left else None
+    while True:  # smallest class of each component, by rounds along the links
+        other = la if lb is None else lb
+        na_ = np.minimum(la, np.where(linked, other[None, :], top).min(axis=1))
+        nb_ = None if lb is None else np.minimum(lb, np.where(linked, na_[:, None], top).min(axis=0))
+        still = (na_ == la).all() and (lb is None or (nb_ == lb).all())
+        la, lb = na_, nb_
+        if still:
+            break
+    add(ca, counted @ wb, la, linked.any(axis=1))
     if right is not left:
-        add(cb, wa @ counted, np.where(linked, ca[:, None], top).min(axis=0), linked.any(axis=0))
+        add(cb, wa @ counted, lb, linked.any(axis=0))
     return [(c, n, p) for c, (n, p) in out.items()]
 
 
@@ -321,7 +430,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     classes = cut(
         sketch.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     )
-    places = leaves(classes, threshold, target).groupBy("cls").agg(F.collect_list(F.struct("leaf", "size")).alias("places"))
+    split, dense = leaves(classes, threshold, target)
+    found = likely(split, classes, threshold).unionByName(dense).distinct()
+    places = found.groupBy("cls").agg(F.collect_list(F.struct("leaf", "size")).alias("places"))
     wanted = places.join(classes.select("cls", "rep", "copies"), "cls").withColumnRenamed("rep", "doc_id")
     texts = rows.join(wanted, "doc_id").select("text", "cls", "copies", "places")
     parts = shuffle_partitions(spark)
