@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,9 +17,21 @@ from tessera.runtime import ship
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+    """mapInArrow with this package at hand on the executors; a task gives its free memory back when it ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Return freed memory to the system, as idle Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

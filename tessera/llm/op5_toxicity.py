@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._arrow import map_arrow, map_text
+from tessera.llm._arrow import map_arrow, map_text, slices
 from tessera.llm._store import table
 from tessera.llm._text import Words, buffers, mix, text_chunks
 
@@ -167,6 +167,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     return map_text(docs, docs.columns, [SCORE], _score(model))
 
 
+def _reject(model: tuple[np.ndarray, np.ndarray, float], threshold: float):
+    make = _score(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                scores = work(batch)["score"].to_numpy()
+                _, offsets = buffers(batch.column("text"))
+                yield batch.filter(pa.array((scores < threshold) | (np.diff(offsets) == 0)))
+
+    return run
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score the threshold or more; null and empty texts stay."""
+    return map_arrow(docs, _reject(model, threshold), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))

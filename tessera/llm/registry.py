@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op7_lm_scoring, op8_decontamination, op9_media, op10_sharding
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination.query,
     "op9_media": op9_media.query,
     "op10_sharding": op10_sharding.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op6_line_dedup": op6_line_dedup.ORACLE,
