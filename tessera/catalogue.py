@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.plans.oracles import ORACLES
+from tessera.plans.queries import QUERIES
+
 FLAGSHIP = "kde_rate_map"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
