@@ -110,13 +110,14 @@ def period(field: np.ndarray, mask: np.ndarray, factor: int = 8) -> float:
 
 
 def orientation(field: np.ndarray, mask: np.ndarray, p: float) -> float:
-    """Angle (mod 60 degrees, in radians) of the sixfold harmonic of the autocorrelation on the first ring."""
+    """Angle (mod 60 degrees, in radians) of the waves of a hexagonal map: the sixfold harmonic of the autocorrelation on the
+    first ring points at its peaks, which lie 30 degrees off the waves."""
     a = autocorrelation(field, mask)
     h, w = field.shape
     y, x = np.meshgrid(np.arange(h) - h // 2, np.arange(w) - w // 2, indexing="ij")
     r, phi = np.hypot(x, y), np.arctan2(y, x)
     ring = np.abs(r - p * J1_ZEROS[1] / (2 * np.pi)) <= max(1.0, p * 0.25)
-    return float(np.angle((a * ring * np.exp(6j * phi)).sum()) / 6 % (np.pi / 3))
+    return float((np.angle((a * ring * np.exp(6j * phi)).sum()) / 6 - np.pi / 6) % (np.pi / 3))
 
 
 def linear_gp(n: np.ndarray, k: np.ndarray, kernel: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> np.ndarray:

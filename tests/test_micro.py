@@ -223,7 +223,7 @@ def test_bessel():
 @pytest.mark.parametrize("window", ["square", "parzen", "triangle", "gaussian"])
 def test_kernels(style, window):
     k = kernels.grid_kernel(6.0, (24, 20), style, 0.3, window=window)
-    assert np.allclose(k, np.roll(k[::-1, ::-1], (1, 1), (0, 1))) and abs(k.max() - k[0, 0]) < 1e-9 and abs(k[0, 0] - 1) < 0.05
+    assert np.allclose(k, np.roll(k[::-1, ::-1], (1, 1), (0, 1))) and abs(k.max() - k[0, 0]) < 1e-9 and k[0, 0] >= 1 - 1e-4
     assert np.fft.fft2(k).real.min() > 0
     with pytest.raises(ValueError):
         kernels.grid_kernel(1.5, (8, 8))
@@ -340,4 +340,5 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("rates_out").start()
     query.processAllAvailable()
     query.stop()
-    assert sorted(map(repr, spark.table("rates_out").collect())) == sorted(map(repr, windowed_counts(df, 4).collect()))
+    rounded = lambda out: sorted((str(r.start), r.iy, r.ix, round(r.n, 9), round(r.k, 9)) for r in out.collect())
+    assert rounded(spark.table("rates_out")) == rounded(windowed_counts(df, 4))
