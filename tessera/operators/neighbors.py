@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import ship
+
 
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
@@ -54,9 +58,43 @@ def mutual(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.withColumn("_a", F.row_number().over(a)).withColumn("_b", F.row_number().over(b)).where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
-def match(left: DataFrame, right: DataFrame, by: list[str], radius: float, rounds: int = 50) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, by: list[str], radius: float, rounds: int = 50, small: int = 2048) -> DataFrame:
     """Repeated mutual matching until a side is used up; pairs beyond the radius still use up their nodes and are
-    dropped at the end."""
+    dropped at the end.  Keys of up to `small` points a side are matched in one task each; if any is larger, all run
+    as rounds of joins."""
+    largest = left.unionByName(right).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > small:
+        return match_rounds(left, right, by, radius, rounds)
+    ship(left.sparkSession)
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = (t.rename(columns=lambda c: c[2:]).sort_values("id") for t in (a, b))
+        dist = np.hypot(a["x"].to_numpy()[:, None] - b["x"].to_numpy(), a["y"].to_numpy()[:, None] - b["y"].to_numpy())
+        open_, found = dist.copy(), []
+        for _ in range(rounds):
+            if not np.isfinite(open_).any():
+                break
+            to, back = open_.argmin(axis=1), open_.argmin(axis=0)
+            new = [(i, int(j)) for i, j in enumerate(to) if np.isfinite(open_[i, j]) and back[j] == i]
+            found += new
+            for i, j in new:
+                open_[i, :], open_[:, j] = np.inf, np.inf
+        pairs = [(i, j) for i, j in found if dist[i, j] <= radius]
+        ids = lambda t, k: t["id"].to_numpy()[[p[k] for p in pairs]] if pairs else np.zeros(0, dtype=np.int64)
+        out = pd.DataFrame({"src": ids(a, 0), "dst": ids(b, 1), "dist": np.array([dist[p] for p in pairs], dtype=float)})
+        for k in by[::-1]:
+            out.insert(0, k, a[k].iloc[0] if len(a) else b[k].iloc[0])
+        return out
+
+    keys = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in by)
+    # fresh names, as both sides may come from one table
+    sides = [df.select(*[F.col(k).alias(f"{s}_{k}") for k in by], *[F.col(c).alias(f"{s}_{c}") for c in ("id", "x", "y")]) for s, df in (("l", left), ("r", right))]
+    grouped = [df.groupBy(*[f"{s}_{k}" for k in by]) for s, df in zip("lr", sides)]
+    return grouped[0].cogroup(grouped[1]).applyInPandas(work, f"{keys}, src long, dst long, dist double")
+
+
+def match_rounds(left: DataFrame, right: DataFrame, by: list[str], radius: float, rounds: int = 50) -> DataFrame:
+    """`match` as rounds of window ranks and anti-joins, each checkpointed, for keys of any size."""
     pairs = _cut(candidate_pairs(left, right, by))
     found = None
     for _ in range(rounds):

@@ -69,30 +69,36 @@ def patch_glitches(series: DataFrame, threshold: float, by: list[str] = BY, mode
     return fill_gaps(marked.drop("_bad"), ["x", "y"], by, mode)
 
 
-def fir(series: DataFrame, column: str, weights: np.ndarray, out: str, by: list[str] = BY, reflect: str = "even") -> DataFrame:
-    """Sum over lags -m..m of weights * value at t + lag, with rows beyond an end reflected.
+def fir_all(series: DataFrame, filters: dict[str, tuple[str, np.ndarray]], by: list[str] = BY, reflect: str = "even") -> DataFrame:
+    """Adds, for every out: (column, weights of lags -m..m), the sum of weight * value at t + lag, rows beyond an end reflected.
 
-    even: x[-i] = x[i]; odd: x[-i] = 2 x[0] - x[i].  Rows must be numbered 0..T-1 in t without nulls, and m below T
-    (shorter series repeat their far end).
+    even: x[-i] = x[i]; odd: x[-i] = 2 x[0] - x[i].  Rows must be numbered 0..T-1 in t; a null within reach gives null.
+    Series of at most m rows repeat their far end.  One window sort for all filters, frames of 2m + 1 rows.
     """
-    m = (len(weights) - 1) // 2
     whole = Window.partitionBy(*by)
-    frame = Window.partitionBy(*by).orderBy("t").rowsBetween(-2 * m, 2 * m)
-    around = series.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_v", F.collect_list(F.struct(F.col("t"), F.col(column).alias("v"))).over(frame))
-    around = around.withColumn("_low", F.element_at("_v", 1)["t"])
-    terms = F.lit(0.0)
-    for lag, w in zip(range(-m, m + 1), weights.tolist()):
-        at = F.col("t") + lag
-        last = F.col("_n") - 1
-        inside = F.when(at < 0, -at).when(at > last, 2 * last - at).otherwise(at)
-        inside = F.greatest(F.lit(0), F.least(last, inside))
-        value = F.element_at("_v", (inside - F.col("_low") + 1).cast("int"))["v"]
-        if reflect == "odd":
-            edge_low = F.element_at("_v", F.greatest(F.lit(1), (0 - F.col("_low") + 1).cast("int")))["v"]
-            edge_high = F.element_at("_v", F.least(F.size("_v"), (last - F.col("_low") + 1).cast("int")))["v"]
-            value = F.when(at < 0, edge_low * 2 - value).when(at > last, edge_high * 2 - value).otherwise(value)
-        terms = terms + value * F.lit(w)
-    return around.withColumn(out, terms).select(*series.columns, out)
+    wide = series.withColumn("_n", F.count(F.lit(1)).over(whole))
+    for k, (c, w) in enumerate(filters.values()):
+        m = (len(w) - 1) // 2
+        frame = Window.partitionBy(*by).orderBy("t").rowsBetween(-m, m)
+        wide = wide.withColumn(f"_v{k}", F.collect_list(F.coalesce(F.col(c), F.lit(float("nan")))).over(frame))
+    for k, (out, (_, w)) in enumerate(filters.items()):
+        m = (len(w) - 1) // 2
+        last, low = F.col("_n") - 1, F.greatest(F.lit(0), F.col("t") - m)
+        at = lambda index, k=k, low=low: F.element_at(f"_v{k}", (index - low + 1).cast("int"))
+        total = F.lit(0.0)
+        for lag, x in zip(range(-m, m + 1), w.tolist()):
+            here = F.col("t") + lag
+            inside = F.when(here < 0, -here).when(here > last, 2 * last - here).otherwise(here)
+            value = at(F.greatest(F.lit(0), F.least(last, inside)))
+            if reflect == "odd":
+                value = F.when(here < 0, at(F.lit(0)) * 2 - value).when(here > last, at(last) * 2 - value).otherwise(value)
+            total = total + value * F.lit(x)
+        wide = wide.withColumn(out, total)
+    return wide.select(*series.columns, *[F.when(~F.isnan(o), F.col(o)).alias(o) for o in filters])
+
+
+def fir(series: DataFrame, column: str, weights: np.ndarray, out: str, by: list[str] = BY, reflect: str = "even") -> DataFrame:
+    return fir_all(series, {out: (column, weights)}, by, reflect)
 
 
 def smooth(series: DataFrame, column: str, out: str, m: int, degree: int, by: list[str] = BY) -> DataFrame:
@@ -106,9 +112,8 @@ def differentiate(series: DataFrame, column: str, out: str, m: int, degree: int,
 
 def heading_angle(series: DataFrame, m: int, degree: int, fs: float, by: list[str] = BY) -> DataFrame:
     """Adds heading, the direction of the smoothed velocity of x and y."""
-    moved = differentiate(series, "x", "_dx", m, degree, fs, by=by)
-    moved = differentiate(moved, "y", "_dy", m, degree, fs, by=by)
-    return moved.withColumn("heading", F.atan2("_dy", "_dx")).drop("_dx", "_dy")
+    w = savgol.weights(m, degree, 1) * fs
+    return fir_all(series, {"_dx": ("x", w), "_dy": ("y", w)}, by, "odd").withColumn("heading", F.atan2("_dy", "_dx")).drop("_dx", "_dy")
 
 
 def head_direction(series: DataFrame, degrees: str, m: int, degree: int, by: list[str] = BY) -> DataFrame:

@@ -195,6 +195,7 @@ def test_matching_equals_greedy(spark):
         rows, cols = rows - {i for i, _ in new}, cols - {j for _, j in new}
     got = {(x.src, x.dst) for x in neighbors.match(left, right, ["g"], 0.3).collect()}
     assert got == {(i, j) for i, j in want if d[i, j] <= 0.3}
+    assert got == {(x.src, x.dst) for x in neighbors.match(left, right, ["g"], 0.3, small=5).collect()}
 
 
 def test_components_and_chains(spark):
