@@ -27,6 +27,8 @@ PRIME = 2147483647
 SPREAD = 48271
 ROUNDS = 4
 MAX_WALK = 32
+SEED = 20240229
+BUCKETS = 1024
 
 
 def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
@@ -106,7 +108,7 @@ def number_rows(rows: DataFrame, key: str, order: list[str], buckets: int) -> Da
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 20240229, buckets: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -128,3 +130,30 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20240229, buckets: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+def _feistel_sql(source: str) -> str:
+    """One pass of the network over source(id, x, total, a, b)."""
+    f = lambda v, k: f"((({v} % {PRIME}) * {k[0]} + {k[1]}) % {PRIME} * ((({v} % {PRIME}) * {k[0]} + {k[1]}) % {PRIME}) % {PRIME})"
+    keys = round_keys(SEED)
+    inner = f"(SELECT *, x % a AS l, x // a AS r FROM {source})"
+    for i, k in enumerate(keys):
+        inner = f"(SELECT * REPLACE ((l + {f('r', k)}) % a AS l) FROM {inner})" if i % 2 == 0 else f"(SELECT * REPLACE ((r + {f('l', k)}) % b AS r) FROM {inner})"
+    return f"SELECT id, r * a + l AS x, total, a, b FROM {inner}"
+
+
+ORACLE = f"""
+WITH RECURSIVE step_ AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) AS q(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, k + 1 FROM step_ WHERE k < 8),
+table_ AS (SELECT list(v ORDER BY i) AS tb FROM step_ WHERE k = 8),
+hex_ AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+byte_ AS (SELECT doc_id, n, list_transform(range(0, n), lambda i: (('0x' || h[2 * i + 1:2 * i + 2])::INT)::BIGINT) AS bytes FROM hex_),
+crc_ AS (SELECT doc_id, (n + 1)::BIGINT AS size, xor(list_reduce(bytes, lambda s, x: xor(tb[(xor(s, x) & 255) + 1], s >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM byte_, table_),
+number_ AS (
+  SELECT *, row_number() OVER (ORDER BY ((coalesce(doc_id, -1) % {PRIME} + {PRIME}) % {PRIME}) * {SPREAD} % {PRIME} % {BUCKETS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS id,
+         count(*) OVER () AS total, ceil(sqrt(count(*) OVER ()))::BIGINT AS a FROM crc_),
+dim_ AS (SELECT *, id AS x, ceil(total / a)::BIGINT AS b FROM number_),
+walk_ AS ({_feistel_sql("(SELECT id, x, total, a, b FROM dim_)")} UNION ALL {_feistel_sql("(SELECT * FROM walk_ WHERE x >= total)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (walk_.x % 16)::INT AS shard, (walk_.x // 16)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM number_ JOIN walk_ USING (id) WHERE walk_.x < walk_.total"""

@@ -470,3 +470,18 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: every pair of texts that share a shingle, by brute force
+ORACLE = rf"""
+WITH RECURSIVE split_ AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+spot_ AS (SELECT doc_id, a, unnest(range(1, greatest(len(a) - {SHINGLE - 1}, 1) + 1)) AS i FROM split_ WHERE len(a) > 0),
+shingle_ AS (SELECT DISTINCT doc_id, array_to_string(a[i:i + {SHINGLE - 1}], ' ') AS g FROM spot_),
+size_ AS (SELECT doc_id, count(*) AS n FROM shingle_ GROUP BY 1),
+pair_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle_ x JOIN shingle_ y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link_ AS (SELECT a, b, c = p.n AND c = q.n AS same FROM pair_ JOIN size_ p ON p.doc_id = a JOIN size_ q ON q.doc_id = b WHERE c >= {THRESHOLD} * (p.n + q.n - c) - 1e-9),
+reach_ AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach_.a, link_.b FROM reach_ JOIN link_ ON link_.a = reach_.b),
+class_ AS (SELECT a AS doc_id, min(b) AS class_id FROM reach_ GROUP BY 1),
+count_ AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_same, min(b) FILTER (WHERE same) AS first_same FROM link_ GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, least(doc_id, coalesce(first_same, doc_id))::BIGINT AS copy_id, (coalesce(n_same, 0) + 1)::BIGINT AS n_copies
+FROM class_ LEFT JOIN count_ USING (doc_id)"""

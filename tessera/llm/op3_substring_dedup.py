@@ -272,4 +272,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "factors")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = rf"""
+WITH split_ AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+word_ AS (SELECT doc_id, generate_subscripts(a, 1) AS p, unnest(a) AS word, a FROM split_),
+window_ AS (SELECT doc_id, p, word, CASE WHEN p + {WINDOW - 1} <= len(a) THEN array_to_string(a[p:p + {WINDOW - 1}], ' ') END AS win FROM word_),
+first_ AS (SELECT doc_id, p, word, win IS NOT NULL AND rank() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS dup FROM window_),
+cover_ AS (SELECT doc_id, p, word, max(dup::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) = 1 AS gone FROM first_),
+sum_ AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM cover_ GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN sum_ USING (doc_id)"""

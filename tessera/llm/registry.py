@@ -19,5 +19,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join.ORACLE,
+    "op3_substring_dedup": op3_substring_dedup.ORACLE,
     "op6_line_dedup": op6_line_dedup.ORACLE,
+    "op10_sharding": op10_sharding.ORACLE,
 }
