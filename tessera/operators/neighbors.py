@@ -6,21 +6,12 @@ joined on the key, so a row is compared with its own key's candidates only.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import ship
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from tessera.runtime import cut, ship
 
 
 def _packed(others: DataFrame, key: str, by: list[str]) -> DataFrame:
@@ -95,14 +86,14 @@ def match(left: DataFrame, right: DataFrame, by: list[str], radius: float, round
 
 def match_rounds(left: DataFrame, right: DataFrame, by: list[str], radius: float, rounds: int = 50) -> DataFrame:
     """`match` as rounds of window ranks and anti-joins, each checkpointed, for keys of any size."""
-    pairs = _cut(candidate_pairs(left, right, by))
+    pairs = cut(candidate_pairs(left, right, by))
     found = None
     for _ in range(rounds):
-        new = _cut(mutual(pairs, by))
+        new = cut(mutual(pairs, by))
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
-        pairs = _cut(pairs.join(new.select(*by, "src"), [*by, "src"], "left_anti").join(new.select(*by, "dst"), [*by, "dst"], "left_anti"))
+        pairs = cut(pairs.join(new.select(*by, "src"), [*by, "src"], "left_anti").join(new.select(*by, "dst"), [*by, "dst"], "left_anti"))
     out = found if found is not None else pairs
     return out.where(F.col("dist") <= radius)
 
@@ -125,13 +116,13 @@ def alias_flags(points: DataFrame, others: DataFrame, key: str, by: list[str] =
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of every connected component of edges(a, b), by rounds of minimum labels with
     pointer jumping, each checkpointed."""
-    both = _cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
-    labels = _cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
+    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
+    labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = _cut(new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        new = cut(new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels

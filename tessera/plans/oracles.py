@@ -263,4 +263,14 @@ ORACLES = {
       SELECT cell_id, {r('avg(v)')} AS variance, {r('avg(m - 1) * 100')} AS bias_percent FROM b GROUP BY 1""",
     "streaming_counts_batch": f"""WITH ev AS (SELECT (epoch_us(ts) // 1000000 // 604800 * 604800)::BIGINT AS start, user_id % 3 AS cell_id, least(value / 100, 1.0) AS x, json_extract_string(props, '$.k')::DOUBLE / 100 AS y,
       CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM events WHERE value IS NOT NULL), {lin(8, 'ev', by='start, cell_id')} SELECT start, cell_id, iy, ix, {r('n')} AS n, {r('k')} AS k FROM grid""",
+    "heading_rate_maps": f"""WITH {PTS}, spread AS (SELECT pts.* EXCLUDE (w), l::BIGINT AS layer, pow(greatest(cos(h * 2 * pi() - l * pi() / 2), 0), 2) AS w FROM pts, range(4) AS q(l)),
+      kept AS (SELECT * FROM spread WHERE w > 0), {lin(8, 'kept', 'w', by='cell_id, layer')} SELECT cell_id, layer, iy, ix, {r('n')} AS n, {r('k')} AS k FROM grid""",
+    "tracked_matches": f"""WITH {EMB}, d AS (SELECT a.vec_id AS tracked, b.vec_id AS sampled, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM emb a, emb b WHERE a.cell_id = 0 AND b.cell_id = 1),
+      o AS (SELECT *, row_number() OVER (PARTITION BY tracked ORDER BY distance, sampled) AS p, row_number() OVER (PARTITION BY sampled ORDER BY distance, tracked) AS q FROM d)
+      SELECT tracked, sampled, {r('distance')} AS distance FROM o WHERE p = 1 AND q = 1 AND distance <= 0.2""",
+    "mahalanobis_displacement": f"""WITH {EMB}, g AS (SELECT cell_id, avg(x) AS mx, avg(y) AS my, var_samp(x) AS xx, covar_samp(x, y) AS xy, var_samp(y) AS yy FROM emb GROUP BY 1)
+      SELECT vec_id, {r('sqrt((yy * pow(x - mx, 2) - 2 * xy * (x - mx) * (y - my) + xx * pow(y - my, 2)) / (xx * yy - xy * xy))')} AS displacement FROM emb JOIN g USING (cell_id)""",
+    "zero_lag": f"""WITH {PTS}, {lin(16)}, {field(16)}, a AS (SELECT cell_id, round(sqrt(pow(iy - 8, 2) + pow(ix - 8, 2)))::INT AS r, avg(y) AS y FROM field GROUP BY 1, 2)
+      SELECT cell_id, {r('regr_intercept(y, (r * r)::DOUBLE)')} AS zero_lag FROM a WHERE r BETWEEN 1 AND 3 GROUP BY 1""",
+    "box_statistics": f"""SELECT event_type, count(value) AS n, {', '.join(f"{r(f'quantile_cont(value, {q})')} AS {n}" for n, q in (('low', 0.05), ('q1', 0.25), ('median', 0.5), ('q3', 0.75), ('high', 0.95)))} FROM events GROUP BY 1""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import safe, savgol
-from tessera.operators import binning, fits, geometry, grids, moments, neighbors, series
+from tessera.operators import binning, fits, geometry, grids, moments, neighbors, posterior, series, tracking
 from tessera.sources import fixtures, simulate
 
 B = ["cell_id"]
@@ -394,7 +394,82 @@ def linear_gp(s, d):
     return fits.linear_maps(_packed(s, d), 2.0)
 
 
+def sampled_confidence(s, d):
+    return posterior.sampled_confidence(fits.posterior_samples(_packed(s, d), 24, 3), 16, 6.0)
+
+
+def fraction_within_arena(s, d):
+    g = moments.gaussians(_unit_cloud(s, d), ["cell_id"]).drop("n").withColumn("field", F.lit(0).cast("long"))
+    return posterior.fraction_inside(g, geometry.half_planes(geometry.hull(_unit_cloud(s, d))))
+
+
+def laplace_joint(s, d):
+    return posterior.joint_confidence(_packed(s, d))
+
+
+def laplace_joint_rate(s, d):
+    return posterior.joint_confidence(_packed(s, d), domain="rate")
+
+
+def elbo_profiles(s, d):
+    return posterior.profiles(lgcp_elbo_sweep(s, d), "variance")
+
+
+def heading_variance(s, d):
+    maps = tracking.heading_maps(fixtures.points(s, d).withColumn("a", F.col("h") * (2 * math.pi)), "a", 4, 12)
+    packed = grids.pack(maps, 12, 12, ["n", "k"], ["cell_id", "layer"])
+    return posterior.heading_variance(packed, [0.3, 1.0, 3.0], 5.0, 0.05, 0.0, ["cell_id", "layer"])
+
+
+def heading_rate_maps(s, d):
+    p = fixtures.points(s, d).withColumn("a", F.col("h") * (2 * math.pi))
+    return tidy(tracking.heading_maps(p, "a", 4, 8, 2))
+
+
+def heading_peaks(s, d):
+    p = fixtures.points(s, d).withColumn("a", F.col("h") * (2 * math.pi))
+    return tracking.heading_peaks(p, "a", 4, 12)
+
+
+def tracked_chains(s, d):
+    layers = _layers(s, d)
+    edges = neighbors.match_layers(layers, 10, 0.08)
+    paths = tracking.link_peaks(neighbors.chains(edges, 10, 3), layers, 10, 0.3, 2.0)
+    return tracking.path_regions(paths, _centroids(s, d))
+
+
+def tracked_matches(s, d):
+    a = _unit_cloud(s, d)
+    part = lambda k: a.where(F.col("cell_id") == k).select(F.col("vec_id").alias("id"), "x", "y")
+    return tidy(tracking.tracked_matches(part(0), part(1), 0.2))
+
+
+def mahalanobis_displacement(s, d):
+    g = moments.gaussians(_unit_cloud(s, d), ["cell_id"]).drop("n")
+    j = _unit_cloud(s, d).join(F.broadcast(g), "cell_id")
+    return tidy(tracking.displacement(j.withColumn("dx", F.col("x") - F.col("mx")).withColumn("dy", F.col("y") - F.col("my"))).select("vec_id", "displacement"))
+
+
+def prior_draws(s, d):
+    return posterior.prior_draws(s, 3, 16, 6.0, 0.5)
+
+
+def scalar_variational(s, d):
+    rows = _grid(s, d, 4).select("cell_id", "iy", "ix", F.lit(0.0).alias("m"), F.lit(1.0).alias("p"), F.round(F.col("k") / 100).alias("y"))
+    return posterior.scalar_fits(rows, "m", "p", "y")
+
+
+def zero_lag(s, d):
+    return tidy(posterior.zero_lag(grids.radial_average(_field(s, d, 16), "y", 16, 16), "y"))
+
+
+def box_statistics(s, d):
+    return tidy(posterior.box_statistics(fixtures.table(s, d, "events"), "value", ["event_type"]))
+
+
 NAMES = [
+    "sampled_confidence", "fraction_within_arena", "laplace_joint", "laplace_joint_rate", "elbo_profiles", "heading_variance", "heading_rate_maps", "heading_peaks",
+    "tracked_chains", "tracked_matches", "mahalanobis_displacement", "prior_draws", "scalar_variational", "zero_lag", "box_statistics",
     "rate_histogram", "bin_linear", "bin_nearest", "bin_linear_lattice_l", "bin_linear_3d_wrap", "bin_weighted_reweighted", "value_histogram", "arena_geometry",
     "unit_meter_bin_roundtrip", "normalised_square", "safe_math", "safe_div_cases", "lgamma_table", "unitscale_percentile", "lognormal_moments", "hex_grid",
     "simulated_rate_map", "bin_coordinates", "hull_edges_coarse", "in_hull", "mask_from_hull", "mask_dilate", "boundary_distance", "near_boundary_filter",

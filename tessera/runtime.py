@@ -1,4 +1,4 @@
-"""Making this package importable on the executors."""
+"""Making this package importable on the executors, and cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,11 @@ def ship(spark: SparkSession) -> None:
                 out.write(source, str(source.relative_to(root.parent)))
         sc.addPyFile(str(path))
     sc._tessera_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager checkpoint in the folder that spark.checkpoint.dir names; only where it is unset (tests) a folder is made."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
