@@ -179,3 +179,34 @@ def fit_headings(packed: DataFrame, angles: int, style: str = "radial", by: list
         return pd.DataFrame({x: [row[x]] * shape[0] for x in by} | {"layer": range(shape[0]), "angle": np.arange(shape[0]) * 2 * np.pi / shape[0], "elbo": got.elbo, "rate": [x.ravel() for x in rate]})
 
     return _run(packed, one, f"{_key(packed, by)}, layer int, angle double, elbo double, rate array<double>", by)
+
+
+def heuristics(packed: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Period (bins), prior variance and orientation per key, from the autocorrelation of a kernel-density map."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        p, v, a, _ = solver.heuristics(*_maps(row))
+        return pd.DataFrame({x: [row[x]] for x in by} | {"period": [p], "variance": [v], "angle": [a]})
+
+    return _run(packed, one, f"{_key(packed, by)}, period double, variance double, angle double", by)
+
+
+def kde_maps(packed: DataFrame, sigma: float, by: list[str] = BY) -> DataFrame:
+    """`grids.kde` on packed maps by FFT: for grids whose long form would multiply by their side length."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        n, k = _maps(row)
+        return pd.DataFrame({x: [row[x]] for x in by} | {"h": [n.shape[0]], "w": [n.shape[1]], "rate": [numerics.kde(n, k, sigma).ravel()]})
+
+    return _run(packed, one, f"{_key(packed, by)}, h int, w int, rate array<double>", by)
+
+
+def radial_profiles(packed: DataFrame, sigma: float = 2.0, by: list[str] = BY) -> DataFrame:
+    """(key, r, value): radial average of the autocorrelation of a kernel-density map, on visited bins."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        n, k = _maps(row)
+        profile = numerics.radial_profile(numerics.autocorrelation(numerics.kde(n, k, sigma), n > 0))
+        return pd.DataFrame({x: [row[x]] * len(profile) for x in by} | {"r": range(len(profile)), "value": profile})
+
+    return _run(packed, one, f"{_key(packed, by)}, r int, value double", by)

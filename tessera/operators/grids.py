@@ -36,11 +36,16 @@ def blur(grid: DataFrame, values: list[str], height: int, width: int, sigma: flo
     return _shift(out, "iy", height, gaussian_taps(height, sigma, half, unit), values, by)
 
 
+def _overall_rate(by: list[str]) -> Column:
+    """sum k / sum n of a key; a circular blur scales both sums alike, so blurred maps give it without another pass."""
+    whole = Window.partitionBy(*by)
+    return F.sum("k").over(whole) / F.sum("n").over(whole)
+
+
 def kde(grid: DataFrame, height: int, width: int, sigma: float, by: list[str] = BY) -> DataFrame:
     """Rate per bin: (blurred k + mean / 2) / (blurred n + 1 / 2), with mean = sum k / sum n of the key."""
-    blurred = blur(grid, ["n", "k"], height, width, sigma, by)
-    mean = grid.groupBy(*by).agg((F.sum("k") / F.sum("n")).alias("_mu"))
-    return blurred.join(F.broadcast(mean), by).select(*by, "iy", "ix", ((F.col("k") + F.col("_mu") * 0.5) / (F.col("n") + 0.5)).alias("rate"))
+    mu = _overall_rate(by)
+    return blur(grid, ["n", "k"], height, width, sigma, by).select(*by, "iy", "ix", ((F.col("k") + mu * 0.5) / (F.col("n") + 0.5)).alias("rate"))
 
 
 def biased_rate(n: Column, k: Column, mean: Column, rho: float = 0.9, gamma: float = 0.5) -> Column:
@@ -51,8 +56,7 @@ def biased_rate(n: Column, k: Column, mean: Column, rho: float = 0.9, gamma: flo
 def kde_biased(grid: DataFrame, height: int, width: int, sigma: float, by: list[str] = BY) -> DataFrame:
     """The earlier estimator: unit-sum kernel exp(-d^2 / sigma^2) and `biased_rate`."""
     blurred = blur(grid, ["n", "k"], height, width, sigma, by, half=False, unit=True)
-    mean = grid.groupBy(*by).agg((F.sum("k") / F.sum("n")).alias("_mu"))
-    return blurred.join(F.broadcast(mean), by).select(*by, "iy", "ix", biased_rate(F.col("n"), F.col("k"), F.col("_mu")).alias("rate"))
+    return blurred.select(*by, "iy", "ix", biased_rate(F.col("n"), F.col("k"), _overall_rate(by)).alias("rate"))
 
 
 def dense(grid: DataFrame, height: int, width: int, values: list[str], by: list[str] = BY) -> DataFrame:

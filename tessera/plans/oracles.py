@@ -220,6 +220,7 @@ ORACLES = {
       SELECT cell_id, ((ix + k.i) % 16)::INT AS i, {r('sum(v * g / (SELECT sum(g) FROM k))')} AS v FROM v, k GROUP BY 1, 2""",
     "blur_grid": f"WITH {PTS}, {lin(16)}, {blurred(16, 1.5)} SELECT cell_id, iy, ix, {r('n')} AS n, {r('k')} AS k FROM soft",
     "kde_rate_map": f"WITH {PTS}, {lin(16)}, {kde(16, 2.0)} SELECT cell_id, iy, ix, {r('rate')} AS rate FROM kde_",
+    "kde_packed": f"WITH {PTS}, {lin(16)}, {kde(16, 2.0)} SELECT cell_id, iy, ix, {r('rate')} AS rate FROM kde_",
     "kde_v1": f"""WITH {PTS}, {lin(16)}, {blurred(16, 2.0, False, True)}, mu_ AS (SELECT cell_id, sum(k) / sum(n) AS mu FROM grid GROUP BY 1)
       SELECT cell_id, iy, ix, {r('(k + 0.9 * mu + 0.05) / (n + 0.9)')} AS rate FROM soft JOIN mu_ USING (cell_id)""",
     "acorr_grid": f"""WITH {PTS}, {lin(8)}, {field(8)}, m AS (SELECT cell_id, avg(y) AS m, var_pop(y) AS v FROM field GROUP BY 1),

@@ -467,7 +467,20 @@ def box_statistics(s, d):
     return tidy(posterior.box_statistics(fixtures.table(s, d, "events"), "value", ["event_type"]))
 
 
+def kde_packed(s, d):
+    return tidy(grids.unpack(fits.kde_maps(_packed(s, d), 2.0), ["rate"]))
+
+
+def heuristic_parameters(s, d):
+    return fits.heuristics(_packed(s, d))
+
+
+def autocorrelation_profile(s, d):
+    return fits.radial_profiles(_packed(s, d))
+
+
 NAMES = [
+    "kde_packed", "heuristic_parameters", "autocorrelation_profile",
     "sampled_confidence", "fraction_within_arena", "laplace_joint", "laplace_joint_rate", "elbo_profiles", "heading_variance", "heading_rate_maps", "heading_peaks",
     "tracked_chains", "tracked_matches", "mahalanobis_displacement", "prior_draws", "scalar_variational", "zero_lag", "box_statistics",
     "rate_histogram", "bin_linear", "bin_nearest", "bin_linear_lattice_l", "bin_linear_3d_wrap", "bin_weighted_reweighted", "value_histogram", "arena_geometry",
