@@ -1,24 +1,12 @@
-"""Cutting lineage through the folder that the cluster shares."""
+"""Tables, and lineage cut in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.runtime import cut
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir as the session names it; only where it is unset (tests) make a folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint: survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "shuffle_partitions", "table"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
