@@ -327,6 +327,11 @@ def test_lm_is_a_distribution():
     assert abs(total - 1) < 1e-9
 
 
+def test_counts_keep_their_ratio_when_narrowed():
+    got = op7.narrow(np.array([3, 5, 2**40, 2**39, 2**30, 0, 2**30 + 2, 1])).reshape(-1, 2)
+    assert got[0].tolist() == [3, 5] and got[1].tolist() == [2**30, 2**29] and got[2].tolist() == [2**30, 0] and got[3].tolist() == [2**29 + 1, 0]
+
+
 def test_wand_finds_all_above_the_threshold():
     r = random.Random(9)
     words = [f"q{k}" for k in range(120)]
