@@ -51,7 +51,7 @@ TARGET_RECALL = 0.9999
 POSITIONS = 64
 DEPTH = 2
 SMALL = 128
-BLOCK = 256
+BLOCK = 512
 SIGMAS = 4
 PIVOTS = 16
 CENTRAL = 0.5
@@ -166,12 +166,17 @@ def _split(threshold: float):
     return run
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes with two members or more, with the node's size and a fingerprint of its members."""
+def _sized(nodes: DataFrame, apart: bool = False) -> DataFrame:
+    """Rows of nodes with two members or more, with the node's size and a fingerprint of its members.
+
+    `apart`: sizes (counted with partial sums) are checkpointed, so that the join reads both sides from exchanges of its
+    own and Spark can split the partition of a node that holds a large part of all rows.
+    """
     sizes = nodes.groupBy("node").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("members"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("members2")
     )
-    return nodes.join(sizes.where("size > 1"), "node")
+    sizes = sizes.where("size > 1")
+    return nodes.join(cut(sizes) if apart else sizes, "node")
 
 
 def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +199,8 @@ def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFra
     """Distinct (leaf, cls, size) of classes(cls, sig) after all runs: of split nodes, and of dense ones."""
     runs = runs_needed(threshold, DEPTH, target)
     sketches = classes.select("cls", "sig")
-    sized = cut(_sized(map_arrow(sketches, _roots(runs, threshold), NODES)))
+    parts = shuffle_partitions(classes.sparkSession)
+    sized = cut(_sized(map_arrow(sketches, _roots(runs, threshold), NODES), apart=True).coalesce(parts))
     small = _named(sized.where(F.col("size") <= SMALL))
     large = sized.where(F.col("size") > SMALL).select("node", "pick", "cls", "size").join(sketches, "cls")
     # about PIVOTS members of every large node, by a hash
