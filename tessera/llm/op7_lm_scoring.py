@@ -8,11 +8,12 @@ the unigram holds.  Every bit is predicted from counters in order-0 (exact),
 order-1, order-2 and skip contexts (hashed tables, counted over all training
 documents); the stretched predictions are mixed with weights that a gate selects
 (how well the two longer contexts are known, and the depth of the bit), and an
-adaptive probability map refines the result.  Weights and map are learnt online,
-bit block after bit block, on about MIX_DOCS training documents (a documented
-bound, taken by a hash of doc_id), each bit left out of its own counters.  All
-factors are proper distributions, so `score` is the log10 probability of the
-whole text and total bits per byte follow from it.
+adaptive probability map refines the result.  Weights and map are learnt on all
+training documents: online, bit block after bit block, in groups of about
+MIX_DOCS documents (dealt by a hash of the row), each bit left out of its own
+counters; then each weight and cell is averaged over the groups, weighted by how
+often each group moved it.  All factors are proper distributions, so `score` is
+the log10 probability of the whole text and total bits per byte follow from it.
 
 Tokens with at least 1/LOOKUP_SHARE of all occurrences (so at most LOOKUP_SHARE)
 are broadcast; the counts of all others meet their documents in a shuffle join
@@ -211,23 +212,34 @@ class Mixer:
         refined = flat[at] * (1 - part) + flat[at + 1] * part
         return np.clip(0.5 * (1 / (1 + np.exp(-dot)) + refined), 1e-6, 1 - 1e-6)
 
-    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, depth: np.ndarray, bit: np.ndarray, block: int = 128) -> None:
-        """Online: predict a block of bits, then move weights and map towards what came."""
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, depth: np.ndarray, bit: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Online: predict a block of bits, then move weights and map towards what came; how often each gate and cell moved."""
         x = np.stack(inputs, axis=1)
+        width = x.shape[1]
+        weights, apm = self.weights.reshape(-1), self.apm.reshape(-1)
+        place = (gate[:, None] * width + np.arange(width)).reshape(-1)
+        row, moved = depth * APM_CELLS, np.zeros(len(apm), dtype=np.int64)
         for a in range(0, len(bit), block):
-            xs, g, d, y = x[a : a + block], gate[a : a + block], depth[a : a + block], bit[a : a + block]
-            dot = (self.weights[g] * xs).sum(axis=1)
-            np.add.at(self.weights, g, RATE * (y - 1 / (1 + np.exp(-dot)))[:, None] * xs)
+            b = min(a + block, len(bit))
+            xs, y, at = x[a:b], bit[a:b], place[a * width : b * width]
+            dot = (weights[at].reshape(-1, width) * xs).sum(axis=1)
+            step = (RATE * (y - 1 / (1 + np.exp(-dot))))[:, None] * xs
+            weights += np.bincount(at, weights=step.reshape(-1), minlength=len(weights))
             low, part = self._cell(dot)
-            near = low + (part > 0.5)
-            np.add.at(self.apm, (d, near), 0.02 * (y - self.apm[d, near]))
+            near = row[a:b] + low + (part > 0.5)
+            apm += np.bincount(near, weights=0.02 * (y - apm[near]), minlength=len(apm))
+            moved += np.bincount(near, minlength=len(apm))
         np.clip(self.apm, 1e-5, 1 - 1e-5, out=self.apm)
+        return np.bincount(gate, minlength=len(self.weights)), moved
 
 
 def _mix(coder: Coder, counters: Counters):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by group: (place among weights and map, value, how often it moved) of every group."""
+
+    def learn(rows: list[tuple]) -> pa.RecordBatch:
         mixer = Mixer()
-        rows = sorted(((r["rank"], r["text"] or "") for b in batches for r in b.to_pylist()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        gates, cells = np.zeros(len(mixer.weights), dtype=np.int64), np.zeros(mixer.apm.size, dtype=np.int64)
+        rows.sort()
         for a in range(0, len(rows), 50):
             for _, _, tokens, doc, _ in token_stream(pa.array([t for _, t in rows[a : a + 50]], pa.string())):
                 _, _, node, bit, depth, slots = bit_stream(coder, tokens, doc)
@@ -236,12 +248,46 @@ def _mix(coder: Coder, counters: Counters):
                     zeros, ones = pairs[at, 0] - (bit == 0), pairs[at, 1] - (bit == 1)
                     inputs.append(Counters.stretch(np.maximum(zeros, 0), np.maximum(ones, 0)))
                     levels.append(Counters.level(zeros + ones))
-                mixer.learn(inputs, Mixer.gate(levels[1], levels[2], depth), depth, bit)
-        yield pa.RecordBatch.from_arrays([pa.array([mixer.weights.tobytes()]), pa.array([mixer.apm.tobytes()])], names=["weights", "apm"])
+                moved = mixer.learn(inputs, Mixer.gate(levels[1], levels[2], depth), depth, bit)
+                gates += moved[0]
+                cells += moved[1]
+        n = np.concatenate([np.repeat(gates, mixer.weights.shape[1]), cells])
+        at = np.flatnonzero(n)
+        value = np.concatenate([mixer.weights.reshape(-1), mixer.apm.reshape(-1)])
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(value[at]), pa.array(n[at])], names=["place", "value", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for g, rank, text in zip(*(batch.column(c).to_pylist() for c in ("group", "rank", "text"))):
+                if g != group and rows:
+                    yield learn(rows)
+                    rows = []
+                group = g
+                rows.append((rank, text or ""))
+        if rows:
+            yield learn(rows)
 
     return run
 
 
+def learn_mixer(train: DataFrame, coder: Coder, counters: Counters) -> tuple[Mixer, int]:
+    """Weights and map from all rows of train(doc_id, text), and how many bits they were learnt on."""
+    mixer = Mixer()
+    groups = max(1, -(-train.count() // MIX_DOCS))
+    dealt = train.select("text", F.xxhash64("doc_id", "text").alias("rank")).withColumn("group", F.pmod("rank", F.lit(groups)))
+    parts = max(groups, shuffle_partitions(train.sparkSession)) if groups > 1 else 1
+    learnt = map_arrow(dealt.repartition(parts, "group").sortWithinPartitions("group"), _mix(coder, counters), "place int, value double, n long")
+    # decimals, so that sums do not depend on order; at most a row for every weight and cell of the map
+    sums = learnt.groupBy("place").agg(F.sum((F.col("value") * F.col("n")).cast("decimal(38, 9)")).alias("x"), F.sum("n").alias("n"))
+    flat = np.concatenate([mixer.weights.reshape(-1), mixer.apm.reshape(-1)])
+    cut_, bits = mixer.weights.size, 0
+    for r in sums.collect():
+        flat[r["place"]] = float(r["x"]) / r["n"]
+        bits += r["n"] if r["place"] >= cut_ else 0
+    return Mixer(flat[:cut_].reshape(mixer.weights.shape), flat[cut_:].reshape(mixer.apm.shape)), bits
+
+
 ROWS = (
     "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, log_known double, log_bits double, "
     "log_inside double, n_inside long, rare array<long>, times array<int>"
@@ -327,13 +373,7 @@ def score(docs: DataFrame) -> DataFrame:
     width = 2 * coder.n_nodes + ORDERS * (2 << SLOT_BITS)
     flat = np.concatenate([data[k] for k in sorted(data)]) if data else np.zeros(width, np.int64)
     counters = Counters(coder, narrow(flat))
-    rank = F.xxhash64("doc_id")
-    share = MIX_DOCS / max(1, train.count())
-    sample = train if share >= 1 else train.where(rank < -(2**63) + int(2**64 * share))
-    learnt = map_arrow(sample.select(rank.alias("rank"), "text").repartition(1), _mix(coder, counters), "weights binary, apm binary").first()
-    mixer = Mixer()
-    if learnt is not None:
-        mixer = Mixer(np.frombuffer(learnt["weights"]).reshape(-1, ORDERS + 1), np.frombuffer(learnt["apm"]).reshape(DEPTHS, -1))
+    mixer, _ = learn_mixer(train, coder, counters)
     rows = cut(map_arrow(docs, _score(coder, (token, count), counters, mixer), ROWS))
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     met = rare.join(counts, "token", "left").select(

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -327,6 +328,23 @@ def test_lm_is_a_distribution():
     assert abs(total - 1) < 1e-9
 
 
+def test_lm_mixer_learns_from_every_training_document(spark, monkeypatch):
+    rows = corpus()
+    texts = [t for _, t in rows]
+    token, count = np.unique(np.concatenate([x[2] for x in op7.token_stream(pa.array(texts))]), return_counts=True)
+    coder = op7.Coder(token, count, 0)
+    stream = [op7.bit_stream(coder, x[2], x[3]) for x in op7.token_stream(pa.array(texts))]
+    flat = [np.bincount(2 * np.concatenate([s[2] for s in stream]) + np.concatenate([s[3] for s in stream]), minlength=2 * coder.n_nodes)]
+    flat += [np.bincount(2 * np.concatenate([s[5][k] for s in stream]) + np.concatenate([s[3] for s in stream]), minlength=2 << op7.SLOT_BITS) for k in range(op7.ORDERS)]
+    counters = op7.Counters(coder, np.concatenate(flat).astype(np.int32))
+    monkeypatch.setattr(op7, "MIX_DOCS", 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, bits = op7.learn_mixer(df.coalesce(1), coder, counters)
+    assert bits == sum(len(s[2]) for s in stream)
+    many, _ = op7.learn_mixer(df.repartition(5), coder, counters)
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.apm, many.apm)
+
+
 def test_counts_keep_their_ratio_when_narrowed():
     got = op7.narrow(np.array([3, 5, 2**40, 2**39, 2**30, 0, 2**30 + 2, 1])).reshape(-1, 2)
     assert got[0].tolist() == [3, 5] and got[1].tolist() == [2**30, 2**29] and got[2].tolist() == [2**30, 0] and got[3].tolist() == [2**29 + 1, 0]
