@@ -16,8 +16,8 @@ All draws are hashes of the row's key and their place, so they do not depend on
 partitions, order or retries.
 
 Lattices are built per distinct word (spaces and what follows them; a line feed
-stands alone; longer runs than LONGEST bytes are cut at a character), since no
-piece crosses such borders.  Encoding is lossless: characters without a piece,
+stands alone), since no piece crosses such borders; a word may be as long as its
+text.  Beyond LINEAR bytes to a word's end, masses are kept as logarithms.  Encoding is lossless: characters without a piece,
 and U+2581 itself, become byte pieces; decoding drops the leading space that
 encoding adds.  The model file is read on the driver; its pieces are broadcast.
 
@@ -44,7 +44,7 @@ SAMPLES = 2
 THETA = 1.0
 SEED = 20240607
 FAINT = -80.0
-LONGEST = 32
+LINEAR = 32
 CHUNK_BYTES = (1 << 20) - (1 << 15)
 _BASE = np.uint64(0x100000001B3 * 2 + 0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
@@ -212,7 +212,8 @@ class Lattices:
         self.p = vocab.weight[self.piece]
         after = np.zeros(states)
         after[:words] = 1.0
-        for r in range(1, most + 1):  # states with few bytes left first
+        near = min(most, LINEAR)
+        for r in range(1, near + 1):  # states with few bytes left first
             a, b = offset[r], offset[r + 1]
             lo, hi = self.first[a], self.first[b]
             if lo == hi:
@@ -220,7 +221,23 @@ class Lattices:
             self.p[lo:hi] *= after[self.to[lo:hi]]
             has = np.flatnonzero(degree[a:b])
             after[a + has] = np.add.reduceat(self.p[lo:hi], self.first[a + has] - lo)
-        self.p /= np.repeat(after, degree)
+        self.p[: self.first[offset[near + 1]]] /= np.repeat(after[: offset[near + 1]], degree[: offset[near + 1]])
+        if most > near:
+            with np.errstate(divide="ignore"):
+                after, logw = np.log(after), np.log(vocab.weight)
+        for r in range(near + 1, most + 1):  # products of so many pieces can be too small for a double
+            a, b = offset[r], offset[r + 1]
+            lo, hi = self.first[a], self.first[b]
+            if lo == hi:
+                continue
+            has = np.flatnonzero(degree[a:b])
+            at, many = self.first[a + has] - lo, degree[a + has]
+            x = logw[self.piece[lo:hi]] + after[self.to[lo:hi]]
+            top = np.maximum.reduceat(x, at)
+            x = np.exp(x - np.repeat(top, many))
+            mass = np.add.reduceat(x, at)
+            after[a + has] = top + np.log(mass)
+            self.p[lo:hi] = x / np.repeat(mass, many)
         total = np.concatenate([[0.0], np.cumsum(self.p)])
         self.cum = total[1:] - np.repeat(total[self.first[:-1]], degree)
         self.cum[self.first[1:][degree > 0] - 1] = np.inf
@@ -229,7 +246,7 @@ class Lattices:
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, sizes) of words that cover all of raw, none across documents, none over LONGEST bytes."""
+    """(starts, sizes) of words that cover all of raw, none across documents."""
     n = len(raw)
     begin = raw == 32
     begin[1:] &= raw[:-1] != 32
@@ -240,17 +257,6 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, vocab: Pieces) -> tuple[np.nd
     begin[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(begin)
     sizes = np.diff(np.append(starts, n))
-    long = np.flatnonzero(sizes > LONGEST)
-    if len(long):
-        for k in long.tolist():
-            a, b = int(starts[k]), int(starts[k] + sizes[k])
-            while b - a > LONGEST:
-                a += LONGEST
-                while raw[a] & 0xC0 == 0x80:
-                    a -= 1
-                begin[a] = True
-        starts = np.flatnonzero(begin)
-        sizes = np.diff(np.append(starts, n))
     return starts, sizes
 
 

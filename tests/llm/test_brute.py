@@ -142,6 +142,25 @@ def test_segmentations_are_a_sample_without_replacement():
     assert abs(np.mean([sum(1 / np.exp(x[3]) for x in one) for one in got]) - len(all_)) < 0.2
 
 
+@pytest.mark.parametrize("n", [17, 40, 3000])
+def test_segmentations_span_whole_long_words(n):
+    """Log probabilities of a word of 2n + 1 bytes are those of the lattice over the whole word."""
+    vocab = toy()
+    text = b" " + b"ab" * n
+    mass = [0.0] + [-np.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        ways = [mass[end - len(p)] + lp for p, lp in zip(vocab.pieces[:-1], vocab.logp) if text[:end].endswith(p)]
+        mass[end] = np.logaddexp.reduce(ways)
+    docs, crossed = 200 if n < 100 else 3, 0
+    got = op2.sample_chunk(vocab, np.frombuffer(text[1:] * docs, np.uint8), np.arange(docs + 1) * (len(text) - 1), np.arange(docs), 2, 5)
+    for one in got:
+        assert len(one) == 2 and len({tuple(x[0].tolist()) for x in one}) == 2
+        for ids, logp, _, _ in one:
+            assert vocab.spell(ids) == text and abs(logp - (vocab.logp[ids].sum() - mass[-1])) < 1e-6
+            crossed += 32 not in np.cumsum(vocab.sizes[ids])
+    assert crossed
+
+
 @pytest.mark.parametrize("text", ["plain words", " lead", "trail ", "two  spaces   three", "tab\tline\n\nfeed\r\n", "▁ literal", "日本語テキスト🙂" * 9, "a" * 300, "\x00\x7f", "é" * 40])
 def test_segmentation_round_trip(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
