@@ -9,11 +9,11 @@ and dots spelled out.  The network (one character in, BIO labels out, emissions
 joined by CRF transitions with forbidden ones barred) is trained in NumPy with
 Adam in one task on an executor; its few thousand weights are broadcast.
 
-A span must hold a digit or '@', so only windows with one are decoded: others
-cannot yield a span.  Windows overlap by half; proposals that touch an inner
-window edge, or whose mean marginal is below CONFIDENCE, are left to a neighbour
-or dropped, and the rest are reconciled over the whole text: the surest first,
-none overlapping an accepted one or a base span.  Base spans always stay.
+The whole of every text is decoded, in lanes of LANE characters that overlap by
+2 * HALO.  Their labels are stitched in the middle of each overlap into one
+sequence a text, from which spans of any length are read.  Lanes whose best path
+provably holds no span skip the rest of Viterbi.  Spans whose mean marginal is
+below CONFIDENCE, or that overlap a base span, are dropped.  Base spans always stay.
 
 Edge cases: a null text counts as empty and has no spans; positions are code
 points, ends exclusive; equal texts have equal spans; repeated rows, null ids
@@ -35,13 +35,14 @@ from pyspark.sql import types as T
 
 from tessera.llm._arrow import map_arrow, map_text
 from tessera.llm._store import table
-from tessera.llm._text import buffers, mix, text_chunks
+from tessera.llm._text import mix, text_chunks
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 TRAIN_DOCS = 20000
 WINDOWS_PER_DOC = 4
 LENGTH, STRIDE = 64, 32
+LANE, HALO = 256, 32
 HIDDEN = 16
 EPOCHS, STEPS, BATCH, RATE = 8, 500, 64, 0.02
 CONFIDENCE = 0.9
@@ -241,9 +242,30 @@ class Tagger:
             grads[f"w{d}"], grads[f"u{d}"], grads[f"c{d}"] = gw, gu, gc
         return float((z - gold).mean()), grads
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best labels (T, B) by Viterbi and their marginals."""
+    def plain(self, e: np.ndarray) -> np.ndarray:
+        """Which columns surely have no span on their best path: no stretch can gain on staying outside, taking the best label of each place."""
+        a = self.p["a"] + self.bar - self.p["a"][0, 0]
+        gain = e[:, :, 1:].max(axis=2) - e[:, :, 0]
+        enter, stay, leave = a[0, 1:].max(), a[1:, 1:].max(), max(0.0, a[1:, 0].max())
+        run = gain[0] + (self.p["s"] + self.first)[1:].max() - self.p["s"][0]
+        best = run.copy()
+        for t in range(1, len(e)):
+            run = np.maximum(run + stay, enter) + gain[t]
+            np.maximum(best, run, out=best)
+        return best + leave < -1e-3
+
+    def decode(self, ids: np.ndarray, all_: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Best labels (T, B) by Viterbi and their marginals (zero in plain columns unless all_)."""
         e, _ = self.emissions(ids)
+        if not all_:
+            at = np.flatnonzero(~self.plain(e))
+            y, q = np.zeros(ids.shape, dtype=np.int64), np.zeros(ids.shape, dtype=np.float32)
+            if len(at):
+                y[:, at], q[:, at] = self._viterbi(np.ascontiguousarray(e[:, at]))
+            return y, q
+        return self._viterbi(e)
+
+    def _viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, (t_, b_, _) = self.p["a"] + self.bar, e.shape
         score, back = e[0] + self.p["s"] + self.first, np.zeros((t_, b_, LABELS), dtype=np.int8)
         for t in range(1, t_):
@@ -314,54 +336,58 @@ def training_windows(text: str, most: int = WINDOWS_PER_DOC) -> list[tuple[np.nd
 
 
 def reconcile(text: str, base: list[tuple[int, int, int]], starts: np.ndarray, y: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int]]:
-    """Added spans of a text from its decoded windows; y, q: (windows, T)."""
-    proposals: dict[tuple[int, int, int], float] = {}
-    n = len(text)
-    for s, labels, sure in zip(starts.tolist(), y, q):
-        t, size = 0, min(LENGTH, n - s)
-        while t < size:
-            if labels[t] == 0 or labels[t] % 2 == 0:
-                t += 1
-                continue
-            e = t + 1
-            while e < size and labels[e] == labels[t] + 1:
-                e += 1
-            inner = (t > 0 or s == 0) and (e < LENGTH or s + e == n)
-            confidence = float(sure[t:e].mean())
-            if inner and confidence >= CONFIDENCE and e - t >= 7 and re.search("[0-9@]", text[s + t : s + e]):
-                key = (int(labels[t] - 1) // 2, s + t, s + e)
-                proposals[key] = max(proposals.get(key, 0.0), confidence)
-            t = e
-    taken = [(a, b) for _, a, b in base]
+    """Added spans of a text from its decoded windows, stitched in the middle of their overlaps; y, q: (windows, T)."""
+    n, size = len(text), y.shape[1]
+    labels, sure, end = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.float32), 0
+    for s, label, mean in zip(starts.tolist(), y, q):
+        lo, hi = max(s, (s + end) // 2), min(s + size, n)
+        labels[lo:hi], sure[lo:hi] = label[lo - s : hi - s], mean[lo - s : hi - s]
+        end = hi
     out = []
-    for (kind, a, b), _ in sorted(proposals.items(), key=lambda x: (-x[1], x[0])):
-        if all(b <= c or d <= a for c, d in taken):
-            out.append((kind, a, b))
-            taken.append((a, b))
+    for t in np.flatnonzero(labels % 2).tolist():
+        e = t + 1
+        while e < n and labels[e] == labels[t] + 1:
+            e += 1
+        if float(sure[t:e].mean()) >= CONFIDENCE and all(e <= c or d <= t for _, c, d in base):
+            out.append((int(labels[t] - 1) // 2, t, e))
     return out
 
 
+def lane_starts(n: int) -> np.ndarray:
+    """Starts of the lanes that cover n characters."""
+    core = LANE - 2 * HALO
+    return np.arange(max(1, -(-(n - 2 * HALO) // core)) if n else 0) * core
+
+
 def find(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
     """(base spans, added spans) of every text."""
-    out, windows, owners = [], [], []
-    for k, text in enumerate(texts):
-        out.append((base_spans(text), []))
-        if model is not None:
-            starts = window_starts(text)
-            ids = encode(text)
-            windows += [cut_window(ids, s) for s in starts.tolist()]
-            owners.append((k, starts))
-    if windows:
-        ids = np.stack(windows)
-        y, q = np.zeros(ids.shape, np.int64), np.zeros(ids.shape, np.float32)
-        for a in range(0, len(ids), 2048):
-            yy, qq = model.decode(np.ascontiguousarray(ids[a : a + 2048].T))
-            y[a : a + 2048], q[a : a + 2048] = yy.T, qq.T
-        at = 0
-        for k, starts in owners:
-            n = len(starts)
-            out[k] = (out[k][0], reconcile(texts[k], out[k][0], starts, y[at : at + n], q[at : at + n]))
-            at += n
+    out: list[tuple[list, list]] = [(base_spans(text), []) for text in texts]
+    if model is None:
+        return out
+    ids = [encode(text) for text in texts]
+    starts = [lane_starts(len(x)) for x in ids]
+    many = np.array([len(x) for x in starts], dtype=np.int64)
+    length = np.array([len(x) for x in ids], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(many)])
+    owner = np.repeat(np.arange(len(texts)), many)
+    if not len(owner):
+        return out
+    flat, at = np.concatenate(ids), np.concatenate(starts)
+    begin = (np.cumsum(length) - length)[owner] + at
+    size = np.minimum(LANE, length[owner] - at)
+    width = -(-size // STRIDE) * STRIDE  # a function of the text alone, so equal texts have equal spans
+    y, q = np.zeros((len(owner), LANE), dtype=np.int8), np.zeros((len(owner), LANE), dtype=np.float32)
+    for w in np.unique(width).tolist():
+        lanes = np.flatnonzero(width == w)
+        for a in range(0, len(lanes), 1024):
+            k = lanes[a : a + 1024]
+            step = np.arange(w)[:, None]
+            inside = step < size[k]
+            yy, qq = model.decode(np.where(inside, flat[np.where(inside, begin[k] + step, 0)], 0), all_=False)
+            y[k, :w], q[k, :w] = yy.T, qq.T
+    for k in np.unique(owner[y.any(axis=1)]).tolist():
+        a, b = first[k], first[k + 1]
+        out[k] = (out[k][0], reconcile(texts[k], out[k][0], starts[k], y[a:b], q[a:b]))
     return out
 
 
@@ -416,11 +442,8 @@ def _tag(params: dict[str, np.ndarray] | None):
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             column = batch.column("text")
-            raw, offsets = buffers(column)
-            at = np.searchsorted(np.flatnonzero(_TRIGGER[raw]), offsets)
-            rows = np.flatnonzero(np.diff(at)).tolist()
             spans: list[list[dict]] = [[] for _ in range(len(batch))]
-            for k, (base, added) in zip(rows, find([column[k].as_py() for k in rows], model)):
+            for k, (base, added) in enumerate(find([x or "" for x in column.to_pylist()], model)):
                 both = sorted([(*x, True) for x in base] + [(*x, False) for x in added])
                 spans[k] = [{"kind": KINDS[kind], "start": a, "end": b, "base": own} for kind, a, b, own in both]
             return {"pii": pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])))}

@@ -301,6 +301,34 @@ def test_tagger_learns_the_spans_it_was_shown(spark):
     assert "[email]" in op4.redact(tagged).first().text
 
 
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return op4.fit(spark.createDataFrame(pii_rows(1, 400), "doc_id long, text string"))
+
+
+def test_tagger_finds_spans_at_every_offset(tagger):
+    """A span is found or not whatever its place in the lanes, at any length."""
+    said = " write to a17.joe (at) mail3 dot example dot com now"
+    fill = "lorem ipsum dolor sit the and " * 20
+    got = [op4.find([fill[:k] + said + " and the dolor" * 30], tagger)[0][1] for k in range(180, 400)]
+    spans = {tuple((kind, a - k, b - k) for kind, a, b in x) for k, x in zip(range(180, 400), got)}
+    assert all(got) and len(spans) <= 30  # the fill before it differs at most in its last word
+    y = np.zeros((2, op4.LANE), dtype=np.int8)
+    text = "x" * 400
+    y[0, 90:], y[0, 89], y[1, : 330 - 192] = 2, 1, 2
+    assert op4.reconcile(text, [], op4.lane_starts(400), y, np.ones(y.shape, np.float32)) == [(0, 89, 330)]
+
+
+def test_plain_lanes_have_no_span(tagger):
+    r = np.random.default_rng(5)
+    ids = r.integers(0, op4.ALPHABET, (64, 500))
+    ids[:, 250:] = np.stack([op4.cut_window(op4.encode(t), 0) for _, t in pii_rows(4, 250)], axis=1)
+    plain = tagger.plain(tagger.emissions(ids)[0])
+    y, q = tagger.decode(ids)
+    y2, q2 = tagger.decode(ids, all_=False)
+    assert plain.any() and not y[:, plain].any() and np.array_equal(y, y2) and np.allclose(q[:, ~plain], q2[:, ~plain], atol=1e-5)
+
+
 def test_toxicity_held_out(spark):
     rows = corpus(21, 900)
     marks = [(k, int(any(t in text for t in TOXIC))) for k, text in rows]
