@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) come from anchored scans that take linear
 time on any text and equal the leftmost non-overlapping matches of the patterns
 they state, with their checks.  They label the training data: windows around
 digits and '@' of at most TRAIN_DOCS documents (a documented bound, taken by a
-hash of doc_id) with at most WINDOWS_PER_DOC windows each, some with their '@'
-and dots spelled out.  The network (one character in, BIO labels out, emissions
+hash of doc_id) with at most WINDOWS_PER_DOC windows each, one more with the '@'
+and dots spelled out, and one more from anywhere in the text.  The network (one character in, BIO labels out, emissions
 joined by CRF transitions with forbidden ones barred) is trained in NumPy with
 Adam in one task on an executor; its few thousand weights are broadcast.
 
@@ -314,7 +314,9 @@ def training_windows(text: str, most: int = WINDOWS_PER_DOC) -> list[tuple[np.nd
         labels[a] = 1 + 2 * kind
     ranked = sorted(starts.tolist(), key=lambda s: (-sum(s <= a and b <= s + LENGTH for _, a, b in spans), s))
     out = []
-    for s in ranked[:most]:
+    rest = np.setdiff1d(np.arange(0, max(1, len(ids) - STRIDE), STRIDE), ranked[:most])
+    anywhere = [int(rest[len(ids) * 7919 % len(rest)])] if most and len(rest) else []
+    for s in ranked[:most] + anywhere:
         y = labels[s : s + LENGTH].copy()
         inside = y.copy()
         while len(inside) and inside[0] and inside[0] % 2 == 0:  # a span cut by the left edge cannot be told
@@ -328,7 +330,7 @@ def training_windows(text: str, most: int = WINDOWS_PER_DOC) -> list[tuple[np.nd
             made = text[max(0, a - 10) : a] + said + text[b : b + 10]
             y = np.zeros(LENGTH, dtype=np.int8)
             lo = min(a, 10)
-            if any(c.isdigit() for c in said) and lo + len(said) < LENGTH:
+            if lo + len(said) < LENGTH:
                 y[lo : lo + len(said)] = 2
                 y[lo] = 1
                 out.append((cut_window(encode(made), 0), y))
@@ -424,7 +426,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
     share = train_docs / max(1, docs.count())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & _sampled("doc_id", share))
     windows = map_arrow(rows, _windows, "rank long, ids binary, labels binary").repartition(1)
-    # at most train_docs * (WINDOWS_PER_DOC + 1) windows, learnt in one task; a few weight arrays come back
+    # at most train_docs * (WINDOWS_PER_DOC + 2) windows, learnt in one task; a few weight arrays come back
     got = {r["name"]: r["weights"] for r in map_arrow(windows, _learn, "name string, weights binary").collect()}
     if not got:
         return None

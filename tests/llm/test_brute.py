@@ -319,6 +319,16 @@ def test_tagger_finds_spans_at_every_offset(tagger):
     assert op4.reconcile(text, [], op4.lane_starts(400), y, np.ones(y.shape, np.float32)) == [(0, 89, 330)]
 
 
+def test_tagger_reads_texts_without_digit_or_at(spark):
+    rows = [(k, t.replace(t.split(" ")[9], f"{'abcdef'[k % 6]}{'uvwxyz'[k // 6 % 6]}.joe@mail.example.com")) for k, t in pii_rows(3, 300)]
+    model = op4.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = "lorem ipsum dolor sit bv.joe (at) mail dot example dot com and the sit"
+    text = text.replace("bv.joe", "bv dot joe")
+    found = op4.find([text, "lorem ipsum dolor sit and the sit lorem"], model)
+    assert found[1] == ([], []) and any(a < 40 < b for _, a, b in found[0][1])
+    assert any(s["start"] < 40 < s["end"] for s in op4.tag(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().pii)
+
+
 def test_plain_lanes_have_no_span(tagger):
     r = np.random.default_rng(5)
     ids = r.integers(0, op4.ALPHABET, (64, 500))
