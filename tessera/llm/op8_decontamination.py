@@ -12,7 +12,8 @@ only if enough word pairs of the item's question and of its answer (its last
 sentence, or last third) are in the passage.
 
 The index is broadcast; items are bounded by INDEX_BYTES of text, and a larger
-benchmark is searched slice by slice.  Documents are neither shuffled nor cut.
+benchmark is searched slice by slice, with document frequencies, item count,
+lengths and passages of the whole.  Documents are neither shuffled nor cut.
 
 Edge cases: null or empty texts and items never match; items with one id are
 searched separately; repeated rows give repeated hits; null doc_ids pass
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import map_arrow, slices
-from tessera.llm._store import table
+from tessera.llm._store import cut, table
 from tessera.llm._text import buffers, grams
 from tessera.llm.op5_toxicity import split_words
 
@@ -56,26 +58,39 @@ def answer_start(text: str, n_words: int) -> int:
     return n_words - max(1, n_words // 3)
 
 
+class Whole(NamedTuple):
+    """Of the whole benchmark: sorted terms of a slice and their document frequencies, items, their words, longest item."""
+
+    vocab: np.ndarray
+    df: np.ndarray
+    items: int
+    words: int
+    longest: int
+
+
 class Index:
     """Inverted index with block maxima over test items."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK) -> None:
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, whole: Whole | None = None) -> None:
         self.block = block
         items = [(i, t) for i, t in items if t]
         words = split_words(*buffers(pa.array([t for _, t in items], pa.string())))
         used = np.flatnonzero(words.counts)
         h = words.hashes(lower=True)
         self.ids = [items[k][0] for k in used]
-        self.longest = int(words.counts.max(initial=0))
+        self.longest = whole.longest if whole else int(words.counts.max(initial=0))
         item = np.searchsorted(used, words.doc)
         self.vocab, term = np.unique(h, return_inverse=True)
         v, n = len(self.vocab), len(used)
         pairs, tf = np.unique(term * max(n, 1) + item, return_counts=True)
         self.term, self.item = pairs // max(n, 1), (pairs % max(n, 1)).astype(np.int64)
-        df = np.bincount(self.term, minlength=v)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        df, total = np.bincount(self.term, minlength=v), n
         length = words.counts[used].astype(float)
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1)) if n else length
+        mean = length.mean() if n else 1
+        if whole:
+            df, total, mean = whole.df[np.searchsorted(whole.vocab, self.vocab)], whole.items, whole.words / max(whole.items, 1)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / max(mean, 1))
         weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.item])
         own = np.bincount(self.item, weights=weight, minlength=n)
         self.impact = weight / own[self.item]
@@ -200,15 +215,38 @@ class Index:
         return [(r, i, *rest) for (r, i), rest in best.items()]
 
 
+TERMS = "term long, n long, words long, longest long"
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items that hold each term; under the null term all items with words, their words and the longest."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            words = split_words(*buffers(batch.column("text")))
+            h, term = np.unique(words.hashes(lower=True), return_inverse=True)
+            pairs = np.unique(term * max(1, len(batch)) + words.doc)
+            df = np.bincount(pairs // max(1, len(batch)), minlength=len(h))
+            columns = [h.view(np.int64).tolist() + [None], df.tolist() + [int((words.counts > 0).sum())], [0] * len(h) + [len(words)], [0] * len(h) + [int(words.counts.max(initial=0))]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=[x.split()[0] for x in TERMS.split(", ")])
+
+
 def indexes(items: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
     """Indexes over slices of items(item_id, text), each of about `limit` bytes of text at most."""
     rows = items.select("item_id", "text").where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // limit)
+    if parts > 1:
+        terms = cut(map_arrow(rows, _terms, TERMS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")))
+        sums = terms.where(F.col("term").isNull()).first()
     for k in range(parts):
+        whole = None
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         # bounded: a slice holds about `limit` bytes of test items
-        yield Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        if parts > 1:
+            own = map_arrow(part, _terms, TERMS).select("term").distinct()
+            found = sorted((r["term"] & (2**64 - 1), r["n"]) for r in terms.join(own, "term", "left_semi").select("term", "n").collect())
+            whole = Whole(np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), sums["n"], sums["words"], sums["longest"])
+        yield Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), whole=whole)
 
 
 HITS = "doc_id long, item_id long, start_word long, score double, question_overlap double, answer_overlap double"

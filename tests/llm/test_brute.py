@@ -451,6 +451,22 @@ def test_large_benchmarks_are_searched_in_slices(spark):
     assert len(indexes) > 3 and sorted(i for x in indexes for i in x.ids) == list(range(40))
 
 
+def test_slices_score_as_the_whole(spark):
+    r = random.Random(8)
+    words = [f"t{int(r.paretovariate(0.7))}" for _ in range(4000)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randrange(8, 30 + 200 * (k == 7))))) for k in range(60)]
+    docs = [" ".join(w if r.random() < 0.8 else "other" for w in t.split()) + " tail" * 40 for _, t in items]
+    column = pa.array(docs)
+    df = spark.createDataFrame(items, "item_id long, text string")
+
+    def hits(indexes):
+        return sorted((row, index.ids[i], at, round(score, 9), q, a) for index in indexes for row, i, at, score, q, a in index.search(column, 0.3))
+
+    whole = hits(op8.indexes(df))
+    sliced = list(op8.indexes(df, 1000))
+    assert len(sliced) > 3 and len(whole) > 20 and hits(sliced) == whole
+
+
 def test_media_formats():
     r = np.random.default_rng(1)
     image = r.integers(0, 256, (7, 5, 3), dtype=np.uint8)
