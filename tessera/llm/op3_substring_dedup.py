@@ -1,15 +1,14 @@
 """Substring dedup by equal window hashes, in place of a relative Lempel-Ziv parse.
 
-Windows of all documents meet in blocks that together hold every
-window (`WINDOW` consecutive words) of the corpus.  The block of a window is
-chosen by its anchor, the smallest hash among its ANCHOR-word grams, so windows
+Windows (`WINDOW` consecutive words) of all documents meet in blocks that
+together hold every window of the corpus.  The block of a window is chosen by its anchor, the smallest hash among its ANCHOR-word grams, so windows
 with equal words meet in one block and neighbouring windows mostly share one.
 A block links each window to its earliest occurrence (smaller doc_id, then
 earlier start); per document, links that advance together are merged into runs,
 given as factors.  No reference text is kept or parsed: every window is looked
 up, so none across the border of two runs is missed.  A run of f windows covers
-f + WINDOW - 1 words, and covered words are removed.  All links are found on the input, so the
-result does not depend on what is removed.
+f + WINDOW - 1 words, and covered words are removed.  All links are found on the
+input, so the result does not depend on what is removed.
 
 Volume: a run of windows with one anchor ships as one segment (16-byte head, 6
 bytes a window); windows that already have an earlier occurrence in the same
