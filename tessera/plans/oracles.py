@@ -269,6 +269,14 @@ ORACLES = {
     "tracked_matches": f"""WITH {EMB}, d AS (SELECT a.vec_id AS tracked, b.vec_id AS sampled, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM emb a, emb b WHERE a.cell_id = 0 AND b.cell_id = 1),
       o AS (SELECT *, row_number() OVER (PARTITION BY tracked ORDER BY distance, sampled) AS p, row_number() OVER (PARTITION BY sampled ORDER BY distance, tracked) AS q FROM d)
       SELECT tracked, sampled, {r('distance')} AS distance FROM o WHERE p = 1 AND q = 1 AND distance <= 0.2""",
+    "tracked_matches_labels": f"""WITH {EMB}, d AS (SELECT a.vec_id AS tracked, b.vec_id AS sampled, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM emb a JOIN emb b ON b.cell_id = a.cell_id + 1),
+      o AS (SELECT *, row_number() OVER (PARTITION BY tracked ORDER BY distance, sampled) AS p, row_number() OVER (PARTITION BY sampled ORDER BY distance, tracked) AS q FROM d)
+      SELECT tracked, sampled, {r('distance')} AS distance FROM o WHERE p = 1 AND q = 1 AND distance <= 0.2""",
+    "mask_dilate_labels": f"""WITH {EMB}, mask AS (SELECT DISTINCT cell_id, least(floor(y * 16), 15)::INT AS iy, least(floor(x * 16), 15)::INT AS ix FROM emb)
+      SELECT DISTINCT cell_id, (iy + a.i)::INT AS iy, (ix + b.i)::INT AS ix FROM mask, range(-2, 3) AS a(i), range(-2, 3) AS b(i)
+      WHERE a.i * a.i + b.i * b.i <= 4 AND iy + a.i BETWEEN 0 AND 15 AND ix + b.i BETWEEN 0 AND 15""",
+    "value_histogram_whole": """SELECT event_type, CASE WHEN value < 0 THEN -1 WHEN value > 60 THEN 12 ELSE least(floor(value / 5), 11) END::INT AS bin, count(*) AS count
+      FROM events WHERE value IS NOT NULL GROUP BY ALL""",
     "mahalanobis_displacement": f"""WITH {EMB}, g AS (SELECT cell_id, avg(x) AS mx, avg(y) AS my, var_samp(x) AS xx, covar_samp(x, y) AS xy, var_samp(y) AS yy FROM emb GROUP BY 1)
       SELECT vec_id, {r('sqrt((yy * pow(x - mx, 2) - 2 * xy * (x - mx) * (y - my) + xx * pow(y - my, 2)) / (xx * yy - xy * xy))')} AS displacement FROM emb JOIN g USING (cell_id)""",
     "zero_lag": f"""WITH {PTS}, {lin(16)}, {field(16)}, a AS (SELECT cell_id, round(sqrt(pow(iy - 8, 2) + pow(ix - 8, 2)))::INT AS r, avg(y) AS y FROM field GROUP BY 1, 2)

@@ -59,6 +59,12 @@ def value_histogram(s, d):
     return binning.histogram(fixtures.table(s, d, "events"), "value", 0.0, 60.0, 12, ["event_type"])
 
 
+def value_histogram_whole(s, d):
+    """As value_histogram, with what lies below and above the range in bins -1 and 12."""
+    b = F.when(F.col("value") < 0, -1).when(F.col("value") > 60, 12).otherwise(F.least(F.floor(F.col("value") / 5), F.lit(11))).cast("int")
+    return fixtures.table(s, d, "events").where("value is not null").groupBy("event_type", b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+
+
 def arena_geometry(s, d):
     p = fixtures.points(s, d).withColumn("x", F.col("x") * (F.col("cell_id") + 1))
     return tidy(geometry.arena(p, 64))
@@ -145,6 +151,15 @@ def mask_dilate(s, d):
     return geometry.dilate(_mask(s, d), 2.0, 16, 16)
 
 
+def _label_masks(s, d) -> DataFrame:
+    bins = [F.least(F.floor(F.col(c) * 16), F.lit(15)).cast("int").alias(f"i{c}") for c in "yx"]
+    return _unit_cloud(s, d).select(F.col("cell_id").cast("long").alias("cell_id"), *bins).distinct()
+
+
+def mask_dilate_labels(s, d):
+    return geometry.dilate(_label_masks(s, d), 2.0, 16, 16)
+
+
 def _distances(s, d) -> DataFrame:
     p = _unit_cloud(s, d).select(
         F.lit(0).cast("long").alias("cell_id"), F.col("vec_id").alias("point_id"), (F.col("x") * 16 - 0.5).alias("bx"), (F.col("y") * 16 - 0.5).alias("by_"),
@@ -444,6 +459,13 @@ def tracked_matches(s, d):
     return tidy(tracking.tracked_matches(part(0), part(1), 0.2))
 
 
+def tracked_matches_labels(s, d):
+    """Every label's rows matched to the next label's; each pair of labels lies in a strip of its own."""
+    a = _unit_cloud(s, d)
+    part = lambda k: a.select(F.col("vec_id").alias("id"), (F.col("x") + (F.col("cell_id") - k) * 4).alias("x"), "y")
+    return tidy(tracking.tracked_matches(part(0), part(1), 0.2))
+
+
 def mahalanobis_displacement(s, d):
     g = moments.gaussians(_unit_cloud(s, d), ["cell_id"]).drop("n")
     j = _unit_cloud(s, d).join(F.broadcast(g), "cell_id")
@@ -482,7 +504,7 @@ def autocorrelation_profile(s, d):
 NAMES = [
     "kde_packed", "heuristic_parameters", "autocorrelation_profile",
     "sampled_confidence", "fraction_within_arena", "laplace_joint", "laplace_joint_rate", "elbo_profiles", "heading_variance", "heading_rate_maps", "heading_peaks",
-    "tracked_chains", "tracked_matches", "mahalanobis_displacement", "prior_draws", "scalar_variational", "zero_lag", "box_statistics",
+    "tracked_chains", "tracked_matches", "tracked_matches_labels", "mask_dilate_labels", "value_histogram_whole", "mahalanobis_displacement", "prior_draws", "scalar_variational", "zero_lag", "box_statistics",
     "rate_histogram", "bin_linear", "bin_nearest", "bin_linear_lattice_l", "bin_linear_3d_wrap", "bin_weighted_reweighted", "value_histogram", "arena_geometry",
     "unit_meter_bin_roundtrip", "normalised_square", "safe_math", "safe_div_cases", "lgamma_table", "unitscale_percentile", "lognormal_moments", "hex_grid",
     "simulated_rate_map", "bin_coordinates", "hull_edges_coarse", "in_hull", "mask_from_hull", "mask_dilate", "boundary_distance", "near_boundary_filter",
