@@ -2,23 +2,30 @@
 
 Base spans (email, ip, card, phone) come from anchored scans that take linear
 time on any text and equal the leftmost non-overlapping matches of the patterns
-they state, with their checks.  They label the training data: windows around
-digits and '@' of at most TRAIN_DOCS documents (a documented bound, taken by a
-hash of doc_id) with at most WINDOWS_PER_DOC windows each, one more with the '@'
-and dots spelled out, and one more from anywhere in the text.  The network (one character in, BIO labels out, emissions
-joined by CRF transitions with forbidden ones barred) is trained in NumPy with
-Adam in one task on an executor; its few thousand weights are broadcast.
+they state, with their checks.  The tagger adds spans beyond those patterns:
+spelled-out, defanged and oddly separated forms of the four kinds, and secrets
+(keys, tokens and passwords).  It learns from labelled windows of at most
+TRAIN_DOCS documents (a documented bound, taken by a hash of doc_id): windows
+around digits and '@', at most WINDOWS_PER_DOC a document, one more from anywhere
+in the text, and a few with a span rewritten in another form (`rewritten`); its
+labels are the base spans, the rewritten ones and `known_secrets`.  The network
+(one character in, BIO labels out, emissions joined by CRF transitions with
+forbidden ones barred) is trained in NumPy with Adam in one task on an executor;
+its few thousand weights are broadcast.
 
 The whole of every text is decoded, in lanes of LANE characters that overlap by
 2 * HALO.  Their labels are stitched in the middle of each overlap into one
-sequence a text, from which spans of any length are read.  Lanes whose best path
-provably holds no span skip the rest of Viterbi.  Spans whose mean marginal is
-below CONFIDENCE, or that overlap a base span, are dropped.  Base spans always stay.
+sequence a text, from which spans of any length are read.  Only lanes whose best
+path leaves "outside" are traced back.  A span is added if its mean marginal is
+at least CONFIDENCE, it overlaps no base span, and what it spells passes the
+check of its kind (`plausible`: Luhn, parts below 256, counts of digits, ...).
+Base spans always stay.
 
 Edge cases: a null text counts as empty and has no spans; positions are code
 points, ends exclusive; equal texts have equal spans; repeated rows, null ids
-and very long texts need no special case; other columns are not read; without
-base spans to learn from nothing is added.
+and very long texts need no special case; doc_id is cast to long where rows are
+sampled (what cannot be cast is null); a column `pii` of the input is replaced,
+all others pass through `tag`; without labelled spans to learn from nothing is added.
 """
 
 from __future__ import annotations
@@ -37,13 +44,15 @@ from tessera.llm._arrow import map_arrow, map_text
 from tessera.llm._store import table
 from tessera.llm._text import mix, text_chunks
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
+BASE_KINDS = 4
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 TRAIN_DOCS = 20000
 WINDOWS_PER_DOC = 4
 LENGTH, STRIDE = 64, 32
-LANE, HALO = 256, 32
-HIDDEN = 16
+LANE, HALO = 224, 16
+LANES = 1024
+HIDDEN = 12
 EPOCHS, STEPS, BATCH, RATE = 8, 500, 64, 0.02
 CONFIDENCE = 0.9
 LABELS = 1 + 2 * len(KINDS)
@@ -78,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = at + 1
         at = text.find("@", done)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m.group().split(".")):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if 16 <= m.end() - m.start() <= 37:
@@ -92,6 +101,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+#: what labels secrets for training: key ids, and values after a name that says what they are
+_SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:token|password|passwd|secret|api[_-]?key)\b[\x20]?[=:][\x20]?[\"']?([A-Za-z0-9_/+-]{12,64})(?![A-Za-z0-9_/+-])")
+
+
+def known_secrets(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the secrets that training labels."""
+    return [(4, m.start(m.lastindex or 0), m.end(m.lastindex or 0)) for m in _SECRET.finditer(text)]
+
+
+_AT = re.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+", re.I)
+_DOT = re.compile(r"\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*|\s+dot\s+|\s+\.\s+", re.I)
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def plausible(kind: int, said: str) -> bool:
+    """Whether what a proposed span spells, read in the plain form of its kind, passes that kind's check."""
+    if len(said) > 200:
+        return False
+    if kind == 0:
+        return _EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", said))) is not None
+    if kind == 1:
+        parts = _DOT.sub(".", said).split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == 4:
+        kinds = (any(c.isdigit() for c in said), any(c.isalpha() for c in said))
+        return len(said) >= 12 and all(kinds) and not any(c.isspace() for c in said)
+    digits = _NOT_DIGIT.sub("", said)
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9][0-9 ./_-]+[0-9]", said) is not None
+    return 8 <= len(digits) <= 15 and re.fullmatch(r"[+(]*[0-9][0-9 ().\/-]*[ ().\/-][0-9 ().\/-]*[0-9]", said) is not None
+
+
+def rewritten(kind: int, said: str, turn: int) -> str | None:
+    """A span of a base kind in another form, chosen by `turn`; None where there is none."""
+    if kind == 0:
+        at, dot = [(" (at) ", " dot "), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), (" (at) ", " dot "), ("[at]", "(dot)")][turn % 6]
+        return said.replace("@", at).replace(".", dot)
+    if kind == 1:
+        return said.replace(".", ["[.]", " dot ", "(.)", "[dot]"][turn % 4])
+    digits = _NOT_DIGIT.sub("", said)
+    if kind == 2:
+        mark = [".", "/", "_", "  ", " - "][turn % 5]
+        return mark.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if kind == 3 and len(digits) >= 10:
+        mark = ["-", ".", " ", "/"][turn % 4]
+        tail = mark.join((digits[-7:-4], digits[-4:]))
+        return [f"({digits[-10:-7]}) {tail}", f"{digits[-10:-7]}{mark}{tail}", f"00{digits[:-10]} {digits[-10:-7]} {tail}"][turn // 4 % 3]
+    return None
+
+
+def another_secret(text: str, a: int, b: int, turn: int) -> tuple[str, str]:
+    """(what comes before, a made-up secret of the same length) that vary the labelled ones."""
+    letters = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"][turn % 3]
+    draws = mix(np.arange(b - a, dtype=np.uint64) + np.uint64(turn * 1000 + 1)) % np.uint64(len(letters))
+    said = "".join(letters[k] for k in draws.tolist())
+    names = ["token=", "token: ", "api_key = \"", "secret: ", "password = ", "pwd=", "bearer ", "key "]
+    return names[turn // 3 % len(names)], said
+
+
 def _alphabet() -> np.ndarray:
     """Code points under 128 to ids: letters folded, digits alike, white space alike; 0 pads, 1 is any other."""
     ids, fresh = np.ones(128, dtype=np.int16), 5
@@ -242,42 +310,96 @@ class Tagger:
             grads[f"w{d}"], grads[f"u{d}"], grads[f"c{d}"] = gw, gu, gc
         return float((z - gold).mean()), grads
 
-    def plain(self, e: np.ndarray) -> np.ndarray:
-        """Which columns surely have no span on their best path: no stretch can gain on staying outside, taking the best label of each place."""
-        a = self.p["a"] + self.bar - self.p["a"][0, 0]
-        gain = e[:, :, 1:].max(axis=2) - e[:, :, 0]
-        enter, stay, leave = a[0, 1:].max(), a[1:, 1:].max(), max(0.0, a[1:, 0].max())
-        run = gain[0] + (self.p["s"] + self.first)[1:].max() - self.p["s"][0]
-        best = run.copy()
+    def best_scores(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of e (T, L, B): score of the best path that ends in each label at each place (T, L, B), and of the path that stays outside (B)."""
+        a = self.p["a"]
+        begin = [0, *range(1, LABELS, 2)]
+        enter = np.ascontiguousarray(a[:, begin])[:, :, None]
+        open_, stay = np.diagonal(a[1::2, 2::2])[:, None], np.diagonal(a[2::2, 2::2])[:, None]
+        s = np.empty_like(e)
+        s[0] = e[0] + (self.p["s"] + self.first)[:, None]
+        outside, keep = s[0, 0].copy(), a[0, 0]
+        x, y, z = np.empty((LABELS, len(begin), e.shape[2]), e.dtype), np.empty((len(begin) - 1, e.shape[2]), e.dtype), np.empty((len(begin) - 1, e.shape[2]), e.dtype)
         for t in range(1, len(e)):
-            run = np.maximum(run + stay, enter) + gain[t]
-            np.maximum(best, run, out=best)
-        return best + leave < -1e-3
+            old, new = s[t - 1], s[t]
+            np.add(old[:, None, :], enter, out=x)
+            best = x.max(axis=0)
+            np.add(best[0], e[t, 0], out=new[0])
+            np.add(best[1:], e[t, 1::2], out=new[1::2])
+            np.add(old[1::2], open_, out=y)
+            np.add(old[2::2], stay, out=z)
+            np.maximum(y, z, out=y)
+            np.add(y, e[t, 2::2], out=new[2::2])
+            outside += keep  # summed in the order of the path, so that equal paths have equal scores
+            outside += e[t, 0]
+        return s, outside
 
-    def decode(self, ids: np.ndarray, all_: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Best labels (T, B) by Viterbi and their marginals (zero in plain columns unless all_)."""
-        e, _ = self.emissions(ids)
+    def plain(self, e: np.ndarray) -> np.ndarray:
+        """Which columns of e (T, B, L) surely have no span on their best path."""
+        s, outside = self.best_scores(np.ascontiguousarray(e.transpose(0, 2, 1)))
+        return self._outside(s, outside)
+
+    @staticmethod
+    def _outside(s: np.ndarray, outside: np.ndarray) -> np.ndarray:
+        return s[-1].max(axis=0) <= outside
+
+    def _fast_lstm(self, ids: np.ndarray, d: str, out: np.ndarray) -> None:
+        """Hidden states into out (T, H, B): one product and one tanh a step, the halves of the sigmoids folded into the weights."""
+        h_, (t_, b_) = self.hidden, ids.shape
+        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h_, h_])
+        w = np.ascontiguousarray(((self.p[f"w{d}"] + self.p[f"c{d}"]) * half).T, dtype=np.float32)
+        u = np.ascontiguousarray((self.p[f"u{d}"] * half).T, dtype=np.float32)
+        h, c = np.zeros((h_, b_), np.float32), np.zeros((h_, b_), np.float32)
+        z, x = np.empty((4 * h_, b_), np.float32), np.empty((4 * h_, b_), np.float32)
+        i, f, o, g = (z[k * h_ : (k + 1) * h_] for k in range(4))
+        for t in range(t_) if d == "f" else range(t_ - 1, -1, -1):
+            np.take(w, ids[t], axis=1, out=x, mode="clip")
+            np.matmul(u, h, out=z)
+            np.add(z, x, out=z)
+            np.tanh(z, out=z)
+            z[: 3 * h_] *= 0.5
+            z[: 3 * h_] += 0.5
+            c *= f
+            i *= g
+            c += i
+            h = out[t]
+            np.tanh(c, out=h)
+            h *= o
+
+    def fast_emissions(self, ids: np.ndarray) -> np.ndarray:
+        """As emissions, but (T, L, B)."""
+        t_, b_ = ids.shape
+        both = np.empty((t_, 2, self.hidden, b_), np.float32)
+        self._fast_lstm(ids, "f", both[:, 0])
+        self._fast_lstm(ids, "b", both[:, 1])
+        e = np.matmul(np.ascontiguousarray(self.p["o"].T), both.reshape(t_, 2 * self.hidden, b_))
+        e += self.p["ob"][:, None]
+        return e
+
+    def spans_of(self, ids: np.ndarray, all_: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(columns whose best path holds a span, their best labels (T, m) by Viterbi, their marginals (T, m)); all columns if all_."""
+        e = self.fast_emissions(ids)
+        s, outside = self.best_scores(e)
+        at = np.arange(ids.shape[1]) if all_ else np.flatnonzero(~self._outside(s, outside))
+        if not len(at):
+            return at, np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.float32)
+        y, into = np.empty((len(ids), len(at)), dtype=np.int64), (self.p["a"] + self.bar).T
+        s = s[:, :, at]
+        y[-1] = s[-1].argmax(axis=0)
+        for t in range(len(ids) - 1, 0, -1):
+            y[t - 1] = (s[t - 1].T + into[y[t]]).argmax(axis=1)
         if not all_:
-            at = np.flatnonzero(~self.plain(e))
-            y, q = np.zeros(ids.shape, dtype=np.int64), np.zeros(ids.shape, dtype=np.float32)
-            if len(at):
-                y[:, at], q[:, at] = self._viterbi(np.ascontiguousarray(e[:, at]))
-            return y, q
-        return self._viterbi(e)
-
-    def _viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, (t_, b_, _) = self.p["a"] + self.bar, e.shape
-        score, back = e[0] + self.p["s"] + self.first, np.zeros((t_, b_, LABELS), dtype=np.int8)
-        for t in range(1, t_):
-            x = score[:, :, None] + a
-            back[t] = x.argmax(axis=1)
-            score = x.max(axis=1) + e[t]
-        y, rows = np.zeros((t_, b_), dtype=np.int64), np.arange(b_)
-        y[-1] = score.argmax(axis=1)
-        for t in range(t_ - 1, 0, -1):
-            y[t - 1] = back[t, rows, y[t]]
-        _, q, _, _ = self.marginals(e)
-        return y, np.take_along_axis(q, y[:, :, None], axis=2)[:, :, 0]
+            marked = y.any(axis=0)
+            at, y = at[marked], y[:, marked]
+        _, q, _, _ = self.marginals(np.ascontiguousarray(e[:, :, at].transpose(0, 2, 1)))
+        return at, y, np.take_along_axis(q, y[:, :, None], axis=2)[:, :, 0]
+
+    def decode(self, ids: np.ndarray, all_: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Best labels (T, B) and their marginals (zero in columns without spans unless all_)."""
+        y, q = np.zeros(ids.shape, dtype=np.int64), np.zeros(ids.shape, dtype=np.float32)
+        at, own, sure = self.spans_of(ids, all_)
+        y[:, at], q[:, at] = own, sure
+        return y, q
 
 
 def fit_tagger(ids: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Tagger:
@@ -304,9 +426,15 @@ def fit_tagger(ids: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed:
     return model
 
 
+def labelled(text: str) -> list[tuple[int, int, int]]:
+    """Base spans, and known secrets that overlap none."""
+    spans = base_spans(text)
+    return spans + [x for x in known_secrets(text) if all(x[2] <= a or b <= x[1] for _, a, b in spans)]
+
+
 def training_windows(text: str, most: int = WINDOWS_PER_DOC) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, labels) of up to `most` windows of a text, those that hold whole base spans first; some spans spelled out."""
-    spans, starts = base_spans(text), window_starts(text)
+    """(ids, labels) of up to `most` windows of a text, those that hold whole labelled spans first; some spans in other forms."""
+    spans, starts = labelled(text), window_starts(text)
     ids = encode(text)
     labels = np.zeros(len(ids) + LENGTH, dtype=np.int8)
     for kind, a, b in reversed(spans):
@@ -324,16 +452,16 @@ def training_windows(text: str, most: int = WINDOWS_PER_DOC) -> list[tuple[np.nd
             y[:n] = 0
             break
         out.append((cut_window(ids, s), y))
-    for kind, a, b in spans[:1] if most else []:
-        if kind == 0:
-            said = text[a:b].replace("@", " (at) ").replace(".", " dot ")
-            made = text[max(0, a - 10) : a] + said + text[b : b + 10]
+    turn = len(ids) + sum(a for _, a, _ in spans)
+    for k, (kind, a, b) in enumerate(spans[:3] if most else []):
+        name, said = another_secret(text, a, b, turn + k) if kind == 4 else ("", rewritten(kind, text[a:b], turn + k))
+        before = text[max(0, a - 10) : a]
+        before = before.rstrip("\"'=: ") + " " + name if name else before
+        if said and len(before) + len(said) < LENGTH:
             y = np.zeros(LENGTH, dtype=np.int8)
-            lo = min(a, 10)
-            if lo + len(said) < LENGTH:
-                y[lo : lo + len(said)] = 2
-                y[lo] = 1
-                out.append((cut_window(encode(made), 0), y))
+            y[len(before) : len(before) + len(said)] = 2 + 2 * kind
+            y[len(before)] = 1 + 2 * kind
+            out.append((cut_window(encode(before + said + text[b : b + 10]), 0), y))
     return out
 
 
@@ -350,8 +478,9 @@ def reconcile(text: str, base: list[tuple[int, int, int]], starts: np.ndarray, y
         e = t + 1
         while e < n and labels[e] == labels[t] + 1:
             e += 1
+        kind = int(labels[t] - 1) // 2
         if float(sure[t:e].mean()) >= CONFIDENCE and all(e <= c or d <= t for _, c, d in base):
-            out.append((int(labels[t] - 1) // 2, t, e))
+            out.append((kind, t, e))
     return out
 
 
@@ -374,22 +503,28 @@ def find(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
     owner = np.repeat(np.arange(len(texts)), many)
     if not len(owner):
         return out
-    flat, at = np.concatenate(ids), np.concatenate(starts)
+    flat, at = np.concatenate([*ids, np.zeros(LANE, np.int16)]), np.concatenate(starts)
     begin = (np.cumsum(length) - length)[owner] + at
     size = np.minimum(LANE, length[owner] - at)
-    width = -(-size // STRIDE) * STRIDE  # a function of the text alone, so equal texts have equal spans
-    y, q = np.zeros((len(owner), LANE), dtype=np.int8), np.zeros((len(owner), LANE), dtype=np.float32)
+    width = np.minimum(LANE, -(-size // STRIDE) * STRIDE)  # a function of the text alone, so equal texts have equal spans
+    found: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     for w in np.unique(width).tolist():
         lanes = np.flatnonzero(width == w)
-        for a in range(0, len(lanes), 1024):
-            k = lanes[a : a + 1024]
+        for a in range(0, len(lanes), LANES):
+            k = lanes[a : a + LANES]
             step = np.arange(w)[:, None]
-            inside = step < size[k]
-            yy, qq = model.decode(np.where(inside, flat[np.where(inside, begin[k] + step, 0)], 0), all_=False)
-            y[k, :w], q[k, :w] = yy.T, qq.T
-    for k in np.unique(owner[y.any(axis=1)]).tolist():
-        a, b = first[k], first[k + 1]
-        out[k] = (out[k][0], reconcile(texts[k], out[k][0], starts[k], y[a:b], q[a:b]))
+            part = flat[begin[k] + step]
+            if (size[k] < w).any():
+                part[step >= size[k]] = 0
+            for j, y, q in zip(*(x.T for x in model.spans_of(part))):
+                found.setdefault(int(owner[k[j]]), {})[int(k[j])] = (y, q)
+    for k, lanes in found.items():
+        a, b = int(first[k]), int(first[k + 1])
+        y, q = np.zeros((b - a, LANE), dtype=np.int64), np.zeros((b - a, LANE), dtype=np.float32)
+        for j, (own, sure) in lanes.items():
+            y[j - a, : len(own)], q[j - a, : len(own)] = own, sure
+        proposed = reconcile(texts[k], out[k][0], starts[k], y, q)
+        out[k] = (out[k][0], [(kind, c, d) for kind, c, d in proposed if plausible(kind, texts[k][c:d])])
     return out
 
 
@@ -422,11 +557,11 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
-    """The tagger, from about train_docs documents at most; None if they hold no base span."""
+    """The tagger, from about train_docs documents at most; None if they hold no labelled span."""
     share = train_docs / max(1, docs.count())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & _sampled("doc_id", share))
     windows = map_arrow(rows, _windows, "rank long, ids binary, labels binary").repartition(1)
-    # at most train_docs * (WINDOWS_PER_DOC + 2) windows, learnt in one task; a few weight arrays come back
+    # at most train_docs * (WINDOWS_PER_DOC + 4) windows, learnt in one task; a few weight arrays come back
     got = {r["name"]: r["weights"] for r in map_arrow(windows, _learn, "name string, weights binary").collect()}
     if not got:
         return None
@@ -485,7 +620,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = joined(F.filter("pii", lambda s: s["base"]))
     return found.select(
-        "doc_id", *[count(k) for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans")
+        "doc_id",
+        *[count(k) for k in KINDS[:BASE_KINDS]],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
 
 

@@ -226,7 +226,7 @@ def brute_spans(text: str) -> list[tuple[int, int, int]]:
             digits = re.sub("[^0-9]", "", m.group())
             fine = (
                 kind == 0
-                or kind == 1 and all(int(x) <= 255 for x in m.group().split("."))
+                or kind == 1 and all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m.group().split("."))
                 or kind == 2 and 16 <= len(digits) <= 19 and op4.luhn(digits)
                 or kind == 3 and 8 <= len(digits) <= 15
             )
@@ -243,6 +243,24 @@ def test_base_spans():
         assert op4.base_spans(text) == brute_spans(text), text
 
 
+def test_base_spans_of_long_runs_of_zeros():
+    zeros = "0" * 5000
+    for text in (f"{zeros}.1.2.3", f"1.{zeros}1.2.3", f"{zeros}.{zeros}.{zeros}.{zeros}", f"{zeros}256.1.1.1", zeros):
+        assert op4.base_spans(text) == brute_spans(text)
+    assert op4.base_spans(f"a {zeros}.1.2.3") == [(1, 2, 5008)]
+
+
+def test_rewritten_spans_are_plausible():
+    said = ["jo.doe@mail.example.com", "10.200.3.255", "4111111111111111", "+1 (724) 555-7058"]
+    for kind, text in enumerate(said):
+        assert op4.base_spans(text) == [(kind, 0, len(text))]
+        for turn in range(24):
+            made = op4.rewritten(kind, text, turn)
+            assert made is None or op4.plausible(kind, made), made
+    assert not op4.plausible(2, "4111.1111.1111.1112") and not op4.plausible(1, "10[.]200[.]3[.]256")
+    assert op4.known_secrets('x token = "1beb58b8af68854f0e01b4ad" y') == [(4, 11, 35)]
+
+
 def test_base_spans_take_linear_time():
     for text in ("a" * 300000, "1" * 300000, "1." * 100000, "+1" * 100000, "a@" * 100000, "1 " * 100000):
         op4.base_spans(text)
