@@ -19,9 +19,12 @@ from tessera.runtime import ship
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
     """mapInArrow with this package at hand on the executors; a task gives its free memory back when it ends."""
     ship(df.sparkSession)
+    names = df.columns
+    if any("." in c or "`" in c for c in names):  # mapInArrow looks columns up by unquoted names
+        df = df.toDF(*[f"c{k}" for k in range(len(names))])
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(batch.rename_columns(names) for batch in batches)
         release()
 
     return df.mapInArrow(tidy, schema)
@@ -34,6 +37,11 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def columns(names: list[str]) -> list[str]:
+    """Distinct names quoted for select, as they may hold dots."""
+    return ["`" + c.replace("`", "``") + "`" for c in dict.fromkeys(names)]
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most `limit` bytes of text (a longer row stands alone)."""
     _, offsets = buffers(batch.column(text))
@@ -48,16 +56,18 @@ def map_text(
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],
     text: str = "text",
     filtered: bool = False,
+    read: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows of docs with columns `keep` and the computed `fields`.
 
     make() runs once a task; what it returns maps a record batch to the computed
     columns.  With `filtered`, it also returns "__keep", a boolean mask of rows.
-    A computed column takes the place of a kept one of the same name.
+    A computed column takes the place of a kept one of the same name; columns of
+    `read` are read and not returned.
     """
     names = {f.name for f in fields}
     keep = [c for c in keep if c not in names]
-    source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
+    source = docs.select(*columns([*keep, text, *read]))
     schema = T.StructType([source.schema[c] for c in keep] + fields)
     arrow = to_arrow_schema(schema)
 

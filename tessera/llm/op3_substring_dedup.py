@@ -1,46 +1,67 @@
-"""Substring dedup by equal window hashes, in place of a relative Lempel-Ziv parse.
-
-Windows (`WINDOW` consecutive words) of all documents meet in blocks that
-together hold every window of the corpus.  The block of a window is chosen by its anchor, the smallest hash among its ANCHOR-word grams, so windows
-with equal words meet in one block and neighbouring windows mostly share one.
-A block links each window to its earliest occurrence (smaller doc_id, then
-earlier start); per document, links that advance together are merged into runs,
-given as factors.  No reference text is kept or parsed: every window is looked
-up, so none across the border of two runs is missed.  A run of f windows covers
-f + WINDOW - 1 words, and covered words are removed.  All links are found on the
-input, so the result does not depend on what is removed.
-
-Volume: a run of windows with one anchor ships as one segment (16-byte head, 6
+"""Substring dedup by relative Lempel-Ziv factors against indexed reference blocks.
+
+The corpus is indexed in reference blocks that together hold every window
+(`WINDOW` consecutive words) of it.  The block of a window is chosen by its
+anchor, the smallest hash among its ANCHOR-word grams, so windows with equal
+words meet in one block and neighbouring windows mostly share one.  Documents are
+factored greedily against the blocks: from a window that the index knows from an
+earlier place, the factor grows window by window as long as the next ones continue
+along the same reference; where it ends, the windows across its border are looked
+up themselves, so that factors overlap by up to WINDOW - 1 words and no passage
+across a border is missed.  "Earlier" means smaller doc_id, or the same document
+and an earlier start; the reference of a factor is the place before it in that
+order, so no place is referred to by many.
+
+A factor is a proposal of hashes.  Both texts of it are fetched by their keys and
+the words between its boundaries are compared by 128 bits of SHA-256: the reference
+side is digested where the reference text is, the other side where the document
+is.  Factors that agree remove the words they cover (f windows cover f + WINDOW - 1).
+Where they do not agree, hashes collided; all windows on both sides are then
+compared one by one, by SHA-256 of their words.  That finds the earlier equal window
+if there is one: along references, a window and its first equal either agree all
+the way or there is a disagreeing step next to a window of either text.
+
+Volume: a run of windows with one anchor ships as one segment (22-byte head, 6
 bytes a window); windows that already have an earlier occurrence in the same
 slice of documents are linked there and never shipped, so a passage in a third
-of all documents costs one window per 2 MB slice.  Nothing is collected.
+of all documents costs one window per 2 MB slice.  Texts are shuffled once.  Lists
+grouped by document hold at most two entries a window of it.  Nothing is collected.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing;
-a null doc_id counts as smallest; rows with one doc_id are one document, where
-only an earlier start counts (equal rows keep each other, rows of one doc_id
-with unlike texts share their links by position); other columns are not read; an empty table gives an empty result.
+a null doc_id counts as smallest (doc_id is cast to long, what cannot be cast is
+null); rows with one doc_id (or none) and equal texts are one document, where only
+an earlier start counts, so equal rows keep each other; rows with one doc_id and
+unlike texts are documents of their own, in order of a hash of the text; other
+columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._arrow import map_arrow, map_text, strings
+from tessera.llm._arrow import map_arrow, map_text, slices, strings
 from tessera.llm._store import shuffle_partitions, table
-from tessera.llm._text import Words, buffers, gram_starts, grams, mix, text_chunks
+from tessera.llm._text import _SEP, Words, buffers, gram_starts, grams, mix, text_chunks
 
 WINDOW = 20
 ANCHOR = 6
 BLOCKS_PER_PARTITION = 8
+KEY_BITS = 48
+DIGEST = 16
 NO_ID = np.iinfo(np.int64).min
 
-SHIPPED = "block int, segments binary, doc long, start int, n int, ref_doc long, ref_start int"
+LINKS = "doc long, tag int, start int, n int, ref_doc long, ref_tag int, ref_start int"
+_LINK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+_LINK_NAMES = [f.split()[0] for f in LINKS.split(", ")]
+SHIPPED = f"block int, segments binary, {LINKS}"
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -64,78 +85,85 @@ def runs(doc: np.ndarray, start: np.ndarray, *same: np.ndarray) -> tuple[np.ndar
     return first, np.diff(np.append(first, len(doc)))
 
 
-def link(doc: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For windows sorted by (doc, start): index of the first one with an equal key."""
+def earlier(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For windows sorted by (doc, tag, start): index of the window before each one with an equal key at another place, or -1;
+    and which windows are the first of their place."""
+    n = len(key)
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1])
     order = np.argsort(key, kind="stable")
-    k = key[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = k[1:] != k[:-1]
-    out = np.empty(len(k), dtype=np.int64)
-    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(k) else order
-    return out
-
-
-def _links(doc: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which windows have an earlier equal one, and the runs (doc, start, n, ref_doc, ref_start) of those."""
-    later = (doc[first] < doc) | ((doc[first] == doc) & (start[first] < start))
-    at = np.flatnonzero(later)
-    d, s, rd, rs = doc[at], start[at], doc[first[at]], start[first[at]]
-    i, n = runs(d, s, rd, s - rs)
-    return later, [d[i], s[i], n, rd[i], rs[i]]
-
-
-def pack(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, words: np.ndarray) -> bytes:
+    k, place = key[order], np.cumsum(fresh)[order]
+    step = np.ones(n, dtype=bool)
+    step[1:] = (k[1:] != k[:-1]) | (place[1:] != place[:-1])
+    before = np.maximum.accumulate(np.where(step, np.arange(n), 0)) - 1
+    known = before >= 0
+    known[known] = k[before[known]] == k[known]
+    out = np.empty(n, dtype=np.int64)
+    out[order] = np.where(known, order[before], -1)
+    return out, fresh
+
+
+def factors(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, ref: np.ndarray) -> list[np.ndarray]:
+    """Greedy factors (columns of LINKS) of windows sorted by (doc, tag, start), given the index's earlier place of each."""
+    at = np.flatnonzero(ref >= 0)
+    to = ref[at]
+    d, t, s, rd, rt, rs = doc[at], tag[at], start[at], doc[to], tag[to], start[to]
+    i, n = runs(d, s, t, rd, rt, s - rs)
+    return [d[i], t[i], s[i], n, rd[i], rt[i], rs[i]]
+
+
+def pack(anchor: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray, words: np.ndarray) -> bytes:
     low, high = words.astype(np.uint32), (words >> np.uint64(32)).astype(np.uint16)
     head = np.array([len(anchor), len(words)], dtype=np.uint64)
-    return b"".join(x.tobytes() for x in (head, anchor, doc, start.astype(np.uint32), n.astype(np.uint16), low, high))
+    columns = (head, (anchor >> np.uint64(32)).astype(np.uint32), doc, tag.astype(np.int32), start.astype(np.uint32), n.astype(np.uint16), low, high)
+    return b"".join(x.tobytes() for x in columns)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     m, total = (int(x) for x in np.frombuffer(blob, np.uint64, 2))
     at, out = 16, []
-    for kind, count in ((np.uint64, m), (np.int64, m), (np.uint32, m), (np.uint16, m), (np.uint32, total), (np.uint16, total)):
+    for kind, count in ((np.uint32, m), (np.int64, m), (np.int32, m), (np.uint32, m), (np.uint16, m), (np.uint32, total), (np.uint16, total)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += count * np.dtype(kind).itemsize
-    anchor, doc, start, n, low, high = out
-    return anchor, doc, start.astype(np.int64), n.astype(np.int64), low | (high.astype(np.uint64) << np.uint64(32))
+    anchor, doc, tag, start, n, low, high = out
+    return anchor.astype(np.uint64), doc, tag, start.astype(np.int64), n.astype(np.int64), low | (high.astype(np.uint64) << np.uint64(32))
 
 
-def _batch(blocks: list[int], blobs: list, columns: list[np.ndarray]) -> pa.RecordBatch:
-    arrays = [pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary())]
-    arrays += [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))]
-    return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in SHIPPED.split(", ")])
+def _links(found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, _LINK_TYPES)], names=_LINK_NAMES)
 
 
-def _none(n: int) -> list:
-    return [[None] * n] * 5
+def _batch(blocks: list[int], blobs: list, found: list) -> pa.RecordBatch:
+    arrays = [pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary()), *(pa.array(x, t) for x, t in zip(found, _LINK_TYPES))]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "segments", *_LINK_NAMES])
 
 
-def _ship(window: int, blocks: int):
-    """Per slice of documents: local links, and the first local windows as segments by block."""
-    width = window - ANCHOR + 1
+def _ship(window: int, blocks: int, key_bits: int):
+    """Per slice of documents: its own factors, and the windows without an earlier one in it as segments by block."""
+    width, mask = window - ANCHOR + 1, np.uint64((1 << key_bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for i, j, words in text_chunks(batch.column(1)):
+            ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+            for i, j, words in text_chunks(batch.column("text")):
                 at = gram_starts(words, window)
                 if not len(at):
                     continue
                 h = words.hashes()
-                key = grams(h, window)[at]
+                key = grams(h, window)[at] & mask
                 anchor = window_minimum(grams(h, ANCHOR), width)[at]
                 owner = words.doc[at]
-                doc, start = ids[i:j][owner], at - words.first[owner]
+                doc, tag, start = ids[i:j][owner], tags[i:j][owner], at - words.first[owner]
                 if (np.diff(ids[i:j]) <= 0).any():
-                    order = np.lexsort((start, doc))
-                    key, anchor, doc, start = key[order], anchor[order], doc[order], start[order]
-                first = link(doc, start, key)
-                _, found = _links(doc, start, first)
+                    order = np.lexsort((start, tag, doc))
+                    key, anchor, doc, tag, start = key[order], anchor[order], doc[order], tag[order], start[order]
+                ref, fresh = earlier(doc, tag, start, key)
+                found = factors(doc, tag, start, np.where(fresh, ref, -1))
                 if len(found[0]):
                     yield _batch([int(x) for x in mix(found[0].view(np.uint64)) % np.uint64(blocks)], [None] * len(found[0]), found)
-                keep = np.flatnonzero(first == np.arange(len(first)))
-                key, anchor, doc, start = key[keep], anchor[keep], doc[keep], start[keep]
-                begin, n = runs(doc, start, anchor, np.arange(len(doc)) // 60000)
+                keep = np.flatnonzero((ref < 0) & fresh)
+                key, anchor, doc, tag, start = key[keep], anchor[keep], doc[keep], tag[keep], start[keep]
+                begin, n = runs(doc, start, tag, anchor, np.arange(len(doc)) // 60000)
                 block = (mix(anchor[begin]) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 bounds = np.flatnonzero(np.diff(block[order], prepend=-1))
@@ -144,28 +172,29 @@ def _ship(window: int, blocks: int):
                     seg = order[a:b]
                     inner = np.repeat(begin[seg] - np.cumsum(n[seg]) + n[seg], n[seg]) + np.arange(n[seg].sum())
                     where.append(int(block[seg[0]]))
-                    blobs.append(pack(anchor[begin[seg]], doc[begin[seg]], start[begin[seg]], n[seg], key[inner]))
-                yield _batch(where, blobs, _none(len(where)))
+                    blobs.append(pack(anchor[begin[seg]], doc[begin[seg]], tag[begin[seg]], start[begin[seg]], n[seg], key[inner]))
+                yield _batch(where, blobs, [[None] * len(where)] * len(_LINK_NAMES))
 
     return run
 
 
 def _factor_block(blobs: list[bytes]) -> list[np.ndarray]:
-    """Links of one reference block: runs of windows that occur earlier."""
+    """Factors of the documents that have windows in one reference block."""
     parts = [unpack(b) for b in blobs]
-    anchor, doc, start, n, words = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    anchor, doc, tag, start, n, words = (np.concatenate([p[k] for p in parts]) for k in range(6))
     begin = np.cumsum(n) - n
-    order = np.lexsort((start, doc))
+    order = np.lexsort((start, tag, doc))
     m = n[order]
     inner = np.repeat(begin[order] - np.cumsum(m) + m, m) + np.arange(m.sum())
     step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    doc, start = np.repeat(doc[order], m), np.repeat(start[order], m) + step
+    doc, tag, start = np.repeat(doc[order], m), np.repeat(tag[order], m), np.repeat(start[order], m) + step
     key = mix(words[inner] * np.uint64(0x9E3779B97F4A7C15) ^ np.repeat(anchor[order], m))
-    return _links(doc, start, link(doc, start, key))[1]
+    ref, fresh = earlier(doc, tag, start, key)
+    return factors(doc, tag, start, np.where(fresh, ref, -1))
 
 
-def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by block: one block in memory at a time; links found before pass through."""
+def _factor_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by block: one block in memory at a time; factors found before pass through."""
     block, blobs = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -173,13 +202,10 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = _factor_block(blobs)
             blobs.clear()
             if len(found[0]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))],
-                    names=["doc", "start", "n", "ref_doc", "ref_start"],
-                )
+                yield _links(found)
 
     for batch in batches:
-        ready = batch.filter(batch.column("segments").is_null()).select(["doc", "start", "n", "ref_doc", "ref_start"])
+        ready = batch.filter(batch.column("segments").is_null()).select(_LINK_NAMES)
         if len(ready):
             yield ready
         batch = batch.filter(batch.column("segments").is_valid())
@@ -191,27 +217,133 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def window_links(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Runs (doc, start, n, ref_doc, ref_start): windows start..start+n-1 of doc occur earlier at ref_start.. of ref_doc."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc (never null), tag (31 bits of a hash of the text) and text; none of the added columns is nullable, so
+    that every join of this table reads one and the same exchange."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
+    return docs.select("doc_id", doc.alias("doc"), F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias("tag"), "text")
+
+
+def proposals(docs: DataFrame, window: int = WINDOW, key_bits: int = KEY_BITS) -> DataFrame:
+    """Factors by hashes (LINKS): windows start..start+n-1 of (doc, tag) occur before, at ref_start.. of (ref_doc, ref_tag)."""
     parts = shuffle_partitions(docs.sparkSession)
     blocks = parts * BLOCKS_PER_PARTITION
-    shipped = map_arrow(docs.select("doc_id", "text"), _ship(window, blocks), SHIPPED)
+    shipped = map_arrow(_keyed(docs).select("doc", "tag", "text"), _ship(window, blocks, key_bits), SHIPPED)
     blocked = shipped.repartition(parts, "block").sortWithinPartitions("block")
-    return map_arrow(blocked, _link_blocks, "doc long, start int, n int, ref_doc long, ref_start int")
+    return map_arrow(blocked, _factor_blocks, LINKS)
+
+
+class Joined:
+    """Words of consecutive documents joined by single spaces: word w is data[to[w]:end[w]]."""
+
+    def __init__(self, words: Words) -> None:
+        self.words = words
+        gap = _SEP[words.raw]
+        keep = np.ones(len(gap), dtype=bool)
+        keep[1:] = ~(gap[1:] & gap[:-1])
+        lost = np.cumsum(~keep)
+        self.data = np.where(gap, np.uint8(32), words.raw)[keep]
+        if len(words):
+            self.to, self.end = words.starts - lost[words.starts], words.ends - lost[words.ends - 1]
+        else:
+            self.to = self.end = np.zeros(0, np.int64)
+        self.view = memoryview(self.data)
+
+    def digest(self, a: int, n: int) -> bytes:
+        """Of words a..a+n-1."""
+        return hashlib.sha256(self.view[int(self.to[a]) : int(self.end[a + n - 1])]).digest()[:DIGEST]
 
 
-def parse(n_windows: int, links: list[dict]) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, windows, ref_doc, ref_start) from a document's runs of links."""
-    ref_doc = np.zeros(n_windows, dtype=np.int64)
-    ref_start = np.full(n_windows, -1, dtype=np.int64)
-    for x in links:
-        a = x["start"]
-        n = max(0, min(x["n"], n_windows - a))
-        ref_doc[a : a + n] = x["ref_doc"]
-        ref_start[a : a + n] = np.arange(x["ref_start"], x["ref_start"] + n)
-    at = np.flatnonzero(ref_start >= 0)
-    i, n = runs(np.zeros(len(at)), at, ref_doc[at], at - ref_start[at])
-    return list(zip(at[i].tolist(), n.tolist(), ref_doc[at[i]].tolist(), ref_start[at[i]].tolist()))
+def _entries(column: pa.Array) -> tuple[np.ndarray, dict[str, list]]:
+    """(row of each entry, fields of the entries) of a list<struct> column."""
+    many = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), many), {f.name: flat.field(k).to_pylist() for k, f in enumerate(flat.type)}
+
+
+ANSWERS = f"{LINKS}, digest binary"
+
+
+def _answer(window: int):
+    """Over (text, asks): every factor that refers to the text, with the digest of the words it refers to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = Words(*buffers(batch.column("text")))
+                joined = Joined(words)
+                row, ask = _entries(batch.column("asks"))
+                docs, tags = batch.column("doc").to_pylist(), batch.column("tag").to_pylist()
+                out: list[tuple] = []
+                for k, start, n, doc, tag, at in zip(row.tolist(), ask["ref_start"], ask["n"], ask["doc"], ask["tag"], ask["start"]):
+                    if start + n + window - 1 <= words.counts[k]:
+                        out.append((doc, tag, at, n, docs[k], tags[k], start, joined.digest(int(words.first[k]) + start, n + window - 1)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (*_LINK_TYPES, pa.binary()))], names=[*_LINK_NAMES, "digest"])
+
+    return run
+
+
+def _agreed(joined: Joined, column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, dict[str, list]]:
+    """(row, agreement, fields) of the factors in a list column: whether the words here are those of the reference."""
+    words = joined.words
+    row, found = _entries(column)
+    fine = [
+        start + n + window - 1 <= words.counts[k] and joined.digest(int(words.first[k]) + start, n + window - 1) == digest
+        for k, start, n, digest in zip(row.tolist(), found["start"], found["n"], found["digest"])
+    ]
+    return row, np.array(fine, dtype=bool), found
+
+
+PLACES = "doc long, tag int, start int, n int, digest binary"
+_PLACE_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _places(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), _PLACE_TYPES)], names=[f.split()[0] for f in PLACES.split(", ")])
+
+
+def _doubt(window: int):
+    """Over (text, found): of factors that disagree, the digest of every window here, and the windows to fetch there (no digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = Words(*buffers(batch.column("text")))
+                joined = Joined(words)
+                row, fine, x = _agreed(joined, batch.column("found"), window)
+                docs, tags = batch.column("doc").to_pylist(), batch.column("tag").to_pylist()
+                out: list[tuple] = []
+                for i in np.flatnonzero(~fine).tolist():
+                    k, a = int(row[i]), x["start"][i]
+                    out.append((x["ref_doc"][i], x["ref_tag"][i], x["ref_start"][i], x["n"][i], None))
+                    for s in range(a, min(a + x["n"][i], int(words.counts[k]) - window + 1)):
+                        out.append((docs[k], tags[k], s, 1, joined.digest(int(words.first[k]) + s, window)))
+                if out:
+                    yield _places(out)
+
+    return run
+
+
+def _fetch(window: int):
+    """Over (text, asks): the digest of every window asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = Words(*buffers(batch.column("text")))
+                joined = Joined(words)
+                row, ask = _entries(batch.column("asks"))
+                docs, tags = batch.column("doc").to_pylist(), batch.column("tag").to_pylist()
+                out = [
+                    (docs[k], tags[k], s, 1, joined.digest(int(words.first[k]) + s, window))
+                    for k, a, n in zip(row.tolist(), ask["start"], ask["n"])
+                    for s in range(a, min(a + n, int(words.counts[k]) - window + 1))
+                ]
+                if out:
+                    yield _places(out)
+
+    return run
 
 
 FACTOR = T.StructType(
@@ -226,46 +358,73 @@ FIELDS = [
 
 
 def _apply(window: int):
+    """Over (text, found, more): words that no agreed factor and no single window of `more` covers."""
+
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        raw, offsets = buffers(batch.column("text"))
-        words = Words(raw, offsets)
-        drop = np.zeros(len(words), dtype=bool)
-        found: list[list[dict]] = []
-        for k, links in enumerate(batch.column("links").to_pylist()):
-            factors = parse(max(0, int(words.counts[k]) - window + 1), links) if links else []
-            base = int(words.first[k])
-            for a, n, _, _ in factors:
-                drop[base + a : base + a + n + window - 1] = True
-            found.append([{"start": a, "words": n + window - 1, "ref_doc": None if d == NO_ID else d, "ref_start": s} for a, n, d, s in factors])
-        kept = np.flatnonzero(~drop)
-        size = words.ends[kept] - words.starts[kept]
+        words = Words(*buffers(batch.column("text")))
+        joined = Joined(words)
+        row, fine, x = _agreed(joined, batch.column("found"), window)
+        drop = np.zeros(len(words) + 1, dtype=np.int32)
+        spans: list[list[dict]] = [[] for _ in range(len(batch))]
+        for i in np.flatnonzero(fine).tolist():
+            k, a, n = int(row[i]), x["start"][i], x["n"][i] + window - 1
+            drop[words.first[k] + a] += 1
+            drop[words.first[k] + a + n] -= 1
+            ref = x["ref_doc"][i]
+            spans[k].append({"start": a, "words": n, "ref_doc": None if ref == NO_ID else ref, "ref_start": x["ref_start"][i]})
+        for k, more in enumerate(batch.column("more").to_pylist()):
+            for a in more or []:
+                if a + window <= words.counts[k]:
+                    drop[words.first[k] + a] += 1
+                    drop[words.first[k] + a + window] -= 1
+        gone = np.cumsum(drop[:-1]) > 0
+        kept = np.flatnonzero(~gone)
         owner = words.doc[kept]
-        gap = np.zeros(len(kept), dtype=np.int64)
-        gap[1:] = owner[1:] == owner[:-1]
-        to = np.cumsum(size + gap) - size
-        out = np.full(int(to[-1] + size[-1]) if len(kept) else 0, 32, dtype=np.uint8)
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + inner] = raw[np.repeat(words.starts[kept], size) + inner]
+        again = np.zeros(len(kept), dtype=bool)
+        again[:-1] = owner[1:] == owner[:-1]
+        mark = np.zeros(len(joined.data) + 1, dtype=np.int8)
+        mark[joined.to[kept]] += 1
+        mark[joined.end[kept]] -= 1
+        here = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+        here[joined.end[kept[again]]] = True  # the space after a kept word that another follows
         rows = len(batch)
-        removed = np.bincount(words.doc[drop], minlength=rows)
-        length = np.bincount(owner, weights=size + gap, minlength=rows).astype(np.int64)
+        length = np.bincount(owner, weights=joined.end[kept] - joined.to[kept] + again, minlength=rows).astype(np.int64)
         return {
             "n_words": pa.array(words.counts.astype(np.int64)),
-            "n_removed": pa.array(removed.astype(np.int64)),
-            "kept_text": strings(out.tobytes(), length),
-            "factors": pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))),
+            "n_removed": pa.array(np.bincount(words.doc[gone], minlength=rows).astype(np.int64)),
+            "kept_text": strings(joined.data[here].tobytes(), length),
+            "factors": pa.array(
+                [sorted(f, key=lambda y: y["start"]) for f in spans],
+                pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])),
+            ),
         }
 
     return work
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by spaces) and factors (the duplicate spans, in words)."""
-    links = window_links(docs, window)
-    per_doc = links.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("links"))
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(int(NO_ID))).alias("doc"))
-    joined = keyed.join(per_doc, "doc", "left").select("doc_id", "text", "links")
-    return map_text(joined, ["doc_id", "links"], FIELDS, lambda: _apply(window)).drop("links")
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, key_bits: int = KEY_BITS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by spaces) and factors (the duplicate spans, in words).
+
+    `key_bits`: bits of the window hashes; any number gives the same result, fewer mean more factors to doubt.
+    """
+    texts = _keyed(docs)
+    all_ = ["doc_id", "doc", "tag", "text"]
+    own = lambda *fields: F.collect_set(F.struct(*fields))
+    asks = proposals(docs, window, key_bits).groupBy(F.col("ref_doc").alias("doc_"), F.col("ref_tag").alias("tag_")).agg(own("ref_start", "n", "doc", "tag", "start").alias("asks"))
+    asks = asks.select(F.col("doc_").alias("doc"), F.col("tag_").alias("tag"), "asks")
+    answers = map_arrow(texts.join(asks, ["doc", "tag"]).select(*all_, "asks"), _answer(window), ANSWERS)
+    found = answers.groupBy("doc", "tag").agg(own("start", "n", "ref_doc", "ref_tag", "ref_start", "digest").alias("found"))
+
+    doubted = map_arrow(texts.join(found, ["doc", "tag"]).select(*all_, "found"), _doubt(window), PLACES)
+    there = doubted.where("digest is null").groupBy("doc", "tag").agg(own("start", "n").alias("asks"))
+    fetched = map_arrow(texts.join(there, ["doc", "tag"]).select(*all_, "asks"), _fetch(window), PLACES)
+    places = doubted.where("digest is not null").unionByName(fetched).select(F.struct("doc", "tag", "start").alias("place"), "digest").distinct()
+    first = places.groupBy("digest").agg(F.min("place").alias("first"))
+    again = places.join(first, "digest").where(F.col("place") > F.col("first"))
+    more = again.groupBy(F.col("place.doc").alias("doc"), F.col("place.tag").alias("tag")).agg(F.collect_set("place.start").alias("more"))
+
+    met = texts.join(found, ["doc", "tag"], "left").join(more, ["doc", "tag"], "left").select(*all_, "found", "more")
+    return map_text(met, ["doc_id"], FIELDS, lambda: _apply(window), read=("doc", "tag", "found", "more"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import _text as T
-from tessera.llm.op3_substring_dedup import link, runs, window_minimum
+from tessera.llm.op3_substring_dedup import earlier, runs, window_minimum
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab AB\t\n\x0b\x0c\r.é漢🙂 \x1f")), max_size=30)), max_size=8)
 
@@ -49,9 +49,14 @@ def test_window_minimum(values, width):
 
 
 @given(st.lists(st.integers(0, 4), max_size=40))
-def test_link(keys):
+def test_earlier(keys):
+    """The place before with an equal key; windows of one place are one."""
     n = np.arange(len(keys))
-    assert link(n, n, np.array(keys, dtype=np.uint64)).tolist() == [keys.index(k) for k in keys]
+    ref, fresh = earlier(n, n * 0, n, np.array(keys, dtype=np.uint64))
+    assert ref.tolist() == [max((j for j in range(k) if keys[j] == x), default=-1) for k, x in enumerate(keys)] and fresh.all()
+    doc, key = np.repeat(n, 2), np.repeat(np.array(keys, dtype=np.uint64), 2)
+    twice, fresh = earlier(doc, doc * 0, doc, key)
+    assert (np.where(twice < 0, -1, twice // 2)).tolist() == np.repeat(ref, 2).tolist() and fresh.sum() == len(keys)
 
 
 def test_runs():
