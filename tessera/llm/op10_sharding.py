@@ -5,10 +5,12 @@ permutes the numbers, and the permuted number p gives shard p mod S and slot
 p div S.  Shard sizes differ by at most one, slots are gapless, and the place
 of any row can be computed from its number alone (`place`).
 
-Global numbers are made without a global sort: rows are hashed on their key
-into a fixed number of buckets, bucket counts (a table of at most `buckets`
-rows) give each bucket's offset, and a window numbers rows inside a bucket.
-Only (key, size, crc) is shuffled, never the text.
+Global numbers follow (bucket of the key, key, crc, size).  Rows are dealt by
+ranges of that order, and of a hash of their place in the input where all else
+is equal, so one key (or none) with a third of all rows, and even equal rows,
+spread over many tasks.  A row's number is its partition's offset (a table of one
+row a partition) plus its index there; the dealt rows are checkpointed, so that
+both come from one dealing.  Only (key, size, crc) is shuffled, never the text.
 
 Edge cases: a null text counts as empty (size 1, crc 0); a null key is a key of
 its own; repeated rows get neighbouring numbers, so the multiset of results is
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._store import table
+from tessera.llm._store import cut, shuffle_partitions, table
 
 PRIME = 2147483647
 SPREAD = 48271
@@ -90,21 +92,22 @@ def place(number: Column, total: Column, seed: int) -> Column:
 def number_rows(rows: DataFrame, key: str, order: list[str], buckets: int) -> DataFrame:
     """Add `number` (0..N-1) and `total`; order of numbers: (bucket, key, order)."""
     bucket = (F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(-1).cast("long")), F.lit(PRIME)) * SPREAD) % PRIME % buckets
-    rows = rows.withColumn("bucket", bucket)
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = (
-        rows.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(everything).alias("total"))
-    )
-    inside = Window.partitionBy("bucket").orderBy(F.col(key), *order)
-    # `offsets` has at most `buckets` rows, whatever the input
+    by = ["bucket", key, *order, "tie"]
+    placed = rows.withColumn("bucket", bucket).withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = placed.repartitionByRange(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by).drop("bucket", "tie")
+    # partition number above 33 bits, index in the partition below
+    dealt = cut(dealt.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(everything).alias("total"))
+    # `offsets` has one row a partition, whatever the input
     return (
-        rows.withColumn("rank", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "bucket")
-        .withColumn("number", F.col("offset") + F.col("rank").cast("long") - 1)
-        .drop("bucket", "offset", "rank")
+        dealt.withColumn("part", part)
+        .join(F.broadcast(offsets), "part")
+        .withColumn("number", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1))
+        .drop("part", "offset", "at")
     )
 
 

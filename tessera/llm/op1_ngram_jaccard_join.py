@@ -27,8 +27,9 @@ Connected components of those links, by min-label rounds with pointer jumping
 
 Edge cases: a text without words (or null) is its own group with no links;
 repeated rows are copies of each other; a null doc_id gets a null class and no
-links and is no one's partner; other columns are not read; an empty table gives
-an empty result.
+links and is no one's partner; doc_id is cast to long (what cannot be cast is
+null); other columns are not read and pass through `keep_one` under any name; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import map_arrow
+from tessera.llm._arrow import columns, map_arrow
 from tessera.llm._store import cut, shuffle_partitions, table
 from tessera.llm._text import Words, buffers, gram_starts, grams, mix, text_chunks
 
@@ -471,7 +472,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents whose group holds a smaller doc_id; rows of one doc_id stay or go together."""
     gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ and which are broadcast.  Scoring is a row-wise map over all whole texts.
 
 Edge cases: a null or empty text scores the bias alone; a null toxic label or
 doc_id trains nothing (and is not held out); repeated labels and rows each count; without usable
-labels the score is 0.5 for every text; other columns are not read.
+labels the score is 0.5 for every text; other columns are not read and pass
+through under any name, but for `score`, which `score()` replaces or adds under
+the name it is given.
 """
 
 from __future__ import annotations
@@ -141,9 +143,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     return np.frombuffer(got["slots"], np.int32), np.frombuffer(got["weights"], np.float32), got["bias"]
 
 
-SCORE = T.StructField("score", T.DoubleType())
-
-
 def _score(model: tuple[np.ndarray, np.ndarray, float]):
     def make():
         at, w, bias = model
@@ -162,9 +161,14 @@ def _score(model: tuple[np.ndarray, np.ndarray, float]):
     return make
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """docs plus score, the probability that the text is toxic."""
-    return map_text(docs, docs.columns, [SCORE], _score(model))
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score") -> DataFrame:
+    """docs plus the probability that the text is toxic, as column `name` (one of that name is replaced)."""
+
+    def make():
+        work = _score(model)()
+        return lambda batch: {name: work(batch)["score"]}
+
+    return map_text(docs, docs.columns, [T.StructField(name, T.DoubleType())], make)
 
 
 def _reject(model: tuple[np.ndarray, np.ndarray, float], threshold: float):

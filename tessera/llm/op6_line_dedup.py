@@ -12,8 +12,10 @@ table of sets is broadcast only if its measured size is small; otherwise hosts
 are salted and joined by shuffle.
 
 Edge cases: a null text stays null with no lines; blank lines always stay; a
-null host is one host of its own; repeated rows count as pages of their own;
-other columns pass through; an empty table gives an empty result.
+null host is one host of its own (as is a host of one zero byte); repeated rows count
+as pages of their own; other columns pass through under any name: the counts are
+named `n_lines` and `n_dropped`, or as the caller says, and a column of the input
+that has that name is replaced only then; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm._arrow import columns
 from tessera.llm._store import cut, table
 
 MAX_RATIO = 0.05
@@ -37,9 +40,8 @@ def _key(line):
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, host: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """(site, lines: array of line hashes) of every host that has boilerplate."""
-    pages = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("site"), F.col("text"))
+def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    """(site, lines: array of line hashes) of every host of pages(site, text) that has boilerplate."""
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     counts = pages.select("site", F.explode(keys).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -47,30 +49,44 @@ def boilerplate(docs: DataFrame, host: str, max_ratio: float, min_pages: int) ->
     return over.groupBy("site").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with text less its host's boilerplate lines, plus n_lines and n_dropped (long)."""
-    sets = cut(boilerplate(docs, host, max_ratio, min_pages))
+def _dropped(docs: DataFrame, host: str, max_ratio: float, min_pages: int) -> DataFrame:
+    """(row: struct of the other columns of docs, text, lines, kept: array of its lines or null for a null text)."""
+    whole = F.struct(*[F.col(c) for c in columns([c for c in docs.columns if c != "text"])]).alias("row")
+    pages = docs.select(whole, F.coalesce(F.col(columns([host])[0]).cast("string"), F.lit("\0")).alias("site"), F.col("text"))
+    sets = cut(boilerplate(pages.select("site", "text"), max_ratio, min_pages))
     total = sets.agg(F.sum(F.size("lines"))).first()[0] or 0
-    tagged = docs.withColumn("__site", F.coalesce(F.col(host).cast("string"), F.lit("\0")))
-    sets = sets.select(F.col("site").alias("__site"), F.col("lines").alias("__drop"))
+    sets = sets.withColumnRenamed("lines", "drop")
     if total <= BROADCAST_LINES:
-        joined = tagged.join(F.broadcast(sets), "__site", "left")
+        joined = pages.join(F.broadcast(sets), "site", "left")
     else:
         salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
-        spread = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = tagged.withColumn("__salt", salt).join(spread, ["__site", "__salt"], "left").drop("__salt")
+        spread = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pages.withColumn("salt", salt).join(spread, ["site", "salt"], "left")
     lines = _lines(F.col("text"))
-    kept = F.when(
-        F.col("__drop").isNull(), lines
-    ).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _key(x))))
-    out = joined.withColumn("__kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    n_kept = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__kept")).cast("long")
-    return (
-        out.withColumn("n_dropped", F.col("n_lines") - n_kept)
-        .withColumn("text", F.array_join("__kept", "\n"))
-        .drop("__site", "__drop", "__kept")
-    )
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _key(x))))
+    return joined.select("row", "text", lines.alias("lines"), kept.alias("kept"))
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """`name`, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def dedup_lines(
+    docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """docs with text less its host's boilerplate lines, plus (long) numbers of lines and of dropped ones, named by `counts`."""
+    found = _dropped(docs, host, max_ratio, min_pages)
+    null = F.col("text").isNull()
+    n_lines = F.when(null, F.lit(0)).otherwise(F.size("lines")).cast("long")
+    n_kept = F.when(null, F.lit(0)).otherwise(F.size("kept")).cast("long")
+    added = dict(zip(counts or (), (n_lines, n_lines - n_kept)))
+    out = [
+        F.array_join("kept", "\n").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added
+    ]
+    return found.select(*out, *[v.alias(k) for k, v in added.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,10 @@ rows is stored as binary PPM, an odd one as 24-bit BMP) and `features` reads
 such a column back.  Both are row-wise maps: no shuffle, bounded batches.
 
 Edge cases: a null or empty text is one row of 64 blank pixels; equal texts give
-equal bytes; null ids pass through; other columns are not read.
+equal bytes; null ids pass through; a null media row has null features; `store`
+reads no other columns; `features` passes other columns through under any name, but
+for those it computes (`payload_bytes`, `payload_sha256`, `tail_crc32`, `feature`,
+`tile`), which it replaces; bytes that are no image of these formats raise.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm._arrow import map_text
 from tessera.llm._store import table
@@ -194,6 +198,10 @@ def _features():
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         columns: dict[str, list] = {f.name: [] for f in FEATURES}
         for blob in batch.column("media").to_pylist():
+            if blob is None:
+                for values in columns.values():
+                    values.append(None)
+                continue
             pixels = decode(blob)
             payload = pixels.tobytes()
             image = grey(pixels)
@@ -202,7 +210,7 @@ def _features():
             columns["tail_crc32"].append(zlib.crc32(payload[-16:]))
             columns["feature"].append(difference_hash(image))
             columns["tile"].append(npy_tile(image))
-        return {f.name: pa.array(columns[f.name]) for f in FEATURES}
+        return {f.name: pa.array(columns[f.name], to_arrow_type(f.dataType)) for f in FEATURES}
 
     return work
 

@@ -205,6 +205,15 @@ def test_substrings(docs):
         assert len(covered) == r.n_removed
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3, 6])
+def test_substrings_when_hashes_collide(spark, docs, bits):
+    """Factors are compared by their words, so colliding window hashes neither remove nor keep a word too much."""
+    rows = corpus() if bits > 1 else corpus()[:120]
+    some = docs.where(docs.doc_id.isin([k for k, _ in rows]))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in op3.dedup_substrings(some, key_bits=bits).collect()}
+    assert got == brute_substrings(rows)
+
+
 def test_substrings_repeats_inside_a_text(spark):
     rows = [(1, "a " * 60), (0, "a " * 25), (2, "b c " * 40)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in op3.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

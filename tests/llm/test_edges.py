@@ -91,6 +91,67 @@ def test_substrings(spark, tables):
     assert {r.n_removed for r in got if r.doc_id == 1} == {0}
 
 
+def test_substrings_of_one_id(spark):
+    """Rows of one doc_id (or none) with unlike texts are documents of their own; equal rows keep each other."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (9, c), (None, b + " " + c), (None, None)]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in op3.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = {(1, 40): [0], (5, 40): [0, 0, 40], (9, 40): [40], (None, 0): [0]}
+    for (k, n), removed in want.items():
+        if k != 5:
+            assert sorted(x for i, m, x in got if (i, m) == (k, n)) == removed
+    kept = [x for i, m, x in got if i is None and m]
+    assert sorted(kept) in ([0, 0, 40], [0, 40, 40])  # whichever comes first by its hash keeps c
+    assert sorted(x for i, _, x in got if i == 5) == [40, 40, 40]  # b is in an earlier row without id
+    got = op3.dedup_substrings(spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.kept_text) for r in got) == [(1, a), (5, ""), (5, b)]
+
+
+CLASHES = "doc_id long, text string, source string, n_lines int, n_dropped int, `a.b` int, __site string, score double, `sig` int, task int, pii int, feature int, tile int, bucket int"
+
+
+@pytest.fixture(scope="module")
+def clashes(spark):
+    rows = [(k, f"shared line\nline {k} of a text with some words in it", "s", 7, 9, 3, "x", 0.25, 1, 2, 3, 4, 5, 6) for k in range(8)]
+    return spark.createDataFrame(rows, CLASHES)
+
+
+def test_clashing_columns(spark, clashes):
+    """Columns of the input pass through under any name, but for those that an operator says it replaces."""
+    before = clashes.first()
+    for out in (op1.keep_one(clashes), corpus_pipeline.drop_boilerplate(spark, clashes, ""), op8.decontaminate(clashes, spark.createDataFrame([(1, "no such item at all")], "item_id long, text string"))):
+        row = out.orderBy("doc_id").first()
+        assert out.columns == clashes.columns and [row[c] for c in out.columns if c != "text"] == [before[c] for c in out.columns if c != "text"]
+    row = op6.dedup_lines(clashes, counts=("lines", "gone")).where("doc_id = 0").first()
+    assert (row.n_lines, row.n_dropped, row["a.b"], row["__site"], row.lines, row.gone) == (7, 9, 3, "x", 2, 1)
+    row = op6.dedup_lines(clashes).where("doc_id = 0").first()
+    assert (row.n_lines, row.n_dropped, row["a.b"]) == (2, 1, 3)
+    model = op5.fit(clashes, spark.createDataFrame([(0, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert op5.score(clashes, model, "toxicity").first().score == 0.25 and op5.score(clashes, model).first().score != 0.25
+    assert op5.reject(clashes, model, 2.0).columns == clashes.columns
+    assert op4.tag(clashes, None).first().pii == [] and op4.tag(clashes, None).first()["a.b"] == 3
+    for op in (op1.near_duplicates, op2.sample_segmentations, op3.dedup_substrings, op7.score, op9.store, op10.shard):
+        assert op(clashes).count() >= 8, op
+
+
+def test_media_without_bytes(spark):
+    stored = op9.store(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).withColumn("feature", F.lit(1)).withColumn("a.b", F.lit(2))
+    both = stored.unionByName(stored.withColumn("doc_id", F.lit(2).cast("long")).withColumn("media", F.lit(None).cast("binary")))
+    got = {r.doc_id: r for r in op9.features(both).collect()}
+    assert len(got[1].feature) == 16 and got[1]["a.b"] == 2
+    assert got[2].feature is None and got[2].payload_bytes is None and got[2].tile is None
+
+
+def test_sharding_of_one_key(spark):
+    """One key, none, and equal rows with a large part of all rows lie in many tasks, and are numbered as any."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1000, F.lit(7)).when(F.col("id") < 2000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), "id")).alias("text"),
+    )
+    got = op10.shard(rows).collect()
+    assert sorted((r.slot, r.shard) for r in got) == [(k // 16, k % 16) for k in range(3000)]
+
+
 def test_pii(spark, tables):
     got = {r.doc_id: r for r in op4.query(spark, tables["full"]).collect()}
     assert (got[8].n_email, got[8].n_phone) == (1, 1)
