@@ -27,11 +27,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = op6_line_dedup.dedup_lines(docs)
+    counts = tuple(op6_line_dedup.unused(name, docs.columns) for name in ("n_lines", "n_dropped"))
+    out = op6_line_dedup.dedup_lines(docs, counts=counts)
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        changed = F.when(F.col(counts[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.drop(*counts)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
