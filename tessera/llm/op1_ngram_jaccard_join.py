@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import columns, map_arrow
@@ -167,17 +167,21 @@ def _split(threshold: float):
     return run
 
 
-def _sized(nodes: DataFrame, apart: bool = False) -> DataFrame:
-    """Rows of nodes with two members or more, with the node's size and a fingerprint of its members.
+def _sized(rows: DataFrame, key: str = "node", only: Column | None = None) -> DataFrame:
+    """Rows in groups of `key` with two members or more, with the group's size and a fingerprint of its members.
 
-    `apart`: sizes (counted with partial sums) are checkpointed, so that the join reads both sides from exchanges of its
-    own and Spark can split the partition of a node that holds a large part of all rows.
+    Sizes are counted with partial sums and dealt anew by another column, so that the join reads both sides from exchanges
+    of its own and Spark can split the partition of a group that holds a large part of all rows.  `only`: a condition on
+    groups, made of aggregates.
     """
-    sizes = nodes.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("members"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("members2")
+    sizes = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("cls")).alias("members"),
+        F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("members2"),
+        (F.lit(True) if only is None else only).alias("wanted"),
     )
-    sizes = sizes.where("size > 1")
-    return nodes.join(cut(sizes) if apart else sizes, "node")
+    sizes = sizes.where("size > 1 and wanted").drop("wanted")
+    return rows.join(sizes.repartition(shuffle_partitions(rows.sparkSession), "members"), key)
 
 
 def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +205,7 @@ def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFra
     runs = runs_needed(threshold, DEPTH, target)
     sketches = classes.select("cls", "sig")
     parts = shuffle_partitions(classes.sparkSession)
-    sized = cut(_sized(map_arrow(sketches, _roots(runs, threshold), NODES), apart=True).coalesce(parts))
+    sized = cut(_sized(map_arrow(sketches, _roots(runs, threshold), NODES)).coalesce(parts))
     small = _named(sized.where(F.col("size") <= SMALL))
     large = sized.where(F.col("size") > SMALL).select("node", "pick", "cls", "size").join(sketches, "cls")
     # about PIVOTS members of every large node, by a hash
@@ -211,8 +215,7 @@ def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFra
     enough = math.ceil(math.log(1 - target) / math.log(1 - threshold)) + 2
     order = Window.partitionBy("cls", "central").orderBy("pick", "node")
     marked = marked.withColumn("rank", F.row_number().over(order)).where(~F.col("central") | (F.col("rank") <= enough))
-    dense_nodes = marked.where("central").select("node").distinct()
-    dense = _named(_sized(marked.join(dense_nodes, "node", "left_semi").select("node", "pick", "cls")))
+    dense = _named(_sized(marked.select("node", "pick", "cls", "central"), only=F.max("central")))
     rest = marked.where(~F.col("central")).select("node", "pick", "cls").join(sketches, "cls").select("node", "pick", "cls", "sig")
     split = _named(_sized(map_arrow(rest, _split(threshold), NODES)))
     return small.unionByName(split).distinct(), dense.distinct()
@@ -280,11 +283,7 @@ def likely(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
         .sortWithinPartitions("task")
     )
     kept = cut(map_arrow(dealt, _likely(least), "leaf long, cls long").distinct())
-    sizes = kept.groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("members"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("members2")
-    )
-    named = kept.join(sizes, "leaf").select(F.xxhash64("size", "members", "members2").alias("leaf"), "cls", F.col("size").cast("int").alias("size"))
-    return cut(named.distinct())
+    return cut(_named(_sized(kept, "leaf")).distinct())
 
 
 DEALT = "task long, leaf long, side int, both boolean, cls long, copies long, shingles binary, leaves binary"
@@ -454,6 +453,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
         .select("cls", "rep", "copies", F.coalesce("label", "cls").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("class_id"))
+    smallest = smallest.repartition(parts, "class_id")  # an exchange of its own: one label may hold a third of all classes
     grouped = grouped.join(smallest, "label").select("cls", "rep", "copies", "links", "class_id")
     out = sketch.select("doc_id", "cls", "n").join(grouped, "cls", "left").select(
         "doc_id",
