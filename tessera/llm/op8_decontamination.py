@@ -11,14 +11,18 @@ through block-max WAND, which returns every item at or above it.  A hit counts
 only if enough word pairs of the item's question and of its answer (its last
 sentence, or last third) are in the passage.
 
-The index is broadcast; items are bounded by INDEX_BYTES of text, and a larger
+The index is broadcast.  Its parts are bounded: postings and word pairs by the
+INDEX_BYTES of text in a slice (some 24 bytes a posting, 8 a pair), block maxima
+by BOUND_BYTES, as more terms are summed up over fewer, wider blocks.  A larger
 benchmark is searched slice by slice, with document frequencies, item count,
 lengths and passages of the whole.  Documents are neither shuffled nor cut.
 
 Edge cases: null or empty texts and items never match; items with one id are
 searched separately; repeated rows give repeated hits; null doc_ids pass
 through; of several passages of one text that match an item the best (then
-first) is given; other columns pass or are not read; empty tables give no hits.
+first) is given; doc_id is cast to long in `leaks` (what cannot be cast is null);
+other columns are not read and pass through `decontaminate` under any name; empty
+tables give no hits.
 """
 
 from __future__ import annotations
@@ -44,7 +48,8 @@ STEP = 64
 BLOCK = 2
 COLUMNS = 128
 SUMMED = 1024
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 16 << 20
+BOUND_BYTES = 64 << 20
 
 
 def answer_start(text: str, n_words: int) -> int:
@@ -83,7 +88,7 @@ class Index:
         self.vocab, term = np.unique(h, return_inverse=True)
         v, n = len(self.vocab), len(used)
         pairs, tf = np.unique(term * max(n, 1) + item, return_counts=True)
-        self.term, self.item = pairs // max(n, 1), (pairs % max(n, 1)).astype(np.int64)
+        self.term, self.item = (pairs // max(n, 1)).astype(np.int32), (pairs % max(n, 1)).astype(np.int32)
         df, total = np.bincount(self.term, minlength=v), n
         length = words.counts[used].astype(float)
         mean = length.mean() if n else 1
@@ -97,8 +102,8 @@ class Index:
         self.first = np.searchsorted(self.term, np.arange(v + 1))
         self.top = np.maximum.reduceat(self.impact, self.first[:-1]) if v else np.zeros(0)
         blocks = max(1, -(-n // block))
-        self.columns = min(COLUMNS, blocks)
-        column = self.item // block * self.columns // blocks
+        self.columns = max(1, min(COLUMNS, blocks, BOUND_BYTES // (4 * max(v, 1))))
+        column = self.item.astype(np.int64) // block * self.columns // blocks
         self.bounds = np.zeros((v, self.columns), dtype=np.float32)
         np.maximum.at(self.bounds, (self.term, column), np.nextafter(self.impact.astype(np.float32), np.float32(2)))
         self.question, self.answer = [], []

@@ -478,6 +478,18 @@ def test_large_benchmarks_are_searched_in_slices(spark):
     assert len(indexes) > 3 and sorted(i for x in indexes for i in x.ids) == list(range(40))
 
 
+def test_index_is_bounded(monkeypatch):
+    """Block maxima keep to their bound whatever the number of terms, and the search finds the same."""
+    r = random.Random(8)
+    items = [(k, " ".join(f"t{r.randrange(4000)}" for _ in range(30))) for k in range(300)]
+    text = pa.array([t + " and more words" for _, t in items[:40]] + ["nothing of this"])
+    want = op8.Index(items).search(text)
+    monkeypatch.setattr(op8, "BOUND_BYTES", 64 << 10)
+    small = op8.Index(items)
+    assert small.bounds.nbytes <= 64 << 10 and small.columns >= 1
+    assert sorted(small.search(text)) == sorted(want) and len(want) >= 40
+
+
 def test_slices_score_as_the_whole(spark):
     r = random.Random(8)
     words = [f"t{int(r.paretovariate(0.7))}" for _ in range(4000)]
