@@ -16,16 +16,17 @@ def grid_kernel(
     zero: int = 3,
     window: str = "square",
     blur: bool = True,
-    eps: float = 1e-5,
+    eps: float = 1e-9,
     basis: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (0.0, 1.0)),
     normalise: bool = True,
 ) -> np.ndarray:
     """Periodic kernel with its peak at bin (0, 0).
 
     style: radial (J0), grid (three cosines 60 degrees apart), band (one cosine), square (two at right angles) or rbf
-    (exp(-r^2/4), never blurred), of the wave number 2 pi / period.  The kernel is tapered by a Hann window, cut at the
-    zero-th zero of J0 by a square, parzen, triangle or gaussian window, blurred by period / (pi sqrt 2), scaled to a
-    peak of one, and its spectrum is kept at eps or above.
+    (exp(-r^2/4), never blurred), of the wave number 2 pi / period.  Offsets are turned by +angle, so the waves run along
+    x cos(angle) - y sin(angle), then mapped by the inverse of `basis`.  The kernel is tapered by a symmetric Hann window
+    about the grid's middle, cut at the zero-th zero of J0 by a square, parzen, triangle or gaussian window, blurred by
+    period / (pi sqrt 2), scaled to a peak of one, and its spectrum is kept at eps or above.
     """
     if period < 2:
         raise ValueError("a period below two bins cannot be resolved")
@@ -33,9 +34,10 @@ def grid_kernel(
     dy, dx = offsets(h, w)
     m = np.linalg.pinv(np.array(basis, dtype=float))
     wave = 2 * np.pi / period
-    x, y = (m[0, 0] * dx + m[0, 1] * dy) * wave, (m[1, 0] * dx + m[1, 1] * dy) * wave
+    tx, ty = (dx * np.cos(angle) - dy * np.sin(angle)) * wave, (dx * np.sin(angle) + dy * np.cos(angle)) * wave
+    x, y = m[0, 0] * tx + m[0, 1] * ty, m[1, 0] * tx + m[1, 1] * ty
     r = np.hypot(x, y)
-    along = lambda turn: np.cos(x * np.cos(angle + turn) + y * np.sin(angle + turn))
+    along = lambda turn: np.cos(x * np.cos(turn) - y * np.sin(turn))
     if style == "radial":
         k = j0(r)
     elif style == "grid":
@@ -48,7 +50,7 @@ def grid_kernel(
         k, blur = np.exp(-0.25 * r**2), False
     else:
         raise ValueError(f"unknown style {style}")
-    k = k * (0.5 + 0.5 * np.cos(2 * np.pi * dy / h)) * (0.5 + 0.5 * np.cos(2 * np.pi * dx / w))
+    k = k * np.outer(np.fft.ifftshift(np.hanning(h)), np.fft.ifftshift(np.hanning(w)))
     if clip:
         edge = J0_ZEROS[zero - 1]
         if window == "square":
@@ -56,11 +58,11 @@ def grid_kernel(
         elif window == "gaussian":
             k = k * np.exp(-0.5 * (r * np.sqrt(2) / edge) ** 2)
         elif window in ("parzen", "triangle"):
-            disk = (r < edge / np.sqrt(2)).astype(float)
+            disk = (r < (edge / np.sqrt(2) if window == "parzen" else edge)).astype(float)
             taper = disk
             for _ in range(3 if window == "parzen" else 1):
                 taper = convolve(taper, disk)
-            k = k * taper / taper.max()
+            k = k * taper
         else:
             raise ValueError(f"unknown window {window}")
     if blur:

@@ -110,14 +110,36 @@ def period(field: np.ndarray, mask: np.ndarray, factor: int = 8) -> float:
 
 
 def orientation(field: np.ndarray, mask: np.ndarray, p: float) -> float:
-    """Angle (mod 60 degrees, in radians) of the waves of a hexagonal map: the sixfold harmonic of the autocorrelation on the
-    first ring points at its peaks, which lie 30 degrees off the waves."""
+    """Angle (mod 60 degrees, in radians) for `grid_kernel` of a hexagonal map, whose waves run along minus that angle: the
+    sixfold harmonic of the autocorrelation on the first ring points at its peaks, which lie 30 degrees off the waves."""
     a = autocorrelation(field, mask)
     h, w = field.shape
     y, x = np.meshgrid(np.arange(h) - h // 2, np.arange(w) - w // 2, indexing="ij")
     r, phi = np.hypot(x, y), np.arctan2(y, x)
-    ring = np.abs(r - p * J1_ZEROS[1] / (2 * np.pi)) <= max(1.0, p * 0.25)
-    return float((np.angle((a * ring * np.exp(6j * phi)).sum()) / 6 - np.pi / 6) % (np.pi / 3))
+    ring = np.abs(r - p * J1_ZEROS[1] / (2 * np.pi)) <= np.sqrt(2) / 2 + 1e-9
+    return float((np.pi / 6 - np.angle((a * ring * np.exp(6j * phi)).sum()) / 6) % (np.pi / 3))
+
+
+def upsample_2d(field: np.ndarray, factor: int) -> np.ndarray:
+    """Band-limited interpolation of a periodic field; frequencies beyond a circle of half the band are dropped."""
+    h, w = field.shape
+    y, x = (np.arange(h) - (h - 1) / 2) / h, (np.arange(w) - (w - 1) / 2) / w
+    f = np.fft.fftshift(np.fft.fft2(field)) * (np.hypot(y[:, None], x) < 0.5)
+    wide = np.zeros((h * factor, w * factor), dtype=complex)
+    a, b = (h * factor + 1) // 2 - h // 2, (w * factor + 1) // 2 - w // 2
+    wide[a : a + h, b : b + w] = f
+    return np.fft.ifft2(np.fft.ifftshift(wide)).real * factor**2
+
+
+def bessel_variance(mean: float, observed: float, rounds: int = 10) -> float:
+    """Prior variance whose log-normal map of that mean has a first peak of the autocovariance `observed` above its first
+    trough, if the log rate's covariance is J0-shaped; fixed-point rounds from 1."""
+    trough, peak = (float(j0(np.array(z))) for z in J1_ZEROS)
+    s = 1.0
+    for _ in range(rounds):
+        low, high = (np.expm1(v * s) * np.exp(2 * (np.log(mean) - s / 2) + s) for v in (trough, peak))
+        s *= observed / (high - low)
+    return float(s)
 
 
 def linear_gp(n: np.ndarray, k: np.ndarray, kernel: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> np.ndarray:

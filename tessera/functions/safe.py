@@ -31,6 +31,11 @@ def missing(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def null_mask(condition: Column) -> Column:
+    """1 where the condition holds, else null."""
+    return F.when(condition, F.lit(1.0))
+
+
 def skip_sum(x: Column) -> Column:
     return F.coalesce(F.sum(missing(x)), F.lit(0.0))
 

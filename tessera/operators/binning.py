@@ -94,13 +94,19 @@ def histogram(values: DataFrame, column: str, low: float, high: float, bins: int
     return inside.groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def shared_counts(spikes: DataFrame, u: Column, steps: Column, by: list[str]) -> DataFrame:
+    """(by, t, count) of events at sample time u, shared between samples floor(u) and floor(u) + 1; mass at `steps` goes to
+    the last sample, mass beyond or before 0 is dropped; samples without events are absent."""
+    low = F.floor("_u").cast("long")
+    two = F.array(F.struct(low.alias("t"), (1 - (F.col("_u") - low)).alias("c")), F.struct((low + 1).alias("t"), (F.col("_u") - low).alias("c")))
+    last = F.when(F.col("t") == F.col("_n"), F.col("_n") - 1).otherwise(F.col("t")).cast("long")
+    spread = spikes.select(*by, u.alias("_u"), steps.alias("_n")).where("_u >= 0").select(*by, "_n", F.inline(two)).where("t <= _n and c > 0")
+    return spread.groupBy(*by, last.alias("t")).agg(F.sum("c").alias("count"))
+
+
 def spike_counts(spikes: DataFrame, dt: float, steps: int, by: list[str] = ["cell_id"], time: str = "t_sec") -> DataFrame:  # noqa: B006
     """Event times as counts at t = 0..steps-1, shared between the two nearest samples; mass at the closed
     upper edge goes to the last sample, mass beyond is dropped; samples without events count 0."""
-    u = F.col(time) / dt
-    low = F.floor(u).cast("long")
-    two = F.array(F.struct(low.alias("t"), (1 - (u - low)).alias("c")), F.struct((low + 1).alias("t"), (u - low).alias("c")))
-    last = F.when(F.col("t") == steps, steps - 1).otherwise(F.col("t")).cast("long")
-    found = spikes.where(u >= 0).select(*by, F.inline(two)).where((F.col("t") <= steps) & (F.col("c") > 0)).groupBy(*by, last.alias("t")).agg(F.sum("c").alias("count"))
+    found = shared_counts(spikes, F.col(time) / dt, F.lit(steps), by)
     dense = spikes.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("t"))
     return dense.join(found, [*by, "t"], "left").select(*by, "t", F.coalesce("count", F.lit(0.0)).alias("count"))

@@ -201,6 +201,17 @@ def kde_maps(packed: DataFrame, sigma: float, by: list[str] = BY) -> DataFrame:
     return _run(packed, one, f"{_key(packed, by)}, h int, w int, rate array<double>", by)
 
 
+def upsampled(packed: DataFrame, value: str, factor: int, by: list[str] = BY) -> DataFrame:
+    """Packed maps interpolated to `factor` times the bins a side by their band-limited spectrum."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        h, w = int(row["h"]), int(row["w"])
+        wide = numerics.upsample_2d(np.asarray(row[value], dtype=float).reshape(h, w), factor)
+        return pd.DataFrame({x: [row[x]] for x in by} | {"h": [h * factor], "w": [w * factor], value: [wide.ravel()]})
+
+    return _run(packed, one, f"{_key(packed, by)}, h int, w int, {value} array<double>", by)
+
+
 def radial_profiles(packed: DataFrame, sigma: float = 2.0, by: list[str] = BY) -> DataFrame:
     """(key, r, value): radial average of the autocorrelation of a kernel-density map, on visited bins."""
 

@@ -140,20 +140,66 @@ def dilate(mask: DataFrame, radius: float, height: int, width: int, by: list[str
     return mask.select(*by, F.inline(near)).where(f"iy between 0 and {height - 1} and ix between 0 and {width - 1}").distinct()
 
 
+def mask_hull(mask: DataFrame, height: int, width: int, by: list[str] = BY, shift: float = 0.5) -> DataFrame:
+    """Hull edges per key of the mask's bins (bin centres in the unit square; shift 0: lower corners)."""
+    return hull(mask.select(*by, ((F.col("ix") + shift) / width).alias("x"), ((F.col("iy") + shift) / height).alias("y")), by)
+
+
+def arena_of_mask(mask: DataFrame, height: int, width: int, resolution: int = 1, by: list[str] = BY) -> DataFrame:
+    """(key, iy, ix) of an arena given as a mask, on a grid `resolution` times as fine: bins whose centre lies in the hull of
+    the mask's lower bin corners; at resolution 1 the mask itself."""
+    if resolution == 1:
+        return mask.select(*by, "iy", "ix").distinct()
+    return hull_mask(mask_hull(mask, height, width, by, 0.0), height * resolution, width * resolution, by)
+
+
+def contains(x: Column, y: Column, planes: Column, unit: str, height: int, width: int, box: list[Column]) -> Column:
+    """Whether a point told in "unit", "bin" or "meter" coordinates lies in a hull of the unit square; box: x0, x1, y0, y1."""
+    if unit == "bin":
+        x, y = bins_to_unit(x, F.lit(width)), bins_to_unit(y, F.lit(height))
+    elif unit == "meter":
+        x, y = meters_to_unit(x, box[0], box[1]), meters_to_unit(y, box[2], box[3])
+    elif unit != "unit":
+        raise ValueError(f"unknown unit {unit}")
+    return in_hull(x, y, planes)
+
+
+def physical(x: Column, y: Column, scale: float, x0: float, y0: float) -> list[Column]:
+    """x and y of the unit square in physical units, p / scale + corner; points outside the square raise."""
+    inside = x.between(0, 1) & y.between(0, 1)
+    fail = F.raise_error(F.lit("points outside the unit square")).cast("double")
+    return [F.when(inside | x.isNull() | y.isNull(), v / scale + low).otherwise(fail).alias(n) for v, low, n in ((x, x0, "x"), (y, y0, "y"))]
+
+
+def centred(spark, height: int, width: int) -> DataFrame:
+    """iy, ix with the offset (y, x) from the middle bin, its length r, and the integer frequencies (fy, fx) of the bin."""
+    cells = grid(spark, height, width).select("iy", "ix")
+    y, x = F.col("iy") - height // 2, F.col("ix") - width // 2
+    turn = lambda i, n: F.when(F.col(i) < (n + 1) // 2, F.col(i)).otherwise(F.col(i) - n)
+    return cells.select("iy", "ix", y.alias("y"), x.alias("x"), F.hypot(y.cast("double"), x.cast("double")).alias("r"), turn("iy", height).alias("fy"), turn("ix", width).alias("fx"))
+
+
 def boundary_distance(points: DataFrame, mask: DataFrame, height: int, width: int, by: list[str] = BY, key: str = "point_id") -> DataFrame:
     """Signed distance in bins from points (key, bx, by_ in bin units, of a bin with iy, ix) to the mask's edge:
-    to the nearest outside bin for points inside, minus that to the nearest inside bin for points outside.
+    to the nearest outside bin for points inside, minus that to the nearest inside bin for points outside; null where a
+    mask leaves no bin outside.  Points of keys without a mask are dropped.
 
-    A key's grid is packed into one row of its mask, so the join is on `by`; points are never paired with each other.
+    The nearest bin of the other kind always touches a bin of the point's own kind, so a key's row holds only the bins on
+    either side of the edge; whether a point is inside comes from an equi-join on its bin.
     """
-    cells = grid(points.sparkSession, height, width).select("iy", "ix")
-    packed = mask.select(*by).distinct().crossJoin(F.broadcast(cells)).join(mask.withColumn("inside", F.lit(True)), [*by, "iy", "ix"], "left")
-    packed = packed.withColumn("inside", F.coalesce("inside", F.lit(False))).groupBy(*by).agg(F.collect_list(F.struct("iy", "ix", "inside")).alias("cells"))
-    joined = points.join(F.broadcast(packed), by)
-    own = F.exists("cells", lambda c: (c["iy"] == F.col("iy")) & (c["ix"] == F.col("ix")) & c["inside"])
-    far = F.filter("cells", lambda c: c["inside"] != F.col("own"))
-    distance = F.array_min(F.transform(far, lambda c: F.hypot(c["iy"] - F.col("by_"), c["ix"] - F.col("bx"))))
-    return joined.withColumn("own", own).select(*by, key, F.when(F.col("own"), distance).otherwise(-distance).alias("distance"))
+    inner = mask.select(*by, "iy", "ix").distinct()
+    step = F.array(*[F.struct((F.col("iy") + i).alias("iy"), (F.col("ix") + j).alias("ix")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    around = lambda df: df.select(*by, F.inline(step)).where(f"iy between 0 and {height - 1} and ix between 0 and {width - 1}").distinct()
+    out = around(inner).join(inner, [*by, "iy", "ix"], "left_anti")
+    rim = around(out).join(inner, [*by, "iy", "ix"], "left_semi")
+    spot = F.struct("iy", "ix")
+    none = F.lit(None).cast(out.select(spot.alias("s")).schema["s"].dataType)
+    sides = out.select(*by, spot.alias("out"), none.alias("rim")).unionByName(rim.select(*by, none.alias("out"), spot.alias("rim")))
+    sides = sides.unionByName(inner.select(*by).distinct().select(*by, none.alias("out"), none.alias("rim")))
+    packed = sides.groupBy(*by).agg(F.collect_list("out").alias("out"), F.collect_list("rim").alias("rim"))
+    joined = points.join(inner.withColumn("own", F.lit(True)), [*by, "iy", "ix"], "left").join(packed, by)
+    nearest = lambda c: F.array_min(F.transform(c, lambda b: F.hypot(b["iy"] - F.col("by_"), b["ix"] - F.col("bx"))))
+    return joined.select(*by, key, F.when(F.coalesce("own", F.lit(False)), nearest("out")).otherwise(-nearest("rim")).alias("distance"))
 
 
 def ellipse_radius(p: float, mode: str = "2D") -> float:

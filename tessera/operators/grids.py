@@ -91,24 +91,54 @@ def radial_average(field: DataFrame, value: str, height: int, width: int, by: li
 
 def autocorrelation(field: DataFrame, value: str, height: int, width: int, by: list[str] = BY) -> DataFrame:
     """Circular autocorrelation of a dense field less its mean, Hann-tapered on both axes, at lags (dy, dx), scaled so that
-    the peak equals the field's variance; zero lag sits at the middle bin."""
+    the peak equals the field's variance; zero lag sits at the middle bin.
+
+    The inverse cosine transform of the power spectrum: four one-dimensional passes, so that a bin is spread W and H
+    times and not H * W times, and keys do not meet.
+    """
     moments = field.groupBy(*by).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_var"))
     hann = lambda i, n: (1 - F.cos(F.col(i) * (2 * math.pi / (n - 1)))) * 0.5
-    taper = field.join(F.broadcast(moments), by).select(*by, "iy", "ix", "_var", ((F.col(value) - F.col("_m")) * hann("iy", height) * hann("ix", width)).alias("v"))
-    line = taper.groupBy(*by).agg(F.first("_var").alias("_var"), F.collect_list(F.struct("iy", "ix", "v")).alias("cells"))
-    pairs = taper.select(*by, "iy", "ix", "v").join(F.broadcast(line), by).select(*by, "iy", "ix", "v", "_var", F.explode("cells").alias("c"))
-    lag = lambda a, b, n: ((F.col(a) - F.col(b) + (n + n // 2)) % n).cast("int")
-    sums = pairs.groupBy(*by, lag("iy", "c.iy", height).alias("iy"), lag("ix", "c.ix", width).alias("ix")).agg(F.sum(F.col("v") * F.col("c.v")).alias("ac"), F.first("_var").alias("_var"))
+    taper = field.join(moments, by).select(*by, "iy", "ix", ((F.col(value) - F.col("_m")) * hann("iy", height) * hann("ix", width)).alias("v"))
+    power = hartley(taper, "v", height, width, by)
+    # of a real field, the power at a frequency and at minus it sum to twice |F|^2 / (H W)
+    mirrored = power.select(*by, F.pmod(-F.col("ky"), F.lit(height)).alias("ky"), F.pmod(-F.col("kx"), F.lit(width)).alias("kx"), (F.col("c") * F.col("c")).alias("p"))
+    power = power.select(*by, "ky", "kx", (F.col("c") * F.col("c")).alias("p")).unionByName(mirrored).groupBy(*by, "ky", "kx").agg((F.sum("p") / 2).alias("p"))
+    lags = hartley(power.select(*by, F.col("ky").alias("iy"), F.col("kx").alias("ix"), "p"), "p", height, width, by)
+    shift = lambda k, n: F.pmod(F.col(k) + n // 2, F.lit(n)).cast("int")
+    sums = lags.select(*by, shift("ky", height).alias("iy"), shift("kx", width).alias("ix"), (F.col("c") * math.sqrt(height * width)).alias("ac"))
     top = Window.partitionBy(*by)
-    return sums.select(*by, "iy", "ix", sdiv(F.col("ac") * F.col("_var"), F.max("ac").over(top)).alias("ac"))
+    return sums.join(moments, by).select(*by, "iy", "ix", sdiv(F.col("ac") * F.col("_var"), F.max("ac").over(top)).alias("ac"))
 
 
 def hartley(field: DataFrame, value: str, height: int, width: int, by: list[str] = BY) -> DataFrame:
-    """Orthonormal real transform at (ky, kx): sum of value * (cos - sin)(2 pi (ky y / H + kx x / W)) / sqrt(H W)."""
-    ks = F.array(*[F.struct(F.lit(i).alias("ky"), F.lit(j).alias("kx")) for i in range(height) for j in range(width)])
-    spread = field.select(*by, "iy", "ix", value, F.inline(ks))
-    turn = (F.col("ky") * F.col("iy") % height / float(height) + F.col("kx") * F.col("ix") % width / float(width)) * (2 * math.pi)
-    return spread.groupBy(*by, "ky", "kx").agg((F.sum(F.col(value) * (F.cos(turn) - F.sin(turn))) / math.sqrt(height * width)).alias("c"))
+    """Orthonormal real transform at (ky, kx): sum of value * (cos - sin)(2 pi (ky y / H + kx x / W)) / sqrt(H W).
+
+    Two one-dimensional passes, rows then columns (cosine and sine sums of each row, then of the columns), so that every
+    bin is spread W and then H times, not H * W times.
+    """
+    def turn(k: str, i: str, n: int) -> Column:
+        return (F.col(k) * F.col(i) % n / float(n)) * (2 * math.pi)
+
+    wide = field.select(*by, "iy", "ix", value, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("kx"))
+    a = turn("kx", "ix", width)
+    rows = wide.groupBy(*by, "iy", "kx").agg(F.sum(F.col(value) * F.cos(a)).alias("_c"), F.sum(F.col(value) * F.sin(a)).alias("_s"))
+    tall = rows.select(*by, "iy", "kx", "_c", "_s", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("ky"))
+    b = turn("ky", "iy", height)
+    # cos(a + b) - sin(a + b)
+    part = F.col("_c") * (F.cos(b) - F.sin(b)) - F.col("_s") * (F.sin(b) + F.cos(b))
+    return tall.groupBy(*by, "ky", "kx").agg((F.sum(part) / math.sqrt(height * width)).alias("c"))
+
+
+def retained(spectrum: DataFrame, value: str, axes: list[str], least: float = 0.1, by: list[str] = BY) -> DataFrame:
+    """Rows of a long spectrum (key, axes, value) at `least` of the key's largest value off frequency 0, or above."""
+    other = spectrum.where(" or ".join(f"{a} <> 0" for a in axes)).groupBy(*by).agg(F.max(value).alias("_top"))
+    return spectrum.join(other, by).where(F.col(value) >= F.col("_top") * least).drop("_top")
+
+
+def top_frequencies(spectrum: DataFrame, value: str, axes: list[str], count: int, by: list[str] = BY) -> DataFrame:
+    """The `count` rows with the largest values per key (ties: lowest axes)."""
+    order = Window.partitionBy(*by).orderBy(F.desc(value), *axes)
+    return spectrum.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count).drop("_r")
 
 
 def _stencil(field: DataFrame, value: str, offsets: dict[str, list[tuple[int, int, float]]], height: int, width: int, by: list[str], wrap: bool = True) -> DataFrame:

@@ -50,6 +50,14 @@ def expected_bits(n: Column, y: Column, mu: Column, v: Column, fs: float = 1.0)
     return F.sum(n * (y * mu - F.exp(mu + v / 2))) / F.sum(n) * (fs / math.log(2))
 
 
+def elbo_bits(grid: DataFrame, elbo: Column, fs: float, by: list[str]) -> DataFrame:
+    """A fit's evidence lower bound (nats a data set, without the constant of the counts) in bits a second: over all visits n,
+    less the mean of ln Gamma(y + 1) weighted by them."""
+    n = F.sum("n")
+    constant = F.sum(F.col("n") * lgamma(F.col("y") + 1)) / n
+    return grid.groupBy(*by).agg(((F.max(elbo) / n - constant) * (fs / math.log(2))).alias("bits"))
+
+
 def deviance_scores(test: DataFrame, by: list[str], fs: float = 1.0) -> DataFrame:
     """ll, null_ll, saturated_ll (bits a second), delta and explained of test(n, k, rate); rates are scaled to the test mean."""
     totals = test.groupBy(*by).agg((F.sum("k") / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.col("rate")) / F.sum("n")).alias("mr"))

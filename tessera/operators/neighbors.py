@@ -1,11 +1,14 @@
-"""Nearest neighbours, Voronoi regions, mutual matching, alias flags and chains over small point sets per key.
+"""Nearest neighbours, Voronoi regions, mutual matching, alias flags and chains over point sets per key.
 
-The side that is searched (grid points, centroids, peaks: at most thousands a key) is packed into one array a key and
-joined on the key, so a row is compared with its own key's candidates only.
+Small searched sides (grid points, centroids, peaks: at most SMALL points in all) are packed into one array a key and
+broadcast.  Larger ones are searched in square buckets: points meet candidates of their own and the neighbouring buckets
+by equi-joins, so nothing is broadcast and no pair beyond a bucket's reach is made.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,19 +17,74 @@ from pyspark.sql import functions as F
 from tessera.runtime import cut, ship
 
 
+SMALL = 4096
+
+
+def _few(others: DataFrame, small: int) -> bool:
+    """Whether a searched side has at most `small` points; reads no more than that."""
+    return others.limit(small + 1).count() <= small
+
+
 def _packed(others: DataFrame, key: str, by: list[str]) -> DataFrame:
     points = F.struct(F.col(key).alias("id"), F.col("x").alias("x"), F.col("y").alias("y"))
     return others.groupBy(*by).agg(F.collect_list(points).alias("others")) if by else others.agg(F.collect_list(points).alias("others"))
 
 
-def nearest(points: DataFrame, others: DataFrame, key: str, by: list[str] = [], radius: float | None = None) -> DataFrame:  # noqa: B006
-    """points with near_id, near_x, near_y and near_distance of the closest other (ties: lowest id), nulls beyond the radius."""
+def _spread(others: DataFrame, key: str, by: list[str], side: float) -> DataFrame:
+    """(by, _bx, _by, _o: struct of id, x, y): every other in its own and the eight neighbouring buckets."""
+    turns = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    point = F.struct(F.col(key).alias("id"), F.col("x").alias("x"), F.col("y").alias("y"))
+    spread = others.select(*by, point.alias("_o"), F.inline(turns))
+    return spread.select(*by, (F.floor(F.col("_o.x") / side) + F.col("_i")).alias("_bx"), (F.floor(F.col("_o.y") / side) + F.col("_j")).alias("_by"), "_o")
+
+
+def _bucketed(points: DataFrame, side: float) -> DataFrame:
+    return points.withColumn("_bx", F.floor(F.col("x") / side)).withColumn("_by", F.floor(F.col("y") / side))
+
+
+def nearest(points: DataFrame, others: DataFrame, key: str, by: list[str] = [], radius: float | None = None, small: int = SMALL) -> DataFrame:  # noqa: B006
+    """points with near_id, near_x, near_y and near_distance of the closest other (ties: lowest id), nulls beyond the radius.
+
+    Beyond `small` others, rounds of bucketed joins with doubling reach (from the radius, or from the others' mean spacing)
+    until every point has its closest: what lies within a bucket's side is final."""
+    if not _few(others, small):
+        return _nearest_buckets(points, others, key, by, radius)
     packed = _packed(others, key, by)
     joined = points.join(F.broadcast(packed), by, "left") if by else points.crossJoin(F.broadcast(packed))
     best = F.array_min(F.transform("others", lambda o: F.struct(F.hypot(o["x"] - F.col("x"), o["y"] - F.col("y")).alias("d"), o["id"].alias("id"), o["x"].alias("x"), o["y"].alias("y"))))
     out = joined.withColumn("_b", best).drop("others")
+    return out.select(*points.columns, *_near(radius))
+
+
+def _near(radius: float | None) -> list[Column]:
     fine = F.lit(True) if radius is None else F.col("_b.d") <= radius
-    return out.select(*points.columns, *[F.when(fine, F.col(f"_b.{a}")).alias(b) for a, b in (("id", "near_id"), ("x", "near_x"), ("y", "near_y"), ("d", "near_distance"))])
+    return [F.when(fine, F.col(f"_b.{a}")).alias(b) for a, b in (("id", "near_id"), ("x", "near_x"), ("y", "near_y"), ("d", "near_distance"))]
+
+
+def _nearest_buckets(points: DataFrame, others: DataFrame, key: str, by: list[str], radius: float | None) -> DataFrame:
+    box = others.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    width, height = max(box[1] - box[0], 1e-12), max(box[3] - box[2], 1e-12)
+    side = radius or 2 * math.sqrt(width * height / box[4])
+    distance = F.hypot(F.col("_o.x") - F.col("x"), F.col("_o.y") - F.col("y"))
+    found = F.min(F.struct(distance.alias("d"), F.col("_o.id").alias("id"), F.col("_o.x").alias("x"), F.col("_o.y").alias("y"))).alias("_b")
+    wanted, done = cut(points.select(*by, F.col("x"), F.col("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)").distinct()), None
+    while True:
+        met = _bucketed(wanted, side).join(_spread(others, key, by, side), [*by, "_bx", "_by"], "left")
+        best = cut(met.groupBy(*by, "x", "y").agg(found))
+        ready = best.where(F.lit(radius is not None) | (F.col("_b.d") <= side))
+        done = ready if done is None else done.unionByName(ready)
+        wanted = best.where(F.lit(radius is None) & ~F.coalesce(F.col("_b.d") <= side, F.lit(False))).drop("_b")
+        side *= 2
+        if radius is not None or wanted.isEmpty():
+            break
+        if by:  # keys without others find nothing however far
+            wanted = wanted.join(others.select(*by).distinct(), by)
+    same = [points[c].eqNullSafe(done[c]) for c in (*by, "x", "y")]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    joined = points.join(done, condition, "left").select(*[points[c] for c in points.columns], "_b")
+    return joined.select(*points.columns, *_near(radius))
 
 
 def voronoi(points: DataFrame, regions: DataFrame, key: str, by: list[str] = [], radius: float | None = None) -> DataFrame:  # noqa: B006
@@ -49,28 +107,34 @@ def mutual(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.withColumn("_a", F.row_number().over(a)).withColumn("_b", F.row_number().over(b)).where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
-def match(left: DataFrame, right: DataFrame, by: list[str], radius: float, rounds: int = 50, small: int = 2048) -> DataFrame:
-    """Repeated mutual matching until a side is used up; pairs beyond the radius still use up their nodes and are
-    dropped at the end.  Keys of up to `small` points a side are matched in one task each; if any is larger, all run
-    as rounds of joins."""
+def near_pairs(left: DataFrame, right: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """(src, dst, dist) of the pairs within the radius, by equi-joins on buckets of that side."""
+    if not math.isfinite(radius):
+        return candidate_pairs(left, right, by)
+    side = radius if radius > 0 else 1.0
+    joined = _bucketed(left, side).join(_spread(right, "id", by, side), [*by, "_bx", "_by"])
+    dist = F.hypot(F.col("x") - F.col("_o.x"), F.col("y") - F.col("_o.y"))
+    return joined.select(*by, F.col("id").alias("src"), F.col("_o.id").alias("dst"), dist.alias("dist")).where(F.col("dist") <= radius)
+
+
+def match(left: DataFrame, right: DataFrame, by: list[str], radius: float, small: int = 2048) -> DataFrame:
+    """Repeated mutual matching until a side is used up, and of that the pairs within the radius.  Points that are each
+    other's nearest beyond the radius have no partner within it, so only pairs within the radius need to be looked at.
+    Keys of up to `small` points a side are matched in one task each; if any is larger, all run as rounds of joins."""
     largest = left.unionByName(right).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > small:
-        return match_rounds(left, right, by, radius, rounds)
+        return match_rounds(left, right, by, radius)
     ship(left.sparkSession)
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = (t.rename(columns=lambda c: c[2:]).sort_values("id") for t in (a, b))
         dist = np.hypot(a["x"].to_numpy()[:, None] - b["x"].to_numpy(), a["y"].to_numpy()[:, None] - b["y"].to_numpy())
-        open_, found = dist.copy(), []
-        for _ in range(rounds):
-            if not np.isfinite(open_).any():
-                break
+        open_, pairs = np.where(dist <= radius, dist, np.inf), []
+        while np.isfinite(open_).any():  # the closest open pair is mutual, so every round finds one
             to, back = open_.argmin(axis=1), open_.argmin(axis=0)
-            new = [(i, int(j)) for i, j in enumerate(to) if np.isfinite(open_[i, j]) and back[j] == i]
-            found += new
-            for i, j in new:
-                open_[i, :], open_[:, j] = np.inf, np.inf
-        pairs = [(i, j) for i, j in found if dist[i, j] <= radius]
+            i = np.flatnonzero((back[to] == np.arange(len(to))) & np.isfinite(open_[np.arange(len(to)), to]))
+            pairs += zip(i.tolist(), to[i].tolist())
+            open_[i, :], open_[:, to[i]] = np.inf, np.inf
         ids = lambda t, k: t["id"].to_numpy()[[p[k] for p in pairs]] if pairs else np.zeros(0, dtype=np.int64)
         out = pd.DataFrame({"src": ids(a, 0), "dst": ids(b, 1), "dist": np.array([dist[p] for p in pairs], dtype=float)})
         for k in by[::-1]:
@@ -84,33 +148,48 @@ def match(left: DataFrame, right: DataFrame, by: list[str], radius: float, round
     return grouped[0].cogroup(grouped[1]).applyInPandas(work, f"{keys}, src long, dst long, dist double")
 
 
-def match_rounds(left: DataFrame, right: DataFrame, by: list[str], radius: float, rounds: int = 50) -> DataFrame:
-    """`match` as rounds of window ranks and anti-joins, each checkpointed, for keys of any size."""
-    pairs = cut(candidate_pairs(left, right, by))
+def match_rounds(left: DataFrame, right: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """`match` as rounds of window ranks and anti-joins over the pairs within the radius, each checkpointed, for keys of any
+    size; every round matches at least the closest open pair of each key."""
+    pairs = cut(near_pairs(left, right, by, radius))
     found = None
-    for _ in range(rounds):
+    while True:
         new = cut(mutual(pairs, by))
         if new.isEmpty():
-            break
+            return new if found is None else found
         found = new if found is None else found.unionByName(new)
         pairs = cut(pairs.join(new.select(*by, "src"), [*by, "src"], "left_anti").join(new.select(*by, "dst"), [*by, "dst"], "left_anti"))
-    out = found if found is not None else pairs
-    return out.where(F.col("dist") <= radius)
 
 
-def match_layers(layers: DataFrame, count: int, radius: float, rounds: int = 50) -> DataFrame:
+def match_layers(layers: DataFrame, count: int, radius: float) -> DataFrame:
     """Matches layer, id with layer + 1 (cyclic): edges (layer, src, dst, dist)."""
     after = layers.withColumn("layer", F.pmod(F.col("layer") - 1, F.lit(count)))
-    return match(layers, after, ["layer"], radius, rounds)
-
-
-def alias_flags(points: DataFrame, others: DataFrame, key: str, by: list[str] = [], factor: float = 1.05) -> DataFrame:  # noqa: B006
-    """points with aliased: whether more than one other lies within factor times the smallest distance."""
-    packed = _packed(others, key, by)
-    joined = points.join(F.broadcast(packed), by) if by else points.crossJoin(F.broadcast(packed))
-    d = joined.withColumn("_d", F.transform("others", lambda o: F.hypot(o["x"] - F.col("x"), o["y"] - F.col("y"))))
-    d = d.withColumn("_m", F.array_min("_d"))
-    return d.select(*points.columns, (F.size(F.filter("_d", lambda v: v <= F.col("_m") * factor)) > 1).alias("aliased"))
+    return match(layers, after, ["layer"], radius)
+
+
+def alias_flags(points: DataFrame, others: DataFrame, key: str, by: list[str] = [], factor: float = 1.05, small: int = SMALL) -> DataFrame:  # noqa: B006
+    """points with aliased: whether more than one other lies within factor times the smallest distance.
+
+    Beyond `small` others, their nearest is found in buckets and the others within its distance times the factor are
+    counted in rings of buckets whose side is the next power of two of that reach."""
+    if _few(others, small):
+        packed = _packed(others, key, by)
+        joined = points.join(F.broadcast(packed), by) if by else points.crossJoin(F.broadcast(packed))
+        d = joined.withColumn("_d", F.transform("others", lambda o: F.hypot(o["x"] - F.col("x"), o["y"] - F.col("y"))))
+        d = d.withColumn("_m", F.array_min("_d"))
+        return d.select(*points.columns, (F.size(F.filter("_d", lambda v: v <= F.col("_m") * factor)) > 1).alias("aliased"))
+    near = _nearest_buckets(points, others, key, by, None).where("near_id is not null")
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("near_distance") * factor, F.lit(1e-9)))), F.lit(-30)).cast("int")
+    near = cut(near.withColumn("_level", level))
+    out = None
+    for (lv,) in near.select("_level").distinct().collect():  # at most a few dozen powers of two
+        side = 2.0**lv
+        part = near.where(F.col("_level") == lv).withColumn("_row", F.monotonically_increasing_id())
+        met = _bucketed(part, side).join(_spread(others, key, by, side), [*by, "_bx", "_by"])
+        close = F.hypot(F.col("_o.x") - F.col("x"), F.col("_o.y") - F.col("y")) <= F.col("near_distance") * factor
+        flags = met.groupBy("_row", *[f"`{c}`" for c in points.columns]).agg((F.count_if(close) > 1).alias("aliased")).drop("_row")
+        out = flags if out is None else out.unionByName(flags)
+    return out if out is not None else points.withColumn("aliased", F.lit(None).cast("boolean")).limit(0)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -128,15 +207,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _places(steps: DataFrame) -> DataFrame:
+    """(node, pos) along paths given as steps(a, b) with one way into and out of every node and no cycle: list ranking by
+    pointer jumping, a logarithmic number of checkpointed rounds."""
+    nodes = steps.select(F.col("a").alias("node")).union(steps.select("b")).distinct()
+    state = nodes.join(steps.select(F.col("b").alias("node"), F.col("a").alias("up")), "node", "left")
+    state = cut(state.withColumn("pos", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("pos").alias("more"))
+        state = cut(state.join(above, "up", "left").select("node", F.col("further").alias("up"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos")))
+    return state.select("node", "pos")
+
+
 def chains(edges: DataFrame, count: int, shortest: int) -> DataFrame:
     """Paths over cyclic layers: edges(layer, src, dst) join (layer, src) to (layer + 1, dst); connected components with at
-    least `shortest` nodes as (chain_id, layer, id, pos), in layer order."""
+    least `shortest` nodes as (chain_id, layer, id, pos), pos counting along the path from its open end (a closed loop
+    starts at its smallest node).  Matched layers give every node at most one edge either way."""
     node = lambda layer, i: i * count + layer
-    pairs = edges.select(node(F.col("layer"), F.col("src")).alias("a"), node((F.col("layer") + 1) % count, F.col("dst")).alias("b"))
+    pairs = cut(edges.select(node(F.col("layer"), F.col("src")).alias("a"), node((F.col("layer") + 1) % count, F.col("dst")).alias("b")))
     labels = components(pairs)
-    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= shortest)
-    out = labels.join(size, "label").select(F.col("label").alias("chain_id"), (F.col("node") % count).alias("layer"), F.floor(F.col("node") / count).cast("long").alias("id"))
-    return out.withColumn("pos", (F.row_number().over(Window.partitionBy("chain_id").orderBy("layer", "id")) - 1).cast("long"))
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    owned = pairs.join(labels.select(F.col("node").alias("a"), "label"), "a")
+    loops = owned.groupBy("label").agg(F.count(F.lit(1)).alias("steps")).join(size, "label").where("steps >= size").select("label")
+    steps = owned.join(loops.select(F.col("label"), F.col("label").alias("b")), ["label", "b"], "left_anti").select("a", "b")
+    long_ = labels.join(size.where(F.col("size") >= shortest), "label").join(_places(steps), "node")
+    return long_.select(F.col("label").alias("chain_id"), (F.col("node") % count).alias("layer"), F.floor(F.col("node") / count).cast("long").alias("id"), "pos")
 
 
 def opposite(edges: DataFrame, count: int, start: int, radius: float, peaks: DataFrame) -> DataFrame:

@@ -23,6 +23,20 @@ def sampled_peaks(samples: DataFrame, size: int, radius: float, by: list[str] =
     return grids.interpolate_peaks(long, "z", size, size, radius, by=[*by, "sample_id"])
 
 
+def filter_peaks(peaks: DataFrame, planes: DataFrame, edge: float = 0.0, quantile: float = 0.0, least: float | None = None, probability: str = "total", localisation: float | None = None, by: list[str] = BY) -> DataFrame:
+    """Peaks (key, x, y, height) at least `edge` inside the key's hull (planes of unit normals) and at or above the quantile of
+    the key's heights; with `least`, `probability` at that or above; with `localisation`, the major deviation of their
+    covariance (xx, xy, yy) at most that."""
+    inside = F.forall("planes", lambda p: p["a"] * F.col("x") + p["b"] * F.col("y") + p["c"] <= -edge + 1e-12)
+    low = peaks.groupBy(*by).agg(F.percentile("height", quantile).alias("_low"))
+    out = peaks.join(planes, by).where(inside).drop("planes").join(low, by).where(F.col("height") >= F.col("_low")).drop("_low")
+    if least is not None:
+        out = out.where(F.col(probability) >= least)
+    if localisation is not None:
+        out = out.where(F.sqrt(geometry.ellipse_axes(F.col("xx"), F.col("xy"), F.col("yy"))["major"]) <= localisation)
+    return out
+
+
 def sampled_confidence(samples: DataFrame, size: int, period: float, least: float = 0.1, by: list[str] = BY) -> DataFrame:
     """Fields found in the density of sampled peaks: (key, field, total, mx, my, xx, xy, yy).
 
@@ -41,23 +55,24 @@ def sampled_confidence(samples: DataFrame, size: int, period: float, least: floa
     return moments.weighted_gaussians(dealt, "weight", [*by, "region"]).withColumnRenamed("region", "field").where(F.col("total") >= least)
 
 
-def fraction_inside(gaussians: DataFrame, planes: DataFrame, draws: int = 200, seed: int = 0, by: list[str] = BY, key: str = "field") -> DataFrame:
-    """Share of seeded draws from each Gaussian (key, mx, my, xx, xy, yy) that lies in the key's hull."""
-    ship(gaussians.sparkSession)
-    names = [*by, key]
-    schema = ", ".join(f"{k} {gaussians.schema[k].dataType.simpleString()}" for k in names)
+#: the fraction of the golden ratio, whose multiples fill the unit interval evenly (fixed value)
+GOLDEN = 0.6180339887498949
 
-    def draw(batches):
-        for b in batches:
-            for row in b.itertuples(index=False):
-                r = row._asdict()
-                g = np.random.default_rng((seed, *(int(r[k]) & 0x7FFFFFFF for k in names)))
-                p = g.multivariate_normal([r["mx"], r["my"]], [[r["xx"], r["xy"]], [r["xy"], r["yy"]]], draws, check_valid="ignore")
-                yield pd.DataFrame({**{k: [r[k]] * draws for k in names}, "x": p[:, 0], "y": p[:, 1]})
-
-    points = gaussians.select(*names, "mx", "my", "xx", "xy", "yy").na.drop().mapInPandas(draw, f"{schema}, x double, y double")
-    inside = geometry.in_hull(F.col("x"), F.col("y"), F.col("planes")).cast("double")
-    return points.join(F.broadcast(planes), by).groupBy(*names).agg(F.avg(inside).alias("fraction"))
+
+def fraction_inside(gaussians: DataFrame, planes: DataFrame, draws: int = 200, seed: int = 0, by: list[str] = BY, key: str = "field") -> DataFrame:
+    """Share of `draws` points of each Gaussian (key, mx, my, xx, xy, yy) that lies in the key's hull.
+
+    The points are a fixed even sample of the plane's normal distribution (radii at mid-quantiles, angles at multiples of the
+    golden section, turned by `seed`), stretched by the Gaussian's triangular root, so the share repeats exactly."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_i")
+    spread = gaussians.where("mx is not null and xx > 0").join(planes, by).select("*", i)
+    turn = F.col("_i") * GOLDEN + seed * 0.1
+    angle, radius = (turn - F.floor(turn)) * (2 * math.pi), F.sqrt(F.log((F.col("_i") + 0.5) / draws) * -2)
+    u, v = radius * F.cos(angle), radius * F.sin(angle)
+    a = F.sqrt("xx")
+    b = F.col("xy") / a
+    x, y = F.col("mx") + a * u, F.col("my") + b * u + F.sqrt(F.greatest(F.col("yy") - b * b, F.lit(0.0))) * v
+    return spread.groupBy(*by, key).agg(F.avg(geometry.in_hull(x, y, F.col("planes")).cast("double")).alias("fraction"))
 
 
 def joint_confidence(packed: DataFrame, ridge: float = 1e-5, domain: str = "log", by: list[str] = BY) -> DataFrame:

@@ -58,8 +58,8 @@ def fill_gaps(series: DataFrame, columns: list[str], by: list[str] = BY, mode: s
     return out.select(*series.columns)
 
 
-def patch_glitches(series: DataFrame, threshold: float, by: list[str] = BY, mode: str = "compat") -> DataFrame:
-    """x and y missing where the step to the next row exceeds the threshold, then filled."""
+def patch_glitches(series: DataFrame, threshold: float | Column, by: list[str] = BY, mode: str = "compat") -> DataFrame:
+    """x and y missing where the step to the next row exceeds the threshold (a number or a column), then filled."""
     order = Window.partitionBy(*by).orderBy("t")
     step = F.hypot(F.lead("x").over(order) - F.col("x"), F.lead("y").over(order) - F.col("y"))
     bad = F.coalesce(step > threshold, F.lit(False))
@@ -136,6 +136,14 @@ def cross_validation(series: DataFrame, k: int, by: list[str] = BY) -> DataFrame
     return counted.withColumn("_own", own).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("is_test", F.col("_own") == F.col("fold")).drop("_n", "_own")
 
 
+def edge_folds(series: DataFrame, k: int, by: list[str] = BY) -> DataFrame:
+    """Every row once a fold, with `fold` and `is_test`: fold f tests rows T f / k to T (f + 1) / k, both ends included (so
+    neighbours share a row), and trains on the rest."""
+    counted = series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    edge = lambda f: F.floor(F.col("_n") * f / k)
+    return counted.withColumn("is_test", F.col("t").between(edge(F.col("fold")), edge(F.col("fold") + 1))).drop("_n")
+
+
 def resample_blocks(series: DataFrame, draws: DataFrame, length: int, by: list[str] = BY) -> DataFrame:
     """Block bootstrap: draws(sample_id, pos, block_id) lays blocks of `length` rows end to end; `pos_t` is the new time."""
     blocks = series.withColumn("block_id", F.floor(F.col("t") / length).cast("long"))

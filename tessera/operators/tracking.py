@@ -36,29 +36,37 @@ def heading_peaks(points: DataFrame, angle: str, layers: int, size: int, power:
 
 
 def link_peaks(chains: DataFrame, peaks: DataFrame, layers: int, radius: float, reach: float | None = None) -> DataFrame:
-    """Chains (chain_id, layer, id) trimmed to closed loops: while a chain is longer than layers + 1 or its ends are further
-    apart than `reach` (twice the radius), the end further from the chain's middle goes; chains shorter than half the
-    layers are dropped.  A chain is one task's group: it has a few nodes a layer."""
+    """Chains (chain_id, layer, id, pos along the path) trimmed to loops: while a chain is longer than layers + 1 or its ends
+    are further apart than `reach` (twice the radius), the end further from the middle of what is left goes (the last of
+    two equal ones); chains shorter than half the layers are dropped.  Without pos the order is by layer.  A chain is one
+    task's group: it has a few nodes a layer."""
     ship(chains.sparkSession)
     reach = 2 * radius if reach is None else reach
 
     def trim(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["layer", "id"]).reset_index(drop=True)
-        middle = g[["x", "y"]].mean().to_numpy()
-        far = np.hypot(g["x"] - middle[0], g["y"] - middle[1]).to_numpy()
+        g = g.sort_values(["at", "layer", "id"]).reset_index(drop=True)
         xy, a, b = g[["x", "y"]].to_numpy(), 0, len(g)
+        sums = np.concatenate([np.zeros((1, 2)), np.cumsum(xy, axis=0)])
         while b - a > 1 and (b - a > layers + 1 or np.hypot(*(xy[a] - xy[b - 1])) > reach):
-            if far[a] >= far[b - 1]:
+            middle = (sums[b] - sums[a]) / (b - a)
+            if np.hypot(*(xy[a] - middle)) > np.hypot(*(xy[b - 1] - middle)):
                 a += 1
             else:
                 b -= 1
-        kept = g.iloc[a:b] if b - a >= layers / 2 else g.iloc[:0]
+        kept = g.iloc[a:b] if b - a >= layers // 2 else g.iloc[:0]
         return kept.assign(pos=np.arange(len(kept)))[["chain_id", "pos", "layer", "id", "x", "y"]]
 
-    joined = chains.select("chain_id", "layer", "id").join(peaks.select("layer", "id", "x", "y"), ["layer", "id"])
+    at = F.col("pos") if "pos" in chains.columns else F.col("layer")
+    joined = chains.select("chain_id", "layer", "id", at.cast("long").alias("at")).join(peaks.select("layer", "id", "x", "y"), ["layer", "id"])
     return joined.groupBy("chain_id").applyInPandas(trim, "chain_id long, pos long, layer long, id long, x double, y double")
 
 
+def linked_edges(paths: DataFrame) -> DataFrame:
+    """Edges (layer, src, dst) between neighbours of trimmed paths(chain_id, pos, layer, id)."""
+    order = Window.partitionBy("chain_id").orderBy("pos")
+    return paths.select("layer", F.col("id").alias("src"), F.lead("id").over(order).alias("dst")).where("dst is not null")
+
+
 def path_regions(paths: DataFrame, centroids: DataFrame, radius: float | None = None) -> DataFrame:
     """Middle of every path (chain_id, x, y) with the closest centroid's id, or -1; `shared`: another path has it too."""
     middle = paths.groupBy("chain_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("nodes"))

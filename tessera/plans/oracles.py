@@ -154,6 +154,128 @@ def halves() -> str:
 W3 = """c3 AS (SELECT cell_id, s, floor(h * 6.0::DOUBLE) AS lh, h * 6.0::DOUBLE - floor(h * 6.0::DOUBLE) AS ph, floor(y * 5.0::DOUBLE) AS ly, y * 5.0::DOUBLE - floor(y * 5.0::DOUBLE) AS py,
   floor(x * 5.0::DOUBLE) AS lx, x * 5.0::DOUBLE - floor(x * 5.0::DOUBLE) AS px FROM pts)"""
 
+def inside(scale: str = "", edge: float = 0.0) -> str:
+    """Condition on hull edges (ax, ay, bx, by_) and a point (px, py): at least `edge` inside."""
+    return f"bool_and(((by_ - ay) * (px - ax) - (bx - ax) * (py - ay)) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) <= -{edge} + 1e-12)"
+
+
+LABEL_MASK = "mask AS (SELECT DISTINCT cell_id, least(floor(y * 16), 15)::INT AS iy, least(floor(x * 16), 15)::INT AS ix FROM emb)"
+
+
+def corner_hull(shift: float) -> str:
+    """CTE of the hull edges of each label's mask; of points on one line only the outermost two make an edge."""
+    return f"""spot_ AS (SELECT cell_id, (ix + {shift}) / 16.0::DOUBLE AS x, (iy + {shift}) / 16.0::DOUBLE AS y FROM mask),
+side_ AS (SELECT p.cell_id, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM spot_ p JOIN spot_ q ON p.cell_id = q.cell_id AND (p.x <> q.x OR p.y <> q.y)),
+bad_ AS (SELECT DISTINCT s.cell_id, ax, ay, bx, by_ FROM side_ s JOIN spot_ o ON o.cell_id = s.cell_id
+  WHERE (bx - ax) * (o.y - ay) - (by_ - ay) * (o.x - ax) < 0
+     OR ((bx - ax) * (o.y - ay) - (by_ - ay) * (o.x - ax) = 0 AND ((o.x - ax) * (bx - ax) + (o.y - ay) * (by_ - ay)) NOT BETWEEN 0 AND pow(bx - ax, 2) + pow(by_ - ay, 2))),
+hull AS (SELECT * FROM side_ EXCEPT SELECT * FROM bad_)"""
+
+
+LABEL_DIST = f"""{LABEL_MASK},
+cells AS (SELECT c.cell_id, a.i::INT AS iy, b.i::INT AS ix, mask.iy IS NOT NULL AS inside FROM (SELECT DISTINCT cell_id FROM mask) c, range(16) AS a(i), range(16) AS b(i)
+  LEFT JOIN mask ON mask.cell_id = c.cell_id AND mask.iy = a.i AND mask.ix = b.i),
+spots AS (SELECT (cell_id + 1) % 10 AS cell_id, vec_id, x * 16 - 0.5 AS bx, y * 16 - 0.5 AS by_, least(floor(y * 16), 15)::INT AS iy, least(floor(x * 16), 15)::INT AS ix FROM emb),
+owned AS (SELECT spots.*, cells.inside AS own FROM spots JOIN cells USING (cell_id, iy, ix)),
+far_ AS (SELECT o.cell_id, vec_id, own, min(sqrt(pow(c.iy - by_, 2) + pow(c.ix - bx, 2))) AS dist FROM owned o JOIN cells c ON c.cell_id = o.cell_id AND c.inside <> own GROUP BY ALL),
+dist_ AS (SELECT cell_id, vec_id AS point_id, CASE WHEN own THEN dist ELSE -dist END AS distance FROM far_)"""
+
+
+def matched(radius: float, shift: int = 1) -> str:
+    """CTEs of the edges (layer, src, dst, dist) of repeated mutual matching between layers, within the radius."""
+    return f"""near0 AS (SELECT * FROM (SELECT a.cell_id AS layer, a.vec_id AS src, b.vec_id AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist
+  FROM emb a JOIN emb b ON b.cell_id = (a.cell_id + {shift}) % 10) WHERE dist <= {radius}),
+round_ AS (
+  SELECT layer, src, dst, dist, false AS done FROM near0
+  UNION ALL
+  SELECT layer, src, dst, dist, m FROM (
+    SELECT *, bool_or(m) OVER (PARTITION BY layer, src) AS su, bool_or(m) OVER (PARTITION BY layer, dst) AS du FROM (
+      SELECT layer, src, dst, dist, row_number() OVER (PARTITION BY layer, src ORDER BY dist, dst) = 1 AND row_number() OVER (PARTITION BY layer, dst ORDER BY dist, src) = 1 AS m
+      FROM round_ WHERE NOT done)) WHERE m OR NOT (su OR du)),
+edge AS (SELECT layer, src, dst, dist FROM round_ WHERE done)"""
+
+
+CHAINS = f"""{matched(0.08)},
+st AS (SELECT src * 10 + layer AS a, dst * 10 + (layer + 1) % 10 AS b FROM edge),
+und AS (SELECT a, b FROM st UNION SELECT b, a FROM st),
+reach AS (SELECT a AS node, a AS seen FROM und UNION SELECT reach.node, und.b FROM reach JOIN und ON und.a = reach.seen),
+comp AS (SELECT node, min(seen) AS label, count(*) AS size FROM reach GROUP BY 1),
+loop_ AS (SELECT label FROM comp JOIN st ON st.a = node GROUP BY label, size HAVING count(*) >= size),
+step_ AS (SELECT a, b FROM st WHERE b NOT IN (SELECT label FROM loop_)),
+walk AS (SELECT node, 0::BIGINT AS pos FROM comp WHERE node NOT IN (SELECT b FROM step_) UNION ALL SELECT b, pos + 1 FROM walk JOIN step_ ON a = node),
+chain AS (SELECT label AS chain_id, node % 10 AS layer, node // 10 AS id, pos FROM walk JOIN comp USING (node) WHERE size >= 3)"""
+
+
+def trimmed(reach: float) -> str:
+    return f"""list_ AS (SELECT chain_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys, list(c.layer ORDER BY pos) AS ls, list(id ORDER BY pos) AS ids FROM chain c JOIN emb ON vec_id = id GROUP BY 1),
+cut_ AS (
+  SELECT chain_id, 0 AS a, len(xs)::INT AS b FROM list_
+  UNION ALL
+  SELECT chain_id, CASE WHEN first_ THEN a + 1 ELSE a END, CASE WHEN first_ THEN b ELSE b - 1 END FROM (
+    SELECT chain_id, a, b, sqrt(pow(xs[a + 1] - list_avg(xs[a + 1:b]), 2) + pow(ys[a + 1] - list_avg(ys[a + 1:b]), 2)) > sqrt(pow(xs[b] - list_avg(xs[a + 1:b]), 2) + pow(ys[b] - list_avg(ys[a + 1:b]), 2)) AS first_
+    FROM cut_ JOIN list_ USING (chain_id) WHERE b - a > 1 AND (b - a > 11 OR sqrt(pow(xs[a + 1] - xs[b], 2) + pow(ys[a + 1] - ys[b], 2)) > {reach}))),
+last_ AS (SELECT chain_id, max(a) AS a, min(b) AS b FROM cut_ GROUP BY 1),
+kept AS (SELECT chain_id, unnest(xs[a + 1:b]) AS x, unnest(ys[a + 1:b]) AS y, unnest(ls[a + 1:b]) AS layer, unnest(ids[a + 1:b]) AS id, unnest(range(0, b - a)) AS pos FROM last_ JOIN list_ USING (chain_id) WHERE b - a >= 5)"""
+
+
+HEX = "cos((b.i - 12) * 2 * pi() / 8) + cos(((b.i - 12) * cos(pi() / 3) + (a.i - 12) * sin(pi() / 3)) * 2 * pi() / 8) + cos(((b.i - 12) * cos(2 * pi() / 3) + (a.i - 12) * sin(2 * pi() / 3)) * 2 * pi() / 8)"
+KERNELS = """off_ AS (SELECT i, CASE WHEN i < 4 THEN i ELSE i - 8 END AS d FROM range(8) AS q(i)),
+cell_ AS (SELECT a.i AS iy, b.i AS ix, (0.5 - 0.5 * cos(2 * pi() * (a.d + 4) / 7)) * (0.5 - 0.5 * cos(2 * pi() * (b.d + 4) / 7)) AS hann,
+  (b.d * cos(0.3::DOUBLE) - a.d * sin(0.3::DOUBLE)) * pi() / 2 AS x, (b.d * sin(0.3::DOUBLE) + a.d * cos(0.3::DOUBLE)) * pi() / 2 AS y FROM off_ a, off_ b),
+bessel_ AS (SELECT iy, ix, avg(cos(sqrt(x * x + y * y) * sin((i + 0.5) * pi() / 256))) AS j FROM cell_, range(256) AS q(i) GROUP BY 1, 2),
+raw_k AS (SELECT style, iy, ix, hann * CASE WHEN sqrt(x * x + y * y) < 5.520078110286311::DOUBLE THEN 1 ELSE 0 END * CASE style WHEN 'radial' THEN j WHEN 'band' THEN cos(x) WHEN 'square' THEN cos(x) + cos(y)
+  WHEN 'rbf' THEN exp(-0.25 * (x * x + y * y)) ELSE cos(x) + cos(x * cos(pi() / 3) - y * sin(pi() / 3)) + cos(x * cos(pi() / 3) + y * sin(pi() / 3)) END AS k
+  FROM cell_ JOIN bessel_ USING (iy, ix), (VALUES ('radial'), ('grid'), ('band'), ('square'), ('rbf')) AS t(style)),
+soft_k AS (SELECT r.style, a.i AS iy, b.i AS ix, sum(r.k * exp(-0.5 * (pow(least(abs(a.i - r.iy), 8 - abs(a.i - r.iy)), 2) + pow(least(abs(b.i - r.ix), 8 - abs(b.i - r.ix)), 2)) * pi() * pi() / 8)) AS k
+  FROM raw_k r, range(8) AS a(i), range(8) AS b(i) WHERE r.style <> 'rbf' GROUP BY 1, 2, 3 UNION ALL SELECT style, iy, ix, k FROM raw_k WHERE style = 'rbf'),
+unit_k AS (SELECT style, iy, ix, k / max(k) OVER (PARTITION BY style) AS k FROM soft_k),
+spec_k AS (SELECT style, a.i AS u, b.i AS v, greatest(sum(k * cos(2 * pi() * (a.i * iy + b.i * ix) / 8)), 1e-9) AS f FROM unit_k, range(8) AS a(i), range(8) AS b(i) GROUP BY 1, 2, 3)"""
+PROFILE = f"""{kde(16, 2.0)},
+seen_ AS (SELECT kde_.cell_id, kde_.iy, kde_.ix, rate, coalesce(grid.n, 0) > 0 AS own FROM kde_ LEFT JOIN grid USING (cell_id, iy, ix)),
+stat_ AS (SELECT cell_id, avg(rate) AS m, var_pop(rate) AS v FROM seen_ WHERE own GROUP BY 1),
+tap_ AS (SELECT cell_id, iy, ix, v, CASE WHEN own THEN rate - m ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * iy / 15)) * (0.5 - 0.5 * cos(2 * pi() * ix / 15)) AS y FROM seen_ JOIN stat_ USING (cell_id)),
+lag_ AS (SELECT p.cell_id, ((p.iy - q.iy + 24) % 16)::INT AS iy, ((p.ix - q.ix + 24) % 16)::INT AS ix, sum(p.y * q.y) AS ac, any_value(p.v) AS v FROM tap_ p JOIN tap_ q USING (cell_id) GROUP BY ALL),
+auto_ AS (SELECT cell_id, iy, ix, ac * v / max(ac) OVER (PARTITION BY cell_id) AS ac FROM lag_),
+prof_ AS (SELECT cell_id, round(sqrt(pow(iy - 8, 2) + pow(ix - 8, 2)))::INT AS r, avg(ac) AS value FROM auto_ GROUP BY 1, 2)"""
+
+
+def kde_by_key(name: str, sigma: str) -> str:
+    """KDE with a deviation of each key's own (column of table per_)."""
+    g = f"exp(-0.5 * (pow(least(abs(a.i - iy), 16 - abs(a.i - iy)), 2) + pow(least(abs(b.i - ix), 16 - abs(b.i - ix)), 2)) / pow({sigma}, 2))"
+    return f"""{name}_s AS (SELECT cell_id, a.i::INT AS iy2, b.i::INT AS ix2, sum(n * {g}) AS n, sum(k * {g}) AS k FROM grid JOIN per_ USING (cell_id), range(16) AS a(i), range(16) AS b(i) GROUP BY ALL),
+{name} AS (SELECT cell_id, iy2 AS iy, ix2 AS ix, (k + mu * 0.5) / (n + 0.5) AS rate FROM {name}_s JOIN mu_ USING (cell_id))"""
+
+
+HEURISTICS = f"""{PROFILE},
+both_ AS (SELECT cell_id, r AS i, value AS y FROM prof_ WHERE r < 8 UNION ALL SELECT cell_id, 15 - r, value FROM prof_ WHERE r < 8),
+freq_ AS (SELECT cell_id, f, sum(y * cos(2 * pi() * f * i / 16)) AS c, sum(y * sin(2 * pi() * f * i / 16)) AS s FROM both_, range(9) AS q(f) GROUP BY 1, 2),
+fine_p AS (SELECT cell_id, j, sum(CASE WHEN f = 0 THEN c ELSE 2 * (c * cos(2 * pi() * f * j / 128) + s * sin(2 * pi() * f * j / 128)) END) / 16 AS y FROM freq_, range(64) AS q(j) GROUP BY 1, 2),
+turn_p AS (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS q FROM fine_p WINDOW w AS (PARTITION BY cell_id ORDER BY j)),
+peak_p AS (SELECT cell_id, min(CASE WHEN y > p AND y > q THEN j END) / 8.0::DOUBLE AS hi, min(CASE WHEN y < p AND y < q THEN j END) / 8.0::DOUBLE AS lo FROM turn_p GROUP BY 1),
+per_ AS (SELECT cell_id, least(greatest(coalesce(CASE WHEN hi IS NULL THEN lo * 2 * pi() / 3.831705970207512 WHEN lo IS NULL THEN hi * 2 * pi() / 7.015586669815619
+  ELSE (hi * 2 * pi() / 7.015586669815619 + lo * 2 * pi() / 3.831705970207512) / 2 END, 8), 3), 16) AS p FROM peak_p),
+{kde_by_key('wide_', '5 * p / pi()')}, {kde_by_key('tight_', 'p / (pi() * sqrt(2))')},
+spread_ AS (SELECT cell_id, greatest(var_pop(ln(t.rate) - ln(w.rate)), 1e-3) AS variance FROM tight_ t JOIN wide_ w USING (cell_id, iy, ix) JOIN seen_ USING (cell_id, iy, ix) WHERE own GROUP BY 1),
+stat2 AS (SELECT cell_id, avg(t.rate) AS m FROM tight_ t JOIN seen_ USING (cell_id, iy, ix) WHERE own GROUP BY 1),
+tap2 AS (SELECT cell_id, iy, ix, CASE WHEN own THEN t.rate - m ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * iy / 15)) * (0.5 - 0.5 * cos(2 * pi() * ix / 15)) AS y FROM tight_ t JOIN seen_ USING (cell_id, iy, ix) JOIN stat2 USING (cell_id)),
+lag2 AS (SELECT p.cell_id, ((p.iy - q.iy + 24) % 16)::INT - 8 AS dy, ((p.ix - q.ix + 24) % 16)::INT - 8 AS dx, sum(p.y * q.y) AS ac FROM tap2 p JOIN tap2 q USING (cell_id) GROUP BY ALL),
+on_ AS (SELECT cell_id, dy, dx, CASE WHEN abs(sqrt(dx * dx + dy * dy) - p * 7.015586669815619 / (2 * pi())) <= sqrt(2) / 2 + 1e-9 THEN ac ELSE 0 END AS ac FROM lag2 JOIN per_ USING (cell_id)),
+ring_ AS (SELECT cell_id, sum(ac * cos(6 * atan2(dy, dx))) AS c, sum(ac * sin(6 * atan2(dy, dx))) AS s FROM on_ GROUP BY 1),
+angle_ AS (SELECT cell_id, pi() / 6 - atan2(s, c) / 6 AS w FROM ring_)"""
+SCALAR = """pt_ AS (SELECT cell_id, iy, ix, round(k / 100) AS y FROM grid),
+it_ AS (SELECT cell_id, iy, ix, y, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS v, 0 AS i FROM pt_
+  UNION ALL
+  SELECT cell_id, iy, ix, y, m, CASE WHEN i % 10 = 9 THEN 1 / (1 + exp(least(greatest(m + v / 2, -10), 10))) ELSE v END, i + 1 FROM (
+    SELECT *, mu - (exp(least(greatest(mu + v / 2, -10), 10)) - y + mu) / (exp(least(greatest(mu + v / 2, -10), 10)) + 1) AS m FROM it_ WHERE i < 200))"""
+HART = f"""h_ AS (SELECT cell_id, a.i::INT AS ky, b.i::INT AS kx, sum(y * (cos({TURN.replace('ky', 'a.i').replace('kx', 'b.i')}) - sin({TURN.replace('ky', 'a.i').replace('kx', 'b.i')}))) / 8 AS c
+  FROM field, range(8) AS a(i), range(8) AS b(i) GROUP BY 1, 2, 3)"""
+REC = f"""t_ AS (SELECT cell_id, t, coalesce(x, 0) * 0.2 AS x, y * 0.01 AS y, s, 2.0::DOUBLE + (cell_id % 3) * 4 AS fs, count(*) OVER (PARTITION BY cell_id) AS n FROM trk),
+u_ AS (SELECT cell_id, n, t + (t % 5) / 4.0::DOUBLE AS u FROM t_ WHERE s = 1),
+two_ AS (SELECT cell_id, CASE WHEN floor(u)::BIGINT + d = n THEN n - 1 ELSE floor(u)::BIGINT + d END AS t, CASE WHEN d = 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END AS c FROM u_, (VALUES (0), (1)) AS o(d) WHERE floor(u)::BIGINT + d <= n),
+cnt_ AS (SELECT cell_id, t, sum(c) AS c FROM two_ GROUP BY ALL),
+jump_ AS (SELECT *, coalesce(sqrt(pow(lead(x) OVER o - x, 2) + pow(lead(y) OVER o - y, 2)) > 1 / fs, false) AS bad FROM t_ WINDOW o AS (PARTITION BY cell_id ORDER BY t)),
+holes AS (SELECT cell_id, t, CASE WHEN NOT bad THEN x END AS x, CASE WHEN NOT bad THEN y END AS y FROM jump_), {gaps('holes', 'x', True, 'gx')}, {gaps('holes', 'y', True, 'gy')}"""
+
 ORACLES = {
     "rate_histogram": f"WITH {PTS}, {lin(16)} SELECT cell_id, iy, ix, {r('n')} AS n, {r('k')} AS k, {r(div('k', 'n'))} AS y FROM grid",
     "bin_linear": f"WITH {PTS}, {lin(16, weight='w')} {GRID_OUT}",
@@ -282,4 +404,65 @@ ORACLES = {
     "zero_lag": f"""WITH {PTS}, {lin(16)}, {field(16)}, a AS (SELECT cell_id, round(sqrt(pow(iy - 8, 2) + pow(ix - 8, 2)))::INT AS r, avg(y) AS y FROM field GROUP BY 1, 2)
       SELECT cell_id, {r('regr_intercept(y, (r * r)::DOUBLE)')} AS zero_lag FROM a WHERE r BETWEEN 1 AND 3 GROUP BY 1""",
     "box_statistics": f"""SELECT event_type, count(value) AS n, {', '.join(f"{r(f'quantile_cont(value, {q})')} AS {n}" for n, q in (('low', 0.05), ('q1', 0.25), ('median', 0.5), ('q3', 0.75), ('high', 0.95)))} FROM events GROUP BY 1""",
+    "match_adjacent_layers": f"WITH RECURSIVE {EMB}, {matched(0.1)} SELECT layer, src, dst, {r('dist')} AS dist FROM edge",
+    "point_pairs": f"WITH RECURSIVE {EMB}, {matched(0.06, 5)} SELECT layer, src, dst, {r('dist')} AS dist FROM edge",
+    "chain_positions": f"WITH RECURSIVE {EMB}, {CHAINS} SELECT chain_id, layer, id, pos FROM chain",
+    "cardinal_nodes": f"""WITH RECURSIVE {EMB}, {CHAINS} SELECT chain_id, {', '.join(f"min(CASE WHEN layer = {k} THEN id END) AS {n}" for n, k in (('east', 0), ('north', 2), ('west', 5), ('south', 7)))} FROM chain GROUP BY 1""",
+    "linked_edges": f"""WITH RECURSIVE {EMB}, {CHAINS}, {trimmed(0.04)}, n_ AS (SELECT layer, id AS src, lead(id) OVER (PARTITION BY chain_id ORDER BY pos) AS dst FROM kept) SELECT layer, src, dst FROM n_ WHERE dst IS NOT NULL""",
+    "tracked_chains": f"""WITH RECURSIVE {EMB}, {CEN}, {CHAINS}, {trimmed(2.0)}, mid AS (SELECT chain_id, avg(x) AS x, avg(y) AS y, count(*) AS nodes FROM kept GROUP BY 1),
+      reg AS (SELECT mid.chain_id, any_value(mid.x) AS x, any_value(mid.y) AS y, any_value(nodes) AS nodes, arg_min(cen.id, (sqrt(pow(cen.x - mid.x, 2) + pow(cen.y - mid.y, 2)), cen.id)) AS region FROM mid, cen GROUP BY 1)
+      SELECT chain_id, {r('x')} AS x, {r('y')} AS y, nodes, region, count(*) OVER (PARTITION BY region) > 1 AS shared FROM reg""",
+    "locate_opposites": f"""WITH RECURSIVE {EMB}, {matched(0.1)}, go_ AS (SELECT vec_id AS origin, vec_id AS f, 0 AS i FROM emb WHERE cell_id = 0 UNION ALL SELECT origin, dst, i + 1 FROM go_ JOIN edge ON src = f AND layer = i WHERE i < 5),
+      back_ AS (SELECT vec_id AS origin, vec_id AS f, 0 AS i FROM emb WHERE cell_id = 0 UNION ALL SELECT origin, src, i + 1 FROM back_ JOIN edge ON dst = f AND layer = 9 - i WHERE i < 5),
+      end_ AS (SELECT origin, f, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM (SELECT * FROM go_ WHERE i = 5 UNION ALL SELECT * FROM back_ WHERE i = 5) JOIN emb a ON a.vec_id = origin JOIN emb b ON b.vec_id = f),
+      one_ AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY dist, f) AS p FROM end_ WHERE dist <= 0.5), best_ AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY dist, origin) AS q FROM one_ WHERE p = 1)
+      SELECT origin, f AS opposite, {r('dist')} AS dist FROM best_ WHERE q = 1""",
+    "grid_kernel": f"WITH {KERNELS} SELECT style, a.i::INT AS iy, b.i::INT AS ix, {r('sum(f * cos(2 * pi() * (u * a.i + v * b.i) / 8)) / 64')} AS value FROM spec_k, range(8) AS a(i), range(8) AS b(i) GROUP BY 1, 2, 3",
+    "recording_track": f"""WITH {TRK}, {REC} SELECT gx.cell_id, gx.t, {r('gx.v')} AS x, {r('gy.v')} AS y, {r('coalesce(c, 0)')} AS s FROM gx JOIN gy USING (cell_id, t) LEFT JOIN cnt_ USING (cell_id, t)""",
+    "silent_recordings": f"WITH {TRK} SELECT DISTINCT cell_id FROM trk WHERE cell_id NOT IN (SELECT cell_id FROM trk WHERE s = 1 AND cell_id % 2 = 0)",
+    "rates_at_points": f"""WITH {PTS}, {lin(16)}, {kde(16, 2.0)} SELECT p.cell_id, {r('avg(rate)')} AS mean_rate, {r('avg(rate * s)')} AS at_events FROM pts p JOIN kde_ k ON k.cell_id = p.cell_id AND k.iy = least(floor(p.y * 16), 15) AND k.ix = least(floor(p.x * 16), 15) GROUP BY 1""",
+    "head_direction": f"""WITH {TRK}, turned AS (SELECT cell_id, t, cos(radians(-y * 360)) AS c, sin(radians(-y * 360)) AS s FROM trk), {fir('turned', 'c', None, False, 'fc')}, {fir('turned', 's', None, False, 'fs')}
+      SELECT fc.cell_id, fc.t, {r('atan2(fs.v, fc.v)', 5)} AS direction FROM fc JOIN fs USING (cell_id, t)""",
+    "skip_statistics": f"""WITH v_ AS (SELECT event_type, CASE WHEN event_id % 3 <> 0 AND event_id % 7 <> 0 THEN value END AS v FROM events)
+      SELECT event_type, {r('coalesce(sum(v), 0)')} AS total, {r('avg(v)')} AS mean, {r("CASE WHEN event_type = 'error' THEN -1 ELSE avg(v) END")} AS mean_or FROM v_ GROUP BY 1""",
+    "zscored": f"SELECT event_id, event_type, {r('(value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-10)')} AS z, {r('value - avg(value) OVER w')} AS centred FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type)",
+    "pending_keys": f"WITH {TRK} SELECT DISTINCT cell_id FROM trk WHERE cell_id % 2 <> 0",
+    "ends_mask": f"""WITH {EMB}, {HULL} SELECT cell_id, a.i::INT AS iy, b.i::INT AS ix FROM hull, range(12) AS a(i), range(12) AS b(i)
+      GROUP BY ALL HAVING bool_and((bx - ax) * (a.i / 11.0::DOUBLE - ay) - (by_ - ay) * (b.i / 11.0::DOUBLE - ax) >= -1e-12)""",
+    "mask_hull": f"WITH {EMB}, {LABEL_MASK}, {corner_hull(0.5)} SELECT cell_id, {r('ax')} AS ax, {r('ay')} AS ay, {r('bx')} AS bx, {r('by_')} AS by FROM hull",
+    "arena_of_mask": f"""WITH {EMB}, {LABEL_MASK}, {corner_hull(0.0)}, g_ AS (SELECT h.*, a.i::INT AS iy, b.i::INT AS ix, (b.i + 0.5) / 48 AS px, (a.i + 0.5) / 48 AS py FROM hull h, range(48) AS a(i), range(48) AS b(i))
+      SELECT cell_id, iy, ix FROM g_ GROUP BY ALL HAVING {inside()}""",
+    "boundary_distance_labels": f"WITH {EMB}, {LABEL_DIST} SELECT cell_id, point_id, {r('distance')} AS distance FROM dist_",
+    "near_boundary_filter_labels": f"WITH {EMB}, {LABEL_DIST} SELECT cell_id, point_id FROM dist_ WHERE abs(distance) > 1.0",
+    "contains_units": f"""WITH {EMB}, {HULL}, h_ AS (SELECT e.vec_id, bool_and((bx - ax) * (e.y - ay) - (by_ - ay) * (e.x - ax) >= -1e-12) AS inside FROM emb e JOIN hull ON hull.cell_id = (e.cell_id + 9) % 10 GROUP BY 1)
+      SELECT vec_id, inside AS unit, inside AS bin, inside AS meter FROM h_""",
+    "physical_units": f"WITH {EMB} SELECT vec_id, {r('x / 0.8 + 0.4')} AS x, {r('y / 0.8 + 0.6')} AS y FROM emb",
+    "centred_grid": f"""SELECT a.i::INT AS iy, b.i::INT AS ix, (a.i - 3)::INT AS y, (b.i - 4)::INT AS x, {r('sqrt(pow(a.i - 3, 2) + pow(b.i - 4, 2))')} AS r, CASE WHEN a.i < 3 THEN a.i ELSE a.i - 6 END::INT AS fy, CASE WHEN b.i < 5 THEN b.i ELSE b.i - 9 END::INT AS fx FROM range(6) AS a(i), range(9) AS b(i)""",
+    "masked_rates": f"""WITH {PTS}, grid AS (SELECT cell_id, least(floor(y * 16), 15)::INT AS iy, least(floor(x * 16), 15)::INT AS ix, count(*)::DOUBLE AS n, sum(s) AS k FROM pts GROUP BY ALL)
+      SELECT c.cell_id, a.i::INT AS iy, b.i::INT AS ix, {r('CASE WHEN n > 20 THEN k / n END')} AS rate FROM (SELECT DISTINCT cell_id FROM grid) c, range(16) AS a(i), range(16) AS b(i) LEFT JOIN grid g ON g.cell_id = c.cell_id AND g.iy = a.i AND g.ix = b.i""",
+    "elbo_bits": f"WITH {PTS}, {lin(8)} SELECT cell_id, {r('((-1000.0 - cell_id) / sum(n) - sum(n * lgamma(k / n + 1)) / sum(n)) * (50.0 / ln(2))', 5)} AS bits FROM grid GROUP BY 1",
+    "bessel_variance": f"""WITH RECURSIVE it_ AS (SELECT * FROM (VALUES (0, 0.05::DOUBLE, 0.01::DOUBLE, 1.0::DOUBLE, 0), (1, 0.1, 0.02, 1.0, 0), (2, 0.02, 0.001, 1.0, 0)) AS t(id, mean, observed, s, i)
+      UNION ALL SELECT id, mean, observed, s * observed / (mean * mean * (exp(0.3001157525261326::DOUBLE * s) - exp(-0.402759395702553::DOUBLE * s))), i + 1 FROM it_ WHERE i < 10)
+      SELECT id::INT AS id, {r('mean')} AS mean, {r('observed')} AS observed, {r('s')} AS variance FROM it_ WHERE i = 10""",
+    "simulated_background": f"""WITH h AS (SELECT a.i::INT AS iy, b.i::INT AS ix, exp(0.5 * ({HEX})) * greatest(1 - sqrt(pow(a.i - 12, 2) + pow(b.i - 12, 2)) / 18.0::DOUBLE, 0) AS v, a.i BETWEEN 3 AND 20 AND b.i BETWEEN 3 AND 20 AS inside FROM range(24) AS a(i), range(24) AS b(i))
+      SELECT iy, ix, {r('CASE WHEN inside THEN v / (SELECT avg(v) FROM h WHERE inside) * 1.2 ELSE 0 END')} AS rate FROM h""",
+    "peak_filters": f"""WITH {PTS}, {lin(16)}, {kde(16, 1.0)}, {REFINED}, {EMB}, {HULL}, all_ AS (SELECT * FROM fine_ WHERE x BETWEEN 0 AND 1 - 1 / 16.0::DOUBLE AND y BETWEEN 0 AND 1 - 1 / 16.0::DOUBLE),
+      low_ AS (SELECT cell_id, quantile_cont(height, 0.5) AS low FROM all_ GROUP BY 1), in_ AS (SELECT p.cell_id, iy, ix, p.x AS px, p.y AS py, height, ax, ay, bx, by_ FROM all_ p JOIN hull USING (cell_id)),
+      ok_ AS (SELECT cell_id, iy, ix, px, py, height FROM in_ GROUP BY ALL HAVING {inside(edge=0.05)})
+      SELECT cell_id, iy, ix, {r('px', 5)} AS x, {r('py', 5)} AS y, {r('height', 5)} AS height FROM ok_ JOIN low_ USING (cell_id) WHERE height >= low""",
+    "truncated_spectrum": f"""WITH {PTS}, {lin(8)}, {field(8)}, {HART}, m AS (SELECT cell_id, max(c * c) AS top FROM h_ WHERE ky <> 0 OR kx <> 0 GROUP BY 1) SELECT cell_id, ky, kx, {r('c * c', 9)} AS power FROM h_ JOIN m USING (cell_id) WHERE c * c >= 0.1 * top""",
+    "top_frequencies": f"""WITH {PTS}, {lin(8)}, {field(8)}, {HART}, p AS (SELECT cell_id, ky, kx, {r('c * c', 9)} AS power FROM h_) SELECT cell_id, ky, kx, power FROM p QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY power DESC, ky, kx) <= 10""",
+    "upsampled_field": f"""WITH {PTS}, {lin(8)}, {field(8)}, f_ AS (SELECT a.i - 4 AS u, b.i - 4 AS v FROM range(8) AS a(i), range(8) AS b(i) WHERE sqrt(pow((a.i - 3.5) / 8, 2) + pow((b.i - 3.5) / 8, 2)) < 0.5),
+      o_ AS (SELECT a.i AS oy, b.i AS ox FROM range(16) AS a(i), range(16) AS b(i))
+      SELECT cell_id, oy::INT AS iy, ox::INT AS ix, {r('sum(y * cos(2 * pi() * (u * (oy / 16.0::DOUBLE - iy / 8.0::DOUBLE) + v * (ox / 16.0::DOUBLE - ix / 8.0::DOUBLE)))) / 64')} AS y FROM field, f_, o_ GROUP BY 1, 2, 3""",
+    "noise_draw_blocks": "SELECT i::BIGINT AS sample_id, (6 - k)::BIGINT AS draws, k = 0 AS replace, (k * 5)::BIGINT AS distinct_blocks FROM range(3) AS a(i), range(2) AS b(k)",
+    "overlapping_folds": f"""WITH {TRK}, c AS (SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM trk)
+      SELECT cell_id, f::INT AS fold, count(*) FILTER (WHERE t BETWEEN n * f // 5 AND n * (f + 1) // 5) AS tests, {r('avg(y) FILTER (WHERE NOT (t BETWEEN n * f // 5 AND n * (f + 1) // 5))')} AS train_mean FROM c, range(5) AS q(f) GROUP BY ALL""",
+    "scalar_variational": f"WITH RECURSIVE {PTS}, {lin(4)}, {SCALAR} SELECT cell_id, iy, ix, 0.0::DOUBLE AS m, 1.0::DOUBLE AS p, {r('y')} AS y, {r('mu')} AS mu, {r('v')} AS v FROM it_ WHERE i = 200",
+    "autocorrelation_profile": f"WITH {PTS}, {lin(16)}, {PROFILE} SELECT cell_id, r, {r('value', 9)} AS value FROM prof_",
+    "heuristic_parameters": f"""WITH {PTS}, {lin(16)}, {HEURISTICS} SELECT cell_id, {r('p')} AS period, {r('variance')} AS variance, {r('w - floor(w / (pi() / 3)) * (pi() / 3)')} AS angle FROM per_ JOIN spread_ USING (cell_id) JOIN angle_ USING (cell_id)""",
+    "fraction_within_arena": f"""WITH {EMB}, {HULL}, g AS (SELECT cell_id, avg(x) AS mx, avg(y) AS my, sqrt(var_samp(x)) AS a, covar_samp(x, y) / sqrt(var_samp(x)) AS b, var_samp(y) AS yy FROM emb GROUP BY 1),
+      d AS (SELECT cell_id, i, mx + a * u AS px, my + b * u + sqrt(greatest(yy - b * b, 0)) * v AS py FROM g, (SELECT i, sqrt(-2 * ln((i + 0.5) / 200)) * cos(2 * pi() * (i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE))) AS u,
+        sqrt(-2 * ln((i + 0.5) / 200)) * sin(2 * pi() * (i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE))) AS v FROM range(200) AS q(i))),
+      o AS (SELECT d.cell_id, i, {inside()} AS own FROM d JOIN hull USING (cell_id) GROUP BY 1, 2) SELECT cell_id, 0::BIGINT AS field, {r('avg(own::INT)')} AS fraction FROM o GROUP BY 1""",
 }

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import safe, savgol
 from tessera.operators import binning, fits, geometry, grids, moments, neighbors, posterior, series, tracking
-from tessera.sources import fixtures, simulate
+from tessera.runtime import ship
+from tessera.sources import fixtures, recordings, simulate
 
 B = ["cell_id"]
 
@@ -415,7 +418,7 @@ def sampled_confidence(s, d):
 
 def fraction_within_arena(s, d):
     g = moments.gaussians(_unit_cloud(s, d), ["cell_id"]).drop("n").withColumn("field", F.lit(0).cast("long"))
-    return posterior.fraction_inside(g, geometry.half_planes(geometry.hull(_unit_cloud(s, d))))
+    return tidy(posterior.fraction_inside(g, geometry.half_planes(geometry.hull(_unit_cloud(s, d)))))
 
 
 def laplace_joint(s, d):
@@ -450,7 +453,7 @@ def tracked_chains(s, d):
     layers = _layers(s, d)
     edges = neighbors.match_layers(layers, 10, 0.08)
     paths = tracking.link_peaks(neighbors.chains(edges, 10, 3), layers, 10, 0.3, 2.0)
-    return tracking.path_regions(paths, _centroids(s, d))
+    return tidy(tracking.path_regions(paths, _centroids(s, d)))
 
 
 def tracked_matches(s, d):
@@ -478,7 +481,7 @@ def prior_draws(s, d):
 
 def scalar_variational(s, d):
     rows = _grid(s, d, 4).select("cell_id", "iy", "ix", F.lit(0.0).alias("m"), F.lit(1.0).alias("p"), F.round(F.col("k") / 100).alias("y"))
-    return posterior.scalar_fits(rows, "m", "p", "y")
+    return tidy(posterior.scalar_fits(rows, "m", "p", "y"))
 
 
 def zero_lag(s, d):
@@ -494,11 +497,209 @@ def kde_packed(s, d):
 
 
 def heuristic_parameters(s, d):
-    return fits.heuristics(_packed(s, d))
+    return tidy(fits.heuristics(_packed(s, d)))
 
 
 def autocorrelation_profile(s, d):
-    return fits.radial_profiles(_packed(s, d))
+    return tidy(fits.radial_profiles(_packed(s, d)), 9)
+
+
+STYLES = ["radial", "grid", "band", "square", "rbf"]
+
+
+def grid_kernel(s, d):
+    """Every style of the prior kernel on an 8 x 8 grid, one kernel a task."""
+    from tessera.functions import kernels
+
+    ship(s)
+
+    def make(batches):
+        for b in batches:
+            for style in b["style"]:
+                k = kernels.grid_kernel(4.0, (8, 8), style, 0.3, zero=2)
+                iy, ix = np.divmod(np.arange(64), 8)
+                yield pd.DataFrame({"style": style, "iy": iy, "ix": ix, "value": k.ravel()})
+
+    rows = s.sql("select * from values " + ", ".join(f"('{x}')" for x in STYLES) + " as t(style)")
+    return tidy(rows.mapInPandas(make, "style string, iy int, ix int, value double"))
+
+
+def recording_track(s, d):
+    """The events' series as recordings with rates of their own: pixels to metres, event samples shared, jumps beyond each recording's sample time patched."""
+    t = fixtures.track(s, d).select("cell_id", "t", (F.coalesce("x", F.lit(0.0)) * 0.2).alias("x"), (F.col("y") * 0.01).alias("y"), "s")
+    meta = t.select("cell_id").distinct().select("cell_id", (F.lit(2.0) + (F.col("cell_id") % 3) * 4).alias("pos_rate"), F.lit(300.0).alias("px_per_m"), F.lit(96000.0).alias("spk_rate"))
+    samples = t.select("cell_id", "t", (F.col("x") * 300).alias("x_px"), (F.col("y") * 300).alias("y_px"))
+    spikes = t.where("s = 1").join(meta, "cell_id").select("cell_id", ((F.col("t") + (F.col("t") % 5) / 4) / F.col("pos_rate") * 96000).alias("spike_sample"))
+    return tidy(recordings.track(samples, spikes, meta))
+
+
+def silent_recordings(s, d):
+    t = fixtures.track(s, d)
+    return recordings.silent(t.where("s = 1 and cell_id % 2 = 0").select("cell_id"), t.select("cell_id"))
+
+
+def locate_opposites(s, d):
+    layers = _layers(s, d)
+    return tidy(neighbors.opposite(neighbors.match_layers(layers, 10, 0.1), 10, 0, 0.5, layers))
+
+
+def cardinal_nodes(s, d):
+    chained = neighbors.chains(neighbors.match_layers(_layers(s, d), 10, 0.08), 10, 3)
+    return neighbors.cardinal_points(chained, {"east": 0, "north": 2, "west": 5, "south": 7})
+
+
+def chain_positions(s, d):
+    return neighbors.chains(neighbors.match_layers(_layers(s, d), 10, 0.08), 10, 3)
+
+
+def linked_edges(s, d):
+    layers = _layers(s, d)
+    paths = tracking.link_peaks(neighbors.chains(neighbors.match_layers(layers, 10, 0.08), 10, 3), layers, 10, 0.02)
+    return tracking.linked_edges(paths)
+
+
+def rates_at_points(s, d):
+    p = fixtures.points(s, d).select("cell_id", F.least(F.floor(F.col("y") * 16), F.lit(15)).cast("int").alias("iy"), F.least(F.floor(F.col("x") * 16), F.lit(15)).cast("int").alias("ix"), "s")
+    met = neighbors.at_bins(p, grids.kde(_grid(s, d), 16, 16, 2.0), B)
+    return tidy(met.groupBy("cell_id").agg(F.avg("rate").alias("mean_rate"), F.avg(F.col("rate") * F.col("s")).alias("at_events")))
+
+
+def head_direction(s, d):
+    t = fixtures.track(s, d).withColumn("dir", F.col("y") * 360)
+    return tidy(series.head_direction(t, "dir", M, DEGREE).select("cell_id", "t", "direction"), 5)
+
+
+def skip_statistics(s, d):
+    """Sums and means that skip NaN and null, with a default where nothing is left."""
+    v = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
+    rows = fixtures.table(s, d, "events").select("event_type", v.alias("v"), F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(v).alias("u"))
+    return tidy(rows.groupBy("event_type").agg(safe.skip_sum(F.col("v")).alias("total"), safe.skip_mean(F.col("v")).alias("mean"), safe.skip_mean(F.col("u"), -1.0).alias("mean_or")))
+
+
+def zscored(s, d):
+    e = fixtures.table(s, d, "events").where("value is not null")
+    w = Window.partitionBy("event_type")
+    return tidy(e.select("event_id", "event_type", safe.zscore(F.col("value"), F.avg("value").over(w), F.stddev_pop("value").over(w)).alias("z"), (F.col("value") - F.avg("value").over(w)).alias("centred")))
+
+
+def pending_keys(s, d):
+    """Keys that a store of fits lacks; the store is a table written by an earlier run (here the even keys)."""
+    keys = fixtures.track(s, d).select("cell_id").distinct()
+    return recordings.missing(keys, keys.where("cell_id % 2 = 0"), B)
+
+
+def ends_mask(s, d):
+    return geometry.hull_mask(geometry.hull(_unit_cloud(s, d)), 12, 12, ends=True)
+
+
+def mask_hull(s, d):
+    """Hull of each label's mask of bins (bin centres in the unit square)."""
+    return tidy(geometry.mask_hull(_label_masks(s, d), 16, 16).select("cell_id", "ax", "ay", "bx", F.col("by_").alias("by")))
+
+
+def arena_of_mask(s, d):
+    return tidy(geometry.arena_of_mask(_label_masks(s, d), 16, 16, 3))
+
+
+def boundary_distance_labels(s, d):
+    return tidy(_label_distances(s, d).select("cell_id", "point_id", "distance"))
+
+
+def near_boundary_filter_labels(s, d):
+    return _label_distances(s, d).where(F.abs("distance") > 1.0).select("cell_id", "point_id")
+
+
+def _label_distances(s, d) -> DataFrame:
+    cell = lambda c: F.least(F.floor(F.col(c) * 16), F.lit(15)).cast("int").alias(f"i{c}")
+    p = _unit_cloud(s, d).select(F.pmod(F.col("cell_id") + 1, F.lit(10)).cast("long").alias("cell_id"), F.col("vec_id").alias("point_id"), (F.col("x") * 16 - 0.5).alias("bx"), (F.col("y") * 16 - 0.5).alias("by_"), cell("y"), cell("x"))
+    return geometry.boundary_distance(p, _label_masks(s, d), 16, 16)
+
+
+def contains_units(s, d):
+    """Points of the next label's hull told in unit, bin and metre coordinates."""
+    planes = geometry.half_planes(geometry.hull(_unit_cloud(s, d))).select(F.pmod(F.col("cell_id") + 1, F.lit(10)).alias("cell_id"), "planes")
+    p = _unit_cloud(s, d).join(F.broadcast(planes), "cell_id")
+    box = [F.lit(x) for x in (-1.0, 3.0, 2.0, 4.0)]
+    return p.select("vec_id", *[geometry.contains(x, y, F.col("planes"), unit, 20, 30, box).alias(unit) for unit, x, y in (
+        ("unit", F.col("x"), F.col("y")), ("bin", F.col("x") * 30, F.col("y") * 20), ("meter", F.col("x") * 4 - 1, F.col("y") * 2 + 2))])
+
+
+def physical_units(s, d):
+    p = _unit_cloud(s, d)
+    return tidy(p.select("vec_id", *geometry.physical(F.col("x"), F.col("y"), 0.8, 0.4, 0.6)))
+
+
+def centred_grid(s, d):
+    return tidy(geometry.centred(s, 6, 9))
+
+
+def masked_rates(s, d):
+    """Rates on visited bins only: others null (a mask of ones and nulls)."""
+    g = grids.dense(_grid(s, d, 16, method="nearest"), 16, 16, ["n", "k"])
+    return tidy(g.select("cell_id", "iy", "ix", (safe.null_mask(F.col("n") > 20) * safe.sdiv(F.col("k"), F.col("n"))).alias("rate")))
+
+
+def elbo_bits(s, d):
+    """Bits a second of given bounds: with the ln Gamma correction of the counts."""
+    g = _grid(s, d, 8).withColumn("y", F.col("k") / F.col("n"))
+    per = moments.elbo_bits(g, F.lit(-1000.0) - F.col("cell_id"), 50.0, B)
+    return tidy(per, 5)
+
+
+def bessel_variance(s, d):
+    from tessera.functions.numerics import bessel_variance as scale
+
+    rows = [(k, *pair, scale(*pair)) for k, pair in enumerate([(0.05, 0.01), (0.1, 0.02), (0.02, 0.001)])]
+    return tidy(s.createDataFrame(rows, "id int, mean double, observed double, variance double"))
+
+
+def simulated_background(s, d):
+    """The rate map with a background that falls off from the middle."""
+    from tessera.sources.simulate import background_map
+
+    rate = background_map(24, 8.0)
+    return tidy(s.createDataFrame([(i, j, float(rate[i, j])) for i in range(24) for j in range(24)], "iy int, ix int, rate double"))
+
+
+def peak_filters(s, d):
+    """Peaks inside the key's hull, away from the edge, above the key's median height."""
+    peaks = grids.interpolate_peaks(grids.kde(_grid(s, d), 16, 16, 1.0), "rate", 16, 16, 1.0)
+    planes = geometry.half_planes(geometry.hull(_unit_cloud(s, d).where("cell_id < 4")))
+    out = posterior.filter_peaks(peaks, planes, edge=0.05, quantile=0.5)
+    return tidy(out.select("cell_id", "iy", "ix", "x", "y", "height"), 5)
+
+
+def truncated_spectrum(s, d):
+    """Frequencies of a long-form spectrum at a tenth of the largest other one or above, and the top ones by value."""
+    h = grids.hartley(_field(s, d, 8), "y", 8, 8).withColumn("power", F.col("c") * F.col("c"))
+    return tidy(grids.retained(h, "power", ["ky", "kx"], 0.1).select("cell_id", "ky", "kx", "power"), 9)
+
+
+def top_frequencies(s, d):
+    h = grids.hartley(_field(s, d, 8), "y", 8, 8).select("cell_id", "ky", "kx", F.round(F.col("c") * F.col("c"), 9).alias("power"))
+    return tidy(grids.top_frequencies(h, "power", ["ky", "kx"], 10).select("cell_id", "ky", "kx", "power"), 9)
+
+
+def upsampled_field(s, d):
+    return tidy(grids.unpack(fits.upsampled(grids.pack(_field(s, d, 8), 8, 8, ["y"]), "y", 2), ["y"]))
+
+
+def noise_draw_blocks(s, d):
+    """Shape of seeded block draws: every sample has blocks + 1 draws with replacement or a permutation without."""
+    a = series.random_draws(s, 3, 5, True, 1).groupBy("sample_id").agg(F.count(F.lit(1)).alias("draws"), F.lit(True).alias("replace"), F.lit(0).cast("long").alias("distinct_blocks"))
+    b = series.random_draws(s, 3, 5, False, 1).groupBy("sample_id").agg(F.count(F.lit(1)).alias("draws"), F.lit(False).alias("replace"), F.countDistinct("block_id").alias("distinct_blocks"))
+    return a.unionByName(b)
+
+
+def overlapping_folds(s, d):
+    f = series.edge_folds(fixtures.track(s, d), 5)
+    return tidy(f.groupBy("cell_id", "fold").agg(F.count_if("is_test").alias("tests"), F.avg(F.when(~F.col("is_test"), F.col("y"))).alias("train_mean")))
+
+
+def point_pairs(s, d):
+    """Repeated mutual matches of two point sets within a radius."""
+    a = _layers(s, d)
+    return tidy(neighbors.match(a, a.withColumn("layer", F.pmod(F.col("layer") - 5, F.lit(10))), ["layer"], 0.06))
 
 
 NAMES = [
@@ -513,5 +714,8 @@ NAMES = [
     "hessian_grid", "peaks_local_max", "peaks_interpolated", "packed_roundtrip", "nearest_point", "voronoi_assign", "region_moments", "weighted_region_moments",
     "mutual_nn_round1", "match_adjacent_layers", "chain_components", "alias_flags", "confidence_ellipse", "map_similarity", "poisson_deviance_cv", "density_rgb_mix",
     "estimator_spread", "streaming_counts_batch", "lgcp_fit_map", "lgcp_elbo_sweep", "lgcp_hill_climb", "lgcp_posterior_samples", "lgcp_heading_fit", "laplace_confidence", "linear_gp",
+    "grid_kernel", "recording_track", "silent_recordings", "locate_opposites", "cardinal_nodes", "chain_positions", "linked_edges", "rates_at_points", "head_direction", "skip_statistics", "zscored",
+    "pending_keys", "ends_mask", "mask_hull", "arena_of_mask", "boundary_distance_labels", "near_boundary_filter_labels", "contains_units", "physical_units", "centred_grid", "masked_rates",
+    "elbo_bits", "bessel_variance", "simulated_background", "peak_filters", "truncated_spectrum", "top_frequencies", "upsampled_field", "noise_draw_blocks", "overlapping_folds", "point_pairs",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -25,8 +25,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the folder that spark.checkpoint.dir names; only where it is unset (tests) a folder is made."""
+    """Eager checkpoint in the folder that spark.checkpoint.dir names; only where it is unset and Spark runs in one process
+    (tests) a folder is made.  Files go with their tables where spark.cleaner.referenceTracking.cleanCheckpoints is true."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()

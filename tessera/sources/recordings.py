@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.binning import spike_counts
+from tessera.operators.binning import shared_counts, spike_counts
 from tessera.operators.series import patch_glitches
 
 SAMPLES = {"cell_id", "t", "x_px", "y_px"}
@@ -20,27 +22,39 @@ def require(df: DataFrame, columns: set[str], name: str) -> DataFrame:
     return df
 
 
-def track(samples: DataFrame, spikes: DataFrame, recordings: DataFrame, patch: bool = True) -> DataFrame:
+def silent(spikes: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Keys of recordings that have no spikes (worth a warning)."""
+    return recordings.select("cell_id").distinct().join(spikes.select("cell_id"), "cell_id", "left_anti")
+
+
+def remapped(degrees):
+    """Head direction of the earlier convention: (180 - degrees) modulo 360."""
+    return F.pmod(180 - degrees, F.lit(360.0))
+
+
+def track(samples: DataFrame, spikes: DataFrame, recordings: DataFrame, patch: bool = True, warn: bool = False) -> DataFrame:
     """cell_id, t, x, y (metres), s: positions in metres with event counts per sample, jumps patched.
 
-    Event samples are converted to position samples by the two rates and shared between neighbours; the glitch
-    threshold is the recording's sample time.  `recordings` has one row a key.
+    Event samples are converted to position samples by the two rates and shared between neighbours as in `spike_counts`
+    (mass at the closed upper edge goes to the last sample); the glitch threshold is each recording's own sample time.
+    `recordings` has one row a key and `t` counts from 0.  `warn`: a warning names how many recordings have no spikes.
     """
     require(samples, SAMPLES, "samples")
     require(spikes, SPIKES, "spikes")
     require(recordings, RECORDINGS, "recordings")
-    keys = F.broadcast(recordings.select(*sorted(RECORDINGS)))
-    place = samples.join(keys, "cell_id").select("cell_id", "t", (F.col("x_px") / F.col("px_per_m")).alias("x"), (F.col("y_px") / F.col("px_per_m")).alias("y"), (1 / F.col("pos_rate")).alias("dt"))
-    u = F.col("spike_sample") / F.col("spk_rate") * F.col("pos_rate")
-    times = spikes.join(keys, "cell_id").select("cell_id", u.alias("u"))
-    low = F.floor("u").cast("long")
-    two = F.array(F.struct(low.alias("t"), (1 - (F.col("u") - low)).alias("c")), F.struct((low + 1).alias("t"), (F.col("u") - low).alias("c")))
-    count = times.select("cell_id", F.inline(two)).where("c > 0").groupBy("cell_id", "t").agg(F.sum("c").alias("s"))
+    if warn and (n := silent(spikes, recordings).count()):
+        warnings.warn(f"{n} recordings have no spikes", stacklevel=2)
+    keys = recordings.select(*sorted(RECORDINGS))
+    place = samples.join(keys, "cell_id").select(
+        "cell_id", "t", (F.col("x_px") / F.col("px_per_m")).alias("x"), (F.col("y_px") / F.col("px_per_m")).alias("y"), (1 / F.col("pos_rate")).alias("_dt")
+    )
+    steps = samples.groupBy("cell_id").agg((F.max("t") + 1).alias("steps"))
+    times = spikes.join(keys, "cell_id").join(steps, "cell_id").select("cell_id", "steps", (F.col("spike_sample") / F.col("spk_rate") * F.col("pos_rate")).alias("u"))
+    count = shared_counts(times, F.col("u"), F.col("steps"), ["cell_id"]).withColumnRenamed("count", "s")
     out = place.join(count, ["cell_id", "t"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     if patch:
-        order_step = out.withColumn("x", F.when(~F.isnan("x"), F.col("x"))).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
-        threshold = recordings.agg(F.max(1 / F.col("pos_rate"))).first()[0] or 0.0
-        out = patch_glitches(order_step, float(threshold))
+        holes = out.withColumn("x", F.when(~F.isnan("x"), F.col("x"))).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+        out = patch_glitches(holes, F.col("_dt"))
     return out.select("cell_id", "t", "x", "y", "s")
 
 
@@ -50,17 +64,22 @@ def read(spark: SparkSession, path: str, prefix: str = "", suffix: str = "") ->
     return rows.where(F.col("source_file").startswith(prefix) & F.col("source_file").endswith(suffix))
 
 
+def missing(keys: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
+    """Keys that `done` lacks."""
+    return keys.join(done.select(*by), by, "left_anti")
+
+
 def pending(keys: DataFrame, spark: SparkSession, store: str, by: list[str]) -> DataFrame:
     """Keys without a row in the store (a Parquet folder of fits, which may not exist yet)."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = hadoop.Path(store)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return keys
-    return keys.join(spark.read.parquet(store).select(*by), by, "left_anti")
+    return missing(keys, spark.read.parquet(store), by)
 
 
 def save(fits: DataFrame, store: str) -> None:
     fits.write.mode("append").parquet(store)
 
 
-__all__ = ["require", "track", "read", "pending", "save", "spike_counts"]
+__all__ = ["require", "silent", "remapped", "track", "read", "missing", "pending", "save", "spike_counts"]

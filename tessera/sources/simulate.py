@@ -45,28 +45,44 @@ def counts(rates: DataFrame, visits: float, seed: int = 0) -> DataFrame:
     return rates.mapInPandas(draw, "iy int, ix int, rate double, n double, k double")
 
 
-def explorations(spark: SparkSession, cells: int, seconds: float, fs: float, period: float, mean_hz: float = 1.2, seed: int = 0) -> DataFrame:
+def background_map(size: int, period: float, contrast: float = 0.5, mean: float = 1.2, pad: float = 0.15, background: bool = True) -> np.ndarray:
+    """exp(contrast * hex) on the inner square, 0 on the padding; with a background that falls off from the middle in
+    proportion to the distance (0 at one inner side); scaled so that the mean inside is `mean`."""
+    edge = int(size * pad)
+    z = np.arange(size) - size // 2
+    x, y = z[None, :], z[:, None]
+    wave = sum(np.cos((x * np.cos(a) + y * np.sin(a)) * (2 * np.pi / period)) for a in (0, np.pi / 3, 2 * np.pi / 3))
+    inside = np.zeros((size, size), dtype=bool)
+    inside[edge : size - edge, edge : size - edge] = True
+    rate = np.exp(contrast * wave) * inside
+    if background:
+        rate = rate * np.maximum(1 - np.hypot(x, y) / (size - 2 * edge), 0)
+    return rate * (mean / rate[inside].mean())
+
+
+def explorations(spark: SparkSession, cells: int, seconds: float, fs: float, period: float, mean_hz: float = 1.2, seed: int = 0, size: int = 128, step: float = 0.02, contrast: float = 0.5, pad: float = 0.15) -> DataFrame:
     """cell_id, t, x, y, s: noise-driven targets clipped to the unit square, followed through two 0.9 / 0.1 low-pass
-    filters, with Poisson events of a hexagonal rate map; one recording a key."""
+    filters and laid on the inner square of a `size` grid, with Poisson events of `background_map` there; `period` is a
+    share of the grid's side, x and y lie in the unit square on bins; one recording a key."""
     ship(spark)
 
     def record(g: pd.DataFrame) -> pd.DataFrame:
         cell = int(g["cell_id"].iloc[0])
         r = np.random.default_rng((seed, cell))
         t = int(seconds * fs)
+        edge = int(size * pad)
+        rates = background_map(size, period * size, contrast, mean_hz, pad)
         target, fast, slow = np.array([0.5, 0.5]), np.array([0.5, 0.5]), np.array([0.5, 0.5])
         path = np.empty((t, 2))
-        noise = r.standard_normal((t, 2)) * 0.2
+        noise = r.standard_normal((t, 2)) * step
         for k in range(t):
             target = np.clip(target + noise[k], 0, 1)
             fast = 0.9 * fast + 0.1 * target
             slow = 0.9 * slow + 0.1 * fast
             path[k] = slow
-        turn = 2 * np.pi / period
-        wave = sum(np.cos(turn * (path[:, 0] * np.cos(a) + path[:, 1] * np.sin(a))) for a in (0, np.pi / 3, 2 * np.pi / 3))
-        rate = np.exp(0.8 * wave)
-        s = r.poisson(rate / rate.mean() * mean_hz / fs).astype(float)
-        return pd.DataFrame({"cell_id": cell, "t": np.arange(t), "x": path[:, 0], "y": path[:, 1], "s": s})
+        at = (path * (size - 2 * edge) + edge).astype(np.int64)
+        s = r.poisson(rates[at[:, 1], at[:, 0]] / fs).astype(float)
+        return pd.DataFrame({"cell_id": cell, "t": np.arange(t), "x": at[:, 0] / size, "y": at[:, 1] / size, "s": s})
 
     keys = spark.range(cells).withColumnRenamed("id", "cell_id")
     return keys.groupBy("cell_id").applyInPandas(record, "cell_id long, t long, x double, y double, s double")
