@@ -210,6 +210,7 @@ def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFra
     large = sized.where(F.col("size") > SMALL).select("node", "pick", "cls", "size").join(sketches, "cls")
     # about PIVOTS members of every large node, by a hash
     pivots = large.where(F.pmod(F.xxhash64("cls", "node"), F.col("size")) < PIVOTS).groupBy("node").agg(F.collect_list("sig").alias("pivots"))
+    pivots = pivots.repartition(parts, F.xxhash64("node"))  # an exchange of its own, as in _sized
     met = large.join(pivots, "node", "left").select("node", "pick", "cls", "sig", F.coalesce("pivots", F.array("sig")).alias("pivots"))
     marked = cut(map_arrow(met, _central, "node long, pick int, cls long, central boolean"))
     enough = math.ceil(math.log(1 - target) / math.log(1 - threshold)) + 2
