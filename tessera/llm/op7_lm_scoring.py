@@ -12,21 +12,34 @@ adaptive probability map refines the result.  Weights and map are learnt on all
 training documents: online, bit block after bit block, in groups of about
 MIX_DOCS documents (dealt by a hash of the row), each bit left out of its own
 counters; then each weight and cell is averaged over the groups, weighted by how
-often each group moved it.  All factors are proper distributions, so `score` is
-the log10 probability of the whole text and total bits per byte follow from it.
-
-Tokens with at least 1/LOOKUP_SHARE of all occurrences (so at most LOOKUP_SHARE)
-are broadcast; the counts of all others meet their documents in a shuffle join
-on the token, which has no hot keys left.  The tables have a fixed size.
+often each group moved it.
+
+The longest context is the phrase: texts are cut where the hash of two tokens
+says so (about every PHRASE tokens, so equal passages are cut alike), and every
+phrase of the training documents is counted, whole, in a distributed table that
+grows with the corpus.  A phrase's probability is the mixture of its share of
+all training phrases (itself left out) and of the product of its tokens'
+probabilities; the weight is the share of training phrases that occur again.
+All factors are proper distributions, so `score` is the log10 probability of the
+whole text and total bits per byte follow from it.
+
+What grows with the corpus is kept in tables: counts of all tokens and of all
+phrases.  What is broadcast is bounded: tokens with at least 1/LOOKUP_SHARE of
+all occurrences (so at most LOOKUP_SHARE), the tree (at most MODEL_SHARE classes)
+and the context tables of 2**SLOT_BITS slots an order.  Rare tokens and phrases
+meet their counts in shuffle joins that Spark can split.  Tables of tasks are
+added up in two levels, so no task reads more than the root of their number.
 
 Edge cases: a null text counts as empty (one end token); a null doc_id is never
-held out; repeated rows each count; without training tokens every token has
-probability 1 (scores 0); other columns are not read.
+held out; doc_id is cast to long (what cannot be cast is null); repeated rows each
+count; without training tokens every token has probability 1 (scores 0); other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +50,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._arrow import map_arrow
 from tessera.llm._store import cut, shuffle_partitions, table
-from tessera.llm._text import mix, mix_int, text_chunks
+from tessera.llm._text import _POW_Q, _POW_QI, mix, mix_int, text_chunks
 
 LOOKUP_SHARE = 1 << 20
 MODEL_SHARE = 1 << 14
@@ -45,6 +58,7 @@ SLOT_BITS = 19
 MIX_DOCS = 1500
 CHUNK = 1 << 19
 BLOCK = 1 << 16
+PHRASE = 32
 ORDERS = 3
 DEPTHS = 4
 LEVELS = 5
@@ -76,6 +90,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
 
+def phrases(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase of each token, hash of each phrase): a phrase ends with its document, or at a token whose hash with the one
+    before it (in the document) says so."""
+    n = len(tokens)
+    before = np.full(n, START, dtype=np.uint64)
+    before[1:] = np.where(doc[1:] == doc[:-1], tokens[:-1], before[1:])
+    last = mix(tokens * np.uint64(_MUL[5]) + before) % np.uint64(PHRASE) == 0
+    last[:-1] |= doc[1:] != doc[:-1]
+    if n:
+        last[-1] = True
+    end = np.flatnonzero(last) + 1
+    start = np.concatenate([[0], end[:-1]]) if len(end) else end
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mix(tokens) * _POW_Q.upto(n), out=sums[1:])
+    hashes = mix((sums[end] - sums[start]) * _POW_QI.upto(n + 1)[start] + (end - start).astype(np.uint64))
+    return np.repeat(np.arange(len(end)), end - start), hashes
+
+
 class Coder:
     """Huffman tree over classes: paths of class k are nodes/bits[first[k]:first[k + 1]]; class 0 is the shared one."""
 
@@ -116,14 +148,18 @@ class Coder:
 
 def bit_stream(coder: Coder, tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(classes of tokens; per bit: its token, node, bit, depth; slots of its hashed contexts)."""
-    cls = coder.classes(tokens)
-    known = np.where(cls > 0, tokens, np.uint64(RARE))
-    one, two = np.full(len(tokens), START, dtype=np.uint64), np.full(len(tokens), START, dtype=np.uint64)
+    return class_bits(coder, coder.classes(tokens), doc)
+
+
+def class_bits(coder: Coder, cls: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """bit_stream of classes; contexts are the tokens of classes, RARE for the shared one."""
+    known = np.concatenate([np.array([RARE], dtype=np.uint64), coder.tokens])[cls]
+    one, two = np.full(len(cls), START, dtype=np.uint64), np.full(len(cls), START, dtype=np.uint64)
     one[1:] = np.where(doc[1:] == doc[:-1], known[:-1], one[1:])
     two[2:] = np.where(doc[2:] == doc[:-2], known[:-2], two[2:])
     contexts = [one * np.uint64(_MUL[0]), mix(one * np.uint64(_MUL[1]) + two), mix(two * np.uint64(_MUL[2]))]
     size = coder.sizes[cls]
-    owner = np.repeat(np.arange(len(tokens)), size)
+    owner = np.repeat(np.arange(len(cls)), size)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
     at = coder.first[cls][owner] + step
     node = coder.nodes[at]
@@ -132,8 +168,8 @@ def bit_stream(coder: Coder, tokens: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     return cls, owner, node, coder.bits[at], np.minimum(step // 3, DEPTHS - 1), slots
 
 
-def _tables(coder: Coder):
-    """Counters of one task's documents, order 0 first, in blocks."""
+def _tables(coder: Coder, groups: int):
+    """Counters of one task's documents, order 0 first, in blocks; tasks are dealt to `groups`."""
     size = 2 << SLOT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,20 +184,39 @@ def _tables(coder: Coder):
                 any_ = True
         if any_:
             flat = np.concatenate([exact.astype(np.int32), hashed.reshape(-1)])
+            own = (TaskContext.get().partitionId() if TaskContext.get() else 0) % groups
             for k in range(0, len(flat), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([flat[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "data"])
+                part = flat[k : k + BLOCK].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([own], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=BLOCKS)
 
     return run
 
 
+BLOCKS = ["block", "part", "data"]
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-            x = np.frombuffer(data.as_py(), np.int32)
-            total[block] = total[block] + x if block in total else x.astype(np.int64)
-    for block, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "data"])
+        for block, part, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data")):
+            x = np.frombuffer(data.as_py(), np.int64)
+            total[block, part] = total[block, part] + x if (block, part) in total else x
+    for (block, part), x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=BLOCKS)
+
+
+def count_contexts(train: DataFrame, coder: Coder) -> np.ndarray:
+    """Counters of all documents of train(text), added up by block within groups of tasks and then over the groups."""
+    schema = "block int, part int, data binary"
+    parts = shuffle_partitions(train.sparkSession)
+    # an upper bound of the number of tasks is not known before the plan runs; the shuffle partitions follow the input as tasks do
+    groups = max(1, math.isqrt(parts))
+    made = map_arrow(map_arrow(train.select("text"), _tables(coder, groups), schema).repartition(parts, "block", "part"), _add, schema)
+    added = map_arrow(made.withColumn("part", F.lit(0)).repartition(parts, "block"), _add, schema)
+    # the tables have a fixed size: SLOT_BITS, ORDERS and the tree's nodes
+    data = {r["block"]: np.frombuffer(r["data"], np.int64) for r in added.collect()}
+    width = 2 * coder.n_nodes + ORDERS * (2 << SLOT_BITS)
+    return np.concatenate([data[k] for k in sorted(data)]) if data else np.zeros(width, np.int64)
 
 
 class Counters:
@@ -212,7 +267,7 @@ class Mixer:
         refined = flat[at] * (1 - part) + flat[at + 1] * part
         return np.clip(0.5 * (1 / (1 + np.exp(-dot)) + refined), 1e-6, 1 - 1e-6)
 
-    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, depth: np.ndarray, bit: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, depth: np.ndarray, bit: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Online: predict a block of bits, then move weights and map towards what came; how often each gate and cell moved."""
         x = np.stack(inputs, axis=1)
         width = x.shape[1]
@@ -233,6 +288,20 @@ class Mixer:
         return np.bincount(gate, minlength=len(self.weights)), moved
 
 
+def _classes(coder: Coder):
+    """(rank, classes of its tokens as 16-bit numbers) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, tokens, doc, _ in token_stream(batch.column("text")):
+                cls = coder.classes(tokens).astype(np.uint16)
+                bound = np.searchsorted(doc, np.arange(j - i + 1))
+                blobs = [cls[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("rank").slice(i, j - i), pa.array(blobs, pa.binary())], names=["rank", "classes"])
+
+    return run
+
+
 def _mix(coder: Coder, counters: Counters):
     """Over rows sorted by group: (place among weights and map, value, how often it moved) of every group."""
 
@@ -240,17 +309,24 @@ def _mix(coder: Coder, counters: Counters):
         mixer = Mixer()
         gates, cells = np.zeros(len(mixer.weights), dtype=np.int64), np.zeros(mixer.apm.size, dtype=np.int64)
         rows.sort()
-        for a in range(0, len(rows), 50):
-            for _, _, tokens, doc, _ in token_stream(pa.array([t for _, t in rows[a : a + 50]], pa.string())):
-                _, _, node, bit, depth, slots = bit_stream(coder, tokens, doc)
-                inputs, levels = [], []
-                for pairs, at in zip(counters.pairs, [node, *slots]):
-                    zeros, ones = pairs[at, 0] - (bit == 0), pairs[at, 1] - (bit == 1)
-                    inputs.append(Counters.stretch(np.maximum(zeros, 0), np.maximum(ones, 0)))
-                    levels.append(Counters.level(zeros + ones))
-                moved = mixer.learn(inputs, Mixer.gate(levels[1], levels[2], depth), depth, bit)
-                gates += moved[0]
-                cells += moved[1]
+        a = 0
+        while a < len(rows):
+            b, size = a + 1, len(rows[a][1])
+            while b < len(rows) and b < a + 50 and size < CHUNK:
+                size += len(rows[b][1])
+                b += 1
+            cls = np.frombuffer(b"".join(x for _, x in rows[a:b]), np.uint16).astype(np.int64)
+            doc = np.repeat(np.arange(b - a), [len(x) // 2 for _, x in rows[a:b]])
+            a = b
+            _, _, node, bit, depth, slots = class_bits(coder, cls, doc)
+            inputs, levels = [], []
+            for pairs, at in zip(counters.pairs, [node, *slots]):
+                zeros, ones = pairs[at, 0] - (bit == 0), pairs[at, 1] - (bit == 1)
+                inputs.append(Counters.stretch(np.maximum(zeros, 0), np.maximum(ones, 0)))
+                levels.append(Counters.level(zeros + ones))
+            moved = mixer.learn(inputs, Mixer.gate(levels[1], levels[2], depth), depth, bit)
+            gates += moved[0]
+            cells += moved[1]
         n = np.concatenate([np.repeat(gates, mixer.weights.shape[1]), cells])
         at = np.flatnonzero(n)
         value = np.concatenate([mixer.weights.reshape(-1), mixer.apm.reshape(-1)])
@@ -259,12 +335,12 @@ def _mix(coder: Coder, counters: Counters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
-            for g, rank, text in zip(*(batch.column(c).to_pylist() for c in ("group", "rank", "text"))):
+            for g, rank, classes in zip(*(batch.column(c).to_pylist() for c in ("group", "rank", "classes"))):
                 if g != group and rows:
                     yield learn(rows)
                     rows = []
                 group = g
-                rows.append((rank, text or ""))
+                rows.append((rank, classes))
         if rows:
             yield learn(rows)
 
@@ -272,10 +348,12 @@ def _mix(coder: Coder, counters: Counters):
 
 
 def learn_mixer(train: DataFrame, coder: Coder, counters: Counters) -> tuple[Mixer, int]:
-    """Weights and map from all rows of train(doc_id, text), and how many bits they were learnt on."""
+    """Weights and map from all rows of train(doc_id, text), and how many bits they were learnt on; what is shuffled are the
+    documents' classes, two bytes a token."""
     mixer = Mixer()
     groups = max(1, -(-train.count() // MIX_DOCS))
-    dealt = train.select("text", F.xxhash64("doc_id", "text").alias("rank")).withColumn("group", F.pmod("rank", F.lit(groups)))
+    classes = map_arrow(train.select(F.xxhash64("doc_id", "text").alias("rank"), "text"), _classes(coder), "rank long, classes binary")
+    dealt = classes.withColumn("group", F.pmod("rank", F.lit(groups)))
     parts = max(groups, shuffle_partitions(train.sparkSession)) if groups > 1 else 1
     learnt = map_arrow(dealt.repartition(parts, "group").sortWithinPartitions("group"), _mix(coder, counters), "place int, value double, n long")
     # decimals, so that sums do not depend on order; at most a row for every weight and cell of the map
@@ -289,12 +367,15 @@ def learn_mixer(train: DataFrame, coder: Coder, counters: Counters) -> tuple[Mix
 
 
 ROWS = (
-    "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, log_known double, log_bits double, "
-    "log_inside double, n_inside long, rare array<long>, times array<int>"
+    "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, log_known double, "
+    "phrase array<long>, log_phrase array<double>, rare array<long>, rare_in array<int>"
 )
 
 
-def _score(coder: Coder, lookup: tuple[np.ndarray, np.ndarray], counters: Counters, mixer: Mixer):
+def _score(coder: Coder, lookup: tuple[np.ndarray, np.ndarray], counters: Counters, mixer: Mixer, inside_norm: float):
+    """Per document what is known without the rare tokens' counts: sums of log10(c + 0.5) for the base, per phrase its hash and
+    log10 of its tokens' probabilities, and the rare tokens with the phrase that each is in."""
+
     def make() -> tuple:
         stretched = [Counters.stretch(p[:, 0], p[:, 1]).astype(np.float32) for p in counters.pairs]
         levels = [Counters.level(p.sum(axis=1)).astype(np.uint8) for p in counters.pairs[1:3]]
@@ -312,22 +393,19 @@ def _score(coder: Coder, lookup: tuple[np.ndarray, np.ndarray], counters: Counte
                 inputs = [s[at] for s, at in zip(stretched, [node, *slots])]
                 gate = Mixer.gate(levels[0][slots[0]].astype(np.int64), levels[1][slots[1]].astype(np.int64), depth)
                 p = mixer.p(inputs, gate, depth)
-                log_bits = np.bincount(doc[owner], weights=np.log10(np.where(bit == 1, p, 1 - p)), minlength=n)
                 if len(token_of):
                     at = np.minimum(np.searchsorted(token_of, tokens), len(token_of) - 1)
                     found = token_of[at] == tokens
+                    logs = np.where(found, log_of[at], 0.0)
                 else:
-                    at, found = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-                logs = np.where(found, log_of[at], 0.0) if len(token_of) else np.zeros(len(tokens))
+                    found, logs = np.zeros(len(tokens), bool), np.zeros(len(tokens))
+                phrase, hashes = phrases(tokens, doc)
                 inside = cls == 0
+                log_phrase = np.bincount(phrase[owner], weights=np.log10(np.where(bit == 1, p, 1 - p)), minlength=len(hashes))
+                log_phrase = log_phrase + np.bincount(phrase[inside], weights=logs[inside] - inside_norm, minlength=len(hashes))
+                first = np.searchsorted(doc[np.flatnonzero(np.diff(phrase, prepend=-1))], np.arange(n + 1))
                 rare = np.flatnonzero(~found)
-                order = np.lexsort((tokens[rare], doc[rare]))
-                d, t = doc[rare][order], tokens[rare][order]
-                new = np.ones(len(d), dtype=bool)
-                new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
-                begin = np.flatnonzero(new)
-                times = np.diff(np.append(begin, len(d)))
-                bounds = pa.array(np.searchsorted(d[begin], np.arange(n + 1)), pa.int32())
+                bounds = pa.array(np.searchsorted(doc[rare], np.arange(n + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(n)),
@@ -337,11 +415,10 @@ def _score(coder: Coder, lookup: tuple[np.ndarray, np.ndarray], counters: Counte
                         pa.array(np.bincount(doc, minlength=n)),
                         pa.array(np.bincount(doc[found], minlength=n)),
                         pa.array(np.bincount(doc, weights=logs, minlength=n), pa.float64()),
-                        pa.array(log_bits.astype(np.float64)),  # bincount of nothing gives integers
-                        pa.array(np.bincount(doc[inside], weights=logs[inside], minlength=n).astype(np.float64)),
-                        pa.array(np.bincount(doc[inside], minlength=n)),
-                        pa.ListArray.from_arrays(bounds, pa.array(t[begin].view(np.int64))),
-                        pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(log_phrase.astype(np.float64))),
+                        pa.ListArray.from_arrays(bounds, pa.array(tokens[rare].view(np.int64))),
+                        pa.ListArray.from_arrays(bounds, pa.array((phrase[rare] - first[doc[rare]]).astype(np.int32))),
                     ],
                     names=[x.split()[0] for x in ROWS.split(", ")],
                 )
@@ -351,7 +428,8 @@ def _score(coder: Coder, lookup: tuple[np.ndarray, np.ndarray], counters: Counte
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of docs(doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, n_phrases and n_repeated (phrases
+    that occur elsewhere in the training documents) of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     train = docs.where(~F.col("held_out"))
@@ -367,34 +445,54 @@ def score(docs: DataFrame) -> DataFrame:
     inside = all_tokens - int(count[own].sum())
     coder = Coder(token[own], count[own], inside)
     parts = shuffle_partitions(spark)
-    blocks = map_arrow(map_arrow(train.select("text"), _tables(coder), "block int, data binary").repartition(parts, "block"), _add, "block int, data binary")
-    # the tables have a fixed size: SLOT_BITS, ORDERS and the tree's nodes
-    data = {r["block"]: np.frombuffer(r["data"], np.int64) for r in blocks.collect()}
-    width = 2 * coder.n_nodes + ORDERS * (2 << SLOT_BITS)
-    flat = np.concatenate([data[k] for k in sorted(data)]) if data else np.zeros(width, np.int64)
-    counters = Counters(coder, narrow(flat))
+    counters = Counters(coder, narrow(count_contexts(train, coder)))
     mixer, _ = learn_mixer(train, coder, counters)
-    rows = cut(map_arrow(docs, _score(coder, (token, count), counters, mixer), ROWS))
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    met = rare.join(counts, "token", "left").select(
-        "row", (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log_rare"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known_rare")
-    )
-    sums = met.groupBy("row").agg(F.sum("log_rare").alias("log_rare"), F.sum("known_rare").alias("known_rare"))
-    out = rows.drop("rare", "times").join(sums, "row", "left")
-    log_rare = F.coalesce("log_rare", F.lit(0.0))
     base_norm = float(np.log10(all_tokens + 0.5 * (types + 1)))
     inside_norm = float(np.log10(inside + 0.5 * (types - int(own.sum())) + 0.5))
-    base = F.col("log_known") + log_rare - F.col("n_tokens") * base_norm
-    model = F.col("log_bits") + F.col("log_inside") + log_rare - F.col("n_inside") * inside_norm
+    rows = cut(map_arrow(docs, _score(coder, (token, count), counters, mixer, inside_norm), ROWS))
+
+    whole = rows.select("row", "held_out", F.posexplode(F.arrays_zip("phrase", "log_phrase")).alias("k", "x"))
+    whole = whole.select("row", "held_out", "k", F.col("x.phrase").alias("phrase"), F.col("x.log_phrase").alias("log"))
+    known = whole.where(~F.col("held_out")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    seen = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("again"))
+    # counts are dealt anew, so that both sides of the join are exchanges that Spark can split
+    met = whole.join(known.repartition(parts, F.xxhash64("phrase")), "phrase", "left").crossJoin(F.broadcast(seen))
+    left_out = F.when(F.col("held_out"), 0).otherwise(1)
+    others = F.coalesce("n", F.lit(0)) - F.when(F.col("n").isNull(), 0).otherwise(left_out)
+    share = F.least(F.col("again") / F.greatest("all_", F.lit(1)), F.lit(0.99))
+    repeat = F.when(others > 0, F.log10(share * others / F.greatest(F.col("all_") - left_out, F.lit(1))))
+    nothing = F.lit(None).cast("double")
+    first = met.select("row", "k", "log", repeat.alias("repeat"), F.log10(1 - share).alias("fresh"), nothing.alias("base"), F.lit(0).alias("hit"))
+
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_in")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.rare_in").alias("k"))
+    log_rare = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
+    second = rare.join(counts, "token", "left").select(
+        "row", "k", log_rare.alias("log"), nothing.alias("repeat"), nothing.alias("fresh"), log_rare.alias("base"), F.when(F.col("c") > 0, 1).otherwise(0).alias("hit")
+    )
+    # a document's phrases lie in one partition, so both sums need no further exchange
+    both = first.unionByName(second).repartition(parts, "row")
+    each = both.groupBy("row", "k").agg(F.sum("log").alias("log"), F.max("repeat").alias("repeat"), F.max("fresh").alias("fresh"), F.sum("base").alias("base"), F.sum("hit").alias("hit"))
+    plain = F.col("log") + F.col("fresh")
+    high, low = F.greatest(plain, F.col("repeat")), F.least(plain, F.col("repeat"))
+    mixed = F.when(F.col("repeat").isNull(), plain).otherwise(high + F.log10(F.pow(F.lit(10.0), low - high) + 1))
+    sums = each.groupBy("row").agg(
+        F.sum(mixed).alias("model"), F.coalesce(F.sum("base"), F.lit(0.0)).alias("log_rare"), F.sum("hit").alias("known_rare"),
+        F.count(F.lit(1)).alias("n_phrases"), F.count("repeat").alias("n_repeated"),
+    )
+    out = rows.drop("phrase", "log_phrase", "rare", "rare_in").join(sums, "row")
+    base = F.col("log_known") + F.col("log_rare") - F.col("n_tokens") * base_norm
+    model = F.col("model")
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("known_rare", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("known") + F.col("known_rare")).cast("long").alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         model.alias("score"),
         (-model * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        "n_phrases",
+        "n_repeated",
     )
 
 

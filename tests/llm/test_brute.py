@@ -394,6 +394,28 @@ def test_lm_base_and_model(docs):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_phrases(spark):
+    """Phrases are cut and counted as in a plain version; texts that occur twice score better than any other."""
+    r = random.Random(6)
+    words = [f"v{k}" for k in range(4000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(150, 400))) for _ in range(60)]
+    rows = list(enumerate(texts + texts[:15] + [texts[20][: len(texts[20]) // 2] + " and a tail"]))
+    cut_ = {}
+    for k, t in rows:
+        _, _, tokens, doc, _ = next(op7.token_stream(pa.array([t])))
+        phrase, hashes = op7.phrases(tokens, doc)
+        cut_[k] = [tuple(tokens[phrase == j].tolist()) for j in range(len(hashes))]
+        assert len({h for h in hashes.tolist()}) == len(set(cut_[k])) and sum(map(len, cut_[k])) == len(tokens)
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in rows}
+    n = Counter(p for k in cut_ if not held[k] for p in cut_[k])
+    got = {x.doc_id: x for x in op7.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, x in got.items():
+        assert x.n_phrases == len(cut_[k]) and x.n_repeated == sum(n[p] - (not held[k]) > 0 for p in cut_[k]), k
+    twice = [k for k in range(15) if not held[k] and not held[60 + k]]
+    once = [k for k in range(25, 60)]
+    assert twice and max(got[k].bits_per_byte for k in twice) < 0.7 * min(got[k].bits_per_byte for k in once)
+
+
 def test_lm_is_a_distribution():
     """Probabilities of all classes after any history sum to one."""
     r = np.random.default_rng(2)
