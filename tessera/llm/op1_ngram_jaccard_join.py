@@ -201,7 +201,7 @@ def _named(sized: DataFrame) -> DataFrame:
 
 
 def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct (leaf, cls, size) of classes(cls, sig) after all runs: of split nodes, and of dense ones."""
+    """(leaf, cls, size) of classes(cls, sig) after all runs: of split nodes (distinct), and of dense ones."""
     runs = runs_needed(threshold, DEPTH, target)
     sketches = classes.select("cls", "sig")
     parts = shuffle_partitions(classes.sparkSession)
@@ -219,7 +219,7 @@ def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFra
     dense = _named(_sized(marked.select("node", "pick", "cls", "central"), only=F.max("central")))
     rest = marked.where(~F.col("central")).select("node", "pick", "cls").join(sketches, "cls").select("node", "pick", "cls", "sig")
     split = _named(_sized(map_arrow(rest, _split(threshold), NODES)))
-    return small.unionByName(split).distinct(), dense.distinct()
+    return small.unionByName(split).distinct(), dense
 
 
 def _likely(least: int):
@@ -284,7 +284,7 @@ def likely(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
         .sortWithinPartitions("task")
     )
     kept = cut(map_arrow(dealt, _likely(least), "leaf long, cls long").distinct())
-    return cut(_named(_sized(kept, "leaf")).distinct())
+    return _named(_sized(kept, "leaf"))
 
 
 DEALT = "task long, leaf long, side int, both boolean, cls long, copies long, shingles binary, leaves binary"
@@ -438,8 +438,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
         sketch.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     )
     split, dense = leaves(classes, threshold, target)
-    found = likely(split, classes, threshold).unionByName(dense).distinct()
-    places = found.groupBy("cls").agg(F.collect_list(F.struct("leaf", "size")).alias("places"))
+    found = likely(split, classes, threshold).unionByName(dense)
+    places = found.groupBy("cls").agg(F.collect_set(F.struct("leaf", "size")).alias("places"))
     wanted = places.join(classes.select("cls", "rep", "copies"), "cls").withColumnRenamed("rep", "doc_id")
     texts = rows.join(wanted, "doc_id").select("text", "cls", "copies", "places")
     parts = shuffle_partitions(spark)
