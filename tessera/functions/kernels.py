@@ -84,6 +84,43 @@ def spectrum(shape: tuple[int, int], period: float, variance: float, angle: floa
     return np.where(kept, f + noise, 0.0)
 
 
+def early_spectrum(size: int, period: float, variance: float, zero: int = 3, eps: float = 1e-7, dc: float = 1e3, least: float = 0.1) -> np.ndarray:
+    """Spectrum of the earlier radial kernel on a square grid: J0 cut at its zero-th zero, Hann-tapered, blurred by the unit-sum
+    kernel exp(-d^2 pi^2 / period^2), eigenvalues at eps or above; dc at frequency 0, and only frequencies above `least` of
+    the second-largest value, or whose transpose is, are kept."""
+    dy, dx = offsets(size, size)
+    r = np.hypot(dx, dy) * 2 * np.pi / period
+    hann = np.fft.ifftshift(np.hanning(size))
+    k = j0(r) * np.outer(hann, hann) * (r < J0_ZEROS[zero - 1])
+    soft = np.exp(-(dx**2 + dy**2) * (np.pi / period) ** 2)
+    k = convolve(k, soft / soft.sum())
+    f = np.maximum(np.fft.fft2(k / k.max()).real, eps) * variance
+    f[0, 0] += dc
+    kept = f > np.sort(f, axis=None)[-2] * least
+    return np.where(kept | kept.T, f, 0.0)
+
+
+def banded_spectrum(shape: tuple[int, int], period: float, variance: float, dc: float = 1e3, least: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """(spectrum without dc, kept frequencies) of the radial kernel with frequencies at a hundredth of the largest value kept;
+    dc counts for what is kept but never reaches the solver."""
+    f = np.fft.fft2(grid_kernel(period, shape)).real * variance
+    whole = f.copy()
+    whole[0, 0] += dc
+    other = whole.copy()
+    other[0, 0] = 0
+    kept = whole >= least * other.max()
+    return np.where(kept, f, 0.0), kept
+
+
+def joint_spectrum(layers: int, space: np.ndarray, keep: int = 1000) -> np.ndarray:
+    """Spectrum of heading x space: the tensor product with the heading kernel; values above the quantile that leaves about
+    `keep` frequencies are kept."""
+    f = np.fft.fft(heading_kernel(layers)).real[:, None, None] * space[None]
+    f = 0.5 * (f + np.roll(f[::-1, ::-1, ::-1], (1, 1, 1), (0, 1, 2)))  # a frequency and its mirror image stay together
+    share = 100 * (1 - (min(keep, f.size) - 1) / max(f.size - 1, 1))
+    return np.where(f > np.percentile(f.ravel()[1:], min(max(share, 0), 100)), f, 0.0)
+
+
 def heading_kernel(size: int) -> np.ndarray:
     """max(0, cos)^2 over a turn, with a non-negative spectrum."""
     k = np.maximum(np.cos(np.arange(size) * 2 * np.pi / size), 0) ** 2

@@ -150,19 +150,24 @@ def peak_covariance(result: Fit, iy: int, ix: int) -> tuple[float, float, float]
 
 
 def hill_climb(shape: tuple[int, ...], evaluate, start: tuple[int, ...] | None = None) -> tuple[tuple[int, ...], dict]:
-    """Best index found by moving to improving axis neighbours from the middle; every point is evaluated once."""
+    """Best index found by a climb from the middle, every point evaluated once: from a point that is the best so far the
+    climb first goes on in the direction it came from, then tries the other axis directions while it stays the best."""
     seen: dict[tuple[int, ...], float] = {}
-
-    def value(at: tuple[int, ...]) -> float:
-        if at not in seen:
-            seen[at] = evaluate(at)
-        return seen[at]
-
-    at = start or tuple(s // 2 for s in shape)
-    value(at)
-    while True:
-        around = [at[:d] + (at[d] + step,) + at[d + 1 :] for d in range(len(shape)) for step in (1, -1) if 0 <= at[d] + step < shape[d]]
-        best = max(around, key=value, default=at)
-        if value(best) <= value(at):
-            return at, seen
-        at = best
+    best: list = [None]
+    ways = [tuple(step if d == axis else 0 for d in range(len(shape))) for axis in range(len(shape)) for step in (-1, 1)]
+    todo = [(tuple(start or (s // 2 for s in shape)), None, False)]
+    while todo:  # a stack of (point, direction, whether the point must still be the best to go there)
+        at, way, returned = todo.pop()
+        if returned:  # the point has been left in one direction; go on with the next while it is the best
+            if best[0] == at and way:
+                todo.append((at, way[1:], True))
+                todo.append((tuple(a + w for a, w in zip(at, way[0])), way[0], False))
+            continue
+        if at in seen or not all(0 <= a < s for a, s in zip(at, shape)):
+            continue
+        seen[at] = evaluate(at)
+        if best[0] is None or seen[at] > seen[best[0]]:
+            best[0] = at
+        order = ([way] if way else []) + [w for w in ways if w != way]
+        todo.append((at, order, True))
+    return best[0], seen

@@ -58,28 +58,49 @@ def fit_maps(packed: DataFrame, style: str = "radial", by: list[str] = BY) -> Da
     return _run(packed, one, schema, by)
 
 
+CHUNK = 16
+
+
+def shared_frequencies(shape: tuple[int, int], settings: list[tuple], style: str) -> np.ndarray:
+    """Union of the frequencies that the settings (id, period, variance, angle) keep, at most the solver's limit of them."""
+    kept = np.zeros(shape, dtype=bool)
+    for _, p, v, a in settings:
+        kept |= kernels.spectrum(shape, p, v, a, style) > 0
+    if kept.sum() > solver.LIMIT:
+        order = np.argsort(-np.where(kept, kernels.spectrum(shape, *settings[0][1:], style, least=-np.inf), -np.inf), axis=None)
+        kept = np.zeros(kept.size, dtype=bool)
+        kept[order[: solver.LIMIT]] = True
+        kept = kept.reshape(shape)
+    return kept
+
+
 def sweep(packed: DataFrame, grid: DataFrame, style: str = "radial", by: list[str] = BY) -> DataFrame:
     """elbo of every key and parameter row of grid(param_id, period, variance, angle), on one shared set of frequencies
-    per key (the union over the grid), so that scores compare.  The grid is collected: it is a list of settings."""
-    settings = [(r["param_id"], r["period"], r["variance"], r["angle"]) for r in grid.collect()]
+    per map shape (the union over the grid), so that scores compare.
+
+    The grid is collected: it is a list of settings.  Shared frequencies are found once for each map shape, and a map is
+    shipped once for each CHUNK of settings, whose fits start from one another."""
+    settings = sorted((r["param_id"], r["period"], r["variance"], r["angle"]) for r in grid.collect())
+    if not settings:
+        raise ValueError("no settings to sweep")
+    shapes = [(r["h"], r["w"]) for r in packed.select("h", "w").distinct().collect()]  # a few
+    kept = {shape: shared_frequencies(shape, settings, style) for shape in shapes}
 
     def one(row: pd.Series) -> pd.DataFrame:
         n, k = _maps(row)
         _, _, _, mean = solver.heuristics(n, k)
-        kept = np.zeros(n.shape, dtype=bool)
-        for _, p, v, a in settings:
-            kept |= kernels.spectrum(n.shape, p, v, a, style) > 0
-        order = np.argsort(-np.where(kept, kernels.spectrum(n.shape, *settings[0][1:], style, least=-np.inf), -np.inf), axis=None)
-        if kept.sum() > solver.LIMIT:
-            kept = np.zeros(n.size, dtype=bool)
-            kept[order[: solver.LIMIT]] = True
-            kept = kept.reshape(n.shape)
-        p, v, a = row["period"], row["variance"], row["angle"]
-        got = solver.fit(np.where(kept, np.maximum(kernels.spectrum(n.shape, p, v, a, style, kept=kept), 1e-9), 0), n, k, mean)
-        return pd.DataFrame({x: [row[x]] for x in by} | {"param_id": [row["param_id"]], "period": [p], "variance": [v], "angle": [a], "elbo": [got.elbo]})
-
-    crossed = packed.crossJoin(F.broadcast(grid))
-    return _run(crossed, one, f"{_key(packed, by)}, param_id long, period double, variance double, angle double, elbo double", [*by, "param_id"])
+        chosen = settings[row["_chunk"] * CHUNK : (row["_chunk"] + 1) * CHUNK]
+        own = kept[n.shape]
+        found = []
+        for _, p, v, a in chosen:
+            spectrum = np.where(own, np.maximum(kernels.spectrum(n.shape, p, v, a, style, kept=own), 1e-9), 0)
+            found.append(solver.fit(spectrum, n, k, mean).elbo)
+        ids, p, v, a = zip(*chosen)
+        return pd.DataFrame({x: [row[x]] * len(chosen) for x in by} | {"param_id": ids, "period": p, "variance": v, "angle": a, "elbo": found})
+
+    chunks = packed.sparkSession.range(-(-len(settings) // CHUNK)).withColumnRenamed("id", "_chunk")  # fewer rows than settings
+    crossed = packed.crossJoin(F.broadcast(chunks))
+    return _run(crossed, one, f"{_key(packed, by)}, param_id long, period double, variance double, angle double, elbo double", [*by, "_chunk"])
 
 
 def best(swept: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -107,15 +128,65 @@ def climb(packed: DataFrame, periods: list[float], variances: list[float], style
     return _run(packed, one, f"{_key(packed, by)}, period double, variance double, elbo double, fits int", by)
 
 
-def optimise(packed: DataFrame, periods: list[float], variances: list[float], angles: list[float], by: list[str] = BY) -> DataFrame:
-    """Period and variance by a radial sweep, then the angle by an oriented one, all keys at once."""
+def log_grid(centre: float, ratio: float, count: int) -> list[float]:
+    """`count` values from centre / ratio to centre * ratio, evenly in the logarithm."""
+    return np.exp(np.linspace(np.log(centre / ratio), np.log(centre * ratio), count)).tolist()
+
+
+def optimise(packed: DataFrame, periods: list[float], variances: list[float], angles: list[float], by: list[str] = BY, oriented: bool = False) -> DataFrame:
+    """Period and variance by a radial sweep, then the angle by an oriented one, all keys at once; `oriented`: a third
+    stage sweeps period and variance again with the oriented kernel at each key's angle."""
     spark = packed.sparkSession
     first = [(i * len(variances) + j, p, v, 0.0) for i, p in enumerate(periods) for j, v in enumerate(variances)]
     schema = "param_id long, period double, variance double, angle double"
     top = best(sweep(packed, spark.createDataFrame(first, schema), "radial", by), by).select(*by, "period", "variance")
     turns = spark.createDataFrame(list(enumerate(angles)), "param_id long, angle double")
     turned = packed.drop("period", "variance", "angle").join(top, by).crossJoin(F.broadcast(turns))
-    return best(fit_maps(turned, "grid", [*by, "param_id"]).select(*by, "param_id", "period", "variance", "angle", "elbo"), by)
+    got = best(fit_maps(turned, "grid", [*by, "param_id"]).select(*by, "param_id", "period", "variance", "angle", "elbo"), by)
+    if not oriented:
+        return got
+    again = spark.createDataFrame([row[:3] for row in first], "param_id long, period double, variance double")
+    third = packed.drop("period", "variance", "angle").join(got.select(*by, "angle"), by).crossJoin(F.broadcast(again))
+    return best(fit_maps(third, "grid", [*by, "param_id"]).select(*by, "param_id", "period", "variance", "angle", "elbo"), by)
+
+
+def prepare(points: DataFrame, size: int = 128, margin: float = 0.15, weight=None, by: list[str] = BY) -> DataFrame:
+    """From samples (key, x, y, s) in metres to one packed row a key: arena (x0, x1, y0, y1, h, w, res), visits n, counts k,
+    rate histogram y, heuristic period, variance and angle, and arrays kde (rate), prior_mean and kde_log (log rate of the
+    map above the prior mean).  Arenas have `size` bins a side: the short side's are those of the square box."""
+    from tessera.operators import binning, geometry, grids
+
+    arena = geometry.arena(points, size, margin, by)
+    edge = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = arena.select(*by, ((F.col("x0") + F.col("x1") - edge) / 2).alias("_x"), ((F.col("y0") + F.col("y1") - edge) / 2).alias("_y"), edge.alias("_e"))
+    unit = points.join(box, by).withColumn("x", (F.col("x") - F.col("_x")) / F.col("_e")).withColumn("y", (F.col("y") - F.col("_y")) / F.col("_e"))
+    grid = binning.visits_and_counts(unit, size, weight, by)
+    packed = grids.pack(binning.rates(grid), size, size, ["n", "k", "y"], by).join(box.select(*by, F.col("_x").alias("x0"), F.col("_y").alias("y0"), F.col("_e").alias("edge")), by)
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        n, k = _maps(row)
+        p, v, a, mean = solver.heuristics(n, k)
+        near = numerics.kde(n, k, p / (np.pi * np.sqrt(2)))
+        out = {x: [row[x]] for x in [*by, "h", "w", "x0", "y0", "edge", "n", "k", "y"]} | {"period": [p], "variance": [v], "angle": [a]}
+        out |= {"kde": [near.ravel()], "prior_mean": [mean.ravel()], "kde_log": [(np.log(np.maximum(near, 1e-10)) - mean).ravel()]}
+        return pd.DataFrame(out)
+
+    array = "array<double>"
+    schema = f"{_key(packed, by)}, h int, w int, x0 double, y0 double, edge double, n {array}, k {array}, y {array}, period double, variance double, angle double, kde {array}, prior_mean {array}, kde_log {array}"
+    return _run(packed, one, schema, by)
+
+
+def regress(packed: DataFrame, fs: float, style: str = "radial", by: list[str] = BY) -> DataFrame:
+    """Fits with their moments by bin (long form): key, iy, ix, log_rate, log_var, mean_rate, variance, cv, mean_hz,
+    variance_hz, and the fit's elbo, period and prior variance."""
+    from tessera.functions.safe import lognormal
+    from tessera.operators import grids
+
+    fitted = fit_maps(packed, style, by)
+    long = grids.unpack(fitted, ["log_rate", "log_var"], by)
+    moments = [c.alias(n) for n, c in lognormal(F.col("log_rate"), F.col("log_var"), fs).items()]
+    scores = fitted.select(*by, "elbo", "period", F.col("variance").alias("prior_variance"))
+    return long.select(*by, "iy", "ix", "log_rate", "log_var", *moments).join(scores, by)
 
 
 def posterior_samples(packed: DataFrame, count: int, seed: int = 0, style: str = "radial", by: list[str] = BY) -> DataFrame:
@@ -160,27 +231,42 @@ def linear_maps(packed: DataFrame, sigma: float, by: list[str] = BY) -> DataFram
     return _run(packed, one, f"{_key(packed, by)}, h int, w int, rate array<double>, filtered array<double>", by)
 
 
-def fit_headings(packed: DataFrame, angles: int, style: str = "radial", by: list[str] = BY) -> DataFrame:
-    """One joint heading x space fit per key of packed(key, d, h, w, n, k) with `angles` = d layers: elbo and, per layer,
-    its angle and rate array."""
+def _joint(row: pd.Series, style: str, keep: int) -> solver.Fit:
+    shape = (int(row["d"]), int(row["h"]), int(row["w"]))
+    n, k = np.asarray(row["n"], dtype=float).reshape(shape), np.asarray(row["k"], dtype=float).reshape(shape)
+    p, v, a, mean = solver.heuristics(n.sum(axis=0), k.sum(axis=0))
+    p, v, a = (float(row[c]) if c in row and row[c] is not None and np.isfinite(row[c]) else x for c, x in (("period", p), ("variance", v), ("angle", a)))
+    space = kernels.spectrum(shape[1:], p, v, a, style, least=-np.inf)
+    return solver.fit(kernels.joint_spectrum(shape[0], space, keep), n, k, np.broadcast_to(mean, shape))
+
+
+def fit_headings(packed: DataFrame, angles: int, style: str = "radial", by: list[str] = BY, keep: int = 1000) -> DataFrame:
+    """One joint heading x space fit per key of packed(key, d, h, w, n, k[, period, variance, angle]) with `angles` = d
+    layers, on the `keep` largest frequencies: elbo and, per layer, its angle and rate array."""
 
     def one(row: pd.Series) -> pd.DataFrame:
-        shape = (int(row["d"]), int(row["h"]), int(row["w"]))
-        n, k = np.asarray(row["n"], dtype=float).reshape(shape), np.asarray(row["k"], dtype=float).reshape(shape)
-        p, v, a, mean = solver.heuristics(n.sum(axis=0), k.sum(axis=0))
-        space = np.fft.fft2(kernels.grid_kernel(p, shape[1:], style, a)).real * v
-        turn = np.fft.fft(kernels.heading_kernel(shape[0])).real
-        spectrum = turn[:, None, None] * space[None]
-        other = np.sort(spectrum.ravel())[::-1]
-        spectrum = np.where(spectrum >= max(other[min(len(other) - 1, 400)], 0.1 * other[0]), spectrum, 0.0)
-        spectrum[0, 0, 0] += 1e3
-        got = solver.fit(spectrum, n, k, np.broadcast_to(mean, shape))
-        rate = got.rate()
-        return pd.DataFrame({x: [row[x]] * shape[0] for x in by} | {"layer": range(shape[0]), "angle": np.arange(shape[0]) * 2 * np.pi / shape[0], "elbo": got.elbo, "rate": [x.ravel() for x in rate]})
+        got, d = _joint(row, style, keep), int(row["d"])
+        return pd.DataFrame({x: [row[x]] * d for x in by} | {"layer": range(d), "angle": np.arange(d) * 2 * np.pi / d, "elbo": got.elbo, "rate": [x.ravel() for x in got.rate()]})
 
     return _run(packed, one, f"{_key(packed, by)}, layer int, angle double, elbo double, rate array<double>", by)
 
 
+def heading_samples(packed: DataFrame, count: int, seed: int = 0, style: str = "radial", by: list[str] = BY, keep: int = 1000) -> DataFrame:
+    """Posterior draws of the joint fit: rows (key, layer, sample_id, h, w, z) of the log rate less the prior mean, for
+    peaks and densities per heading."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        got, d = _joint(row, style, keep), int(row["d"])
+        draws = got.samples(count, abs(hash((seed, *(int(row[x]) for x in by)))) % 2**32)
+        at = [(layer, k) for layer in range(d) for k in range(count)]
+        return pd.DataFrame(
+            {x: [row[x]] * len(at) for x in by}
+            | {"layer": [a for a, _ in at], "sample_id": [k for _, k in at], "h": int(row["h"]), "w": int(row["w"]), "z": [draws[k, a].ravel() for a, k in at]}
+        )
+
+    return _run(packed, one, f"{_key(packed, by)}, layer int, sample_id long, h int, w int, z array<double>", by)
+
+
 def heuristics(packed: DataFrame, by: list[str] = BY) -> DataFrame:
     """Period (bins), prior variance and orientation per key, from the autocorrelation of a kernel-density map."""
 

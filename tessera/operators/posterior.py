@@ -17,10 +17,10 @@ from tessera.runtime import cut, ship
 BY = ["cell_id"]
 
 
-def sampled_peaks(samples: DataFrame, size: int, radius: float, by: list[str] = BY) -> DataFrame:
-    """Interpolated peaks of every posterior sample (key, sample_id, h, w, z) of square maps."""
+def sampled_peaks(samples: DataFrame, size: int, radius: float, by: list[str] = BY, quantile: float = 0.25) -> DataFrame:
+    """Interpolated peaks of every posterior sample (key, sample_id, h, w, z) of square maps, above the sample's quantile."""
     long = grids.unpack(samples, ["z"], [*by, "sample_id"])
-    return grids.interpolate_peaks(long, "z", size, size, radius, by=[*by, "sample_id"])
+    return grids.interpolate_peaks(long, "z", size, size, radius, quantile, [*by, "sample_id"])
 
 
 def filter_peaks(peaks: DataFrame, planes: DataFrame, edge: float = 0.0, quantile: float = 0.0, least: float | None = None, probability: str = "total", localisation: float | None = None, by: list[str] = BY) -> DataFrame:
@@ -37,16 +37,16 @@ def filter_peaks(peaks: DataFrame, planes: DataFrame, edge: float = 0.0, quantil
     return out
 
 
-def sampled_confidence(samples: DataFrame, size: int, period: float, least: float = 0.1, by: list[str] = BY) -> DataFrame:
+def sampled_confidence(samples: DataFrame, size: int, period: float, least: float = 0.1, by: list[str] = BY, reach: float | None = None, quantile: float = 0.25) -> DataFrame:
     """Fields found in the density of sampled peaks: (key, field, total, mx, my, xx, xy, yy).
 
-    Peaks are binned per sample and averaged, the density is blurred by a tenth of the period, its peaks are the
+    Peaks (local maxima within `reach`, half the period, above the sample's quantile) are binned per sample and averaged, the density is blurred by a tenth of the period, its peaks are the
     fields, every bin within 0.7 periods goes to its closest field, and the density's moments there are the field's
     Gaussian; `total` is the expected number of peaks, and fields below `least` are dropped.
     """
-    radius, samples = period / 2, cut(samples)
+    radius, samples = period / 2 if reach is None else reach, cut(samples)
     count = samples.groupBy(*by).agg(F.countDistinct("sample_id").alias("_s"))
-    found = sampled_peaks(samples, size, radius, by).select(*by, "sample_id", "x", "y").join(F.broadcast(count), by)
+    found = sampled_peaks(samples, size, radius, by, quantile).select(*by, "sample_id", "x", "y").join(count, by)
     density = cut(grids.dense(grids.peak_density(found, F.col("_s"), size, by), size, size, ["n"], by))
     soft = cut(grids.blur(density, ["n"], size, size, max(0.5, period / 10), by))
     fields = grids.interpolate_peaks(soft, "n", size, size, max(1.0, radius / 2), 0.5, by).select(*by, F.col("rank").alias("id"), "x", "y")
@@ -127,6 +127,25 @@ def heading_variance(packed: DataFrame, factors: list[float], period: float, var
     return fits.best(fits.sweep(packed, grid, "grid", by), by).withColumn("factor", F.col("variance") / variance)
 
 
+def heading_density(packed: DataFrame, count: int, size: int, period: float, by: list[str] = BY, seed: int = 0, keep: int = 1000) -> DataFrame:
+    """Density of posterior peaks per heading layer: mean number of interpolated peaks (key, layer, iy, ix, n) over draws of
+    the joint heading x space fit, local maxima within period / 2.5."""
+    keys = [*by, "layer"]
+    samples = cut(fits.heading_samples(packed, count, seed, by=by, keep=keep))
+    peaks = sampled_peaks(samples, size, period / 2.5, keys)
+    return grids.peak_density(peaks.select(*keys, "sample_id", "x", "y"), F.lit(float(count)), size, keys)
+
+
+def heading_confidence(packed: DataFrame, planes: DataFrame, count: int, size: int, period: float, by: list[str], exclusion: float = 0.4, edge: float = 0.2, height: float = 0.9, probability: float = 0.01, seed: int = 0) -> DataFrame:
+    """Confidence of fields per heading: for maps fitted by (key, layer), the sampled fields of `sampled_confidence` that lie
+    at least edge * period inside the hull, with `probability` at least; peaks in samples are above the `height` quantile
+    and local maxima within exclusion * period."""
+    samples = cut(fits.posterior_samples(packed, count, seed, by=by))
+    fields = sampled_confidence(samples, size, period, probability, by, exclusion * period, height)
+    inside = F.forall("planes", lambda p: p["a"] * F.col("mx") + p["b"] * F.col("my") + p["c"] <= -edge * period / size + 1e-12)
+    return fields.join(planes, [k for k in by if k in planes.columns]).where(inside).drop("planes")
+
+
 def prior_draws(spark, count: int, size: int, period: float, variance: float, angle: float = 0.0, style: str = "grid", seed: int = 0) -> DataFrame:
     """(sample_id, h, w, z): seeded draws of the prior."""
     ship(spark)

@@ -465,4 +465,12 @@ ORACLES = {
       d AS (SELECT cell_id, i, mx + a * u AS px, my + b * u + sqrt(greatest(yy - b * b, 0)) * v AS py FROM g, (SELECT i, sqrt(-2 * ln((i + 0.5) / 200)) * cos(2 * pi() * (i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE))) AS u,
         sqrt(-2 * ln((i + 0.5) / 200)) * sin(2 * pi() * (i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE))) AS v FROM range(200) AS q(i))),
       o AS (SELECT d.cell_id, i, {inside()} AS own FROM d JOIN hull USING (cell_id) GROUP BY 1, 2) SELECT cell_id, 0::BIGINT AS field, {r('avg(own::INT)')} AS fraction FROM o GROUP BY 1""",
+    "early_spectrum": f"""WITH off_ AS (SELECT i, CASE WHEN i < 4 THEN i ELSE i - 8 END AS d FROM range(8) AS q(i)),
+      cell_ AS (SELECT a.i AS iy, b.i AS ix, (0.5 - 0.5 * cos(2 * pi() * (a.d + 4) / 7)) * (0.5 - 0.5 * cos(2 * pi() * (b.d + 4) / 7)) AS hann, sqrt(a.d * a.d + b.d * b.d) * pi() / 2 AS r FROM off_ a, off_ b),
+      raw_ AS (SELECT iy, ix, any_value(hann) * CASE WHEN any_value(r) < 5.520078110286311::DOUBLE THEN 1 ELSE 0 END * avg(cos(r * sin((i + 0.5) * pi() / 256))) AS k FROM cell_, range(256) AS q(i) GROUP BY 1, 2),
+      g_ AS (SELECT a.i AS iy, b.i AS ix, exp(-(a.d * a.d + b.d * b.d) * pi() * pi() / 16) AS g FROM off_ a, off_ b),
+      soft_ AS (SELECT a.i AS iy, b.i AS ix, sum(k * g) / (SELECT sum(g) FROM g_) AS k FROM raw_ r, range(8) AS a(i), range(8) AS b(i) JOIN g_ ON g_.iy = (a.i - r.iy + 8) % 8 AND g_.ix = (b.i - r.ix + 8) % 8 GROUP BY 1, 2),
+      spec_ AS (SELECT a.i AS iy, b.i AS ix, greatest(sum(k / (SELECT max(k) FROM soft_) * cos(2 * pi() * (a.i * s.iy + b.i * s.ix) / 8)), 1e-7) * 0.5 + CASE WHEN a.i = 0 AND b.i = 0 THEN 1000 ELSE 0 END AS f FROM soft_ s, range(8) AS a(i), range(8) AS b(i) GROUP BY 1, 2),
+      top_ AS (SELECT f * 0.1 AS cut FROM spec_ ORDER BY f DESC LIMIT 1 OFFSET 1)
+      SELECT s.iy::INT AS iy, s.ix::INT AS ix, {r('CASE WHEN s.f > (SELECT cut FROM top_) OR t.f > (SELECT cut FROM top_) THEN s.f ELSE 0 END')} AS value FROM spec_ s JOIN spec_ t ON t.iy = s.ix AND t.ix = s.iy""",
 }

@@ -397,11 +397,7 @@ def lgcp_posterior_samples(s, d):
 
 
 def lgcp_heading_fit(s, d):
-    axes = [binning.Axis("h", 6, "ih", wrap=True), *binning.square(12)]
-    g = binning.bin_linear(fixtures.points(s, d), axes, {"n": F.lit(1.0), "k": F.col("s")})
-    flat = g.select("cell_id", (F.col("ih") * 12 + F.col("iy")).cast("int").alias("iy"), "ix", "n", "k")
-    packed = grids.pack(flat, 72, 12, ["n", "k"]).withColumn("d", F.lit(6)).withColumn("h", F.lit(12))
-    return fits.fit_headings(packed, 6)
+    return fits.fit_headings(_joint_packed(s, d), 6)
 
 
 def laplace_confidence(s, d):
@@ -504,6 +500,46 @@ def autocorrelation_profile(s, d):
     return tidy(fits.radial_profiles(_packed(s, d)), 9)
 
 
+def _joint_packed(s, d, layers: int = 6, size: int = 12) -> DataFrame:
+    axes = [binning.Axis("h", layers, "ih", wrap=True), *binning.square(size)]
+    g = binning.bin_linear(fixtures.points(s, d), axes, {"n": F.lit(1.0), "k": F.col("s")})
+    flat = g.select("cell_id", (F.col("ih") * size + F.col("iy")).cast("int").alias("iy"), "ix", "n", "k")
+    return grids.pack(flat, layers * size, size, ["n", "k"]).withColumn("d", F.lit(layers)).withColumn("h", F.lit(size))
+
+
+def heading_density(s, d):
+    return tidy(posterior.heading_density(_joint_packed(s, d, 4, 12), 8, 12, 5.0))
+
+
+def heading_confidence(s, d):
+    p = fixtures.points(s, d).withColumn("a", F.col("h") * (2 * math.pi))
+    keys = ["cell_id", "layer"]
+    packed = grids.pack(tracking.heading_maps(p, "a", 4, 12), 12, 12, ["n", "k"], keys)
+    planes = geometry.half_planes(geometry.hull(fixtures.points(s, d).select("cell_id", "x", "y")))
+    return tidy(posterior.heading_confidence(packed, planes, 12, 12, 5.0, keys, edge=0.1, height=0.5))
+
+
+def prepared_maps(s, d):
+    """Samples to binned maps with kernel-density estimates and prior means (long form)."""
+    p = fixtures.points(s, d).select("cell_id", (F.col("x") * 1.5 - 0.2).alias("x"), "y", "s")
+    return tidy(grids.unpack(fits.prepare(p, 16), ["n", "k", "y", "kde", "prior_mean", "kde_log"]))
+
+
+def regressed_maps(s, d):
+    return tidy(fits.regress(_packed(s, d, 12), 50.0), 5)
+
+
+def best_parameters(s, d):
+    return fits.optimise(_packed(s, d, 12), [4.0, 6.0], [0.01, 0.1], [0.0, 0.5], oriented=True)
+
+
+def early_spectrum(s, d):
+    from tessera.functions import kernels
+
+    f = kernels.early_spectrum(8, 4.0, 0.5, 2)
+    return tidy(s.createDataFrame([(i, j, float(f[i, j])) for i in range(8) for j in range(8)], "iy int, ix int, value double"))
+
+
 STYLES = ["radial", "grid", "band", "square", "rbf"]
 
 
@@ -717,5 +753,6 @@ NAMES = [
     "grid_kernel", "recording_track", "silent_recordings", "locate_opposites", "cardinal_nodes", "chain_positions", "linked_edges", "rates_at_points", "head_direction", "skip_statistics", "zscored",
     "pending_keys", "ends_mask", "mask_hull", "arena_of_mask", "boundary_distance_labels", "near_boundary_filter_labels", "contains_units", "physical_units", "centred_grid", "masked_rates",
     "elbo_bits", "bessel_variance", "simulated_background", "peak_filters", "truncated_spectrum", "top_frequencies", "upsampled_field", "noise_draw_blocks", "overlapping_folds", "point_pairs",
+    "heading_density", "heading_confidence", "prepared_maps", "regressed_maps", "best_parameters", "early_spectrum",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -4,7 +4,10 @@ import os
 import sys
 from pathlib import Path
 
-import pytest
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before NumPy is loaded: many small products, and Spark has the cores
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
