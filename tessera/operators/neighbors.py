@@ -57,7 +57,7 @@ def nearest(points: DataFrame, others: DataFrame, key: str, by: list[str] = [],
 
 
 def _near(radius: float | None) -> list[Column]:
-    fine = F.lit(True) if radius is None else F.col("_b.d") <= radius
+    fine = F.col("_b.d").isNotNull() if radius is None else F.col("_b.d") <= radius
     return [F.when(fine, F.col(f"_b.{a}")).alias(b) for a, b in (("id", "near_id"), ("x", "near_x"), ("y", "near_y"), ("d", "near_distance"))]
 
 

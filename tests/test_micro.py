@@ -343,3 +343,66 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     rounded = lambda out: sorted((str(r.start), r.iy, r.ix, round(r.n, 9), round(r.k, 9)) for r in out.collect())
     assert rounded(spark.table("rates_out")) == rounded(windowed_counts(df, 4))
+
+
+def scattered(spark, n, seed, keys=1, span=1.0):
+    r = np.random.default_rng(seed)
+    rows = [(int(k % keys), k, float(x), float(y)) for k, (x, y) in enumerate(r.random((n, 2)) * span)]
+    return rows, spark.createDataFrame(rows, "g int, id long, x double, y double")
+
+
+@pytest.mark.parametrize("radius", [None, 0.05])
+@pytest.mark.parametrize("keys", [1, 3])
+def test_bucketed_searches_equal_packed_ones(spark, radius, keys):
+    by = ["g"] if keys > 1 else []
+    rows, points = scattered(spark, 150, 1, keys, 1.3)
+    rows += [(0, 900, 30.0, -4.0), (0, 901, rows[0][2], rows[0][3])]
+    points = spark.createDataFrame(rows + [(7, 950, 0.5, 0.5), (0, 951, None, 0.5)], "g int, id long, x double, y double")
+    _, others = scattered(spark, 90, 2, keys)
+    others = others.select("g", F.col("id").alias("o"), "x", "y")
+    found = [sorted(map(repr, neighbors.nearest(points, others, "o", by, radius, small=s).collect())) for s in (1000, 10)]
+    assert found[0] == found[1]
+    flags = [sorted(map(repr, neighbors.alias_flags(points.where("x is not null"), others, "o", by, 1.3, small=s).collect())) for s in (1000, 10)]
+    assert flags[0] == flags[1]
+
+
+def test_matching_has_no_limit_of_rounds(spark):
+    """Points whose gaps shrink along a line match one pair a round."""
+    at = np.cumsum(1 / np.arange(1, 141) ** 0.5)
+    left = spark.createDataFrame([(0, k, float(at[2 * k]), 0.0) for k in range(70)], "g int, id long, x double, y double")
+    right = spark.createDataFrame([(0, k, float(at[2 * k + 1]), 0.0) for k in range(70)], "g int, id long, x double, y double")
+    assert neighbors.match(left, right, ["g"], 10.0).count() == 70
+    assert {r.g for r in neighbors.match_rounds(left.where("id < 12"), right.where("id < 12"), ["g"], 10.0).collect()} == {0}
+    assert neighbors.match_rounds(left.where("id < 12"), right.where("id < 12"), ["g"], 10.0).count() == 12
+
+
+def test_recordings_keep_their_own_sample_time(spark):
+    """A jump of 0.1 m is patched at 50 Hz and kept at 5 Hz; an event on the last edge counts whole."""
+    rows = [(c, t, 100.0 * (t == 5), 0.0) for c in (0, 1) for t in range(10)]
+    samples = spark.createDataFrame(rows, "cell_id long, t long, x_px double, y_px double")
+    meta = spark.createDataFrame([(0, 50.0, 1000.0, 50.0), (1, 5.0, 1000.0, 5.0)], "cell_id long, pos_rate double, px_per_m double, spk_rate double")
+    spikes = spark.createDataFrame([(0, 9.5)], "cell_id long, spike_sample double")
+    with pytest.warns(UserWarning, match="1 recordings have no spikes"):
+        got = recordings.track(samples, spikes, meta, warn=True).collect()
+    assert max(r.x for r in got if r.cell_id == 0) < 0.1 - 1e-9 and max(r.x for r in got if r.cell_id == 1) == 0.1
+    assert sum(r.s for r in got) == 1.0
+
+
+def test_chains_run_along_the_path(spark):
+    """A path over the cyclic border starts at its open end."""
+    steps = spark.createDataFrame([(2, 4, 5), (3, 5, 6), (0, 6, 7)], "layer long, src long, dst long")
+    got = {(r.layer, r.id): r.pos for r in neighbors.chains(steps, 4, 3).collect()}
+    assert got == {(2, 4): 0, (3, 5): 1, (0, 6): 2, (1, 7): 3}
+
+
+def test_kernel_waves_run_against_the_angle():
+    """Offsets are turned by +angle, so band waves run along x cos - y sin."""
+    k = kernels.grid_kernel(8.0, (32, 32), "band", 0.3, clip=False, blur=False)
+    d = np.fft.fftfreq(32, 1 / 32)
+    x, y = d[None, :], d[:, None]
+    taper = np.outer(np.fft.ifftshift(np.hanning(32)), np.fft.ifftshift(np.hanning(32)))
+    want = np.cos((x * np.cos(0.3) - y * np.sin(0.3)) * 2 * np.pi / 8) * taper
+    want = np.fft.ifft2(np.maximum(np.fft.fft2(want / want.max()).real, 1e-9)).real
+    assert np.abs(k - want).max() < 1e-12
+    rate, n, _ = toy(0, 32, 8.0)
+    assert abs((numerics.orientation(rate, n > 0, 8.0) + 0.26) % (np.pi / 3) - 0.26) < 0.05
