@@ -230,6 +230,14 @@ class Counters:
     def stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
         return np.log((ones + 0.4) / (zeros + 0.4))
 
+    def left_out(self) -> list[np.ndarray]:
+        """Per order the stretched prediction for slot and bit (at 2 * slot + bit) without one occurrence of that bit there."""
+        out = []
+        for p in self.pairs:
+            without = [Counters.stretch(np.maximum(p[:, 0] - 1, 0), p[:, 1]), Counters.stretch(p[:, 0], np.maximum(p[:, 1] - 1, 0))]
+            out.append(np.stack(without, axis=1).reshape(-1).astype(np.float32))
+        return out
+
     @staticmethod
     def level(total: np.ndarray) -> np.ndarray:
         return np.searchsorted([1, 3, 10, 50], total, side="right")
@@ -305,7 +313,12 @@ def _classes(coder: Coder):
 def _mix(coder: Coder, counters: Counters):
     """Over rows sorted by group: (place among weights and map, value, how often it moved) of every group."""
 
+    stretched, levels = [], []
+
     def learn(rows: list[tuple]) -> pa.RecordBatch:
+        if not stretched:
+            stretched.extend(counters.left_out())
+            levels.extend(Counters.level(p.sum(axis=1) - 1).astype(np.uint8) for p in counters.pairs[1:3])
         mixer = Mixer()
         gates, cells = np.zeros(len(mixer.weights), dtype=np.int64), np.zeros(mixer.apm.size, dtype=np.int64)
         rows.sort()
@@ -319,12 +332,9 @@ def _mix(coder: Coder, counters: Counters):
             doc = np.repeat(np.arange(b - a), [len(x) // 2 for _, x in rows[a:b]])
             a = b
             _, _, node, bit, depth, slots = class_bits(coder, cls, doc)
-            inputs, levels = [], []
-            for pairs, at in zip(counters.pairs, [node, *slots]):
-                zeros, ones = pairs[at, 0] - (bit == 0), pairs[at, 1] - (bit == 1)
-                inputs.append(Counters.stretch(np.maximum(zeros, 0), np.maximum(ones, 0)))
-                levels.append(Counters.level(zeros + ones))
-            moved = mixer.learn(inputs, Mixer.gate(levels[1], levels[2], depth), depth, bit)
+            inputs = [s[2 * at + bit] for s, at in zip(stretched, [node, *slots])]
+            gate = Mixer.gate(levels[0][slots[0]].astype(np.int64), levels[1][slots[1]].astype(np.int64), depth)
+            moved = mixer.learn(inputs, gate, depth, bit)
             gates += moved[0]
             cells += moved[1]
         n = np.concatenate([np.repeat(gates, mixer.weights.shape[1]), cells])
