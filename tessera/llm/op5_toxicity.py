@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct words, word pairs and pairs with one word between
-(ASCII letters folded, ASCII punctuation and space separate words), hashed into
-2**BITS slots.  Training is one pass after another of per-coordinate FTRL over a
+(ASCII letters folded, ASCII punctuation and space separate words), and the first
+STEM bytes of longer words, as languages with few labelled rows show a word in
+many endings, hashed into 2**BITS slots.  Training is one pass after another of per-coordinate FTRL over a
 bounded sample of labelled rows (at most about MAX_TRAIN, a documented bound,
 taken by a hash of doc_id), in one task on an executor; L1 leaves at most a few
 thousand weights, which a second fit on those slots alone frees of L1's shrinkage
@@ -27,13 +28,14 @@ from pyspark.sql import types as T
 
 from tessera.llm._arrow import map_arrow, map_text, slices
 from tessera.llm._store import table
-from tessera.llm._text import Words, buffers, mix, text_chunks
+from tessera.llm._text import Words, buffers, mix, span_hashes, text_chunks
 
 BITS = 20
 MAX_TRAIN = 12000
 PASSES = 4
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.0
-POSITIVE_WEIGHT = 2.0
+STEM = 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 20.0, 0.0
+POSITIVE_WEIGHT = 4.0
 THRESHOLD = 0.7
 
 _SPLIT = np.zeros(256, dtype=bool)
@@ -49,6 +51,10 @@ def slots(words: Words) -> tuple[np.ndarray, np.ndarray]:
         same = words.doc[gap:] == words.doc[:-gap]
         feats.append(mix(h[:-gap] * np.uint64(salt) + h[gap:])[same])
         docs.append(words.doc[:-gap][same])
+    long_ = np.flatnonzero(words.ends - words.starts > STEM)
+    start = words.starts[long_]
+    feats.append(mix(span_hashes(words.raw, start, start + STEM, True) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(STEM)))
+    docs.append(words.doc[long_])
     return np.concatenate(docs), (np.concatenate(feats) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
