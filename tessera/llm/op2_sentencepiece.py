@@ -19,12 +19,14 @@ Lattices are built per distinct word (spaces and what follows them; a line feed
 stands alone), since no piece crosses such borders; a word may be as long as its
 text.  Beyond LINEAR bytes to a word's end, masses are kept as logarithms.  Encoding is lossless: characters without a piece,
 and U+2581 itself, become byte pieces; decoding drops the leading space that
-encoding adds.  The model file is read on the driver; its pieces are broadcast.
+encoding adds.  The model file (a parameter; else what the session's setting
+spark.tessera.pieces names, else MODEL) is read on the driver; its pieces are broadcast.
 
 Edge cases: a null or empty text has one segmentation without pieces (log
 probability 0, inclusion 1); a text with fewer segmentations gets them all, each
 surely included; repeated rows get equal results; a null key draws as key 0;
-other columns are not read; an empty table gives an empty result.
+doc_id is cast to long (what cannot be cast is null); other columns are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -466,9 +468,13 @@ def _sample(vocab: Pieces, samples: int, seed: int):
     return run
 
 
-def sample_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+def _vocabulary(spark: SparkSession, model: str | None) -> Pieces:
+    return Pieces.load(model or spark.conf.get("spark.tessera.pieces", MODEL))
+
+
+def sample_segmentations(docs: DataFrame, model: str | None = None, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """A row for every text of docs(doc_id, text) and drawn segmentation, as in SCHEMA; `decodes`: ids decode to the text."""
-    vocab = Pieces.load(model)
+    vocab = _vocabulary(docs.sparkSession, model)
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _sample(vocab, samples, seed), SCHEMA)
 
 
@@ -484,9 +490,9 @@ def _decode(vocab: Pieces):
     return run
 
 
-def decode_segmentations(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+def decode_segmentations(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, sample and the text of encoded(doc_id, sample, ids)."""
-    return map_arrow(encoded.select("doc_id", "sample", "ids"), _decode(Pieces.load(model)), "doc_id long, sample int, text string")
+    return map_arrow(encoded.select("doc_id", "sample", "ids"), _decode(_vocabulary(encoded.sparkSession, model)), "doc_id long, sample int, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

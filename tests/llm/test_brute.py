@@ -366,6 +366,43 @@ def test_plain_lanes_have_no_span(tagger):
     assert plain.any() and not y[:, plain].any() and np.array_equal(y, y2) and np.allclose(q[:, ~plain], q2[:, ~plain], atol=1e-5)
 
 
+def test_ftrl_equals_a_plain_version():
+    r = random.Random(12)
+    rows = [(int(r.random() < 0.3), np.array(sorted(r.sample(range(60), r.randrange(0, 12))), np.int32)) for _ in range(200)]
+    for alpha, l1, l2 in ((2.0, 1.5, 0.0), (0.5, 0.0, 1.0)):
+        model, z, n = op5.Ftrl(alpha, l1, l2), Counter(), Counter()
+
+        def weight(i, z=z, n=n, alpha=alpha, l1=l1, l2=l2):
+            pull = 0.0 if i == "bias" else l1
+            return 0.0 if abs(z[i]) <= pull else -(z[i] - math.copysign(pull, z[i])) / ((op5.BETA + math.sqrt(n[i])) / alpha + (0.0 if i == "bias" and l2 == 0 else l2))
+
+        for label, at in rows:
+            model.learn(at, label)
+            keys = [*at.tolist(), "bias"]
+            p = 1 / (1 + math.exp(-sum(weight(i) for i in keys)))
+            g = (p - label) * (op5.POSITIVE_WEIGHT if label else 1.0)
+            moved = {i: (z[i] + g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * weight(i), n[i] + g * g) for i in keys}
+            for i, (a, b) in moved.items():
+                z[i], n[i] = a, b
+        w = model.weights(slice(0, -1))
+        assert abs(model.bias() - weight("bias")) < 1e-9 and all(abs(w[i] - weight(i)) < 1e-9 for i in range(60))
+        assert (l1 > 0) == bool((w[:60] == 0).any())
+
+
+def test_toxicity_features():
+    texts = ["Some WORDS here, some words there", "a b", "", "überlängen words", "words here some"]
+    plain = []
+    for t in texts:
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        stems = {("stem", x.encode()[: op5.STEM]) for x in w if len(x.encode()) > op5.STEM}
+        plain.append({(x,) for x in w} | {(1, *x) for x in zip(w, w[1:])} | {(2, *x) for x in zip(w, w[2:])} | stems)
+    words = op5.split_words(*op5.buffers(pa.array(texts)))
+    doc, slot = op5.slots(words)
+    got = [set(slot[doc == k].tolist()) for k in range(len(texts))]
+    assert [len(x) for x in got] == [len(x) for x in plain]
+    assert all(len(a & b) == len(x & y) for a, x in zip(got, plain) for b, y in zip(got, plain))
+
+
 def test_toxicity_held_out(spark):
     rows = corpus(21, 900)
     marks = [(k, int(any(t in text for t in TOXIC))) for k, text in rows]
