@@ -473,4 +473,7 @@ ORACLES = {
       spec_ AS (SELECT a.i AS iy, b.i AS ix, greatest(sum(k / (SELECT max(k) FROM soft_) * cos(2 * pi() * (a.i * s.iy + b.i * s.ix) / 8)), 1e-7) * 0.5 + CASE WHEN a.i = 0 AND b.i = 0 THEN 1000 ELSE 0 END AS f FROM soft_ s, range(8) AS a(i), range(8) AS b(i) GROUP BY 1, 2),
       top_ AS (SELECT f * 0.1 AS cut FROM spec_ ORDER BY f DESC LIMIT 1 OFFSET 1)
       SELECT s.iy::INT AS iy, s.ix::INT AS ix, {r('CASE WHEN s.f > (SELECT cut FROM top_) OR t.f > (SELECT cut FROM top_) THEN s.f ELSE 0 END')} AS value FROM spec_ s JOIN spec_ t ON t.iy = s.ix AND t.ix = s.iy""",
+    "expected_maps": f"""WITH h AS (SELECT a.i::INT AS iy, b.i::INT AS ix, exp(0.5 * ({HEX})) AS v, a.i BETWEEN 2 AND 21 AND b.i BETWEEN 2 AND 21 AS inside, a.i - 12 AS y, b.i - 12 AS x FROM range(24) AS a(i), range(24) AS b(i)),
+      r AS (SELECT *, CASE WHEN inside THEN v / (SELECT avg(v) FROM h) * 0.09 ELSE 0 END AS rate FROM h)
+      SELECT iy, ix, {r('rate')} AS rate, {r('rate * (1 - sqrt(x * x + y * y) / 20.0::DOUBLE)')} AS background, {r('CASE WHEN inside THEN 2 * (1 - sqrt(pow(x / 24.0::DOUBLE, 2) + pow(y / 24.0::DOUBLE - 0.2, 2))) ELSE 0 END')} AS visits FROM r""",
 }

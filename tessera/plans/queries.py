@@ -540,6 +540,19 @@ def early_spectrum(s, d):
     return tidy(s.createDataFrame([(i, j, float(f[i, j])) for i in range(8) for j in range(8)], "iy int, ix int, value double"))
 
 
+def expected_maps(s, d):
+    return tidy(simulate.expected_maps(s, 24, 8.0))
+
+
+def simulated_counts(s, d):
+    maps = simulate.expected_maps(s, 24, 8.0, mean=0.5).select("iy", "ix", F.col("background").alias("rate"), (F.col("visits") * 20).alias("visits"))
+    return simulate.counts(maps, None, 4)
+
+
+def simulated_explorations(s, d):
+    return simulate.explorations(s, 2, 30.0, 50.0, 0.2, size=32)
+
+
 STYLES = ["radial", "grid", "band", "square", "rbf"]
 
 
@@ -754,5 +767,6 @@ NAMES = [
     "pending_keys", "ends_mask", "mask_hull", "arena_of_mask", "boundary_distance_labels", "near_boundary_filter_labels", "contains_units", "physical_units", "centred_grid", "masked_rates",
     "elbo_bits", "bessel_variance", "simulated_background", "peak_filters", "truncated_spectrum", "top_frequencies", "upsampled_field", "noise_draw_blocks", "overlapping_folds", "point_pairs",
     "heading_density", "heading_confidence", "prepared_maps", "regressed_maps", "best_parameters", "early_spectrum",
+    "expected_maps", "simulated_counts", "simulated_explorations",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -29,18 +29,33 @@ def rate_map(spark: SparkSession, size: int, period: float, contrast: float = 0.
     return raw.crossJoin(F.broadcast(average)).select("iy", "ix", F.coalesce(F.col("_r") / F.col("_m") * mean, F.lit(0.0)).alias("rate"))
 
 
-def counts(rates: DataFrame, visits: float, seed: int = 0) -> DataFrame:
-    """Adds n (Poisson visits, 0 where the rate is 0) and k (Poisson counts), seeded by bin."""
+def expected_maps(spark: SparkSession, size: int = 128, period: float = 13.0, contrast: float = 0.5, mean: float = 0.09, pad: float = 0.1) -> DataFrame:
+    """iy, ix, rate, background and visits: exp(contrast * hex) scaled to the mean over the whole grid and 0 on the padding;
+    the rate less a part that grows with the distance from the middle (all of it at one inner side); and expected visits,
+    which fall off from a point a fifth of the side above the middle."""
+    edge = int(size * pad)
+    inside = F.col("iy").between(edge, size - 1 - edge) & F.col("ix").between(edge, size - 1 - edge)
+    raw = hex_grid(spark, size, period).withColumn("_r", F.exp(F.col("value") * contrast))
+    average = raw.agg(F.avg("_r").alias("_m"))
+    y, x = F.col("iy") - size // 2, F.col("ix") - size // 2
+    far, off = F.hypot(x, y) / float(size - 2 * edge), F.hypot(x / float(size), y / float(size) - 0.2)
+    out = raw.crossJoin(F.broadcast(average)).withColumn("rate", F.when(inside, F.col("_r") / F.col("_m") * mean).otherwise(0.0))
+    return out.select("iy", "ix", "rate", (F.col("rate") * (1 - far)).alias("background"), F.when(inside, (1 - off) * 2).otherwise(0.0).alias("visits"))
+
+
+def counts(rates: DataFrame, visits: float | None, seed: int = 0) -> DataFrame:
+    """Adds n (Poisson visits, 0 where the rate is 0) and k (Poisson counts), seeded by bin; visits None: the expected visits
+    of each bin are in a column of that name."""
     ship(rates.sparkSession)
 
     def draw(batches):
         for b in batches:
             n, k = [], []
-            for iy, ix, r in zip(b["iy"], b["ix"], b["rate"]):
+            for iy, ix, r, v in zip(b["iy"], b["ix"], b["rate"], b["visits"] if visits is None else [visits] * len(b)):
                 g = np.random.default_rng((seed, int(iy), int(ix)))
-                n.append(float(g.poisson(visits)) if r > 0 else 0.0)
+                n.append(float(g.poisson(v)) if r > 0 else 0.0)
                 k.append(float(g.poisson(n[-1] * r)))
-            yield b.assign(n=n, k=k)
+            yield b[["iy", "ix", "rate"]].assign(n=n, k=k)
 
     return rates.mapInPandas(draw, "iy int, ix int, rate double, n double, k double")
 

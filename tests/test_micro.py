@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalogue
 from tessera.functions import kernels, numerics, safe, savgol, solver
 from tessera.operators import binning, fits, geometry, grids, moments, neighbors, series
 from tessera.sources import recordings, simulate
@@ -406,3 +407,23 @@ def test_kernel_waves_run_against_the_angle():
     assert np.abs(k - want).max() < 1e-12
     rate, n, _ = toy(0, 32, 8.0)
     assert abs((numerics.orientation(rate, n > 0, 8.0) + 0.26) % (np.pi / 3) - 0.26) < 0.05
+
+
+def test_draws_follow_the_expected_maps(spark):
+    maps = {(r.iy, r.ix): r for r in simulate.expected_maps(spark, 24, 8.0, mean=0.5).collect()}
+    rows = catalogue.QUERIES["simulated_counts"](spark, "").collect()
+    want = [(maps[r.iy, r.ix].visits * 20, maps[r.iy, r.ix].background) for r in rows]
+    assert abs(sum(r.n for r in rows) - sum(v for v, _ in want)) < 5 * math.sqrt(sum(v for v, _ in want))
+    expected = sum(r.n * b for r, (_, b) in zip(rows, want))
+    assert abs(sum(r.k for r in rows) - expected) < 5 * math.sqrt(expected) and all(r.k == 0 for r in rows if r.rate == 0)
+
+
+def test_explorations_follow_their_map(spark):
+    """Steps of the path are small, and events are as many as the map gives along it."""
+    rows = simulate.explorations(spark, 1, 200.0, 50.0, 0.2, size=32).orderBy("t").collect()
+    xy = np.array([(r.x, r.y) for r in rows])
+    assert np.abs(np.diff(xy, axis=0)).max() <= 2 / 32 + 1e-12 and xy.min() >= 4 / 32 and xy.max() <= 28 / 32
+    rates = simulate.background_map(32, 6.4)
+    at = np.rint(xy * 32).astype(int)
+    expected = rates[at[:, 1], at[:, 0]].sum() / 50
+    assert abs(sum(r.s for r in rows) - expected) < 5 * math.sqrt(expected)
