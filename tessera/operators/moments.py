@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.safe import lgamma, rescaled, slog
+from tessera.runtime import cut
 
 
 def gaussians(points: DataFrame, by: list[str], population: bool = False) -> DataFrame:
@@ -77,9 +78,39 @@ def estimator_spread(resamples: DataFrame, by: list[str]) -> DataFrame:
     return bins.groupBy(*by).agg(F.avg("v").alias("variance"), (F.avg(F.col("m") - 1) * 100).alias("bias_percent"))
 
 
+def quantiles(values: DataFrame, column: str, shares: list[float], by: list[str]) -> DataFrame:
+    """(by, n, q): exact quantiles, linear between ranks, of the values that are not null.
+
+    Distinct values are counted with partial sums and dealt by ranges of (by, value), so a group with most of the rows
+    spreads over many tasks; ranks are running sums inside a range plus the range's offset in its group (checkpointed, so
+    that both come from one dealing).  What is left a group are the rows at the ranks asked for."""
+    keys = by or ["_all"]
+    rows = values if by else values.withColumn("_all", F.lit(0))
+    counted = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(counted.repartitionByRange(parts, *keys, column).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"))  # one row a group and range that it reaches into
+    sums = sums.select(*keys, "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(*keys)).alias("n"))
+    running = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.withColumn("_run", running).join(sums, [*keys, "_part"]).withColumn("_hi", F.col("_before") + F.col("_run"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_hi") - F.col("_c")) & (rank < F.col("_hi")), F.col(column)))
+
+    place = lambda q: (F.col("n") - 1) * q
+    found = ranked.groupBy(*keys, "n").agg(*[c.alias(f"_{s}{k}") for k, q in enumerate(shares) for s, c in (("l", at(F.floor(place(q)))), ("h", at(F.ceil(place(q)))))])
+    each = [F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * (place(q) - F.floor(place(q))) for k, q in enumerate(shares)]
+    return found.select(*by, "n", F.array(*each).alias("q"))
+
+
 def unitscale(values: DataFrame, column: str, q0: float, q1: float, by: list[str]) -> DataFrame:
     """Column rescaled so that its quantiles q0 and q1 become 0 and 1, clipped."""
-    ends = values.groupBy(*by).agg(F.percentile(column, F.array(F.lit(q0), F.lit(q1))).alias("_q")) if by else values.agg(F.percentile(column, F.array(F.lit(q0), F.lit(q1))).alias("_q"))
+    if (q0, q1) == (0.0, 1.0):
+        pair = F.array(F.min(column), F.max(column)).alias("_q")
+        ends = values.groupBy(*by).agg(pair) if by else values.agg(pair)
+    else:
+        ends = quantiles(values, column, [q0, q1], by).select(*by, F.col("q").alias("_q"))
     joined = values.join(F.broadcast(ends), by) if by else values.crossJoin(F.broadcast(ends))
     return joined.withColumn(column, rescaled(F.col(column), F.col("_q")[0], F.col("_q")[1])).drop("_q")
 

@@ -187,6 +187,5 @@ def zero_lag(profile: DataFrame, value: str, reach: int = 3, by: list[str] = BY)
 
 def box_statistics(values: DataFrame, column: str, by: list[str]) -> DataFrame:
     """5, 25, 50, 75 and 95 percent quantiles per group."""
-    q = F.percentile(column, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = values.groupBy(*by).agg(q.alias("_q"), F.count(column).alias("n"))
-    return out.select(*by, "n", *[F.col("_q")[k].alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    out = moments.quantiles(values, column, [0.05, 0.25, 0.5, 0.75, 0.95], by)
+    return out.select(*by, "n", *[F.col("q")[k].alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])

@@ -427,3 +427,14 @@ def test_explorations_follow_their_map(spark):
     at = np.rint(xy * 32).astype(int)
     expected = rates[at[:, 1], at[:, 0]].sum() / 50
     assert abs(sum(r.s for r in rows) - expected) < 5 * math.sqrt(expected)
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_quantiles_equal_numpy(spark, by):
+    r = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g, v in zip(r.choice([0, 0, 0, 1, 2], 3000), np.round(r.normal(size=3000), 2))] + [(5, 7.0), (0, None)]
+    got = moments.quantiles(spark.createDataFrame(rows, "g int, v double").repartition(5), "v", [0.0, 0.05, 0.5, 0.77, 1.0], by).collect()
+    for x in got:
+        own = [v for g, v in rows if v is not None and (not by or g == x.g)]
+        assert x.n == len(own) and np.allclose(x.q, np.quantile(own, [0.0, 0.05, 0.5, 0.77, 1.0]), atol=1e-12)
+    assert len(got) == (4 if by else 1)
