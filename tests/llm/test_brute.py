@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -589,6 +590,39 @@ def test_area_resize_and_hash():
     assert tile.shape == (op9.TILE, op9.TILE) and (tile == 7).all()
 
 
+def test_media_features_of_texts(spark):
+    """Difference hash and tile against sums over every pixel's share of every cell."""
+    r = random.Random(3)
+    texts = ["", "a", "x" * 191, "y" * 193, "".join(chr(r.randrange(32, 1200)) for _ in range(2500)), "word " * 700]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {x.doc_id: x for x in op9.features(op9.store(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+
+    def share(n: int, parts: int) -> np.ndarray:
+        out = np.zeros((parts, n))
+        for c in range(parts):
+            for p in range(n):
+                out[c, p] = max(0.0, min(p + 1, (c + 1) * n / parts) - max(p, c * n / parts))
+        return out
+
+    for k, t in rows:
+        raw = t.encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).astype(np.int64)
+        grey = 299 * pixels[:, :, 0] + 587 * pixels[:, :, 1] + 114 * pixels[:, :, 2]
+
+        def means(height: int, width: int, grey=grey) -> np.ndarray:
+            a, b = share(grey.shape[0], height), share(64, width)
+            return a @ grey @ b.T / (a.sum(axis=1)[:, None] * b.sum(axis=1))
+
+        small = np.rint(means(8, 9))
+        bits = "".join("1" if small[i, j] < small[i, j + 1] else "0" for i in range(8) for j in range(8))
+        x = got[k]
+        assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and x.tail_crc32 == zlib.crc32(payload[-16:])
+        assert sum(a != b for a, b in zip(bits, f"{int(x.feature, 16):064b}")) <= 1  # a mean on the edge of a rounding step may fall either way
+        tile = np.load(io.BytesIO(x.tile))
+        assert tile.shape == (op9.TILE, op9.TILE) and np.abs(tile - means(op9.TILE, op9.TILE) / 1000).max() <= 0.5 + 1e-6
+
+
 def test_media_round_trip(docs):
     rows = dict(corpus())
     for r in op9.features(op9.store(docs)).collect():
