@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.is_dir():
-        path = Path(tempfile.mkdtemp(prefix="tessera-src-"), "tessera_src.zip")
+        folder = tempfile.mkdtemp(prefix="tessera-src-")  # on the driver, served from there until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder, "tessera_src.zip")
         with zipfile.ZipFile(path, "w") as out:
             for source in sorted(root.rglob("*.py")):
                 out.write(source, str(source.relative_to(root.parent)))
