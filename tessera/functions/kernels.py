@@ -72,6 +72,18 @@ def grid_kernel(
     return np.fft.ifft2(np.maximum(np.fft.fft2(k).real, eps)).real
 
 
+def ensure_psd(kernel: np.ndarray, eps: float = 0.0) -> np.ndarray:
+    """The kernel of any rank with its spectrum kept at eps or above."""
+    return np.fft.ifftn(np.maximum(np.fft.fftn(kernel).real, eps)).real
+
+
+def block_covariance(kernel: np.ndarray) -> np.ndarray:
+    """The covariance between all bins (row-major) of a periodic kernel with its peak at bin 0: block-circulant, for checks on
+    small grids."""
+    at = np.indices(kernel.shape).reshape(kernel.ndim, -1)
+    return kernel[tuple((at[d][:, None] - at[d][None, :]) % s for d, s in enumerate(kernel.shape))]
+
+
 def spectrum(shape: tuple[int, int], period: float, variance: float, angle: float = 0.0, style: str = "radial", dc: float = 1e3, noise: float = 0.0, least: float = 0.1, kept: np.ndarray | None = None, **options) -> np.ndarray:
     """Spectrum of variance * grid_kernel with dc added at frequency 0; frequencies below `least` of the largest other one
     (or outside `kept`) are zero, and `noise` is added to the others."""

@@ -44,12 +44,15 @@ def _key(packed: DataFrame, by: list[str]) -> str:
 
 
 def fit_maps(packed: DataFrame, style: str = "radial", by: list[str] = BY) -> DataFrame:
-    """Fits of packed(key, h, w, n, k[, period, variance, angle]): elbo, period, variance, angle, rounds, and arrays rate, log_rate, log_var."""
+    """Fits of packed(key, h, w, n, k[, period, variance, angle, start]): elbo, period, variance, angle, rounds, and arrays rate,
+    log_rate, log_var.  `start`: an array of h * w, the log rate less the prior mean to begin with."""
 
     def one(row: pd.Series) -> pd.DataFrame:
         n, k = _maps(row)
         spectrum, mean, (p, v, a) = _spectrum(n, k, row.get("period"), row.get("variance"), row.get("angle"), style)
-        got = solver.fit(spectrum, n, k, mean)
+        start = row.get("start")
+        first = None if start is None else solver.basis(spectrum > 0) @ np.asarray(start, dtype=float)
+        got = solver.fit(spectrum, n, k, mean, start=first)
         out = {x: [row[x]] for x in by} | {"h": [n.shape[0]], "w": [n.shape[1]], "elbo": [got.elbo], "period": [p], "variance": [v], "angle": [a], "rounds": [got.rounds]}
         out |= {"rate": [got.rate().ravel()], "log_rate": [got.log_rate().ravel()], "log_var": [got.variance().ravel()]}
         return pd.DataFrame(out)

@@ -181,9 +181,20 @@ def find_peaks(field: DataFrame, value: str, height: int, width: int, radius: fl
     return out.select(*by, "iy", "ix", value)
 
 
-def interpolate_peaks(field: DataFrame, value: str, height: int, width: int, radius: float = 1.0, quantile: float = 0.25, by: list[str] = BY) -> DataFrame:
+def dithered(field: DataFrame, value: str, share: float = 1e-12, by: list[str] = BY) -> DataFrame:
+    """Values with a hash of the bin in [-1/2, 1/2) times `share` of the key's largest absolute value added, so that plateaus
+    have one top; the same on every run."""
+    top = field.groupBy(*by).agg(F.max(F.abs(value)).alias("_top"))
+    noise = F.xxhash64(*by, "iy", "ix") / 2.0**64
+    return field.join(top, by).withColumn(value, F.col(value) + noise * F.col("_top") * share).drop("_top")
+
+
+def interpolate_peaks(field: DataFrame, value: str, height: int, width: int, radius: float = 1.0, quantile: float = 0.25, by: list[str] = BY, dither: float = 0.0) -> DataFrame:
     """Peaks above the key's quantile, refined by a quadratic through the edge-clamped 3 x 3 neighbourhood:
-    x, y in the unit square (bin + 1/2 less the offset, over the size), height, and rank by falling height."""
+    x, y in the unit square (bin + 1/2 less the offset, over the size), height, and rank by falling height.  `dither`: the
+    share by which `dithered` parts equal values first."""
+    if dither:
+        field = dithered(field, value, dither, by)
     peaks = find_peaks(field, value, height, width, radius, None, by)
     low = field.groupBy(*by).agg(F.percentile(value, quantile).alias("_low"))
     peaks = peaks.join(F.broadcast(low), by).where(F.col(value) > F.col("_low")).drop("_low", value)

@@ -476,4 +476,8 @@ ORACLES = {
     "expected_maps": f"""WITH h AS (SELECT a.i::INT AS iy, b.i::INT AS ix, exp(0.5 * ({HEX})) AS v, a.i BETWEEN 2 AND 21 AND b.i BETWEEN 2 AND 21 AS inside, a.i - 12 AS y, b.i - 12 AS x FROM range(24) AS a(i), range(24) AS b(i)),
       r AS (SELECT *, CASE WHEN inside THEN v / (SELECT avg(v) FROM h) * 0.09 ELSE 0 END AS rate FROM h)
       SELECT iy, ix, {r('rate')} AS rate, {r('rate * (1 - sqrt(x * x + y * y) / 20.0::DOUBLE)')} AS background, {r('CASE WHEN inside THEN 2 * (1 - sqrt(pow(x / 24.0::DOUBLE, 2) + pow(y / 24.0::DOUBLE - 0.2, 2))) ELSE 0 END')} AS visits FROM r""",
+    "kernel_covariance": f"""WITH g AS (SELECT a.i AS y, b.i AS x, exp(-0.5 * (pow(least(a.i, 4 - a.i), 2) + pow(least(b.i, 4 - b.i), 2)) / 1.44::DOUBLE) AS k FROM range(4) AS a(i), range(4) AS b(i)),
+      f AS (SELECT a.i AS u, b.i AS v, greatest(sum(k * cos(pi() * (a.i * y + b.i * x) / 2)), 0.5) AS f FROM g, range(4) AS a(i), range(4) AS b(i) GROUP BY 1, 2),
+      c AS (SELECT a.i AS y, b.i AS x, sum(f * cos(pi() * (u * a.i + v * b.i) / 2)) / 16 AS k FROM f, range(4) AS a(i), range(4) AS b(i) GROUP BY 1, 2)
+      SELECT p.i::INT AS a, q.i::INT AS b, {r('k')} AS value FROM range(16) AS p(i), range(16) AS q(i) JOIN c ON c.y = (p.i // 4 - q.i // 4 + 4) % 4 AND c.x = (p.i % 4 - q.i % 4 + 4) % 4""",
 }

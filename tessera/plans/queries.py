@@ -553,6 +553,14 @@ def simulated_explorations(s, d):
     return simulate.explorations(s, 2, 30.0, 50.0, 0.2, size=32)
 
 
+def kernel_covariance(s, d):
+    """Covariance between the bins of a 4 x 4 grid of a kernel repaired to a spectrum of at least 0.5."""
+    from tessera.functions import kernels, numerics
+
+    c = kernels.block_covariance(kernels.ensure_psd(numerics.gaussian(4, 4, 1.2), 0.5))
+    return tidy(s.createDataFrame([(i, j, float(c[i, j])) for i in range(16) for j in range(16)], "a int, b int, value double"))
+
+
 STYLES = ["radial", "grid", "band", "square", "rbf"]
 
 
@@ -768,5 +776,6 @@ NAMES = [
     "elbo_bits", "bessel_variance", "simulated_background", "peak_filters", "truncated_spectrum", "top_frequencies", "upsampled_field", "noise_draw_blocks", "overlapping_folds", "point_pairs",
     "heading_density", "heading_confidence", "prepared_maps", "regressed_maps", "best_parameters", "early_spectrum",
     "expected_maps", "simulated_counts", "simulated_explorations",
+    "kernel_covariance",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

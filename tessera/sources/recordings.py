@@ -64,6 +64,11 @@ def read(spark: SparkSession, path: str, prefix: str = "", suffix: str = "") ->
     return rows.where(F.col("source_file").startswith(prefix) & F.col("source_file").endswith(suffix))
 
 
+def shuffled(rows: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
+    """Rows in an order that depends on their keys and the seed alone."""
+    return rows.orderBy(F.xxhash64(*by, F.lit(seed)), *by)
+
+
 def missing(keys: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
     """Keys that `done` lacks."""
     return keys.join(done.select(*by), by, "left_anti")

@@ -438,3 +438,26 @@ def test_quantiles_equal_numpy(spark, by):
         own = [v for g, v in rows if v is not None and (not by or g == x.g)]
         assert x.n == len(own) and np.allclose(x.q, np.quantile(own, [0.0, 0.05, 0.5, 0.77, 1.0]), atol=1e-12)
     assert len(got) == (4 if by else 1)
+
+
+def test_fits_may_start_anywhere(spark):
+    base = packed(spark, (0,))
+    cold = fits.fit_maps(base).first()
+    warm = fits.fit_maps(base.withColumn("start", F.array_repeat(F.lit(0.7), 256))).first()
+    assert abs(cold.elbo - warm.elbo) < 1e-3 and np.abs(np.array(cold.log_rate) - np.array(warm.log_rate)).max() < 1e-2
+    again = fits.fit_maps(base.withColumn("start", F.lit([float(x) for x in np.array(cold.log_rate) - solver.heuristics(*(np.array(getattr(base.first(), c)).reshape(16, 16) for c in "nk"))[3].ravel()]))).first()
+    assert again.rounds <= cold.rounds
+
+
+def test_dither_parts_a_plateau(spark):
+    rows = [(0, i, j, 1.0 if (i, j) in ((4, 4), (4, 5), (5, 4), (5, 5)) else 0.0) for i in range(9) for j in range(9)]
+    field = spark.createDataFrame(rows, "cell_id int, iy int, ix int, v double")
+    assert grids.interpolate_peaks(field, "v", 9, 9, 1.5).count() == 0
+    got = grids.interpolate_peaks(field, "v", 9, 9, 1.5, dither=1e-9).collect()
+    assert len([r for r in got if r.iy in (4, 5) and r.ix in (4, 5)]) == 1
+
+
+def test_shuffles_keep_all(spark):
+    keys = spark.range(40).withColumnRenamed("id", "cell_id")
+    a, b, c = ([r.cell_id for r in recordings.shuffled(keys.repartition(k), ["cell_id"], seed).collect()] for k, seed in ((1, 0), (3, 0), (2, 1)))
+    assert a == b and a != c and sorted(a) == sorted(c) == list(range(40)) and a != sorted(a)
