@@ -71,13 +71,6 @@ HULL = """hull AS (
   SELECT p.cell_id, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM emb p JOIN emb q ON p.cell_id = q.cell_id AND p.vec_id <> q.vec_id
   WHERE NOT EXISTS (SELECT 1 FROM emb o WHERE o.cell_id = p.cell_id AND o.vec_id <> p.vec_id AND o.vec_id <> q.vec_id
                     AND (q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0))"""
-MASK = "mask AS (SELECT DISTINCT least(floor(y * 16), 15)::INT AS iy, least(floor(x * 16), 15)::INT AS ix FROM emb WHERE cell_id < 2)"
-DIST = f"""{MASK},
-cells AS (SELECT a.i::INT AS iy, b.i::INT AS ix, mask.iy IS NOT NULL AS inside FROM range(16) AS a(i), range(16) AS b(i) LEFT JOIN mask ON mask.iy = a.i AND mask.ix = b.i),
-spots AS (SELECT vec_id, x * 16 - 0.5 AS bx, y * 16 - 0.5 AS by_, least(floor(y * 16), 15)::INT AS iy, least(floor(x * 16), 15)::INT AS ix FROM emb),
-owned AS (SELECT spots.*, cells.inside AS own FROM spots JOIN cells USING (iy, ix)),
-far_ AS (SELECT vec_id, own, min(sqrt(pow(c.iy - by_, 2) + pow(c.ix - bx, 2))) AS dist FROM owned JOIN cells c ON c.inside <> own GROUP BY ALL),
-dist_ AS (SELECT vec_id, CASE WHEN own THEN dist ELSE -dist END AS distance FROM far_)"""
 NEAREST = """ranked AS (SELECT e.vec_id, e.x, e.y, c.id, sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) AS d FROM emb e, cen c),
 near_ AS (SELECT vec_id, any_value(x) AS x, any_value(y) AS y, arg_min(id, (d, id)) AS id, min(d) AS d FROM ranked GROUP BY 1)"""
 MUTUAL = """pairs_ AS (SELECT a.cell_id AS layer, a.vec_id AS src, b.vec_id AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist
@@ -285,7 +278,6 @@ ORACLES = {
       FROM c3, (VALUES (0), (1)) AS a(d), (VALUES (0), (1)) AS b(d), (VALUES (0), (1)) AS c(d),
       LATERAL (SELECT (CASE WHEN c.d = 0 THEN 1 - ph ELSE ph END) * (CASE WHEN a.d = 0 THEN 1 - py ELSE py END) * (CASE WHEN b.d = 0 THEN 1 - px ELSE px END) AS share) WHERE share > 0 GROUP BY 1, 2, 3, 4""",
     "bin_weighted_reweighted": f"WITH {PTS}, turned AS (SELECT *, pow(greatest(cos(h * 2 * pi() - 1.0), 0), 2) AS hw FROM pts), kept AS (SELECT * FROM turned WHERE hw > 0), {lin(16, 'kept', 'hw')} {GRID_OUT}",
-    "value_histogram": "SELECT event_type, least(floor((value - 0.0) / 5.0), 11)::INT AS bin, count(*) AS count FROM events WHERE value BETWEEN 0 AND 60 GROUP BY ALL",
     "arena_geometry": f"""WITH {PTS}, {ARENA} SELECT cell_id, {r('(a + b) / 2 - edge * w / 2')} AS x0, {r('(a + b) / 2 + edge * w / 2')} AS x1, {r('(c + d) / 2 - edge * h / 2')} AS y0,
       {r('(c + d) / 2 + edge * h / 2')} AS y1, h, w, {r('1 / edge')} AS res FROM arena""",
     "unit_meter_bin_roundtrip": f"""WITH {PTS}, {ARENA}, u_ AS (SELECT wide.cell_id, arena.w AS bins, (x - ((a + b) / 2 - edge * arena.w / 2)) / (edge * arena.w) AS u FROM wide JOIN arena USING (cell_id))
@@ -313,10 +305,6 @@ ORACLES = {
     "in_hull": f"""WITH {EMB}, {HULL} SELECT e.vec_id, bool_and((bx - ax) * (e.y - ay) - (by_ - ay) * (e.x - ax) >= -1e-12) AS inside FROM emb e JOIN hull ON hull.cell_id = (e.cell_id + 9) % 10 GROUP BY 1""",
     "mask_from_hull": f"""WITH {EMB}, {HULL} SELECT cell_id, a.i::INT AS iy, b.i::INT AS ix FROM hull, range(16) AS a(i), range(16) AS b(i)
       GROUP BY ALL HAVING bool_and((bx - ax) * ((a.i + 0.5) / 16 - ay) - (by_ - ay) * ((b.i + 0.5) / 16 - ax) >= -1e-12)""",
-    "mask_dilate": f"""WITH {EMB}, {MASK} SELECT DISTINCT 0::BIGINT AS cell_id, (iy + a.i)::INT AS iy, (ix + b.i)::INT AS ix FROM mask, range(-2, 3) AS a(i), range(-2, 3) AS b(i)
-      WHERE a.i * a.i + b.i * b.i <= 4 AND iy + a.i BETWEEN 0 AND 15 AND ix + b.i BETWEEN 0 AND 15""",
-    "boundary_distance": f"WITH {EMB}, {DIST} SELECT vec_id AS point_id, {r('distance')} AS distance FROM dist_",
-    "near_boundary_filter": f"WITH {EMB}, {DIST} SELECT vec_id AS point_id FROM dist_ WHERE abs(distance) > 1.0",
     "spike_times_to_counts": f"""WITH spk AS (SELECT user_id AS cell_id, (epoch_us(ts) - 1704067200000000) / 1e6::DOUBLE / 3600.0::DOUBLE AS u FROM events WHERE event_type = 'click'),
       two AS (SELECT cell_id, floor(u)::BIGINT + d AS t, CASE WHEN d = 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END AS c FROM spk, (VALUES (0), (1)) AS o(d)),
       got AS (SELECT cell_id, CASE WHEN t = 720 THEN 719 ELSE t END AS t, sum(c) AS c FROM two WHERE t <= 720 GROUP BY ALL),
@@ -388,9 +376,6 @@ ORACLES = {
       CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM events WHERE value IS NOT NULL), {lin(8, 'ev', by='start, cell_id')} SELECT start, cell_id, iy, ix, {r('n')} AS n, {r('k')} AS k FROM grid""",
     "heading_rate_maps": f"""WITH {PTS}, spread AS (SELECT pts.* EXCLUDE (w), l::BIGINT AS layer, pow(greatest(cos(h * 2 * pi() - l * pi() / 2), 0), 2) AS w FROM pts, range(4) AS q(l)),
       kept AS (SELECT * FROM spread WHERE w > 0), {lin(8, 'kept', 'w', by='cell_id, layer')} SELECT cell_id, layer, iy, ix, {r('n')} AS n, {r('k')} AS k FROM grid""",
-    "tracked_matches": f"""WITH {EMB}, d AS (SELECT a.vec_id AS tracked, b.vec_id AS sampled, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM emb a, emb b WHERE a.cell_id = 0 AND b.cell_id = 1),
-      o AS (SELECT *, row_number() OVER (PARTITION BY tracked ORDER BY distance, sampled) AS p, row_number() OVER (PARTITION BY sampled ORDER BY distance, tracked) AS q FROM d)
-      SELECT tracked, sampled, {r('distance')} AS distance FROM o WHERE p = 1 AND q = 1 AND distance <= 0.2""",
     "tracked_matches_labels": f"""WITH {EMB}, d AS (SELECT a.vec_id AS tracked, b.vec_id AS sampled, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM emb a JOIN emb b ON b.cell_id = a.cell_id + 1),
       o AS (SELECT *, row_number() OVER (PARTITION BY tracked ORDER BY distance, sampled) AS p, row_number() OVER (PARTITION BY sampled ORDER BY distance, tracked) AS q FROM d)
       SELECT tracked, sampled, {r('distance')} AS distance FROM o WHERE p = 1 AND q = 1 AND distance <= 0.2""",
@@ -419,14 +404,14 @@ ORACLES = {
       SELECT origin, f AS opposite, {r('dist')} AS dist FROM best_ WHERE q = 1""",
     "grid_kernel": f"WITH {KERNELS} SELECT style, a.i::INT AS iy, b.i::INT AS ix, {r('sum(f * cos(2 * pi() * (u * a.i + v * b.i) / 8)) / 64')} AS value FROM spec_k, range(8) AS a(i), range(8) AS b(i) GROUP BY 1, 2, 3",
     "recording_track": f"""WITH {TRK}, {REC} SELECT gx.cell_id, gx.t, {r('gx.v')} AS x, {r('gy.v')} AS y, {r('coalesce(c, 0)')} AS s FROM gx JOIN gy USING (cell_id, t) LEFT JOIN cnt_ USING (cell_id, t)""",
-    "silent_recordings": f"WITH {TRK} SELECT DISTINCT cell_id FROM trk WHERE cell_id NOT IN (SELECT cell_id FROM trk WHERE s = 1 AND cell_id % 2 = 0)",
+    "silent_recordings": f"WITH {TRK} SELECT DISTINCT cell_id FROM trk WHERE cell_id NOT IN (SELECT cell_id FROM trk WHERE y > 0.97)",
     "rates_at_points": f"""WITH {PTS}, {lin(16)}, {kde(16, 2.0)} SELECT p.cell_id, {r('avg(rate)')} AS mean_rate, {r('avg(rate * s)')} AS at_events FROM pts p JOIN kde_ k ON k.cell_id = p.cell_id AND k.iy = least(floor(p.y * 16), 15) AND k.ix = least(floor(p.x * 16), 15) GROUP BY 1""",
     "head_direction": f"""WITH {TRK}, turned AS (SELECT cell_id, t, cos(radians(-y * 360)) AS c, sin(radians(-y * 360)) AS s FROM trk), {fir('turned', 'c', None, False, 'fc')}, {fir('turned', 's', None, False, 'fs')}
       SELECT fc.cell_id, fc.t, {r('atan2(fs.v, fc.v)', 5)} AS direction FROM fc JOIN fs USING (cell_id, t)""",
     "skip_statistics": f"""WITH v_ AS (SELECT event_type, CASE WHEN event_id % 3 <> 0 AND event_id % 7 <> 0 THEN value END AS v FROM events)
       SELECT event_type, {r('coalesce(sum(v), 0)')} AS total, {r('avg(v)')} AS mean, {r("CASE WHEN event_type = 'error' THEN -1 ELSE avg(v) END")} AS mean_or FROM v_ GROUP BY 1""",
     "zscored": f"SELECT event_id, event_type, {r('(value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-10)')} AS z, {r('value - avg(value) OVER w')} AS centred FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type)",
-    "pending_keys": f"WITH {TRK} SELECT DISTINCT cell_id FROM trk WHERE cell_id % 2 <> 0",
+    "pending_keys": f"WITH {TRK} SELECT DISTINCT cell_id FROM trk WHERE cell_id NOT IN (SELECT cell_id FROM trk WHERE y < 0.03)",
     "ends_mask": f"""WITH {EMB}, {HULL} SELECT cell_id, a.i::INT AS iy, b.i::INT AS ix FROM hull, range(12) AS a(i), range(12) AS b(i)
       GROUP BY ALL HAVING bool_and((bx - ax) * (a.i / 11.0::DOUBLE - ay) - (by_ - ay) * (b.i / 11.0::DOUBLE - ax) >= -1e-12)""",
     "mask_hull": f"WITH {EMB}, {LABEL_MASK}, {corner_hull(0.5)} SELECT cell_id, {r('ax')} AS ax, {r('ay')} AS ay, {r('bx')} AS bx, {r('by_')} AS by FROM hull",

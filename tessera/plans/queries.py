@@ -58,14 +58,12 @@ def bin_weighted_reweighted(s, d):
     return tidy(binning.reweighted(fixtures.points(s, d), 16, w))
 
 
-def value_histogram(s, d):
-    return binning.histogram(fixtures.table(s, d, "events"), "value", 0.0, 60.0, 12, ["event_type"])
-
-
 def value_histogram_whole(s, d):
-    """As value_histogram, with what lies below and above the range in bins -1 and 12."""
-    b = F.when(F.col("value") < 0, -1).when(F.col("value") > 60, 12).otherwise(F.least(F.floor(F.col("value") / 5), F.lit(11))).cast("int")
-    return fixtures.table(s, d, "events").where("value is not null").groupBy("event_type", b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    """Counts in twelve bins of 0 to 60, with what lies below and above in bins -1 and 12."""
+    e = fixtures.table(s, d, "events")
+    inner = binning.histogram(e, "value", 0.0, 60.0, 12, ["event_type"])
+    outer = e.where("value < 0 or value > 60").groupBy("event_type", F.when(F.col("value") < 0, -1).otherwise(12).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return inner.unionByName(outer)
 
 
 def arena_geometry(s, d):
@@ -145,15 +143,6 @@ def mask_from_hull(s, d):
     return geometry.hull_mask(geometry.hull(_unit_cloud(s, d)), 16, 16)
 
 
-def _mask(s, d) -> DataFrame:
-    bins = [F.least(F.floor(F.col(c) * 16), F.lit(15)).cast("int").alias(f"i{c}") for c in "yx"]
-    return _unit_cloud(s, d).where("cell_id < 2").select(F.lit(0).cast("long").alias("cell_id"), *bins).distinct()
-
-
-def mask_dilate(s, d):
-    return geometry.dilate(_mask(s, d), 2.0, 16, 16)
-
-
 def _label_masks(s, d) -> DataFrame:
     bins = [F.least(F.floor(F.col(c) * 16), F.lit(15)).cast("int").alias(f"i{c}") for c in "yx"]
     return _unit_cloud(s, d).select(F.col("cell_id").cast("long").alias("cell_id"), *bins).distinct()
@@ -163,22 +152,6 @@ def mask_dilate_labels(s, d):
     return geometry.dilate(_label_masks(s, d), 2.0, 16, 16)
 
 
-def _distances(s, d) -> DataFrame:
-    p = _unit_cloud(s, d).select(
-        F.lit(0).cast("long").alias("cell_id"), F.col("vec_id").alias("point_id"), (F.col("x") * 16 - 0.5).alias("bx"), (F.col("y") * 16 - 0.5).alias("by_"),
-        F.least(F.floor(F.col("y") * 16), F.lit(15)).cast("int").alias("iy"), F.least(F.floor(F.col("x") * 16), F.lit(15)).cast("int").alias("ix"),
-    )
-    return geometry.boundary_distance(p, _mask(s, d), 16, 16)
-
-
-def boundary_distance(s, d):
-    return tidy(_distances(s, d).select("point_id", "distance"))
-
-
-def near_boundary_filter(s, d):
-    return _distances(s, d).where(F.abs("distance") > 1.0).select("point_id")
-
-
 def spike_times_to_counts(s, d):
     return tidy(binning.spike_counts(fixtures.spikes(s, d), 3600.0, 720))
 
@@ -452,12 +425,6 @@ def tracked_chains(s, d):
     return tidy(tracking.path_regions(paths, _centroids(s, d)))
 
 
-def tracked_matches(s, d):
-    a = _unit_cloud(s, d)
-    part = lambda k: a.where(F.col("cell_id") == k).select(F.col("vec_id").alias("id"), "x", "y")
-    return tidy(tracking.tracked_matches(part(0), part(1), 0.2))
-
-
 def tracked_matches_labels(s, d):
     """Every label's rows matched to the next label's; each pair of labels lies in a strip of its own."""
     a = _unit_cloud(s, d)
@@ -592,7 +559,7 @@ def recording_track(s, d):
 
 def silent_recordings(s, d):
     t = fixtures.track(s, d)
-    return recordings.silent(t.where("s = 1 and cell_id % 2 = 0").select("cell_id"), t.select("cell_id"))
+    return recordings.silent(t.where("y > 0.97").select("cell_id"), t.select("cell_id"))
 
 
 def locate_opposites(s, d):
@@ -640,9 +607,9 @@ def zscored(s, d):
 
 
 def pending_keys(s, d):
-    """Keys that a store of fits lacks; the store is a table written by an earlier run (here the even keys)."""
-    keys = fixtures.track(s, d).select("cell_id").distinct()
-    return recordings.missing(keys, keys.where("cell_id % 2 = 0"), B)
+    """Keys that a store of fits lacks; the store holds the keys with a low sample."""
+    t = fixtures.track(s, d)
+    return recordings.missing(t.select("cell_id").distinct(), t.where("y < 0.03"), B)
 
 
 def ends_mask(s, d):
@@ -721,7 +688,7 @@ def simulated_background(s, d):
 def peak_filters(s, d):
     """Peaks inside the key's hull, away from the edge, above the key's median height."""
     peaks = grids.interpolate_peaks(grids.kde(_grid(s, d), 16, 16, 1.0), "rate", 16, 16, 1.0)
-    planes = geometry.half_planes(geometry.hull(_unit_cloud(s, d).where("cell_id < 4")))
+    planes = geometry.half_planes(geometry.hull(_unit_cloud(s, d)))
     out = posterior.filter_peaks(peaks, planes, edge=0.05, quantile=0.5)
     return tidy(out.select("cell_id", "iy", "ix", "x", "y", "height"), 5)
 
@@ -762,10 +729,10 @@ def point_pairs(s, d):
 NAMES = [
     "kde_packed", "heuristic_parameters", "autocorrelation_profile",
     "sampled_confidence", "fraction_within_arena", "laplace_joint", "laplace_joint_rate", "elbo_profiles", "heading_variance", "heading_rate_maps", "heading_peaks",
-    "tracked_chains", "tracked_matches", "tracked_matches_labels", "mask_dilate_labels", "value_histogram_whole", "mahalanobis_displacement", "prior_draws", "scalar_variational", "zero_lag", "box_statistics",
-    "rate_histogram", "bin_linear", "bin_nearest", "bin_linear_lattice_l", "bin_linear_3d_wrap", "bin_weighted_reweighted", "value_histogram", "arena_geometry",
+    "tracked_chains", "tracked_matches_labels", "mask_dilate_labels", "value_histogram_whole", "mahalanobis_displacement", "prior_draws", "scalar_variational", "zero_lag", "box_statistics",
+    "rate_histogram", "bin_linear", "bin_nearest", "bin_linear_lattice_l", "bin_linear_3d_wrap", "bin_weighted_reweighted", "arena_geometry",
     "unit_meter_bin_roundtrip", "normalised_square", "safe_math", "safe_div_cases", "lgamma_table", "unitscale_percentile", "lognormal_moments", "hex_grid",
-    "simulated_rate_map", "bin_coordinates", "hull_edges_coarse", "in_hull", "mask_from_hull", "mask_dilate", "boundary_distance", "near_boundary_filter",
+    "simulated_rate_map", "bin_coordinates", "hull_edges_coarse", "in_hull", "mask_from_hull",
     "spike_times_to_counts", "run_edges", "run_edges_inner", "interpolate_gaps", "interpolate_gaps_linear", "glitch_patch", "sg_smooth", "sg_derivative", "heading_angle",
     "block_resample_fixed", "cv_folds", "learning_curve", "circular_smooth", "blur_grid", "kde_rate_map", "kde_v1", "acorr_grid", "radial_average", "hartley_transform",
     "hessian_grid", "peaks_local_max", "peaks_interpolated", "packed_roundtrip", "nearest_point", "voronoi_assign", "region_moments", "weighted_region_moments",
