@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import columns, map_arrow
-from tessera.llm._store import cut, shuffle_partitions, table
+from tessera.llm._store import cut, shuffle_partitions, sweep, table
 from tessera.llm._text import Words, buffers, gram_starts, grams, mix, text_chunks
 
 SHINGLE = 5
@@ -213,6 +213,7 @@ def leaves(classes: DataFrame, threshold: float, target: float) -> tuple[DataFra
     pivots = pivots.repartition(parts, F.xxhash64("node"))  # an exchange of its own, as in _sized
     met = large.join(pivots, "node", "left").select("node", "pick", "cls", "sig", F.coalesce("pivots", F.array("sig")).alias("pivots"))
     marked = cut(map_arrow(met, _central, "node long, pick int, cls long, central boolean"))
+    sweep(classes.sparkSession)
     enough = math.ceil(math.log(1 - target) / math.log(1 - threshold)) + 2
     order = Window.partitionBy("cls", "central").orderBy("pick", "node")
     marked = marked.withColumn("rank", F.row_number().over(order)).where(~F.col("central") | (F.col("rank") <= enough))
@@ -439,12 +440,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     )
     split, dense = leaves(classes, threshold, target)
     found = likely(split, classes, threshold).unionByName(dense)
+    sweep(spark)
     places = found.groupBy("cls").agg(F.collect_set(F.struct("leaf", "size")).alias("places"))
     wanted = places.join(classes.select("cls", "rep", "copies"), "cls").withColumnRenamed("rep", "doc_id")
     texts = rows.join(wanted, "doc_id").select("text", "cls", "copies", "places")
     parts = shuffle_partitions(spark)
     dealt = map_arrow(texts, _deal, DEALT).repartition(parts, "task").sortWithinPartitions("task", "cls")
     links = cut(map_arrow(dealt, _compare(threshold), LINKS))
+    sweep(spark)
     per_class = links.groupBy("cls").agg(F.sum("links").alias("links"))
     labels = components(links)
     grouped = (
