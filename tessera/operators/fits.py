@@ -82,17 +82,20 @@ def sweep(packed: DataFrame, grid: DataFrame, style: str = "radial", by: list[st
     per map shape (the union over the grid), so that scores compare.
 
     The grid is collected: it is a list of settings.  Shared frequencies are found once for each map shape, and a map is
-    shipped once for each CHUNK of settings, whose fits start from one another."""
+    shipped once for each chunk of settings: of CHUNK, or of fewer where there are too few maps to fill the tasks."""
     settings = sorted((r["param_id"], r["period"], r["variance"], r["angle"]) for r in grid.collect())
     if not settings:
         raise ValueError("no settings to sweep")
-    shapes = [(r["h"], r["w"]) for r in packed.select("h", "w").distinct().collect()]  # a few
+    shapes = {(r["h"], r["w"]): r["count"] for r in packed.groupBy("h", "w").count().collect()}  # a few
     kept = {shape: shared_frequencies(shape, settings, style) for shape in shapes}
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(-(-len(settings) // CHUNK), -(-4 * parts // max(1, sum(shapes.values()))))
+    size = -(-len(settings) // min(len(settings), wanted))
 
     def one(row: pd.Series) -> pd.DataFrame:
         n, k = _maps(row)
         _, _, _, mean = solver.heuristics(n, k)
-        chosen = settings[row["_chunk"] * CHUNK : (row["_chunk"] + 1) * CHUNK]
+        chosen = settings[row["_chunk"] * size : (row["_chunk"] + 1) * size]
         own = kept[n.shape]
         found = []
         for _, p, v, a in chosen:
@@ -101,7 +104,7 @@ def sweep(packed: DataFrame, grid: DataFrame, style: str = "radial", by: list[st
         ids, p, v, a = zip(*chosen)
         return pd.DataFrame({x: [row[x]] * len(chosen) for x in by} | {"param_id": ids, "period": p, "variance": v, "angle": a, "elbo": found})
 
-    chunks = packed.sparkSession.range(-(-len(settings) // CHUNK)).withColumnRenamed("id", "_chunk")  # fewer rows than settings
+    chunks = packed.sparkSession.range(-(-len(settings) // size)).withColumnRenamed("id", "_chunk")  # fewer rows than settings
     crossed = packed.crossJoin(F.broadcast(chunks))
     return _run(crossed, one, f"{_key(packed, by)}, param_id long, period double, variance double, angle double, elbo double", [*by, "_chunk"])
 
