@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op7_lm_scoring, op8_decontamination, op9_media, op10_sharding
+from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op7_lm_scoring, op8_decontamination, op9_media, op10_sharding, op11_fill_in_middle
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination.query,
     "op9_media": op9_media.query,
     "op10_sharding": op10_sharding.query,
+    "op11_fill_in_middle": op11_fill_in_middle.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_substring_dedup": op3_substring_dedup.ORACLE,
     "op6_line_dedup": op6_line_dedup.ORACLE,
     "op10_sharding": op10_sharding.ORACLE,
+    "op11_fill_in_middle": op11_fill_in_middle.ORACLE,
 }
