@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op7_lm_scoring, op8_decontamination, op9_media, op10_sharding, op11_fill_in_middle
+from tessera.llm import op1_ngram_jaccard_join, op2_sentencepiece, op3_substring_dedup, op4_pii, op5_toxicity, op6_line_dedup, op7_lm_scoring, op8_decontamination, op9_media, op10_sharding, op11_fill_in_middle, op12_simhash, op13_spelling
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join.query,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_media": op9_media.query,
     "op10_sharding": op10_sharding.query,
     "op11_fill_in_middle": op11_fill_in_middle.query,
+    "op12_simhash": op12_simhash.query,
+    "op13_spelling": op13_spelling.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -25,4 +27,6 @@ ORACLES = {
     "op6_line_dedup": op6_line_dedup.ORACLE,
     "op10_sharding": op10_sharding.ORACLE,
     "op11_fill_in_middle": op11_fill_in_middle.ORACLE,
+    "op12_simhash": op12_simhash.ORACLE,
+    "op13_spelling": op13_spelling.ORACLE,
 }
