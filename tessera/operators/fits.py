@@ -51,7 +51,7 @@ def fit_maps(packed: DataFrame, style: str = "radial", by: list[str] = BY) -> Da
         n, k = _maps(row)
         spectrum, mean, (p, v, a) = _spectrum(n, k, row.get("period"), row.get("variance"), row.get("angle"), style)
         start = row.get("start")
-        first = None if start is None else solver.basis(spectrum > 0) @ np.asarray(start, dtype=float)
+        first = None if start is None else solver.Waves(spectrum > 0).weights(np.asarray(start, dtype=float).reshape(n.shape))
         got = solver.fit(spectrum, n, k, mean, start=first)
         out = {x: [row[x]] for x in by} | {"h": [n.shape[0]], "w": [n.shape[1]], "elbo": [got.elbo], "period": [p], "variance": [v], "angle": [a], "rounds": [got.rounds]}
         out |= {"rate": [got.rate().ravel()], "log_rate": [got.log_rate().ravel()], "log_var": [got.variance().ravel()]}

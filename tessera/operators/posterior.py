@@ -90,18 +90,13 @@ def joint_confidence(packed: DataFrame, ridge: float = 1e-5, domain: str = "log"
         inner = z[1:-1, 1:-1]
         around = np.stack([z[1 + i : z.shape[0] - 1 + i, 1 + j : z.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
         found = np.argwhere(inner > around.max(axis=0)) + 1
-        b = solver.basis(got.kept).reshape(-1, *z.shape)
-        jac, inv = [], []
-        for i, j in found:
-            at = lambda f, dy, dx, i=i, j=j: np.roll(f, (-dy, -dx), axis=(-2, -1))[..., i, j]
-            scale = 1.0 if domain == "log" else rate[i, j] * math.exp(v[i, j] / 2)
-            jac += [scale * (at(b, 0, 1) - at(b, 0, -1)) / 2, scale * (at(b, 1, 0) - at(b, -1, 0)) / 2]
-            xx, yy = at(surface, 0, 1) - 2 * at(surface, 0, 0) + at(surface, 0, -1), at(surface, 1, 0) - 2 * at(surface, 0, 0) + at(surface, -1, 0)
-            xy = (at(surface, 1, 1) + at(surface, -1, -1) - at(surface, 1, -1) - at(surface, -1, 1)) / 4
-            inv.append(np.linalg.pinv(-np.array([[xx, xy], [xy, yy]])))
+        scale = 1.0 if domain == "log" else (rate * np.exp(v / 2))[tuple(found.T)][:, None, None]
+        # x before y, as in the blocks
+        jac = (scale * solver.peak_gradients(got, found)[:, ::-1]).reshape(2 * len(found), -1)
+        inv = np.linalg.pinv(-solver.peak_hessians(surface, found)[:, ::-1, ::-1])
         rows = []
         if len(found):
-            g = np.stack(jac) @ got.factor.T
+            g = jac @ got.factor.T
             h = np.zeros((2 * len(found),) * 2)
             for a, m in enumerate(inv):
                 h[2 * a : 2 * a + 2, 2 * a : 2 * a + 2] = m
