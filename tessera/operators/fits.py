@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels, numerics, solver
-from tessera.runtime import ship
+from tessera.runtime import cut, ship
 
 BY = ["cell_id"]
 
@@ -64,30 +64,72 @@ def fit_maps(packed: DataFrame, style: str = "radial", by: list[str] = BY) -> Da
 CHUNK = 16
 
 
-def shared_frequencies(shape: tuple[int, int], settings: list[tuple], style: str) -> np.ndarray:
-    """Union of the frequencies that the settings (id, period, variance, angle) keep, at most the solver's limit of them."""
-    kept = np.zeros(shape, dtype=bool)
-    for _, p, v, a in settings:
-        kept |= kernels.spectrum(shape, p, v, a, style) > 0
-    if kept.sum() > solver.LIMIT:
-        order = np.argsort(-np.where(kept, kernels.spectrum(shape, *settings[0][1:], style, least=-np.inf), -np.inf), axis=None)
-        kept = np.zeros(kept.size, dtype=bool)
-        kept[order[: solver.LIMIT]] = True
-        kept = kept.reshape(shape)
+def pack_mask(kept: np.ndarray) -> bytes:
+    """A mask of frequencies, eight a byte."""
+    return np.packbits(kept).tobytes()
+
+
+def unpack_mask(packed: bytes, shape: tuple[int, ...]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=int(np.prod(shape))).astype(bool).reshape(shape)
+
+
+def frequency_words(grid: DataFrame, shapes: list[tuple[int, int]], style: str) -> DataFrame:
+    """(shape: its number, pos, word): the union over grid(period, variance, angle) of the frequencies that the settings keep
+    on each shape, 64 a word: tasks unite their own settings, an aggregation by bits unites the tasks."""
+    ship(grid.sparkSession)
+
+    def unite(batches: Iterable[pd.DataFrame]):
+        own: list = [None] * len(shapes)
+        for batch in batches:
+            for p, v, a in zip(batch["period"], batch["variance"], batch["angle"]):
+                for i, shape in enumerate(shapes):
+                    mask = kernels.spectrum(shape, p, v, a, style) > 0
+                    own[i] = mask if own[i] is None else own[i] | mask
+        for i, mask in enumerate(own):
+            if mask is not None:
+                bits = np.packbits(mask)
+                words = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view(np.int64)
+                yield pd.DataFrame({"shape": i, "pos": np.arange(len(words)), "word": words})
+
+    parts = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    settings = grid.select("period", "variance", "angle").repartition(parts)
+    return settings.mapInPandas(unite, "shape int, pos int, word long").groupBy("shape", "pos").agg(F.bit_or("word").alias("word"))
+
+
+def shared_frequencies(grid: DataFrame, shapes: list[tuple[int, int]], style: str) -> dict[tuple[int, int], np.ndarray]:
+    """The united masks of `frequency_words` by shape (a bit a bin is collected); an error where one keeps more frequencies
+    than the solver takes."""
+    words: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(shapes))}
+    for r in frequency_words(grid, shapes, style).collect():
+        words[r["shape"]].append((r["pos"], r["word"]))
+    kept = {shape: unpack_mask(np.array([w for _, w in sorted(words[i])], np.int64).tobytes(), shape) for i, shape in enumerate(shapes)}
+    for shape, mask in kept.items():
+        if mask.sum() > solver.LIMIT:
+            raise ValueError(f"the settings keep {int(mask.sum())} frequencies on a {shape[0]} x {shape[1]} grid, more than {solver.LIMIT}")
     return kept
 
 
-def sweep(packed: DataFrame, grid: DataFrame, style: str = "radial", by: list[str] = BY) -> DataFrame:
-    """elbo of every key and parameter row of grid(param_id, period, variance, angle), on one shared set of frequencies
-    per map shape (the union over the grid), so that scores compare.
+def _on(kept: np.ndarray, period: float, variance: float, angle: float, style: str) -> np.ndarray:
+    """Spectrum on given frequencies."""
+    return np.where(kept, np.maximum(kernels.spectrum(kept.shape, period, variance, angle, style, kept=kept), 1e-9), 0)
+
+
+def sweep(packed: DataFrame, grid: DataFrame, style: str = "radial", by: list[str] = BY, warm: bool = False) -> DataFrame:
+    """elbo of every key and parameter row of grid(param_id, period, variance, angle), on one set of frequencies, so that
+    scores compare: packed's column `kept` (of `pack_mask`) where it is there, else the union over the grid by map shape.
+    A null in the grid stands for the key's own value in packed(period, variance, angle), and needs `kept`.
 
-    The grid is collected: it is a list of settings.  Shared frequencies are found once for each map shape, and a map is
-    shipped once for each chunk of settings: of CHUNK, or of fewer where there are too few maps to fill the tasks."""
-    settings = sorted((r["param_id"], r["period"], r["variance"], r["angle"]) for r in grid.collect())
+    The grid is collected: it is a list of settings.  A map is shipped once for each chunk of settings: of CHUNK, or of
+    fewer where there are too few maps to fill the tasks.  `warm`: fits of a chunk start from the one before (scores then
+    differ between chunkings by what the solver's tolerance leaves)."""
+    settings = sorted(((r["param_id"], r["period"], r["variance"], r["angle"]) for r in grid.collect()), key=lambda x: x[0])
     if not settings:
         raise ValueError("no settings to sweep")
+    own = "kept" in packed.columns
+    if not own and any(x is None for row in settings for x in row):
+        raise ValueError("settings of the keys' own need their frequencies in `kept`")
     shapes = {(r["h"], r["w"]): r["count"] for r in packed.groupBy("h", "w").count().collect()}  # a few
-    kept = {shape: shared_frequencies(shape, settings, style) for shape in shapes}
+    masks = {} if own else shared_frequencies(grid, sorted(shapes), style)
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(-(-len(settings) // CHUNK), -(-4 * parts // max(1, sum(shapes.values()))))
     size = -(-len(settings) // min(len(settings), wanted))
@@ -95,12 +137,13 @@ def sweep(packed: DataFrame, grid: DataFrame, style: str = "radial", by: list[st
     def one(row: pd.Series) -> pd.DataFrame:
         n, k = _maps(row)
         _, _, _, mean = solver.heuristics(n, k)
-        chosen = settings[row["_chunk"] * size : (row["_chunk"] + 1) * size]
-        own = kept[n.shape]
-        found = []
+        kept = unpack_mask(row["kept"], n.shape) if own else masks[n.shape]
+        chosen = [(i, *(row[c] if x is None else x for c, x in (("period", p), ("variance", v), ("angle", a)))) for i, p, v, a in settings[row["_chunk"] * size : (row["_chunk"] + 1) * size]]
+        found, state = [], None
         for _, p, v, a in chosen:
-            spectrum = np.where(own, np.maximum(kernels.spectrum(n.shape, p, v, a, style, kept=own), 1e-9), 0)
-            found.append(solver.fit(spectrum, n, k, mean).elbo)
+            got = solver.fit(_on(kept, p, v, a, style), n, k, mean, start=state)
+            found.append(got.elbo)
+            state = got.state() if warm else None
         ids, p, v, a = zip(*chosen)
         return pd.DataFrame({x: [row[x]] * len(chosen) for x in by} | {"param_id": ids, "period": p, "variance": v, "angle": a, "elbo": found})
 
@@ -115,23 +158,32 @@ def best(swept: DataFrame, by: list[str] = BY) -> DataFrame:
     return swept.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def climb(packed: DataFrame, periods: list[float], variances: list[float], style: str = "radial", by: list[str] = BY) -> DataFrame:
-    """Hill climb per key over a period x variance grid: best setting, its elbo and the number of fits made."""
+def climb(packed: DataFrame, periods: list[float] | None, variances: list[float] | None, style: str = "radial", by: list[str] = BY, warm: bool = True) -> DataFrame:
+    """Hill climb per key over a period x variance grid: best setting, its elbo, the number of fits made and of their mean
+    steps.  Lists that are None are the key's own arrays `periods` and `variances`; packed may have `kept`, the frequencies
+    of all fits of a key, and `angle`.  `warm`: each fit starts from the one that the climb comes from."""
 
     def one(row: pd.Series) -> pd.DataFrame:
         n, k = _maps(row)
         _, _, _, mean = solver.heuristics(n, k)
+        ps, vs = (list(row[c]) if x is None else x for c, x in (("periods", periods), ("variances", variances)))
+        kept = unpack_mask(row["kept"], n.shape) if "kept" in row else None
+        angle = float(row["angle"]) if "angle" in row and row["angle"] is not None else 0.0
+        steps = [0]
 
-        def score(at: tuple[int, int]) -> float:
+        def score(at: tuple[int, int], state):
+            p, v = ps[at[0]], vs[at[1]]
             try:
-                return solver.fit(kernels.spectrum(n.shape, periods[at[0]], variances[at[1]], 0.0, style), n, k, mean).elbo
+                got = solver.fit(kernels.spectrum(n.shape, p, v, angle, style) if kept is None else _on(kept, p, v, angle, style), n, k, mean, start=state)
             except (np.linalg.LinAlgError, ValueError):
-                return float("-inf")
+                return float("-inf"), None
+            steps[0] += got.steps
+            return got.elbo, got.state() if warm else None
 
-        at, seen = solver.hill_climb((len(periods), len(variances)), score)
-        return pd.DataFrame({x: [row[x]] for x in by} | {"period": [periods[at[0]]], "variance": [variances[at[1]]], "elbo": [seen[at]], "fits": [len(seen)]})
+        at, seen = solver.hill_climb((len(ps), len(vs)), score, carry=True)
+        return pd.DataFrame({x: [row[x]] for x in by} | {"period": [ps[at[0]]], "variance": [vs[at[1]]], "elbo": [seen[at]], "fits": [len(seen)], "steps": [steps[0]]})
 
-    return _run(packed, one, f"{_key(packed, by)}, period double, variance double, elbo double, fits int", by)
+    return _run(packed, one, f"{_key(packed, by)}, period double, variance double, elbo double, fits int, steps int", by)
 
 
 def log_grid(centre: float, ratio: float, count: int) -> list[float]:
@@ -141,19 +193,81 @@ def log_grid(centre: float, ratio: float, count: int) -> list[float]:
 
 def optimise(packed: DataFrame, periods: list[float], variances: list[float], angles: list[float], by: list[str] = BY, oriented: bool = False) -> DataFrame:
     """Period and variance by a radial sweep, then the angle by an oriented one, all keys at once; `oriented`: a third
-    stage sweeps period and variance again with the oriented kernel at each key's angle."""
+    stage sweeps period and variance again with the oriented kernel at each key's angle.  All stages use the frequencies that
+    the first one's settings keep, so that their bounds compare, and ship a map once for a chunk of settings."""
     spark = packed.sparkSession
-    first = [(i * len(variances) + j, p, v, 0.0) for i, p in enumerate(periods) for j, v in enumerate(variances)]
     schema = "param_id long, period double, variance double, angle double"
-    top = best(sweep(packed, spark.createDataFrame(first, schema), "radial", by), by).select(*by, "period", "variance")
-    turns = spark.createDataFrame(list(enumerate(angles)), "param_id long, angle double")
-    turned = packed.drop("period", "variance", "angle").join(top, by).crossJoin(F.broadcast(turns))
-    got = best(fit_maps(turned, "grid", [*by, "param_id"]).select(*by, "param_id", "period", "variance", "angle", "elbo"), by)
+    first = spark.createDataFrame([(i * len(variances) + j, p, v, 0.0) for i, p in enumerate(periods) for j, v in enumerate(variances)], schema)
+    shapes = [(r["h"], r["w"]) for r in packed.select("h", "w").distinct().collect()]  # a few
+    masks = [(h, w, pack_mask(m)) for (h, w), m in shared_frequencies(first, shapes, "radial").items()]
+    kept = packed.drop("kept", "period", "variance", "angle").join(F.broadcast(spark.createDataFrame(masks, "h int, w int, kept binary")), ["h", "w"])
+    chosen = ["period", "variance", "angle"]
+    top = best(sweep(kept, first, "radial", by), by).select(*by, *chosen)
+    turns = spark.createDataFrame([(i, None, None, a) for i, a in enumerate(angles)], schema)
+    got = best(sweep(kept.join(top, by), turns, "grid", by), by).select(*by, "param_id", *chosen, "elbo")
     if not oriented:
         return got
-    again = spark.createDataFrame([row[:3] for row in first], "param_id long, period double, variance double")
-    third = packed.drop("period", "variance", "angle").join(got.select(*by, "angle"), by).crossJoin(F.broadcast(again))
-    return best(fit_maps(third, "grid", [*by, "param_id"]).select(*by, "param_id", "period", "variance", "angle", "elbo"), by)
+    again = first.withColumn("angle", F.lit(None).cast("double"))
+    return best(sweep(kept.join(got.select(*by, *chosen), by), again, "grid", by), by).select(*by, "param_id", *chosen, "elbo")
+
+
+def hyperparameters(packed: DataFrame, period_ratio: float = 1.5, variance_ratio: float = 10.0, periods: int = 101, variances: int = 101, angles: int = 60, by: list[str] = BY, warm: bool = True) -> DataFrame:
+    """Period, variance and angle per key around its own heuristics, in three stages on one set of frequencies: a radial
+    climb over period and variance, a sweep of angles in [0, 60 degrees), and an oriented climb at the best angle.
+
+    The set is the union of what the radial kernel keeps at each period and at each variance of the key's grid.  Returns
+    key, period, variance, angle, elbo, frequencies, fits and error: null, or why a key has no result (too many frequencies).
+    Meant for `recordings.resume`, which keeps what is done and computes the rest."""
+
+    def centre(row: pd.Series) -> pd.DataFrame:
+        n, k = _maps(row)
+        p, v, a, _ = solver.heuristics(n, k)
+        ps, vs = log_grid(p, period_ratio, periods), log_grid(v, variance_ratio, variances)
+        kept = np.zeros(n.shape, dtype=bool)
+        for x in ps:
+            kept |= kernels.spectrum(n.shape, max(x, 2.0), v) > 0
+        for x in vs:
+            kept |= kernels.spectrum(n.shape, p, x) > 0
+        count = int(kept.sum())
+        error = None if count <= solver.LIMIT else f"{count} frequencies are kept, more than {solver.LIMIT}"
+        out = {x: [row[x]] for x in [*by, "h", "w", "n", "k"]} | {"periods": [ps], "variances": [vs], "kept": [pack_mask(kept)], "frequencies": [count], "error": [error]}
+        return pd.DataFrame(out)
+
+    array = "array<double>"
+    whole = cut(_run(packed, centre, f"{_key(packed, by)}, h int, w int, n {array}, k {array}, periods {array}, variances {array}, kept binary, frequencies int, error string", by))
+    able = whole.where("error is null").drop("error")
+    first = cut(climb(able, None, None, "radial", by, warm))
+    turns = packed.sparkSession.createDataFrame([(i, None, None, i * np.pi / 3 / angles) for i in range(angles)], "param_id long, period double, variance double, angle double")
+    turned = cut(best(sweep(able.join(first.select(*by, "period", "variance").withColumn("angle", F.lit(0.0)), by), turns, "grid", by), by).select(*by, "angle"))
+    last = climb(able.join(turned, by), None, None, "grid", by, warm).join(turned, by).join(first.select(*by, F.col("fits").alias("_first")), by)
+    found = last.select(*by, "period", "variance", "angle", "elbo", (F.col("fits") + F.col("_first") + angles).alias("fits"))
+    return whole.select(*by, "frequencies", "error").join(found, by, "left").select(*by, "period", "variance", "angle", "elbo", "frequencies", "fits", "error")
+
+
+def fit_series(packed: DataFrame, order: str, style: str = "radial", by: list[str] = BY, warm: bool = True) -> DataFrame:
+    """`fit_maps` of packed(key, order, ...) along `order` within a key: each fit starts from the one before (of the same
+    shape), such as maps of neighbouring heading angles.  A key is one task's sequence, read map by map; results also have
+    `order` and the number of mean steps."""
+    ship(packed.sparkSession)
+    keys = [*by, order]
+
+    def run(batches: Iterable[pd.DataFrame]):
+        last, state = None, None
+        for batch in batches:
+            for _, row in batch.iterrows():
+                n, k = _maps(row)
+                if last != (*(row[x] for x in by), n.shape):
+                    last, state = (*(row[x] for x in by), n.shape), None
+                spectrum, mean, (p, v, a) = _spectrum(n, k, row.get("period"), row.get("variance"), row.get("angle"), style)
+                got = solver.fit(spectrum, n, k, mean, start=state)
+                state = None if not warm else got.state()
+                out = {x: [row[x]] for x in keys} | {"h": [n.shape[0]], "w": [n.shape[1]], "elbo": [got.elbo], "period": [p], "variance": [v], "angle": [a], "rounds": [got.rounds], "steps": [got.steps]}
+                out |= {"rate": [got.rate().ravel()], "log_rate": [got.log_rate().ravel()], "log_var": [got.variance().ravel()]}
+                yield pd.DataFrame(out)
+
+    parts = max(1, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = f"{_key(packed, keys)}, h int, w int, elbo double, period double, variance double, angle double, rounds int, steps int, rate array<double>, log_rate array<double>, log_var array<double>"
+    return packed.repartition(parts, *by).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def prepare(points: DataFrame, size: int = 128, margin: float = 0.15, weight=None, by: list[str] = BY) -> DataFrame:
@@ -197,15 +311,10 @@ def regress(packed: DataFrame, fs: float, style: str = "radial", by: list[str] =
 
 def posterior_samples(packed: DataFrame, count: int, seed: int = 0, style: str = "radial", by: list[str] = BY) -> DataFrame:
     """Rows (key, sample_id, h, w, z) of the log rate less the prior mean; draws depend on seed, key and sample only."""
+    from tessera.operators import lowrank
 
-    def one(row: pd.Series) -> pd.DataFrame:
-        n, k = _maps(row)
-        spectrum, mean, _ = _spectrum(n, k, row.get("period"), row.get("variance"), row.get("angle"), style)
-        got = solver.fit(spectrum, n, k, mean)
-        draws = got.samples(count, abs(hash((seed, *(int(row[x]) for x in by)))) % 2**32)
-        return pd.DataFrame({x: [row[x]] * count for x in by} | {"sample_id": range(count), "h": n.shape[0], "w": n.shape[1], "z": [d.ravel() for d in draws]})
-
-    return _run(packed, one, f"{_key(packed, by)}, sample_id long, h int, w int, z array<double>", by)
+    drawn = lowrank.draws(lowrank.posterior(packed, style, by), count, seed, by)
+    return drawn.select(*by, "sample_id", F.col("shape")[0].alias("h"), F.col("shape")[1].alias("w"), "z")
 
 
 def laplace_peaks(packed: DataFrame, style: str = "radial", by: list[str] = BY) -> DataFrame:
@@ -260,17 +369,12 @@ def fit_headings(packed: DataFrame, angles: int, style: str = "radial", by: list
 def heading_samples(packed: DataFrame, count: int, seed: int = 0, style: str = "radial", by: list[str] = BY, keep: int = 1000) -> DataFrame:
     """Posterior draws of the joint fit: rows (key, layer, sample_id, h, w, z) of the log rate less the prior mean, for
     peaks and densities per heading."""
+    from tessera.operators import lowrank
 
-    def one(row: pd.Series) -> pd.DataFrame:
-        got, d = _joint(row, style, keep), int(row["d"])
-        draws = got.samples(count, abs(hash((seed, *(int(row[x]) for x in by)))) % 2**32)
-        at = [(layer, k) for layer in range(d) for k in range(count)]
-        return pd.DataFrame(
-            {x: [row[x]] * len(at) for x in by}
-            | {"layer": [a for a, _ in at], "sample_id": [k for _, k in at], "h": int(row["h"]), "w": int(row["w"]), "z": [draws[k, a].ravel() for a, k in at]}
-        )
-
-    return _run(packed, one, f"{_key(packed, by)}, layer int, sample_id long, h int, w int, z array<double>", by)
+    drawn = lowrank.draws(lowrank.heading_posterior(packed, style, by, keep), count, seed, by)
+    bins = F.col("shape")[1] * F.col("shape")[2]
+    layers = F.transform(F.sequence(F.lit(0), F.col("shape")[0] - 1), lambda i: F.struct(i.alias("layer"), F.slice("z", i * bins + 1, bins).alias("z")))
+    return drawn.select(*by, "sample_id", F.col("shape")[1].alias("h"), F.col("shape")[2].alias("w"), F.inline(layers)).select(*by, "layer", "sample_id", "h", "w", "z")
 
 
 def heuristics(packed: DataFrame, by: list[str] = BY) -> DataFrame:

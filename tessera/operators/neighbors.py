@@ -168,28 +168,38 @@ def match_layers(layers: DataFrame, count: int, radius: float) -> DataFrame:
 
 
 def alias_flags(points: DataFrame, others: DataFrame, key: str, by: list[str] = [], factor: float = 1.05, small: int = SMALL) -> DataFrame:  # noqa: B006
-    """points with aliased: whether more than one other lies within factor times the smallest distance.
+    """points with aliased: whether more than one other lies within factor times the smallest distance; false for points
+    without a place or without others.
 
     Beyond `small` others, their nearest is found in buckets and the others within its distance times the factor are
     counted in rings of buckets whose side is the next power of two of that reach."""
     if _few(others, small):
         packed = _packed(others, key, by)
-        joined = points.join(F.broadcast(packed), by) if by else points.crossJoin(F.broadcast(packed))
+        joined = points.join(F.broadcast(packed), by, "left") if by else points.crossJoin(F.broadcast(packed))
         d = joined.withColumn("_d", F.transform("others", lambda o: F.hypot(o["x"] - F.col("x"), o["y"] - F.col("y"))))
         d = d.withColumn("_m", F.array_min("_d"))
-        return d.select(*points.columns, (F.size(F.filter("_d", lambda v: v <= F.col("_m") * factor)) > 1).alias("aliased"))
-    near = _nearest_buckets(points, others, key, by, None).where("near_id is not null")
-    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("near_distance") * factor, F.lit(1e-9)))), F.lit(-30)).cast("int")
-    near = cut(near.withColumn("_level", level))
-    out = None
-    for (lv,) in near.select("_level").distinct().collect():  # at most a few dozen powers of two
-        side = 2.0**lv
-        part = near.where(F.col("_level") == lv).withColumn("_row", F.monotonically_increasing_id())
-        met = _bucketed(part, side).join(_spread(others, key, by, side), [*by, "_bx", "_by"])
-        close = F.hypot(F.col("_o.x") - F.col("x"), F.col("_o.y") - F.col("y")) <= F.col("near_distance") * factor
-        flags = met.groupBy("_row", *[f"`{c}`" for c in points.columns]).agg((F.count_if(close) > 1).alias("aliased")).drop("_row")
-        out = flags if out is None else out.unionByName(flags)
-    return out if out is not None else points.withColumn("aliased", F.lit(None).cast("boolean")).limit(0)
+        return d.select(*points.columns, F.coalesce(F.size(F.filter("_d", lambda v: v <= F.col("_m") * factor)) > 1, F.lit(False)).alias("aliased"))
+    near = _nearest_buckets(points, others, key, by, None)
+    reach = F.col("near_distance") * factor
+    # a reach of a power of two: its bucket's side, in which the ring of neighbours holds what is that close
+    level = F.greatest(F.ceil(F.log2(F.greatest(reach, F.lit(1e-9)))), F.lit(-30)).cast("int")
+    near = cut(near.withColumn("_level", F.when(F.col("near_id").isNotNull(), level)).withColumn("_row", F.monotonically_increasing_id()))
+    alone = near.where("_level is null").select(*[f"`{c}`" for c in points.columns], F.lit(False).alias("aliased"))
+    levels = [r[0] for r in near.where("_level is not null").select("_level").distinct().collect()]  # at most a few dozen
+    if not levels:
+        return alone
+    # others are laid out once a level, and meet the level's points by one join
+    turns = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    sides = F.array(*[F.struct(F.lit(lv).alias("_level"), F.lit(2.0**lv).alias("_side")) for lv in sorted(levels)])
+    laid = others.select(*by, F.col("x").alias("_ox"), F.col("y").alias("_oy"), F.inline(sides)).select("*", F.inline(turns))
+    laid = laid.select(*by, "_level", (F.floor(F.col("_ox") / F.col("_side")) + F.col("_i")).alias("_bx"), (F.floor(F.col("_oy") / F.col("_side")) + F.col("_j")).alias("_by"), "_ox", "_oy")
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    asked = near.where("_level is not null").withColumn("_bx", F.floor(F.col("x") / side)).withColumn("_by", F.floor(F.col("y") / side))
+    met = asked.select("_row", *by, "_level", "_bx", "_by", "x", "y", "near_distance").join(laid, [*by, "_level", "_bx", "_by"])
+    close = F.count_if(F.hypot(F.col("_ox") - F.col("x"), F.col("_oy") - F.col("y")) <= reach) > 1
+    flags = met.groupBy("_row").agg(close.alias("aliased"))
+    found = near.where("_level is not null").join(flags, "_row").select(*[f"`{c}`" for c in points.columns], "aliased")
+    return found.unionByName(alone)
 
 
 def components(edges: DataFrame) -> DataFrame:

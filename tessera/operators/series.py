@@ -160,6 +160,36 @@ def random_draws(spark, samples: int, blocks: int, replace: bool = True, seed: i
     return spark.createDataFrame(rows, "sample_id long, pos long, block_id long")
 
 
+#: a prime below 2**31 and multipliers of the draws' hash (fixed values); every product stays below 2**62
+PRIME, STEP_A, STEP_B, STEP_C = 2147483647, 48271, 16807, 69621
+
+
+def drawn_block(sample: Column, pos: Column, blocks: int, seed: int = 0) -> Column:
+    """Block 0..blocks-1 that resample `sample` takes at position `pos`: two rounds of multiply and square modulo a prime,
+    so any SQL engine draws the same."""
+    square = lambda v: F.element_at(F.transform(F.array(v), lambda t: t * t % PRIME), 1)
+    first = square((F.lit((seed + 1) * STEP_A % PRIME).cast("long") + sample) % PRIME * STEP_B % PRIME)
+    second = square((first + pos) % PRIME * STEP_C % PRIME)
+    return F.floor(F.floor((second * STEP_A + 11) % PRIME / 1024) % blocks).cast("long")
+
+
+def bootstrap_weights(spark, samples: int, blocks: int, seed: int = 0, extra: int = 1) -> DataFrame:
+    """(sample_id, block_id, weight): how often each of `samples` resamples takes a block in blocks + extra draws with
+    replacement; blocks that it does not take have no row."""
+    draws = spark.range(samples * (blocks + extra)).select(F.floor(F.col("id") / (blocks + extra)).alias("sample_id"), (F.col("id") % (blocks + extra)).alias("pos"))
+    taken = draws.select("sample_id", drawn_block(F.col("sample_id"), F.col("pos"), blocks, seed).alias("block_id"))
+    return taken.groupBy("sample_id", "block_id").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def bootstrap_maps(block_maps: DataFrame, weights: DataFrame, sums: list[str], by: list[str] = BY) -> DataFrame:
+    """Sums per key, sample and bin of resamples of block_maps(key, block_id, iy, ix, sums...) under bootstrap weights.
+
+    Binning is linear in its samples, so a resample is a weighted sum of maps that were binned once a block: samples are
+    read once and never copied, whatever the number of resamples."""
+    met = block_maps.join(weights, "block_id")
+    return met.groupBy(*by, "sample_id", "iy", "ix").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in sums])
+
+
 def prefixes(series: DataFrame, lengths: list[int]) -> DataFrame:
     """Every row once for each prefix length that holds it (learning curves)."""
     return series.withColumn("used", F.explode(F.array(*[F.lit(x) for x in lengths]))).where("t < used")

@@ -128,6 +128,10 @@ near9 AS (SELECT h.cell_id, h.iy, h.ix, {', '.join(f"max(CASE WHEN o.a = {a} AND
 d_ AS (SELECT *, (q5 - q3) / 2 AS dx, (q7 - q1) / 2 AS dy, q5 - q4 * 2 + q3 AS xx, q7 - q4 * 2 + q1 AS yy, (q8 - q6 - q2 + q0) / 4 AS xy FROM near9),
 o_ AS (SELECT *, {div('yy * dx - xy * dy', 'xx * yy - xy * xy')} AS ox, {div('xx * dy - xy * dx', 'xx * yy - xy * xy')} AS oy FROM d_),
 fine_ AS (SELECT cell_id, iy, ix, (ix - ox + 0.5) / 16 AS x, (iy - oy + 0.5) / 16 AS y, q4 - (dx * ox + dy * oy) / 2 AS height FROM o_)"""
+#: weights of 200 resamples of 15 blocks in 16 draws, seed 7
+DRAWN = """first_ AS (SELECT i // 16 AS sample_id, i % 16 AS pos, (8 * 48271 % 2147483647 + i // 16) % 2147483647 * 16807 % 2147483647 AS v FROM range(3200) AS q(i)),
+second_ AS (SELECT sample_id, (v * v % 2147483647 + pos) % 2147483647 * 69621 % 2147483647 AS v FROM first_),
+weight_ AS (SELECT sample_id, ((v * v % 2147483647 * 48271 + 11) % 2147483647 // 1024 % 15)::BIGINT AS block_id, count(*)::DOUBLE AS weight FROM second_ GROUP BY 1, 2)"""
 ROOT2 = "sqrt(-2 * ln(1 - 0.95::DOUBLE))"
 
 
@@ -465,4 +469,12 @@ ORACLES = {
       f AS (SELECT a.i AS u, b.i AS v, greatest(sum(k * cos(pi() * (a.i * y + b.i * x) / 2)), 0.5) AS f FROM g, range(4) AS a(i), range(4) AS b(i) GROUP BY 1, 2),
       c AS (SELECT a.i AS y, b.i AS x, sum(f * cos(pi() * (u * a.i + v * b.i) / 2)) / 16 AS k FROM f, range(4) AS a(i), range(4) AS b(i) GROUP BY 1, 2)
       SELECT p.i::INT AS a, q.i::INT AS b, {r('k')} AS value FROM range(16) AS p(i), range(16) AS q(i) JOIN c ON c.y = (p.i // 4 - q.i // 4 + 4) % 4 AND c.x = (p.i % 4 - q.i % 4 + 4) % 4""",
+    "bootstrap_draws": f"WITH {DRAWN} SELECT cell_id, sample_id, block_id, weight FROM weight_, (SELECT DISTINCT user_id % 3 AS cell_id FROM events)",
+    "bootstrap_spread": f"""WITH {DRAWN}, ends_ AS (SELECT min(event_id) AS a, max(event_id) - min(event_id) + 1 AS span FROM events WHERE value IS NOT NULL),
+      ev AS (SELECT (user_id % 3)::BIGINT AS cell_id, floor((event_id - a) * 15 / span)::BIGINT AS block_id, least(value / 100, 1.0) AS x, json_extract_string(props, '$.k')::DOUBLE / 100 AS y,
+             CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM events, ends_ WHERE value IS NOT NULL), {lin(6, 'ev', by='cell_id, block_id')},
+      each_ AS (SELECT cell_id, sample_id, iy, ix, (sum(k * weight) + 0.5) / (sum(n * weight) + 1) AS e FROM grid JOIN weight_ USING (block_id) GROUP BY ALL),
+      all_ AS (SELECT cell_id, iy, ix, (sum(k) + 0.5) / (sum(n) + 1) AS t FROM grid GROUP BY ALL),
+      b AS (SELECT cell_id, iy, ix, var_pop(e / t) AS v, avg(e / t) AS m FROM each_ JOIN all_ USING (cell_id, iy, ix) GROUP BY 1, 2, 3)
+      SELECT cell_id, {r('avg(v)')} AS variance, {r('avg(m - 1) * 100')} AS bias_percent FROM b GROUP BY 1""",
 }

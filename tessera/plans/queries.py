@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import safe, savgol
-from tessera.operators import binning, fits, geometry, grids, moments, neighbors, posterior, series, tracking
-from tessera.runtime import ship
+from tessera.operators import binning, fits, geometry, grids, lowrank, moments, neighbors, posterior, series, tracking
+from tessera.runtime import cut, ship
 from tessera.sources import fixtures, recordings, simulate
 
 B = ["cell_id"]
@@ -382,7 +382,7 @@ def linear_gp(s, d):
 
 
 def sampled_confidence(s, d):
-    return posterior.sampled_confidence(fits.posterior_samples(_packed(s, d), 24, 3), 16, 6.0)
+    return tidy(posterior.sampled_confidence(fits.posterior_samples(_packed(s, d), 24, 3), 16, 6.0), 9)
 
 
 def fraction_within_arena(s, d):
@@ -726,6 +726,58 @@ def point_pairs(s, d):
     return tidy(neighbors.match(a, a.withColumn("layer", F.pmod(F.col("layer") - 5, F.lit(10))), ["layer"], 0.06))
 
 
+def bootstrap_draws(s, d):
+    """How often each of 200 resamples takes each of 15 blocks; as many keys as events have users."""
+    keys = fixtures.track(s, d).select((F.col("cell_id") % 3).alias("cell_id")).distinct()
+    return series.bootstrap_weights(s, 200, 15, 7).crossJoin(F.broadcast(keys))
+
+
+def _block_maps(s, d, size: int = 6, blocks: int = 15) -> DataFrame:
+    """Maps of the events' places for each of three groups of users and each block of the time."""
+    e = fixtures.table(s, d, "events").where("value is not null")
+    ends = e.agg(F.min("event_id").alias("a"), (F.max("event_id") - F.min("event_id") + 1).alias("span"))
+    p = e.crossJoin(F.broadcast(ends)).select(
+        (F.col("user_id") % 3).cast("long").alias("cell_id"), F.floor((F.col("event_id") - F.col("a")) * blocks / F.col("span")).cast("long").alias("block_id"),
+        F.least(F.col("value") / 100, F.lit(1.0)).alias("x"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("y"), F.when(F.col("event_type") == "click", 1.0).otherwise(0.0).alias("s"),
+    )
+    return binning.visits_and_counts(p, size, by=["cell_id", "block_id"])
+
+
+def bootstrap_spread(s, d):
+    """Variance and bias over 200 block resamples of the smoothed rate, against that of all samples."""
+    maps = cut(_block_maps(s, d))
+    rate = (F.col("k") + 0.5) / (F.col("n") + 1)
+    each = series.bootstrap_maps(maps, series.bootstrap_weights(s, 200, 15, 7), ["n", "k"]).select("cell_id", "sample_id", "iy", "ix", rate.alias("estimate"))
+    whole = maps.groupBy("cell_id", "iy", "ix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select("cell_id", "iy", "ix", rate.alias("truth"))
+    return tidy(moments.estimator_spread(each.join(whole, ["cell_id", "iy", "ix"]), B))
+
+
+def shared_frequencies(s, d):
+    """Frequencies that any of a set of settings around the keys' own periods keeps on a 16 x 16 grid."""
+    own = fits.heuristics(_packed(s, d)).select("period").distinct()
+    grid = own.select("period", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("step")).select(F.greatest(F.col("period") * (F.col("step") * 0.05 + 1), F.lit(2.0)).alias("period"), F.lit(1.0).alias("variance"), F.lit(0.0).alias("angle"))
+    return fits.frequency_words(grid, [(16, 16)], "radial")
+
+
+def hyperparameters(s, d):
+    """Three stages of a fit of period, variance and angle per key, on one set of frequencies."""
+    return tidy(fits.hyperparameters(_packed(s, d, 12), periods=7, variances=5, angles=6))
+
+
+def fit_series(s, d):
+    """One fit a heading angle and key, each from the one before."""
+    maps = tracking.heading_maps(fixtures.points(s, d).withColumn("a", F.col("h") * (2 * math.pi)), "a", 6, 12)
+    fitted = fits.fit_series(grids.pack(maps, 12, 12, ["n", "k"], ["cell_id", "layer"]), "layer")
+    return tidy(fitted.select("cell_id", "layer", "elbo", "period", "variance", F.array_max("log_rate").alias("peak"), F.array_min("log_var").alias("surest")))
+
+
+def posterior_at_points(s, d):
+    """Mean, variance and covariance with the middle of each fitted map at the places of the other table's points."""
+    rows = cut(lowrank.posterior(_packed(s, d)))
+    p = _unit_cloud(s, d).select(F.pmod("cell_id", F.lit(4)).cast("long").alias("cell_id"), F.col("vec_id").alias("point_id"), F.array(F.col("y") * 15, F.col("x") * 15).alias("at"), F.array(F.lit(7.5), F.lit(7.5)).alias("to"))
+    return tidy(lowrank.moments_at(rows, p))
+
+
 NAMES = [
     "kde_packed", "heuristic_parameters", "autocorrelation_profile",
     "sampled_confidence", "fraction_within_arena", "laplace_joint", "laplace_joint_rate", "elbo_profiles", "heading_variance", "heading_rate_maps", "heading_peaks",
@@ -743,6 +795,6 @@ NAMES = [
     "elbo_bits", "bessel_variance", "simulated_background", "peak_filters", "truncated_spectrum", "top_frequencies", "upsampled_field", "noise_draw_blocks", "overlapping_folds", "point_pairs",
     "heading_density", "heading_confidence", "prepared_maps", "regressed_maps", "best_parameters", "early_spectrum",
     "expected_maps", "simulated_counts", "simulated_explorations",
-    "kernel_covariance",
+    "kernel_covariance", "bootstrap_draws", "bootstrap_spread", "shared_frequencies", "hyperparameters", "fit_series", "posterior_at_points",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.binning import shared_counts, spike_counts
 from tessera.operators.series import patch_glitches
+from tessera.runtime import cut
 
 SAMPLES = {"cell_id", "t", "x_px", "y_px"}
 SPIKES = {"cell_id", "spike_sample"}
@@ -74,17 +76,47 @@ def missing(keys: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
     return keys.join(done.select(*by), by, "left_anti")
 
 
-def pending(keys: DataFrame, spark: SparkSession, store: str, by: list[str]) -> DataFrame:
-    """Keys without a row in the store (a Parquet folder of fits, which may not exist yet)."""
+def _stored(spark: SparkSession, store: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = hadoop.Path(store)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return keys
-    return missing(keys, spark.read.parquet(store), by)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def load(spark: SparkSession, store: str) -> DataFrame:
+    """Rows of a store of fits."""
+    return spark.read.parquet(store).drop(BUCKET)
+
+
+def pending(keys: DataFrame, spark: SparkSession, store: str, by: list[str]) -> DataFrame:
+    """Keys without a row in the store (a Parquet folder of fits, which may not exist yet)."""
+    return missing(keys, load(spark, store), by) if _stored(spark, store) else keys
+
+
+BUCKET = "_bucket"
+
+
+def save(fits: DataFrame, store: str, by: list[str] = ["cell_id"], buckets: int = 64) -> None:  # noqa: B006
+    """Put fits into a store in place of what it holds for their keys, so a job that runs again changes nothing.
+
+    Rows lie in folders by a hash of their key; folders that get rows are written anew, with their rows of other keys, in
+    one job that changes nothing unless it succeeds.  `buckets` must stay the same over a store's life."""
+    spark = fits.sparkSession
+    dealt = lambda df: df.withColumn(BUCKET, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    rows = cut(dealt(fits))  # computed before the store changes, as it may have been read for them
+    if _stored(spark, store):
+        touched = rows.select(BUCKET).distinct()  # at most `buckets` rows
+        old = spark.read.parquet(store).join(F.broadcast(touched), BUCKET).join(rows.select(*by).distinct(), by, "left_anti")
+        rows = rows.unionByName(cut(old.select(*rows.columns)))
+    rows.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(store)
 
 
-def save(fits: DataFrame, store: str) -> None:
-    fits.write.mode("append").parquet(store)
+def resume(rows: DataFrame, store: str, compute: Callable[[DataFrame], DataFrame], by: list[str] = ["cell_id"]) -> DataFrame:  # noqa: B006
+    """The store after compute(rows of keys that it lacks) has been saved to it: only what is not done yet is computed."""
+    spark = rows.sparkSession
+    todo = pending(rows, spark, store, by)
+    if not todo.isEmpty():
+        save(compute(todo), store, by)
+    return load(spark, store)
 
 
-__all__ = ["require", "silent", "remapped", "track", "read", "missing", "pending", "save", "spike_counts"]
+__all__ = ["require", "silent", "remapped", "track", "read", "missing", "pending", "load", "save", "resume", "spike_counts"]
