@@ -5,7 +5,7 @@ time on any text and equal the leftmost non-overlapping matches of the patterns
 they state, with their checks.  The tagger adds spans beyond those patterns:
 spelled-out, defanged and oddly separated forms of the four kinds, and secrets
 (keys, tokens and passwords).  It learns from labelled windows of at most
-TRAIN_DOCS documents (a documented bound, taken by a hash of doc_id): windows
+TRAIN_DOCS documents (a documented bound, taken by a hash of the row): windows
 around digits and '@', at most WINDOWS_PER_DOC a document, one more from anywhere
 in the text, and a few with a span rewritten in another form (`rewritten`); its
 labels are the base spans, the rewritten ones and `known_secrets`.  The network
@@ -22,7 +22,9 @@ check of its kind (`plausible`: Luhn, parts below 256, counts of digits, ...).
 Base spans always stay.
 
 Edge cases: a null text counts as empty and has no spans; positions are code
-points, ends exclusive; equal texts have equal spans; repeated rows, null ids
+points, ends exclusive; equal texts have equal spans, but for added
+spans whose confidence lies within rounding (about 1e-4) of CONFIDENCE, which may
+differ between machines and batches; repeated rows, null ids
 and very long texts need no special case; doc_id is cast to long where rows are
 sampled (what cannot be cast is null); a column `pii` of the input is replaced,
 all others pass through `tag`; without labelled spans to learn from nothing is added.
@@ -42,19 +44,21 @@ from pyspark.sql import types as T
 
 from tessera.llm._arrow import map_arrow, map_text
 from tessera.llm._store import table
-from tessera.llm._text import mix, text_chunks
+from tessera.llm._text import text_chunks
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE_KINDS = 4
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 TRAIN_DOCS = 20000
 WINDOWS_PER_DOC = 4
+REWRITTEN_PER_DOC = 3
 LENGTH, STRIDE = 64, 32
 LANE, HALO = 224, 16
 LANES = 1024
 HIDDEN = 12
 EPOCHS, STEPS, BATCH, RATE = 8, 500, 64, 0.02
 CONFIDENCE = 0.9
+MARGIN = 1e-3
 LABELS = 1 + 2 * len(KINDS)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -334,14 +338,15 @@ class Tagger:
             outside += e[t, 0]
         return s, outside
 
-    def plain(self, e: np.ndarray) -> np.ndarray:
-        """Which columns of e (T, B, L) surely have no span on their best path."""
-        s, outside = self.best_scores(np.ascontiguousarray(e.transpose(0, 2, 1)))
-        return self._outside(s, outside)
+    def plain(self, ids: np.ndarray) -> np.ndarray:
+        """Which columns of ids (T, B) have no span on their best path."""
+        return self._outside(*self.best_scores(self.fast_emissions(ids)))
 
     @staticmethod
     def _outside(s: np.ndarray, outside: np.ndarray) -> np.ndarray:
-        return s[-1].max(axis=0) <= outside
+        """The one comparison that parts plain columns from marked ones.  With the margin it does not turn on the last digits
+        of a machine's arithmetic; a span that is better by less is about as likely as none, far below CONFIDENCE."""
+        return s[-1].max(axis=0) <= outside + MARGIN
 
     def _fast_lstm(self, ids: np.ndarray, d: str, out: np.ndarray) -> None:
         """Hidden states into out (T, H, B): one product and one tanh a step, the halves of the sigmoids folded into the weights."""
@@ -380,7 +385,8 @@ class Tagger:
         """(columns whose best path holds a span, their best labels (T, m) by Viterbi, their marginals (T, m)); all columns if all_."""
         e = self.fast_emissions(ids)
         s, outside = self.best_scores(e)
-        at = np.arange(ids.shape[1]) if all_ else np.flatnonzero(~self._outside(s, outside))
+        plain = self._outside(s, outside)
+        at = np.arange(ids.shape[1]) if all_ else np.flatnonzero(~plain)
         if not len(at):
             return at, np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.float32)
         y, into = np.empty((len(ids), len(at)), dtype=np.int64), (self.p["a"] + self.bar).T
@@ -388,10 +394,9 @@ class Tagger:
         y[-1] = s[-1].argmax(axis=0)
         for t in range(len(ids) - 1, 0, -1):
             y[t - 1] = (s[t - 1].T + into[y[t]]).argmax(axis=1)
-        if not all_:
-            marked = y.any(axis=0)
-            at, y = at[marked], y[:, marked]
-        _, q, _, _ = self.marginals(np.ascontiguousarray(e[:, :, at].transpose(0, 2, 1)))
+        y[:, plain[at]] = 0
+        # in double precision, as sums of hundreds of scores in single precision move marginals by the width of the batch
+        _, q, _, _ = self.marginals(np.ascontiguousarray(e[:, :, at].transpose(0, 2, 1), dtype=np.float64))
         return at, y, np.take_along_axis(q, y[:, :, None], axis=2)[:, :, 0]
 
     def decode(self, ids: np.ndarray, all_: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -453,7 +458,7 @@ def training_windows(text: str, most: int = WINDOWS_PER_DOC) -> list[tuple[np.nd
             break
         out.append((cut_window(ids, s), y))
     turn = len(ids) + sum(a for _, a, _ in spans)
-    for k, (kind, a, b) in enumerate(spans[:3] if most else []):
+    for k, (kind, a, b) in enumerate(spans[:REWRITTEN_PER_DOC] if most else []):
         name, said = another_secret(text, a, b, turn + k) if kind == 4 else ("", rewritten(kind, text[a:b], turn + k))
         before = text[max(0, a - 10) : a]
         before = before.rstrip("\"'=: ") + " " + name if name else before
@@ -528,10 +533,6 @@ def find(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
     return out
 
 
-def _sampled(doc_id: str, share: float):
-    return F.when(F.lit(share >= 1.0), F.lit(True)).otherwise(F.xxhash64(doc_id) < -(2**63) + int(2**64 * min(share, 0.999999)))
-
-
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, words in text_chunks(batch.column("text")):
@@ -539,7 +540,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(i, j - i)
             rows = []
             for k in np.flatnonzero(np.diff(at)).tolist():
-                rank = int(mix(np.array([k + i], np.uint64)).view(np.int64)[0]) if part.column("doc_id")[k].as_py() is None else part.column("doc_id")[k].as_py()
+                rank = part.column("rank")[k].as_py()
                 rows += [(rank, x.tobytes(), y.tobytes()) for x, y in training_windows(part.column("text")[k].as_py())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["rank", "ids", "labels"])
@@ -557,11 +558,17 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
-    """The tagger, from about train_docs documents at most; None if they hold no labelled span."""
+    """The tagger, from windows of about train_docs documents, taken by a hash of their rows; None if they hold no labelled
+    span.  Its bound holds whatever the ids: the windows of a row come or stay by the row's own hash, and at most
+    train_docs * (WINDOWS_PER_DOC + 1 + REWRITTEN_PER_DOC) windows are learnt, in one task."""
     share = train_docs / max(1, docs.count())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & _sampled("doc_id", share))
-    windows = map_arrow(rows, _windows, "rank long, ids binary, labels binary").repartition(1)
-    # at most train_docs * (WINDOWS_PER_DOC + 4) windows, learnt in one task; a few weight arrays come back
+    rank = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(rank.alias("rank"), "text").where("text is not null")
+    if share < 1:
+        rows = rows.where(F.col("rank") < -(2**63) + int(2**64 * share))
+    windows = map_arrow(rows, _windows, "rank long, ids binary, labels binary")
+    # equal rows have equal windows, so which of them a cut at the bound takes does not matter
+    windows = windows.orderBy("rank", "ids", "labels").limit(train_docs * (WINDOWS_PER_DOC + 1 + REWRITTEN_PER_DOC)).coalesce(1)
     got = {r["name"]: r["weights"] for r in map_arrow(windows, _learn, "name string, weights binary").collect()}
     if not got:
         return None

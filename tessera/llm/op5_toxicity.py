@@ -4,7 +4,7 @@ Features are the distinct words, word pairs and pairs with one word between
 (ASCII letters folded, ASCII punctuation and space separate words), and the first
 STEM bytes of longer words, as languages with few labelled rows show a word in
 many endings, hashed into 2**BITS slots.  Training is one pass after another of per-coordinate FTRL over a
-bounded sample of labelled rows (at most about MAX_TRAIN, a documented bound,
+bounded sample of labelled rows (at most MAX_TRAIN, a documented bound,
 taken by a hash of doc_id), in one task on an executor; L1 leaves at most a few
 thousand weights, which a second fit on those slots alone frees of L1's shrinkage
 and which are broadcast.  Scoring is a row-wise map over all whole texts.
@@ -131,18 +131,17 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights from rows that are not held out; at most about max_train of them, by a hash of doc_id."""
+    """Weights from rows that are not held out: of at most max_train labels (a label stated twice counts once), by a hash of
+    doc_id, and of at most max_train rows that they meet, by a hash of the row, whatever the ids."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))
     )
-    count = usable.count()
-    rank = F.xxhash64("doc_id")
-    if count > max_train:
-        usable = usable.where(rank < -(2**63) + int(2**64 * (max_train / count)))
-    sample = usable.withColumn("rank", rank)
-    # the sample's size is bounded by max_train above, so it may be broadcast and learnt in one task
+    usable = usable.distinct().withColumn("rank", F.xxhash64("doc_id"))
+    sample = usable.orderBy("rank", "doc_id", "toxic").limit(max_train)  # so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("rank", "toxic", "text")
-    feats = map_arrow(rows, _extract, "rank long, toxic int, slots binary").repartition(1)
+    feats = map_arrow(rows, _extract, "rank long, toxic int, slots binary")
+    # learnt in one task; equal rows are alike, so which of them a cut at the bound takes does not matter
+    feats = feats.orderBy(F.xxhash64("rank", "toxic", "slots"), "rank", "toxic", "slots").limit(max_train).coalesce(1)
     got = map_arrow(feats, _learn, "slots binary, weights binary, bias double").first()
     if got is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0

@@ -361,10 +361,38 @@ def test_plain_lanes_have_no_span(tagger):
     r = np.random.default_rng(5)
     ids = r.integers(0, op4.ALPHABET, (64, 500))
     ids[:, 250:] = np.stack([op4.cut_window(op4.encode(t), 0) for _, t in pii_rows(4, 250)], axis=1)
-    plain = tagger.plain(tagger.emissions(ids)[0])
+    plain = tagger.plain(ids)
     y, q = tagger.decode(ids)
     y2, q2 = tagger.decode(ids, all_=False)
-    assert plain.any() and not y[:, plain].any() and np.array_equal(y, y2) and np.allclose(q[:, ~plain], q2[:, ~plain], atol=1e-5)
+    assert plain.any() and not y[:, plain].any() and np.array_equal(y, y2)
+    assert np.allclose(q[:, ~plain], q2[:, ~plain], atol=1e-3)
+    # by the plain passes, but for columns near the border
+    s, outside = tagger.best_scores(np.ascontiguousarray(tagger.emissions(ids)[0].transpose(0, 2, 1)))
+    lead = s[-1].max(axis=0) - outside
+    sure = np.abs(lead - op4.MARGIN) > 5e-4
+    assert sure.mean() > 0.9 and ((lead <= op4.MARGIN) == plain)[sure].all()
+
+
+def test_training_samples_are_bounded(spark):
+    """One id, or none, with two thirds of all rows does not move the bound of what is learnt in one task."""
+    for hot in (5, None):
+        rows = [(hot if k % 3 else 100 + k, f"text {k} of jo{k}.x@mail{k}.example.com and {TOXIC[k % 3] if k % 2 else 'calm'} words") for k in range(900)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows)] * 2, "doc_id long, toxic int")
+        seen = {}
+
+        def counted(df, run, schema, seen=seen):
+            if run.__name__ == "_learn":
+                seen["rows"], seen["parts"] = df.count(), df.rdd.getNumPartitions()
+            return kept(df, run, schema)
+
+        for op, fit in ((op4, lambda: op4.fit(docs, 20)), (op5, lambda: op5.fit(docs, labels, 50))):
+            kept, op.map_arrow = op.map_arrow, counted
+            try:
+                fit()
+            finally:
+                op.map_arrow = kept
+            assert 0 < seen["rows"] <= (50 if op is op5 else 20 * (op4.WINDOWS_PER_DOC + 1 + op4.REWRITTEN_PER_DOC)) and seen["parts"] == 1
 
 
 def test_ftrl_equals_a_plain_version():
