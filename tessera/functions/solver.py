@@ -242,7 +242,7 @@ def fit(
     problem = Problem(spectrum, n, k, mean, dispersion)
     u, v = np.zeros(len(problem.waves)), np.zeros(n.shape)
     if isinstance(start, tuple):
-        u, v = problem.waves.weights(np.where(np.isfinite(start[0]), start[0], 0.0).reshape(n.shape)), start[1].reshape(n.shape)
+        u, v = problem.waves.weights(start[0].reshape(n.shape)), np.where(problem.seen, start[1].reshape(n.shape), 0.0)
     elif start is not None:
         u = start.copy()
     trace: list[float] = []
@@ -251,7 +251,7 @@ def fit(
     def fixed_point(u: np.ndarray, v: np.ndarray) -> np.ndarray:
         c = problem.factor(u, v)
         last[0] = c
-        return problem.waves.variance(c.T @ c if variance == "exact" else c @ c.T) - v
+        return np.where(problem.seen, problem.waves.variance(c.T @ c if variance == "exact" else c @ c.T) - v, 0.0)
 
     def scored(u: np.ndarray, v: np.ndarray) -> None:
         trace.append(problem.elbo(u, v, last[0]))
