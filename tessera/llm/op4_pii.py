@@ -349,27 +349,35 @@ class Tagger:
         return s[-1].max(axis=0) <= outside + MARGIN
 
     def _fast_lstm(self, ids: np.ndarray, d: str, out: np.ndarray) -> None:
-        """Hidden states into out (T, H, B): one product and one tanh a step, the halves of the sigmoids folded into the weights."""
+        """Hidden states into out (T, H, B): one product and one exponential a step, as NumPy's exponential takes half the time
+        of its tanh; signs and the factor of tanh x = 2 / (1 + exp(-2 x)) - 1 are folded into the weights."""
         h_, (t_, b_) = self.hidden, ids.shape
-        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h_, h_])
-        w = np.ascontiguousarray(((self.p[f"w{d}"] + self.p[f"c{d}"]) * half).T, dtype=np.float32)
-        u = np.ascontiguousarray((self.p[f"u{d}"] * half).T, dtype=np.float32)
+        fold = np.repeat(np.array([-1.0, -2.0], np.float32), [3 * h_, h_])
+        w = np.ascontiguousarray(((self.p[f"w{d}"] + self.p[f"c{d}"]) * fold).T, dtype=np.float32)
+        u = np.ascontiguousarray((self.p[f"u{d}"] * fold).T, dtype=np.float32)
         h, c = np.zeros((h_, b_), np.float32), np.zeros((h_, b_), np.float32)
         z, x = np.empty((4 * h_, b_), np.float32), np.empty((4 * h_, b_), np.float32)
         i, f, o, g = (z[k * h_ : (k + 1) * h_] for k in range(4))
-        for t in range(t_) if d == "f" else range(t_ - 1, -1, -1):
-            np.take(w, ids[t], axis=1, out=x, mode="clip")
-            np.matmul(u, h, out=z)
-            np.add(z, x, out=z)
-            np.tanh(z, out=z)
-            z[: 3 * h_] *= 0.5
-            z[: 3 * h_] += 0.5
-            c *= f
-            i *= g
-            c += i
-            h = out[t]
-            np.tanh(c, out=h)
-            h *= o
+        with np.errstate(over="ignore"):  # an infinite exponential is a gate of zero
+            for t in range(t_) if d == "f" else range(t_ - 1, -1, -1):
+                np.take(w, ids[t], axis=1, out=x, mode="clip")
+                np.matmul(u, h, out=z)
+                z += x
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                g *= 2
+                g -= 1
+                c *= f
+                i *= g
+                c += i
+                h = out[t]
+                np.multiply(c, -2, out=h)
+                np.exp(h, out=h)
+                h += 1
+                np.divide(2, h, out=h)
+                h -= 1
+                h *= o
 
     def fast_emissions(self, ids: np.ndarray) -> np.ndarray:
         """As emissions, but (T, L, B)."""
