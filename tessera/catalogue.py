@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracles import ORACLES
+from tessera.plans import fit_oracles, oracles
 from tessera.plans.queries import QUERIES
 
 FLAGSHIP = "kde_rate_map"
+ORACLES = oracles.ORACLES | fit_oracles.ORACLES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -23,6 +23,8 @@ import numpy as np
 LIMIT = 1000
 #: with more frequencies than this, Newton steps come from conjugate gradients
 KRYLOV = 300
+#: least move of mean or variance for which a fit goes on; Newton steps need one or two more for it than for 1e-5
+TOL = 1e-8
 
 
 def sexp(x: np.ndarray) -> np.ndarray:
@@ -204,6 +206,7 @@ class Problem:
             else:
                 step = np.linalg.solve(self.hessian(lam), gradient)
             dz, before, size = self.waves.field(step), self.loss(u, z, v), 1.0
+            before += 1e-12 * abs(before)  # near the optimum losses differ by rounding only
             while size > 1e-4 and self.loss(u - size * step, z - size * dz, v) > before:
                 size /= 2
             return -size * step
@@ -229,7 +232,7 @@ class Problem:
 
 
 def fit(
-    spectrum: np.ndarray, n: np.ndarray, k: np.ndarray, mean: np.ndarray | float = 0.0, rounds: int = 10, steps: int = 10, tol: float = 1e-5, dispersion: float = 1.0, variance: str = "exact",
+    spectrum: np.ndarray, n: np.ndarray, k: np.ndarray, mean: np.ndarray | float = 0.0, rounds: int = 10, steps: int = 10, tol: float = TOL, dispersion: float = 1.0, variance: str = "exact",
     start: np.ndarray | tuple[np.ndarray, np.ndarray] | None = None, method: str | None = None, mean_update: Callable | None = None, variance_update: Callable | None = None, damping: float = 1.0,
 ) -> Fit:
     """Fit counts k under visits n; variance 'compat' uses C C' in place of the covariance C'C.

@@ -55,6 +55,50 @@ def sampled_confidence(samples: DataFrame, size: int, period: float, least: floa
     return moments.weighted_gaussians(dealt, "weight", [*by, "region"]).withColumnRenamed("region", "field").where(F.col("total") >= least)
 
 
+def members(peaks: DataFrame, fields: DataFrame, reach: float | None = None, by: list[str] = BY) -> DataFrame:
+    """Sampled peaks (key, sample_id, x, y, ...) with `field`, the id of the closest of fields(key, id, x, y); peaks beyond
+    `reach` of every field are left out."""
+    return neighbors.voronoi(peaks, fields, "id", by, reach).where("region >= 0").withColumnRenamed("region", "field")
+
+
+def field_statistics(owned: DataFrame, samples: DataFrame, planes: DataFrame | None = None, edge: float = 0.0, least: float = 0.0, localisation: float | None = None, by: list[str] = BY) -> DataFrame:
+    """Fields of members(key, field, sample_id, x, y): total (peaks a sample), probability (share of the samples(key, count)
+    that have a peak there), mean mx, my and covariance xx, xy, yy of their peaks.
+
+    With planes, fields whose mean lies at least `edge` inside the key's hull; with a probability of at least `least`; with
+    `localisation`, of at most that major deviation."""
+    moments_ = [F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("xx"), F.covar_pop("x", "y").alias("xy"), F.var_pop("y").alias("yy")]
+    per = owned.groupBy(*by, "field").agg(F.count(F.lit(1)).alias("_peaks"), F.countDistinct("sample_id").alias("_held"), *moments_)
+    share = [(F.col(c) / F.col("count")).alias(n) for c, n in (("_peaks", "total"), ("_held", "probability"))]
+    out = per.join(samples.select(*by, "count"), by).select(*by, "field", *share, "mx", "my", "xx", "xy", "yy").where(F.col("probability") >= least)
+    if planes is not None:
+        inside = F.forall("planes", lambda p: p["a"] * F.col("mx") + p["b"] * F.col("my") + p["c"] <= -edge + 1e-12)
+        out = out.join(planes, by).where(inside).drop("planes")
+    if localisation is not None:
+        out = out.where(F.sqrt(geometry.ellipse_axes(F.col("xx"), F.col("xy"), F.col("yy"))["major"]) <= localisation)
+    return out
+
+
+def sample_fields(
+    samples: DataFrame, size: int, period: float, planes: DataFrame | None = None, radius: float | None = None, edge: float = 0.0, height: float = 0.0, least: float = 0.0, localisation: float | None = None, by: list[str] = BY
+) -> tuple[DataFrame, DataFrame]:
+    """(fields, members) of posterior samples (key, sample_id, h, w, z) of square maps, in one path from draws to filters.
+
+    Peaks of every sample (local maxima within `radius` bins, 1/2.5 of the period, above the sample's `height` quantile) are
+    binned to a density, whose blurred (radius / 7) peaks are the fields' places; every sampled peak belongs to the closest
+    place within a period, those outside the hull counting as places too, as they bound the others.  `field_statistics` then
+    filters fields by hull and edge, probability and localisation; members are the rows of the peaks of the fields left."""
+    radius, samples = period / 2.5 if radius is None else radius, cut(samples)
+    counts = cut(samples.groupBy(*by).agg(F.countDistinct("sample_id").alias("count")))
+    peaks = cut(sampled_peaks(samples, size, radius, by, height).select(*by, "sample_id", F.col("rank").alias("peak"), "x", "y", "height"))
+    density = grids.dense(grids.peak_density(peaks.join(counts, by), F.col("count"), size, by), size, size, ["n"], by)
+    soft = cut(grids.blur(density, ["n"], size, size, max(radius / 7, 0.4), by))
+    places = grids.interpolate_peaks(soft, "n", size, size, max(1.0, radius), 0.0, by).select(*by, F.col("rank").alias("id"), "x", "y")
+    owned = cut(members(peaks, places, period / size, by))
+    fields = cut(field_statistics(owned, counts, planes, edge, least, localisation, by))
+    return fields, owned.join(fields.select(*by, "field"), [*by, "field"])
+
+
 #: the fraction of the golden ratio, whose multiples fill the unit interval evenly (fixed value)
 GOLDEN = 0.6180339887498949
 
@@ -90,12 +134,12 @@ def joint_confidence(packed: DataFrame, ridge: float = 1e-5, domain: str = "log"
         inner = z[1:-1, 1:-1]
         around = np.stack([z[1 + i : z.shape[0] - 1 + i, 1 + j : z.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
         found = np.argwhere(inner > around.max(axis=0)) + 1
-        scale = 1.0 if domain == "log" else (rate * np.exp(v / 2))[tuple(found.T)][:, None, None]
-        # x before y, as in the blocks
-        jac = (scale * solver.peak_gradients(got, found)[:, ::-1]).reshape(2 * len(found), -1)
-        inv = np.linalg.pinv(-solver.peak_hessians(surface, found)[:, ::-1, ::-1])
         rows = []
         if len(found):
+            scale = 1.0 if domain == "log" else (rate * np.exp(v / 2))[tuple(found.T)][:, None, None]
+            # x before y, as in the blocks
+            jac = (scale * solver.peak_gradients(got, found)[:, ::-1]).reshape(2 * len(found), -1)
+            inv = np.linalg.pinv(-solver.peak_hessians(surface, found)[:, ::-1, ::-1])
             g = jac @ got.factor.T
             h = np.zeros((2 * len(found),) * 2)
             for a, m in enumerate(inv):
@@ -109,6 +153,45 @@ def joint_confidence(packed: DataFrame, ridge: float = 1e-5, domain: str = "log"
     return _run(packed, one, f"{_key(packed, by)}, a int, b int, iy int, ix int, xx double, xy double, yx double, yy double", by)
 
 
+def heading_quadratic(packed: DataFrame, style: str = "radial", by: list[str] = BY, keep: int = 1000, height: float = 0.0) -> DataFrame:
+    """Laplace confidence of the fields at each heading of a joint heading x space fit, of packed(key, d, h, w, n, k):
+    (key, layer, peak, iy, ix, log_rate, xx, xy, yy, x_turn, y_turn, links).
+
+    Peaks are local maxima in the plane of their heading, above its `height` quantile.  Covariances (in bins) come from the
+    gradient's covariance under the joint fit and the spatial block of the three-dimensional Hessian; x_turn and y_turn
+    are how far a peak moves per layer, from the Hessian's block between heading and space.  links: (peak, xx, xy, yx, yy)
+    blocks of its covariance with the peaks of the next layer, in row order of that layer."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        got = fits._joint(row, style, keep)
+        z = got.log_rate()
+        found, shape = [], z.shape
+        for layer in range(shape[0]):
+            inner = z[layer, 1:-1, 1:-1]
+            around = np.stack([z[layer, 1 + i : shape[1] - 1 + i, 1 + j : shape[2] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+            at = np.argwhere((inner > around.max(axis=0)) & (inner >= np.quantile(z[layer], height))) + 1
+            found += [(layer, int(i), int(j)) for i, j in at]
+        rows = []
+        if found:
+            at = np.array(found)
+            hessian = solver.peak_hessians(z, at)
+            space, cross = hessian[:, 1:, 1:][:, ::-1, ::-1], hessian[:, 1:, 0][:, ::-1]  # x before y
+            inverse = np.linalg.pinv(-space)
+            turn = np.einsum("pab,pb->pa", inverse, cross)
+            g = solver.peak_gradients(got, at)[:, 1:][:, ::-1] @ got.factor.T  # P x 2 x R
+            half = inverse @ g
+            for p, (layer, iy, ix) in enumerate(found):
+                s = half[p] @ half[p].T
+                ahead = [q for q, f in enumerate(found) if f[0] == (layer + 1) % shape[0]]
+                links = [{"peak": k, **dict(zip(("xx", "xy", "yx", "yy"), (half[p] @ half[q].T).ravel().tolist()))} for k, q in enumerate(ahead)]
+                own = sum(f[0] == layer for f in found[:p])
+                rows.append([row[x] for x in by] + [layer, own, iy, ix, float(z[layer, iy, ix]), s[0, 0], s[0, 1], s[1, 1], *turn[p].tolist(), links])
+        return pd.DataFrame(rows, columns=[*by, "layer", "peak", "iy", "ix", "log_rate", "xx", "xy", "yy", "x_turn", "y_turn", "links"])
+
+    link = "array<struct<peak: int, xx: double, xy: double, yx: double, yy: double>>"
+    return _run(packed, one, f"{_key(packed, by)}, layer int, peak int, iy int, ix int, log_rate double, xx double, xy double, yy double, x_turn double, y_turn double, links {link}", by)
+
+
 def profiles(swept: DataFrame, axis: str, by: list[str] = BY) -> DataFrame:
     """Best elbo per value of one swept parameter, with its difference from the key's best."""
     best = swept.groupBy(*by, axis).agg(F.max("elbo").alias("elbo"))

@@ -132,6 +132,16 @@ fine_ AS (SELECT cell_id, iy, ix, (ix - ox + 0.5) / 16 AS x, (iy - oy + 0.5) / 1
 DRAWN = """first_ AS (SELECT i // 16 AS sample_id, i % 16 AS pos, (8 * 48271 % 2147483647 + i // 16) % 2147483647 * 16807 % 2147483647 AS v FROM range(3200) AS q(i)),
 second_ AS (SELECT sample_id, (v * v % 2147483647 + pos) % 2147483647 * 69621 % 2147483647 AS v FROM first_),
 weight_ AS (SELECT sample_id, ((v * v % 2147483647 * 48271 + 11) % 2147483647 // 1024 % 15)::BIGINT AS block_id, count(*)::DOUBLE AS weight FROM second_ GROUP BY 1, 2)"""
+FIELDS = f"""{EMB},
+third_ AS (SELECT (vec_id % 3)::BIGINT AS cell_id, (vec_id // 3 % 8)::BIGINT AS sample_id, vec_id, cell_id AS label, x, y FROM emb),
+spot_ AS (SELECT cell_id, label AS id, avg(x) AS x, avg(y) AS y FROM third_ GROUP BY 1, 2),
+dist_ AS (SELECT t.cell_id, sample_id, vec_id, t.x, t.y, id, sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2)) AS d FROM third_ t JOIN spot_ s USING (cell_id)),
+own_ AS (SELECT cell_id, any_value(sample_id) AS sample_id, vec_id, any_value(x) AS x, any_value(y) AS y, arg_min(id, (d, id))::BIGINT AS field FROM dist_ GROUP BY cell_id, vec_id HAVING min(d) <= 0.15),
+side_ AS (SELECT p.cell_id, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM third_ p JOIN third_ q ON p.cell_id = q.cell_id AND p.vec_id <> q.vec_id
+  WHERE NOT EXISTS (SELECT 1 FROM third_ o WHERE o.cell_id = p.cell_id AND o.vec_id <> p.vec_id AND o.vec_id <> q.vec_id AND (q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0)),
+field_ AS (SELECT cell_id, field, count(*) / 8.0::DOUBLE AS total, count(DISTINCT sample_id) / 8.0::DOUBLE AS probability, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, covar_pop(x, y) AS xy, var_pop(y) AS yy FROM own_ GROUP BY 1, 2),
+kept_ AS (SELECT * FROM field_ f WHERE probability >= 0.5 AND sqrt((xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy)) <= 0.11
+  AND (SELECT min(((bx - ax) * (f.my - ay) - (by_ - ay) * (f.mx - ax)) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2))) FROM side_ s WHERE s.cell_id = f.cell_id) >= 0.1 - 1e-12)"""
 ROOT2 = "sqrt(-2 * ln(1 - 0.95::DOUBLE))"
 
 
@@ -227,38 +237,50 @@ soft_k AS (SELECT r.style, a.i AS iy, b.i AS ix, sum(r.k * exp(-0.5 * (pow(least
   FROM raw_k r, range(8) AS a(i), range(8) AS b(i) WHERE r.style <> 'rbf' GROUP BY 1, 2, 3 UNION ALL SELECT style, iy, ix, k FROM raw_k WHERE style = 'rbf'),
 unit_k AS (SELECT style, iy, ix, k / max(k) OVER (PARTITION BY style) AS k FROM soft_k),
 spec_k AS (SELECT style, a.i AS u, b.i AS v, greatest(sum(k * cos(2 * pi() * (a.i * iy + b.i * ix) / 8)), 1e-9) AS f FROM unit_k, range(8) AS a(i), range(8) AS b(i) GROUP BY 1, 2, 3)"""
-PROFILE = f"""{kde(16, 2.0)},
+def profile(size: int) -> str:
+    """CTEs up to prof_(cell_id, r, value): the radial autocorrelation of a kernel-density map."""
+    half = size // 2
+    return f"""{kde(size, 2.0)},
 seen_ AS (SELECT kde_.cell_id, kde_.iy, kde_.ix, rate, coalesce(grid.n, 0) > 0 AS own FROM kde_ LEFT JOIN grid USING (cell_id, iy, ix)),
 stat_ AS (SELECT cell_id, avg(rate) AS m, var_pop(rate) AS v FROM seen_ WHERE own GROUP BY 1),
-tap_ AS (SELECT cell_id, iy, ix, v, CASE WHEN own THEN rate - m ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * iy / 15)) * (0.5 - 0.5 * cos(2 * pi() * ix / 15)) AS y FROM seen_ JOIN stat_ USING (cell_id)),
-lag_ AS (SELECT p.cell_id, ((p.iy - q.iy + 24) % 16)::INT AS iy, ((p.ix - q.ix + 24) % 16)::INT AS ix, sum(p.y * q.y) AS ac, any_value(p.v) AS v FROM tap_ p JOIN tap_ q USING (cell_id) GROUP BY ALL),
+tap_ AS (SELECT cell_id, iy, ix, v, CASE WHEN own THEN rate - m ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * iy / {size - 1})) * (0.5 - 0.5 * cos(2 * pi() * ix / {size - 1})) AS y FROM seen_ JOIN stat_ USING (cell_id)),
+lag_ AS (SELECT p.cell_id, ((p.iy - q.iy + {size + half}) % {size})::INT AS iy, ((p.ix - q.ix + {size + half}) % {size})::INT AS ix, sum(p.y * q.y) AS ac, any_value(p.v) AS v FROM tap_ p JOIN tap_ q USING (cell_id) GROUP BY ALL),
 auto_ AS (SELECT cell_id, iy, ix, ac * v / max(ac) OVER (PARTITION BY cell_id) AS ac FROM lag_),
-prof_ AS (SELECT cell_id, round(sqrt(pow(iy - 8, 2) + pow(ix - 8, 2)))::INT AS r, avg(ac) AS value FROM auto_ GROUP BY 1, 2)"""
+prof_ AS (SELECT cell_id, round(sqrt(pow(iy - {half}, 2) + pow(ix - {half}, 2)))::INT AS r, avg(ac) AS value FROM auto_ GROUP BY 1, 2)"""
 
 
-def kde_by_key(name: str, sigma: str) -> str:
+PROFILE = profile(16)
+
+
+def kde_by_key(name: str, sigma: str, size: int = 16) -> str:
     """KDE with a deviation of each key's own (column of table per_)."""
-    g = f"exp(-0.5 * (pow(least(abs(a.i - iy), 16 - abs(a.i - iy)), 2) + pow(least(abs(b.i - ix), 16 - abs(b.i - ix)), 2)) / pow({sigma}, 2))"
-    return f"""{name}_s AS (SELECT cell_id, a.i::INT AS iy2, b.i::INT AS ix2, sum(n * {g}) AS n, sum(k * {g}) AS k FROM grid JOIN per_ USING (cell_id), range(16) AS a(i), range(16) AS b(i) GROUP BY ALL),
+    g = f"exp(-0.5 * (pow(least(abs(a.i - iy), {size} - abs(a.i - iy)), 2) + pow(least(abs(b.i - ix), {size} - abs(b.i - ix)), 2)) / pow({sigma}, 2))"
+    return f"""{name}_s AS (SELECT cell_id, a.i::INT AS iy2, b.i::INT AS ix2, sum(n * {g}) AS n, sum(k * {g}) AS k FROM grid JOIN per_ USING (cell_id), range({size}) AS a(i), range({size}) AS b(i) GROUP BY ALL),
 {name} AS (SELECT cell_id, iy2 AS iy, ix2 AS ix, (k + mu * 0.5) / (n + 0.5) AS rate FROM {name}_s JOIN mu_ USING (cell_id))"""
 
 
-HEURISTICS = f"""{PROFILE},
-both_ AS (SELECT cell_id, r AS i, value AS y FROM prof_ WHERE r < 8 UNION ALL SELECT cell_id, 15 - r, value FROM prof_ WHERE r < 8),
-freq_ AS (SELECT cell_id, f, sum(y * cos(2 * pi() * f * i / 16)) AS c, sum(y * sin(2 * pi() * f * i / 16)) AS s FROM both_, range(9) AS q(f) GROUP BY 1, 2),
-fine_p AS (SELECT cell_id, j, sum(CASE WHEN f = 0 THEN c ELSE 2 * (c * cos(2 * pi() * f * j / 128) + s * sin(2 * pi() * f * j / 128)) END) / 16 AS y FROM freq_, range(64) AS q(j) GROUP BY 1, 2),
+def heuristics(size: int) -> str:
+    """CTEs up to per_(p), spread_(variance), angle_(w) and wide_(the rate behind the prior mean) by cell_id."""
+    half = size // 2
+    return f"""{profile(size)},
+both_ AS (SELECT cell_id, r AS i, value AS y FROM prof_ WHERE r < {half} UNION ALL SELECT cell_id, {size - 1} - r, value FROM prof_ WHERE r < {half}),
+freq_ AS (SELECT cell_id, f, sum(y * cos(2 * pi() * f * i / {size})) AS c, sum(y * sin(2 * pi() * f * i / {size})) AS s FROM both_, range({half + 1}) AS q(f) GROUP BY 1, 2),
+fine_p AS (SELECT cell_id, j, sum(CASE WHEN f = 0 THEN c ELSE 2 * (c * cos(2 * pi() * f * j / {8 * size}) + s * sin(2 * pi() * f * j / {8 * size})) END) / {size} AS y FROM freq_, range({8 * half}) AS q(j) GROUP BY 1, 2),
 turn_p AS (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS q FROM fine_p WINDOW w AS (PARTITION BY cell_id ORDER BY j)),
 peak_p AS (SELECT cell_id, min(CASE WHEN y > p AND y > q THEN j END) / 8.0::DOUBLE AS hi, min(CASE WHEN y < p AND y < q THEN j END) / 8.0::DOUBLE AS lo FROM turn_p GROUP BY 1),
 per_ AS (SELECT cell_id, least(greatest(coalesce(CASE WHEN hi IS NULL THEN lo * 2 * pi() / 3.831705970207512 WHEN lo IS NULL THEN hi * 2 * pi() / 7.015586669815619
-  ELSE (hi * 2 * pi() / 7.015586669815619 + lo * 2 * pi() / 3.831705970207512) / 2 END, 8), 3), 16) AS p FROM peak_p),
-{kde_by_key('wide_', '5 * p / pi()')}, {kde_by_key('tight_', 'p / (pi() * sqrt(2))')},
+  ELSE (hi * 2 * pi() / 7.015586669815619 + lo * 2 * pi() / 3.831705970207512) / 2 END, {half}), 3), {size}) AS p FROM peak_p),
+{kde_by_key('wide_', '5 * p / pi()', size)}, {kde_by_key('tight_', 'p / (pi() * sqrt(2))', size)},
 spread_ AS (SELECT cell_id, greatest(var_pop(ln(t.rate) - ln(w.rate)), 1e-3) AS variance FROM tight_ t JOIN wide_ w USING (cell_id, iy, ix) JOIN seen_ USING (cell_id, iy, ix) WHERE own GROUP BY 1),
 stat2 AS (SELECT cell_id, avg(t.rate) AS m FROM tight_ t JOIN seen_ USING (cell_id, iy, ix) WHERE own GROUP BY 1),
-tap2 AS (SELECT cell_id, iy, ix, CASE WHEN own THEN t.rate - m ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * iy / 15)) * (0.5 - 0.5 * cos(2 * pi() * ix / 15)) AS y FROM tight_ t JOIN seen_ USING (cell_id, iy, ix) JOIN stat2 USING (cell_id)),
-lag2 AS (SELECT p.cell_id, ((p.iy - q.iy + 24) % 16)::INT - 8 AS dy, ((p.ix - q.ix + 24) % 16)::INT - 8 AS dx, sum(p.y * q.y) AS ac FROM tap2 p JOIN tap2 q USING (cell_id) GROUP BY ALL),
+tap2 AS (SELECT cell_id, iy, ix, CASE WHEN own THEN t.rate - m ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * iy / {size - 1})) * (0.5 - 0.5 * cos(2 * pi() * ix / {size - 1})) AS y FROM tight_ t JOIN seen_ USING (cell_id, iy, ix) JOIN stat2 USING (cell_id)),
+lag2 AS (SELECT p.cell_id, ((p.iy - q.iy + {size + half}) % {size})::INT - {half} AS dy, ((p.ix - q.ix + {size + half}) % {size})::INT - {half} AS dx, sum(p.y * q.y) AS ac FROM tap2 p JOIN tap2 q USING (cell_id) GROUP BY ALL),
 on_ AS (SELECT cell_id, dy, dx, CASE WHEN abs(sqrt(dx * dx + dy * dy) - p * 7.015586669815619 / (2 * pi())) <= sqrt(2) / 2 + 1e-9 THEN ac ELSE 0 END AS ac FROM lag2 JOIN per_ USING (cell_id)),
 ring_ AS (SELECT cell_id, sum(ac * cos(6 * atan2(dy, dx))) AS c, sum(ac * sin(6 * atan2(dy, dx))) AS s FROM on_ GROUP BY 1),
 angle_ AS (SELECT cell_id, pi() / 6 - atan2(s, c) / 6 AS w FROM ring_)"""
+
+
+HEURISTICS = heuristics(16)
 SCALAR = """pt_ AS (SELECT cell_id, iy, ix, round(k / 100) AS y FROM grid),
 it_ AS (SELECT cell_id, iy, ix, y, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS v, 0 AS i FROM pt_
   UNION ALL
@@ -477,4 +499,6 @@ ORACLES = {
       all_ AS (SELECT cell_id, iy, ix, (sum(k) + 0.5) / (sum(n) + 1) AS t FROM grid GROUP BY ALL),
       b AS (SELECT cell_id, iy, ix, var_pop(e / t) AS v, avg(e / t) AS m FROM each_ JOIN all_ USING (cell_id, iy, ix) GROUP BY 1, 2, 3)
       SELECT cell_id, {r('avg(v)')} AS variance, {r('avg(m - 1) * 100')} AS bias_percent FROM b GROUP BY 1""",
+    "field_filters": f"WITH {FIELDS} SELECT cell_id, field, {r('total')} AS total, {r('probability')} AS probability, {r('mx')} AS mx, {r('my')} AS my, {r('xx')} AS xx, {r('xy')} AS xy, {r('yy')} AS yy FROM kept_",
+    "field_members": f"WITH {FIELDS} SELECT cell_id, field, sample_id, vec_id FROM own_ JOIN kept_ USING (cell_id, field)",
 }

@@ -354,13 +354,17 @@ def lgcp_fit_map(s, d):
     return fits.fit_maps(_packed(s, d))
 
 
-def lgcp_elbo_sweep(s, d):
+def _swept(s, d) -> DataFrame:
     grid = s.range(9).select(
         F.col("id").alias("param_id"), (F.floor(F.col("id") / 3) * 2.0 + 4).alias("period"), F.pow(F.lit(10.0), F.col("id") % 3 - 2).alias("variance"), F.lit(0.0).alias("angle")
     )
     return fits.sweep(_packed(s, d), grid)
 
 
+def lgcp_elbo_sweep(s, d):
+    return tidy(_swept(s, d), 5)
+
+
 def lgcp_hill_climb(s, d):
     return fits.climb(_packed(s, d), [4.0, 5.0, 6.0, 7.0, 8.0], [0.01, 0.03, 0.1, 0.3])
 
@@ -374,7 +378,7 @@ def lgcp_heading_fit(s, d):
 
 
 def laplace_confidence(s, d):
-    return fits.laplace_peaks(_packed(s, d))
+    return tidy(fits.laplace_peaks(_packed(s, d)), 4)
 
 
 def linear_gp(s, d):
@@ -391,21 +395,21 @@ def fraction_within_arena(s, d):
 
 
 def laplace_joint(s, d):
-    return posterior.joint_confidence(_packed(s, d))
+    return tidy(posterior.joint_confidence(_packed(s, d)), 4)
 
 
 def laplace_joint_rate(s, d):
-    return posterior.joint_confidence(_packed(s, d), domain="rate")
+    return tidy(posterior.joint_confidence(_packed(s, d), domain="rate"), 4)
 
 
 def elbo_profiles(s, d):
-    return posterior.profiles(lgcp_elbo_sweep(s, d), "variance")
+    return tidy(posterior.profiles(_swept(s, d), "variance"), 5)
 
 
 def heading_variance(s, d):
     maps = tracking.heading_maps(fixtures.points(s, d).withColumn("a", F.col("h") * (2 * math.pi)), "a", 4, 12)
     packed = grids.pack(maps, 12, 12, ["n", "k"], ["cell_id", "layer"])
-    return posterior.heading_variance(packed, [0.3, 1.0, 3.0], 5.0, 0.05, 0.0, ["cell_id", "layer"])
+    return tidy(posterior.heading_variance(packed, [0.3, 1.0, 3.0], 5.0, 0.05, 0.0, ["cell_id", "layer"]), 5)
 
 
 def heading_rate_maps(s, d):
@@ -497,7 +501,7 @@ def regressed_maps(s, d):
 
 
 def best_parameters(s, d):
-    return fits.optimise(_packed(s, d, 12), [4.0, 6.0], [0.01, 0.1], [0.0, 0.5], oriented=True)
+    return tidy(fits.optimise(_packed(s, d, 12), [4.0, 6.0], [0.01, 0.1], [0.0, 0.5], oriented=True), 5)
 
 
 def early_spectrum(s, d):
@@ -768,7 +772,7 @@ def fit_series(s, d):
     """One fit a heading angle and key, each from the one before."""
     maps = tracking.heading_maps(fixtures.points(s, d).withColumn("a", F.col("h") * (2 * math.pi)), "a", 6, 12)
     fitted = fits.fit_series(grids.pack(maps, 12, 12, ["n", "k"], ["cell_id", "layer"]), "layer")
-    return tidy(fitted.select("cell_id", "layer", "elbo", "period", "variance", F.array_max("log_rate").alias("peak"), F.array_min("log_var").alias("surest")))
+    return tidy(fitted.select("cell_id", "layer", "elbo", "period", "variance", F.array_max("log_rate").alias("peak"), F.array_min("log_var").alias("surest")), 5)
 
 
 def posterior_at_points(s, d):
@@ -778,6 +782,53 @@ def posterior_at_points(s, d):
     return tidy(lowrank.moments_at(rows, p))
 
 
+def fitted_bins(s, d):
+    """Rates and moments of the log rate at every bin of one fit per key."""
+    return tidy(grids.unpack(fits.fit_maps(_packed(s, d)), ["rate", "log_rate", "log_var"]), 5)
+
+
+def linear_gp_bins(s, d):
+    """The linear Gaussian process and its closed-form filter at every bin."""
+    return tidy(grids.unpack(fits.linear_maps(_packed(s, d), 2.0), ["rate", "filtered"]), 5)
+
+
+def _third_peaks(s, d) -> DataFrame:
+    """The cloud as peaks of eight samples of three maps."""
+    third = F.pmod("vec_id", F.lit(3)).cast("long")
+    return _unit_cloud(s, d).select(third.alias("cell_id"), F.pmod(F.floor(F.col("vec_id") / 3), F.lit(8)).alias("sample_id"), "vec_id", F.col("cell_id").alias("label"), "x", "y")
+
+
+def _third_fields(s, d) -> tuple[DataFrame, DataFrame]:
+    p = _third_peaks(s, d)
+    fields = p.groupBy("cell_id", F.col("label").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    owned = posterior.members(p, fields, 0.15)
+    counts = p.groupBy("cell_id").agg(F.countDistinct("sample_id").alias("count"))
+    planes = geometry.half_planes(geometry.hull(p))
+    return owned, posterior.field_statistics(owned, counts, planes, edge=0.1, least=0.5, localisation=0.11)
+
+
+def field_filters(s, d):
+    """Fields of sampled peaks by hull and edge, probability and localisation."""
+    return tidy(_third_fields(s, d)[1])
+
+
+def field_members(s, d):
+    """The sampled peaks that belong to the fields left by the filters."""
+    owned, fields = _third_fields(s, d)
+    return owned.join(fields.select("cell_id", "field"), ["cell_id", "field"]).select("cell_id", "field", "sample_id", "vec_id")
+
+
+def sampled_fields(s, d):
+    """From draws of the fits to filtered fields, in one path."""
+    planes = geometry.half_planes(geometry.hull(fixtures.points(s, d).select("cell_id", "x", "y")))
+    return tidy(posterior.sample_fields(fits.posterior_samples(_packed(s, d), 24, 3), 16, 6.0, planes, edge=0.03, height=0.25, least=0.1, localisation=0.2)[0], 9)
+
+
+def heading_quadratic(s, d):
+    """Laplace confidence of fields at each heading under the joint fit."""
+    return tidy(posterior.heading_quadratic(_joint_packed(s, d)).drop("links"))
+
+
 NAMES = [
     "kde_packed", "heuristic_parameters", "autocorrelation_profile",
     "sampled_confidence", "fraction_within_arena", "laplace_joint", "laplace_joint_rate", "elbo_profiles", "heading_variance", "heading_rate_maps", "heading_peaks",
@@ -796,5 +847,6 @@ NAMES = [
     "heading_density", "heading_confidence", "prepared_maps", "regressed_maps", "best_parameters", "early_spectrum",
     "expected_maps", "simulated_counts", "simulated_explorations",
     "kernel_covariance", "bootstrap_draws", "bootstrap_spread", "shared_frequencies", "hyperparameters", "fit_series", "posterior_at_points",
+    "fitted_bins", "linear_gp_bins", "field_filters", "field_members", "sampled_fields", "heading_quadratic",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -388,10 +388,86 @@ def test_prepared_maps(spark):
 
 
 def test_best_parameters(spark):
-    """The third stage's best of all settings at the angle that the second found."""
+    """The third stage's best of all settings at the angle that the second found, on the first stage's frequencies."""
     packed = {r.cell_id: r for r in q._packed(spark, FOLDER, 12).collect()}
+    kept = np.any([kernels.spectrum((12, 12), p, v) > 0 for p in (4.0, 6.0) for v in (0.01, 0.1)], axis=0)
     for r in run(spark, "best_parameters"):
         n, k = (np.array(x).reshape(12, 12) for x in (packed[r.cell_id].n, packed[r.cell_id].k))
         _, _, _, mean = solver.heuristics(n, k)
-        scores = {(p, v): Dense(kernels.spectrum(n.shape, p, v, r.angle, "grid"), n, k, mean).elbo for p in (4.0, 6.0) for v in (0.01, 0.1)}
+        scores = {(p, v): Dense(np.where(kept, np.maximum(kernels.spectrum(n.shape, p, v, r.angle, "grid", kept=kept), 1e-9), 0), n, k, mean).elbo for p in (4.0, 6.0) for v in (0.01, 0.1)}
         assert abs(r.elbo - scores[r.period, r.variance]) < 1e-3 * abs(r.elbo) and r.elbo > max(scores.values()) - 1e-3 * abs(r.elbo)
+
+
+def test_heading_quadratic(spark):
+    """Covariances and turns of peaks at each heading, and between neighbouring headings, from dense covariances of the joint fit."""
+    from tessera.operators import posterior
+
+    got = {}
+    for r in posterior.heading_quadratic(q._joint_packed(spark, FOLDER)).collect():
+        got.setdefault(r.cell_id, []).append(r)
+    for key, want in joint(spark, 12, 6):
+        z = want.log_rate.reshape(6, 12, 12)
+        cell = lambda t, i, j: (t % 6) * 144 + (i % 12) * 12 + j % 12
+        half = {}
+        for r in got.get(key, []):
+            t, i, j = r.layer, r.iy, r.ix
+            g = np.zeros((2, z.size))
+            g[0, cell(t, i, j + 1)], g[0, cell(t, i, j - 1)], g[1, cell(t, i + 1, j)], g[1, cell(t, i - 1, j)] = 0.5, -0.5, 0.5, -0.5
+            at = lambda a, b, c, t=t, i=i, j=j: z[(t + a) % 6, (i + b) % 12, (j + c) % 12]
+            xy = (at(0, 1, 1) + at(0, -1, -1) - at(0, 1, -1) - at(0, -1, 1)) / 4
+            h = np.array([[at(0, 0, 1) - 2 * at(0, 0, 0) + at(0, 0, -1), xy], [xy, at(0, 1, 0) - 2 * at(0, 0, 0) + at(0, -1, 0)]])
+            cross = np.array([(at(1, 0, 1) + at(-1, 0, -1) - at(1, 0, -1) - at(-1, 0, 1)) / 4, (at(1, 1, 0) + at(-1, -1, 0) - at(1, -1, 0) - at(-1, 1, 0)) / 4])
+            half[t, r.peak] = np.linalg.pinv(-h) @ g
+            s = half[t, r.peak] @ want.cov @ half[t, r.peak].T
+            assert np.allclose([r.xx, r.xy, r.yy], [s[0, 0], s[0, 1], s[1, 1]], rtol=0.05, atol=0.03 * np.abs(s).max())
+            turn = np.linalg.pinv(-h) @ cross
+            assert np.allclose([r.x_turn, r.y_turn], turn, rtol=0.05, atol=0.03 * max(np.abs(turn).max(), 0.1))
+        for r in got.get(key, []):
+            for link in r.links:
+                a, b = half[r.layer, r.peak], half[(r.layer + 1) % 6, link.peak]
+                s = a @ want.cov @ b.T
+                scale = np.sqrt(np.abs(a @ want.cov @ a.T).max() * np.abs(b @ want.cov @ b.T).max())
+                assert np.allclose([[link.xx, link.xy], [link.yx, link.yy]], s, rtol=0.05, atol=0.04 * scale)
+    assert any(got.values())
+
+
+def test_sample_fields(spark):
+    """Fields and members of draws against plain loops."""
+    from tessera.operators import geometry, posterior
+
+    size, period = 16, 6.0
+    samples = fits.posterior_samples(q._packed(spark, FOLDER), 12, 3).cache()
+    planes = geometry.half_planes(geometry.hull(q.fixtures.points(spark, FOLDER).select("cell_id", "x", "y")))
+    fields, members = posterior.sample_fields(samples, size, period, planes, edge=0.05, height=0.25, least=0.3, localisation=0.15)
+    fields, owned = {(r.cell_id, r.field): r for r in fields.collect()}, {}
+    for r in members.collect():
+        owned.setdefault((r.cell_id, r.field), []).append((r.sample_id, r.x, r.y))
+    assert fields.keys() == owned.keys() and fields
+    rows = samples.collect()
+    radius = period / 2.5
+    seen = set()
+    for key in {r.cell_id for r in rows}:
+        found = [(r.sample_id, x, y) for r in rows if r.cell_id == key for x, y, _ in plain_peaks(np.array(r.z).reshape(size, size), radius, 0.25)]
+        density = linear_density([(x, y) for _, x, y in found], size) / 12
+        places = plain_peaks(numerics.convolve(density, numerics.gaussian(size, size, max(radius / 7, 0.4))), radius, 0.0)
+        groups = {}
+        for s, x, y in found:
+            d = [math.hypot(x - a, y - b) for a, b, _ in places]
+            if d and min(d) <= period / size:
+                groups.setdefault(int(np.argmin(d)) + 1, []).append((s, x, y))
+        for field, rows_ in groups.items():
+            s, x, y = map(np.array, zip(*rows_))
+            cov = np.cov(x, y, bias=True)
+            # the points fill the unit square, so the edge is a margin of it
+            inside = min(x.mean(), 1 - x.mean(), y.mean(), 1 - y.mean())
+            if abs(inside - 0.05) < 0.01:
+                seen.add((key, field))
+                continue
+            kept = len(set(s)) / 12 >= 0.3 and np.sqrt(max(np.linalg.eigvalsh(cov).max(), 0)) <= 0.15 and inside > 0.05
+            assert ((key, field) in fields) == kept
+            if kept:
+                seen.add((key, field))
+                r = fields[key, field]
+                assert np.allclose([r.total, r.probability, r.mx, r.my, r.xx, r.xy, r.yy], [len(rows_) / 12, len(set(s)) / 12, x.mean(), y.mean(), cov[0, 0], cov[0, 1], cov[1, 1]], atol=1e-6)
+                assert np.allclose(sorted(rows_), sorted(owned[key, field]), atol=1e-6)
+    assert set(fields) <= seen
