@@ -65,7 +65,7 @@ def normalised(points: DataFrame, margin: float = 0.1, by: list[str] = BY) -> Da
     box = points.groupBy(*by).agg(F.min("x").alias("_a"), F.max("x").alias("_b"), F.min("y").alias("_c"), F.max("y").alias("_d"))
     edge = F.greatest(F.col("_b") - F.col("_a"), F.col("_d") - F.col("_c")) * (0.5 + margin)
     scale = (1 - 1e-6) / (edge * 2)
-    joined = points.join(F.broadcast(box), by)
+    joined = points.join(box, by)
     out = joined.withColumn("_s", scale).withColumn("x", (F.col("x") - (F.col("_a") + F.col("_b")) / 2) * F.col("_s") + 0.5)
     return out.withColumn("y", (F.col("y") - (F.col("_c") + F.col("_d")) / 2) * F.col("_s") + 0.5).select(*points.columns)
 

@@ -197,7 +197,7 @@ def interpolate_peaks(field: DataFrame, value: str, height: int, width: int, rad
         field = dithered(field, value, dither, by)
     peaks = find_peaks(field, value, height, width, radius, None, by)
     low = field.groupBy(*by).agg(F.percentile(value, quantile).alias("_low"))
-    peaks = peaks.join(F.broadcast(low), by).where(F.col(value) > F.col("_low")).drop("_low", value)
+    peaks = peaks.join(low, by).where(F.col(value) > F.col("_low")).drop("_low", value)
     spots = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
     taps = F.array(*[F.struct(F.lit(f"{i}{j}").alias("_s"), clamp(F.col("iy") + i, height).alias("_y"), clamp(F.col("ix") + j, width).alias("_x")) for i, j in spots])

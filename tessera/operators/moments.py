@@ -111,7 +111,7 @@ def unitscale(values: DataFrame, column: str, q0: float, q1: float, by: list[str
         ends = values.groupBy(*by).agg(pair) if by else values.agg(pair)
     else:
         ends = quantiles(values, column, [q0, q1], by).select(*by, F.col("q").alias("_q"))
-    joined = values.join(F.broadcast(ends), by) if by else values.crossJoin(F.broadcast(ends))
+    joined = values.join(ends, by) if by else values.crossJoin(F.broadcast(ends))
     return joined.withColumn(column, rescaled(F.col(column), F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 

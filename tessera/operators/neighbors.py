@@ -107,6 +107,15 @@ def mutual(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.withColumn("_a", F.row_number().over(a)).withColumn("_b", F.row_number().over(b)).where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
+def mutual_nearest(left: DataFrame, right: DataFrame, by: list[str], radius: float | None = None) -> DataFrame:
+    """(by, src, dst, dist): points (by, id, x, y) of two layers that are each other's nearest (ties: lowest id), by two
+    searches for the nearest instead of all pairs of a layer."""
+    to = nearest(left.select(*by, "id", "x", "y"), right, "id", by, radius).where("near_id is not null")
+    back = nearest(right.select(*by, "id", "x", "y"), left, "id", by, radius).where("near_id is not null")
+    to = to.select(*by, F.col("id").alias("src"), F.col("near_id").alias("dst"), F.col("near_distance").alias("dist"))
+    return to.join(back.select(*by, F.col("near_id").alias("src"), F.col("id").alias("dst")), [*by, "src", "dst"]).select(*by, "src", "dst", "dist")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, by: list[str], radius: float) -> DataFrame:
     """(src, dst, dist) of the pairs within the radius, by equi-joins on buckets of that side."""
     if not math.isfinite(radius):

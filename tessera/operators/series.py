@@ -147,7 +147,7 @@ def edge_folds(series: DataFrame, k: int, by: list[str] = BY) -> DataFrame:
 def resample_blocks(series: DataFrame, draws: DataFrame, length: int, by: list[str] = BY) -> DataFrame:
     """Block bootstrap: draws(sample_id, pos, block_id) lays blocks of `length` rows end to end; `pos_t` is the new time."""
     blocks = series.withColumn("block_id", F.floor(F.col("t") / length).cast("long"))
-    return blocks.join(F.broadcast(draws), "block_id").withColumn("pos_t", F.col("pos") * length + F.col("t") % length).drop("block_id", "pos")
+    return blocks.join(draws, "block_id").withColumn("pos_t", F.col("pos") * length + F.col("t") % length).drop("block_id", "pos")
 
 
 def random_draws(spark, samples: int, blocks: int, replace: bool = True, seed: int = 0) -> DataFrame:

@@ -285,7 +285,7 @@ def _layers(s, d) -> DataFrame:
 
 def _mutual(s, d) -> DataFrame:
     a = _layers(s, d)
-    return neighbors.mutual(neighbors.candidate_pairs(a, a.withColumn("layer", F.pmod(F.col("layer") - 1, F.lit(10))), ["layer"]), ["layer"])
+    return neighbors.mutual_nearest(a, a.withColumn("layer", F.pmod(F.col("layer") - 1, F.lit(10))), ["layer"])
 
 
 def mutual_nn_round1(s, d):
