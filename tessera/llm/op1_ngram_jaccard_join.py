@@ -476,7 +476,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents whose group holds a smaller doc_id; rows of one doc_id stay or go together."""
     gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs.columns))
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*columns(docs.columns))
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))  # rows without an id would all meet in one task of the join
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
