@@ -45,7 +45,10 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     counts = pages.select("site", F.explode(keys).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
-    over = counts.where(F.col("n") >= min_pages).join(totals, "site").where(F.col("n") > max_ratio * F.col("pages"))
+    # lines of one host may be a third of all, so its total goes to every salt
+    salted = counts.where(F.col("n") >= min_pages).withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int"))
+    spread = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    over = salted.join(spread, ["site", "salt"]).where(F.col("n") > max_ratio * F.col("pages"))
     return over.groupBy("site").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
