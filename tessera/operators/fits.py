@@ -23,7 +23,8 @@ def _maps(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def _spectrum(n: np.ndarray, k: np.ndarray, period, variance, angle, style: str) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float]]:
     p, v, a, mean = solver.heuristics(n, k)
     p, v, a = (float(x) if x is not None and np.isfinite(x) else y for x, y in ((period, p), (variance, v), (angle, a)))
-    return kernels.spectrum(n.shape, p, v, a, style), mean, (p, v, a)
+    spectrum = kernels.banded_spectrum(n.shape, p, v)[0] if style == "banded" else kernels.spectrum(n.shape, p, v, a, style)
+    return spectrum, mean, (p, v, a)
 
 
 def _run(packed: DataFrame, per_row, schema: str, by: list[str]) -> DataFrame:
@@ -45,7 +46,7 @@ def _key(packed: DataFrame, by: list[str]) -> str:
 
 def fit_maps(packed: DataFrame, style: str = "radial", by: list[str] = BY) -> DataFrame:
     """Fits of packed(key, h, w, n, k[, period, variance, angle, start]): elbo, period, variance, angle, rounds, and arrays rate,
-    log_rate, log_var.  `start`: an array of h * w, the log rate less the prior mean to begin with."""
+    log_rate, log_var.  style: of `kernels.grid_kernel`, or "banded" for `kernels.banded_spectrum`.  `start`: an array of h * w, the log rate less the prior mean to begin with."""
 
     def one(row: pd.Series) -> pd.DataFrame:
         n, k = _maps(row)

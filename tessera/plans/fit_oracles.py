@@ -25,8 +25,8 @@ soft_f AS (SELECT sid, (iy + o) % {size} AS iy, ix, sum(k * g) AS k FROM soft_fx
 unit_f AS (SELECT sid, iy, ix, k / max(k) OVER (PARTITION BY sid) AS k FROM soft_f),
 wave_fx AS (SELECT sid, iy, kx, sum(k * cos({turn('kx', 'ix')})) AS c, sum(k * sin({turn('kx', 'ix')})) AS s FROM unit_f, range({size}) AS q(kx) GROUP BY ALL),
 wave_f AS (SELECT sid, ky, kx, greatest(sum(c * cos({turn('ky', 'iy')}) - s * sin({turn('ky', 'iy')})), 1e-9) AS f FROM wave_fx, range({size}) AS q(ky) GROUP BY ALL),
-scaled_f AS (SELECT sid, ky, kx, f * variance + CASE WHEN ky = 0 AND kx = 0 THEN 1000 ELSE 0 END AS f FROM wave_f JOIN set_ USING (sid)),
-spec_ AS (SELECT sid, ky, kx, f, f >= 0.1 * max(CASE WHEN ky + kx > 0 THEN f END) OVER (PARTITION BY sid) AS kept FROM scaled_f)"""
+scaled_f AS (SELECT sid, ky, kx, f * variance AS f0, f * variance + CASE WHEN ky = 0 AND kx = 0 THEN 1000 ELSE 0 END AS f FROM wave_f JOIN set_ USING (sid)),
+spec_ AS (SELECT sid, ky, kx, f0, f, max(CASE WHEN ky + kx > 0 THEN f END) OVER (PARTITION BY sid) AS top, f >= 0.1 * max(CASE WHEN ky + kx > 0 THEN f END) OVER (PARTITION BY sid) AS kept FROM scaled_f)"""
 
 
 def waves(size: int) -> str:
@@ -82,10 +82,13 @@ OWN = "prior_ AS (SELECT sid AS fid, sid AS cell_id, ky, kx, f FROM spec_ WHERE
 ANGLE = "w - floor(w / (pi() / 3)) * (pi() / 3)"
 
 
-def own_fits(size: int, grid: str = "") -> str:
+BANDED = "prior_ AS (SELECT sid AS fid, sid AS cell_id, ky, kx, greatest(f0, 1e-12) AS f FROM spec_ WHERE f >= 0.01 * top)"
+
+
+def own_fits(size: int, grid: str = "", prior: str = OWN) -> str:
     """Fits with each key's heuristic period and variance."""
     return f"""{grid or PTS + ', ' + lin(size)}, {heuristics(size)}, set_ AS (SELECT cell_id AS sid, p, variance, 0.0::DOUBLE AS angle, 'radial' AS style FROM per_ JOIN spread_ USING (cell_id)),
-{spectra(size)}, {OWN}, {MEAN}, {fitted(size)}"""
+{spectra(size)}, {prior}, {MEAN}, {fitted(size)}"""
 
 
 def swept(size: int, settings: str, grid: str = "", masks: str = "TRUE") -> str:
@@ -195,6 +198,9 @@ ORACLES = {
       SELECT cell_id, iy, ix, {', '.join(f'{r(c, 5)} AS {n}' for c, n in (('log_rate', 'log_rate'), ('log_var', 'log_var'), ('mean_rate', 'mean_rate'), ('variance', 'variance'), ('cv', 'cv'), ('mean_rate * 50', 'mean_hz'), ('variance * 2500', 'variance_hz'), ('elbo', 'elbo'), ('p', 'period'), ('prior_variance', 'prior_variance')))} FROM raw_m""",
     "prepared_maps": f"""WITH {PREPARED}, {heuristics(16)}, all_b AS (SELECT w.cell_id, w.iy, w.ix, coalesce(n, 0.0) AS n, coalesce(k, 0.0) AS k, t.rate AS kde, ln(greatest(w.rate, 1e-10)) AS m FROM wide_ w JOIN tight_ t USING (cell_id, iy, ix) LEFT JOIN grid g USING (cell_id, iy, ix))
       SELECT cell_id, iy, ix, {r('n')} AS n, {r('k')} AS k, {r(div('k', 'n'))} AS y, {r('kde')} AS kde, {r('m')} AS prior_mean, {r('ln(greatest(kde, 1e-10)) - m')} AS kde_log FROM all_b""",
+    "banded_fits": f"""WITH RECURSIVE {own_fits(12, prior=BANDED)}, {everywhere(12)}, ends_w AS (SELECT fid, max(log_rate) AS peak, min(log_var) AS surest FROM bins_ GROUP BY 1)
+      SELECT d.cell_id, {r('elbo', 5)} AS elbo, {r('p', 5)} AS period, {r('variance', 5)} AS variance, {r('peak', 5)} AS peak, {r('surest', 5)} AS surest
+      FROM done_ d JOIN ends_w USING (fid) JOIN per_ ON per_.cell_id = d.cell_id JOIN spread_ ON spread_.cell_id = d.cell_id""",
     "linear_gp_bins": f"WITH RECURSIVE {LINEAR} SELECT cell_id, iy, ix, {r('rate', 5)} AS rate, {r('filtered', 5)} AS filtered FROM rate_g JOIN soft_g USING (cell_id, iy, ix)",
     "heading_variance": f"""WITH RECURSIVE {swept(12, "(VALUES (0, 5.0, 0.05 * 0.3, 0.0, 'grid'), (1, 5.0, 0.05, 0.0, 'grid'), (2, 5.0, 0.05 * 3, 0.0, 'grid')) AS t(sid, p, variance, angle, style)", LAYERED(4, 1))},
       first_s AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY elbo DESC, sid) AS o FROM score_)

@@ -787,6 +787,12 @@ def fitted_bins(s, d):
     return tidy(grids.unpack(fits.fit_maps(_packed(s, d)), ["rate", "log_rate", "log_var"]), 5)
 
 
+def banded_fits(s, d):
+    """Fits on the frequencies down to a hundredth of the largest value, without a constant's share of the prior."""
+    fitted = fits.fit_maps(_packed(s, d, 12), "banded")
+    return tidy(fitted.select("cell_id", "elbo", "period", "variance", F.array_max("log_rate").alias("peak"), F.array_min("log_var").alias("surest")), 5)
+
+
 def linear_gp_bins(s, d):
     """The linear Gaussian process and its closed-form filter at every bin."""
     return tidy(grids.unpack(fits.linear_maps(_packed(s, d), 2.0), ["rate", "filtered"]), 5)
@@ -847,6 +853,6 @@ NAMES = [
     "heading_density", "heading_confidence", "prepared_maps", "regressed_maps", "best_parameters", "early_spectrum",
     "expected_maps", "simulated_counts", "simulated_explorations",
     "kernel_covariance", "bootstrap_draws", "bootstrap_spread", "shared_frequencies", "hyperparameters", "fit_series", "posterior_at_points",
-    "fitted_bins", "linear_gp_bins", "field_filters", "field_members", "sampled_fields", "heading_quadratic",
+    "fitted_bins", "banded_fits", "linear_gp_bins", "field_filters", "field_members", "sampled_fields", "heading_quadratic",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -258,3 +258,14 @@ def test_alias_flags_keep_every_point(spark, by):
     others = spark.createDataFrame([(int(k % 2), k, *map(float, r.random(2))) for k in range(30)], "g int, o long, x double, y double")
     found = [{r.id: r.aliased for r in neighbors.alias_flags(points, others, "o", by, 1.4, small=s).collect()} for s in (1000, 5)]
     assert found[0] == found[1] and len(found[0]) == 43 and not found[0][90] and not found[0][92] and any(found[0].values())
+
+
+@pytest.mark.parametrize("small", [4096, 10])
+def test_mutual_nearest_equals_all_pairs(spark, small, monkeypatch):
+    monkeypatch.setattr(neighbors.nearest, "__defaults__", ([], None, small))
+    r = np.random.default_rng(7)
+    make = lambda n: spark.createDataFrame([(int(k % 3), k, *(float(x) for x in np.round(r.random(2), 1))) for k in range(n)], "g int, id long, x double, y double")
+    left, right = make(40), make(55).where("g < 2")
+    want = neighbors.mutual(neighbors.candidate_pairs(left, right, ["g"]), ["g"])
+    got = neighbors.mutual_nearest(left, right, ["g"])
+    assert sorted((x.g, x.src, x.dst, round(x.dist, 9)) for x in got.collect()) == sorted((x.g, x.src, x.dst, round(x.dist, 9)) for x in want.collect())
