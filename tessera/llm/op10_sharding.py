@@ -14,7 +14,8 @@ both come from one dealing.  Only (key, size, crc) is shuffled, never the text.
 
 Edge cases: a null text counts as empty (size 1, crc 0); a null key is a key of
 its own; repeated rows get neighbouring numbers, so the multiset of results is
-the same on every run; an empty table gives an empty result; other columns are
+the same on every run; texts of any length are measured whole; an empty table gives
+an empty result; other columns are
 not read.
 """
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._arrow import columns, map_arrow
 from tessera.llm._store import cut, shuffle_partitions, sweep, table
-from tessera.llm._text import Words, buffers, gram_starts, grams, mix, text_chunks
+from tessera.llm._text import Words, gram_starts, grams, mix, text_chunks
 
 SHINGLE = 5
 THRESHOLD = 0.8

@@ -10,7 +10,9 @@ thousand weights, which a second fit on those slots alone frees of L1's shrinkag
 and which are broadcast.  Scoring is a row-wise map over all whole texts.
 
 Edge cases: a null or empty text scores the bias alone; a null toxic label or
-doc_id trains nothing (and is not held out); repeated labels and rows each count; without usable
+doc_id trains nothing (and is not held out); a label stated twice counts once, repeated
+rows each count; texts of any length are read whole; an empty table gives an empty
+result; without usable
 labels the score is 0.5 for every text; other columns are not read and pass
 through under any name, but for `score`, which `score()` replaces or adds under
 the name it is given.

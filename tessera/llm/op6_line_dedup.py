@@ -11,7 +11,8 @@ at most that mean / max_ratio boilerplate lines: its set fits in one row.  The
 table of sets is broadcast only if its measured size is small; otherwise hosts
 are salted and joined by shuffle.
 
-Edge cases: a null text stays null with no lines; blank lines always stay; a
+Edge cases: a null text stays null with no lines; texts of any length are read whole;
+blank lines always stay; a
 null host is one host of its own (as is a host of one zero byte); repeated rows count
 as pages of their own; other columns pass through under any name: the counts are
 named `n_lines` and `n_dropped`, or as the caller says, and a column of the input

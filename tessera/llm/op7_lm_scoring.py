@@ -32,7 +32,8 @@ added up in two levels, so no task reads more than the root of their number.
 
 Edge cases: a null text counts as empty (one end token); a null doc_id is never
 held out; doc_id is cast to long (what cannot be cast is null); repeated rows each
-count; without training tokens every token has probability 1 (scores 0); other
+count; texts of any length are scored whole; an empty table gives an empty result;
+without training tokens every token has probability 1 (scores 0); other
 columns are not read, whatever their names.
 """
 

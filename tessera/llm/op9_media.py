@@ -10,7 +10,8 @@ up to a positive multiple of 192 bytes, 64 RGB pixels a row; an even number of
 rows is stored as binary PPM, an odd one as 24-bit BMP) and `features` reads
 such a column back.  Both are row-wise maps: no shuffle, bounded batches.
 
-Edge cases: a null or empty text is one row of 64 blank pixels; equal texts give
+Edge cases: a null or empty text is one row of 64 blank pixels; texts of any length
+are stored whole; an empty table gives an empty result; equal texts give
 equal bytes; null ids pass through; a null media row has null features; `store`
 reads no other columns; `features` passes other columns through under any name, but
 for those it computes (`payload_bytes`, `payload_sha256`, `tail_crc32`, `feature`,
