@@ -1,8 +1,8 @@
 """Nearest neighbours, Voronoi regions, mutual matching, alias flags and chains over point sets per key.
 
 Small searched sides (grid points, centroids, peaks: at most SMALL points in all) are packed into one array a key and
-broadcast.  Larger ones are searched in square buckets: points meet candidates of their own and the neighbouring buckets
-by equi-joins, so nothing is broadcast and no pair beyond a bucket's reach is made.
+broadcast.  Larger ones are searched in a tree of squares split by counts (`trees`); pairs within a radius meet in square
+buckets of that side.  Both are equi-joins that broadcast nothing by themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import trees
 from tessera.runtime import cut, ship
 
 
@@ -44,15 +45,16 @@ def _bucketed(points: DataFrame, side: float) -> DataFrame:
 
 def nearest(points: DataFrame, others: DataFrame, key: str, by: list[str] = [], radius: float | None = None, small: int = SMALL) -> DataFrame:  # noqa: B006
     """points with near_id, near_x, near_y and near_distance of the closest other (ties: lowest id), nulls beyond the radius.
+    Others without a finite place are left out, points without one get nulls.
 
-    Beyond `small` others, rounds of bucketed joins with doubling reach (from the radius, or from the others' mean spacing)
-    until every point has its closest: what lies within a bucket's side is final."""
+    Beyond `small` others, a tree of squares split by counts is searched by branch and bound (`trees`)."""
+    others = others.where(trees.placed())
     if not _few(others, small):
-        return _nearest_buckets(points, others, key, by, radius)
+        return _nearest_tree(points, others, key, by, radius)
     packed = _packed(others, key, by)
     joined = points.join(F.broadcast(packed), by, "left") if by else points.crossJoin(F.broadcast(packed))
     best = F.array_min(F.transform("others", lambda o: F.struct(F.hypot(o["x"] - F.col("x"), o["y"] - F.col("y")).alias("d"), o["id"].alias("id"), o["x"].alias("x"), o["y"].alias("y"))))
-    out = joined.withColumn("_b", best).drop("others")
+    out = joined.withColumn("_b", F.when(trees.placed(), best)).drop("others")
     return out.select(*points.columns, *_near(radius))
 
 
@@ -61,30 +63,22 @@ def _near(radius: float | None) -> list[Column]:
     return [F.when(fine, F.col(f"_b.{a}")).alias(b) for a, b in (("id", "near_id"), ("x", "near_x"), ("y", "near_y"), ("d", "near_distance"))]
 
 
-def _nearest_buckets(points: DataFrame, others: DataFrame, key: str, by: list[str], radius: float | None) -> DataFrame:
-    box = others.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    width, height = max(box[1] - box[0], 1e-12), max(box[3] - box[2], 1e-12)
-    side = radius or 2 * math.sqrt(width * height / box[4])
-    distance = F.hypot(F.col("_o.x") - F.col("x"), F.col("_o.y") - F.col("y"))
-    found = F.min(F.struct(distance.alias("d"), F.col("_o.id").alias("id"), F.col("_o.x").alias("x"), F.col("_o.y").alias("y"))).alias("_b")
-    wanted, done = cut(points.select(*by, F.col("x"), F.col("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)").distinct()), None
-    while True:
-        met = _bucketed(wanted, side).join(_spread(others, key, by, side), [*by, "_bx", "_by"], "left")
-        best = cut(met.groupBy(*by, "x", "y").agg(found))
-        ready = best.where(F.lit(radius is not None) | (F.col("_b.d") <= side))
-        done = ready if done is None else done.unionByName(ready)
-        wanted = best.where(F.lit(radius is None) & ~F.coalesce(F.col("_b.d") <= side, F.lit(False))).drop("_b")
-        side *= 2
-        if radius is not None or wanted.isEmpty():
-            break
-        if by:  # keys without others find nothing however far
-            wanted = wanted.join(others.select(*by).distinct(), by)
-    same = [points[c].eqNullSafe(done[c]) for c in (*by, "x", "y")]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    joined = points.join(done, condition, "left").select(*[points[c] for c in points.columns], "_b")
-    return joined.select(*points.columns, *_near(radius))
+def _back(points: DataFrame, found: DataFrame, by: list[str], column: str) -> DataFrame:
+    """points with a column of what was found at their key and place; null where nothing was."""
+    at = [*by, "x", "y"]
+    found = found.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(at)], column)
+    condition = points[at[0]].eqNullSafe(found["_at0"])
+    for i, c in enumerate(at[1:], 1):
+        condition = condition & points[c].eqNullSafe(found[f"_at{i}"])
+    return points.join(found, condition, "left").drop(*[f"_at{i}" for i in range(len(at))])
+
+
+def _nearest_tree(points: DataFrame, others: DataFrame, key: str, by: list[str], radius: float | None) -> DataFrame:
+    tree = trees.build(others, key, by)
+    if tree is None:
+        return points.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("near_id", others.schema[key].dataType), ("near_x", "double"), ("near_y", "double"), ("near_distance", "double"))])
+    found = _back(points, cut(trees.search(points, tree, by, 1, radius)), by, "_b")
+    return found.select(*points.columns, *_near(radius))
 
 
 def voronoi(points: DataFrame, regions: DataFrame, key: str, by: list[str] = [], radius: float | None = None) -> DataFrame:  # noqa: B006
@@ -180,35 +174,21 @@ def alias_flags(points: DataFrame, others: DataFrame, key: str, by: list[str] =
     """points with aliased: whether more than one other lies within factor times the smallest distance; false for points
     without a place or without others.
 
-    Beyond `small` others, their nearest is found in buckets and the others within its distance times the factor are
-    counted in rings of buckets whose side is the next power of two of that reach."""
+    Beyond `small` others, the two closest are found in the tree: the second decides."""
+    others = others.where(trees.placed())
     if _few(others, small):
         packed = _packed(others, key, by)
         joined = points.join(F.broadcast(packed), by, "left") if by else points.crossJoin(F.broadcast(packed))
-        d = joined.withColumn("_d", F.transform("others", lambda o: F.hypot(o["x"] - F.col("x"), o["y"] - F.col("y"))))
+        d = joined.withColumn("_d", F.when(trees.placed(), F.col("others")))
+        d = d.withColumn("_d", F.transform("_d", lambda o: F.hypot(o["x"] - F.col("x"), o["y"] - F.col("y"))))
         d = d.withColumn("_m", F.array_min("_d"))
         return d.select(*points.columns, F.coalesce(F.size(F.filter("_d", lambda v: v <= F.col("_m") * factor)) > 1, F.lit(False)).alias("aliased"))
-    near = _nearest_buckets(points, others, key, by, None)
-    reach = F.col("near_distance") * factor
-    # a reach of a power of two: its bucket's side, in which the ring of neighbours holds what is that close
-    level = F.greatest(F.ceil(F.log2(F.greatest(reach, F.lit(1e-9)))), F.lit(-30)).cast("int")
-    near = cut(near.withColumn("_level", F.when(F.col("near_id").isNotNull(), level)).withColumn("_row", F.monotonically_increasing_id()))
-    alone = near.where("_level is null").select(*[f"`{c}`" for c in points.columns], F.lit(False).alias("aliased"))
-    levels = [r[0] for r in near.where("_level is not null").select("_level").distinct().collect()]  # at most a few dozen
-    if not levels:
-        return alone
-    # others are laid out once a level, and meet the level's points by one join
-    turns = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    sides = F.array(*[F.struct(F.lit(lv).alias("_level"), F.lit(2.0**lv).alias("_side")) for lv in sorted(levels)])
-    laid = others.select(*by, F.col("x").alias("_ox"), F.col("y").alias("_oy"), F.inline(sides)).select("*", F.inline(turns))
-    laid = laid.select(*by, "_level", (F.floor(F.col("_ox") / F.col("_side")) + F.col("_i")).alias("_bx"), (F.floor(F.col("_oy") / F.col("_side")) + F.col("_j")).alias("_by"), "_ox", "_oy")
-    side = F.pow(F.lit(2.0), F.col("_level"))
-    asked = near.where("_level is not null").withColumn("_bx", F.floor(F.col("x") / side)).withColumn("_by", F.floor(F.col("y") / side))
-    met = asked.select("_row", *by, "_level", "_bx", "_by", "x", "y", "near_distance").join(laid, [*by, "_level", "_bx", "_by"])
-    close = F.count_if(F.hypot(F.col("_ox") - F.col("x"), F.col("_oy") - F.col("y")) <= reach) > 1
-    flags = met.groupBy("_row").agg(close.alias("aliased"))
-    found = near.where("_level is not null").join(flags, "_row").select(*[f"`{c}`" for c in points.columns], "aliased")
-    return found.unionByName(alone)
+    tree = trees.build(others, key, by)
+    if tree is None:
+        return points.select("*", F.lit(False).alias("aliased"))
+    two = trees.search(points, tree, by, 2).groupBy(*by, "x", "y").agg(F.min("_b.d").alias("_first"), F.max("_b.d").alias("_last"), F.max("rank").alias("_rank"))
+    flags = cut(two.select(*by, "x", "y", ((F.col("_rank") > 1) & (F.col("_last") <= F.col("_first") * factor)).alias("_flag")))
+    return _back(points, flags, by, "_flag").select(*points.columns, F.coalesce("_flag", F.lit(False)).alias("aliased"))
 
 
 def components(edges: DataFrame) -> DataFrame:

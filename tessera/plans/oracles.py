@@ -71,6 +71,7 @@ HULL = """hull AS (
   SELECT p.cell_id, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM emb p JOIN emb q ON p.cell_id = q.cell_id AND p.vec_id <> q.vec_id
   WHERE NOT EXISTS (SELECT 1 FROM emb o WHERE o.cell_id = p.cell_id AND o.vec_id <> p.vec_id AND o.vec_id <> q.vec_id
                     AND (q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0))"""
+CLUSTERED = """away_ AS (SELECT *, min(d) OVER (PARTITION BY vec_id) AS m FROM (SELECT e.vec_id, o.vec_id AS id, sqrt(pow(o.x * o.x * o.x * o.x - e.x, 2) + pow(o.y * o.y * o.y * o.y - e.y, 2)) AS d FROM emb e, emb o))"""
 NEAREST = """ranked AS (SELECT e.vec_id, e.x, e.y, c.id, sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) AS d FROM emb e, cen c),
 near_ AS (SELECT vec_id, any_value(x) AS x, any_value(y) AS y, arg_min(id, (d, id)) AS id, min(d) AS d FROM ranked GROUP BY 1)"""
 MUTUAL = """pairs_ AS (SELECT a.cell_id AS layer, a.vec_id AS src, b.vec_id AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist
@@ -384,6 +385,8 @@ ORACLES = {
     "chain_components": f"""WITH RECURSIVE {EMB}, {MUTUAL}, e AS (SELECT src AS a, dst AS b FROM mutual_ WHERE dist < 0.02 UNION SELECT dst, src FROM mutual_ WHERE dist < 0.02),
       reach AS (SELECT a AS node, a AS seen FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.seen) SELECT node, min(seen) AS label FROM reach GROUP BY 1""",
     "alias_flags": f"WITH {EMB}, {CEN}, ranked AS (SELECT e.vec_id, sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) AS d FROM emb e, cen c), low AS (SELECT vec_id, min(d) AS m FROM ranked GROUP BY 1) SELECT vec_id, count(*) FILTER (WHERE d <= m * 1.05) > 1 AS aliased FROM ranked JOIN low USING (vec_id) GROUP BY 1",
+    "nearest_clustered": f"WITH {EMB}, {CLUSTERED} SELECT vec_id, min(id) FILTER (WHERE d = m AND d <= 0.2) AS near_id, {r('min(d) FILTER (WHERE d <= 0.2)')} AS near_distance FROM away_ GROUP BY 1",
+    "alias_flags_clustered": f"WITH {EMB}, {CLUSTERED} SELECT vec_id, count(*) FILTER (WHERE d <= m * 1.2) > 1 AS aliased FROM away_ GROUP BY 1",
     "confidence_ellipse": f"""WITH {EMB}, g AS (SELECT cell_id, avg(x) AS mx, avg(y) AS my, var_samp(x) AS xx, covar_samp(x, y) AS xy, var_samp(y) AS yy FROM emb GROUP BY 1),
       v AS (SELECT *, (xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS major, greatest((xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy), 0) AS minor, atan2(2 * xy, xx - yy) / 2 AS angle FROM g)
       SELECT cell_id, i::INT AS pos, {r(f'mx + sqrt(major) * cos(i * pi() / 6) * {ROOT2} * cos(angle) - sqrt(minor) * sin(i * pi() / 6) * {ROOT2} * sin(angle)')} AS x,

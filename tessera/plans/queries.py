@@ -301,6 +301,21 @@ def chain_components(s, d):
     return neighbors.components(pairs)
 
 
+def _clustered(s, d) -> DataFrame:
+    """The cloud drawn towards its corner by fourth powers."""
+    power = lambda c: (F.col(c) * F.col(c) * F.col(c) * F.col(c)).alias(c)
+    return _unit_cloud(s, d).select(F.col("vec_id").alias("id"), power("x"), power("y"))
+
+
+def nearest_clustered(s, d):
+    """The closest of as many clustered points, by the tree of squares split by counts."""
+    return tidy(neighbors.nearest(_unit_cloud(s, d), _clustered(s, d), "id", radius=0.2, small=0).select("vec_id", "near_id", "near_distance"))
+
+
+def alias_flags_clustered(s, d):
+    return neighbors.alias_flags(_unit_cloud(s, d), _clustered(s, d), "id", factor=1.2, small=0).select("vec_id", "aliased")
+
+
 def alias_flags(s, d):
     return neighbors.alias_flags(_unit_cloud(s, d), _centroids(s, d), "id").select("vec_id", "aliased")
 
@@ -845,7 +860,7 @@ NAMES = [
     "spike_times_to_counts", "run_edges", "run_edges_inner", "interpolate_gaps", "interpolate_gaps_linear", "glitch_patch", "sg_smooth", "sg_derivative", "heading_angle",
     "block_resample_fixed", "cv_folds", "learning_curve", "circular_smooth", "blur_grid", "kde_rate_map", "kde_v1", "acorr_grid", "radial_average", "hartley_transform",
     "hessian_grid", "peaks_local_max", "peaks_interpolated", "packed_roundtrip", "nearest_point", "voronoi_assign", "region_moments", "weighted_region_moments",
-    "mutual_nn_round1", "match_adjacent_layers", "chain_components", "alias_flags", "confidence_ellipse", "map_similarity", "poisson_deviance_cv", "density_rgb_mix",
+    "mutual_nn_round1", "match_adjacent_layers", "chain_components", "alias_flags", "nearest_clustered", "alias_flags_clustered", "confidence_ellipse", "map_similarity", "poisson_deviance_cv", "density_rgb_mix",
     "estimator_spread", "streaming_counts_batch", "lgcp_fit_map", "lgcp_elbo_sweep", "lgcp_hill_climb", "lgcp_posterior_samples", "lgcp_heading_fit", "laplace_confidence", "linear_gp",
     "grid_kernel", "recording_track", "silent_recordings", "locate_opposites", "cardinal_nodes", "chain_positions", "linked_edges", "rates_at_points", "head_direction", "skip_statistics", "zscored",
     "pending_keys", "ends_mask", "mask_hull", "arena_of_mask", "boundary_distance_labels", "near_boundary_filter_labels", "contains_units", "physical_units", "centred_grid", "masked_rates",
