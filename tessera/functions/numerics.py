@@ -46,7 +46,8 @@ def gaussian(height: int, width: int, sigma: float | np.ndarray) -> np.ndarray:
     dy, dx = offsets(height, width)
     if np.ndim(sigma) == 0:
         return np.exp(-0.5 * (dx**2 + dy**2) / float(sigma) ** 2)
-    p = np.linalg.pinv(np.asarray(sigma, dtype=float))
+    v = np.asarray(sigma, dtype=float)
+    p = np.linalg.pinv((v + v.T) / 2)
     return np.exp(-0.5 * (p[0, 0] * dx**2 + 2 * p[0, 1] * dx * dy + p[1, 1] * dy**2))
 
 

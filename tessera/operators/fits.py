@@ -398,6 +398,21 @@ def kde_maps(packed: DataFrame, sigma: float, by: list[str] = BY) -> DataFrame:
     return _run(packed, one, f"{_key(packed, by)}, h int, w int, rate array<double>", by)
 
 
+def blurred_maps(packed: DataFrame, values: list[str], sigma: float | list[list[float]], unit: bool = False, by: list[str] = BY) -> DataFrame:
+    """Packed values blurred circularly by a Gaussian: sigma is a deviation in bins or a 2 x 2 covariance of (x, y), where
+    directions without variance are blurred throughout (its pseudo-inverse counts); peak one, or of unit sum."""
+
+    def one(row: pd.Series) -> pd.DataFrame:
+        shape = (int(row["h"]), int(row["w"]))
+        kernel = numerics.gaussian(*shape, np.asarray(sigma) if np.ndim(sigma) else sigma)
+        kernel = kernel / kernel.sum() if unit else kernel
+        soft = {v: [numerics.convolve(np.asarray(row[v], dtype=float).reshape(shape), kernel).ravel()] for v in values}
+        return pd.DataFrame({x: [row[x]] for x in by} | {"h": [shape[0]], "w": [shape[1]]} | soft)
+
+    arrays = ", ".join(f"{v} array<double>" for v in values)
+    return _run(packed, one, f"{_key(packed, by)}, h int, w int, {arrays}", by)
+
+
 def upsampled(packed: DataFrame, value: str, factor: int, by: list[str] = BY) -> DataFrame:
     """Packed maps interpolated to `factor` times the bins a side by their band-limited spectrum."""
 

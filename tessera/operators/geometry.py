@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numerics import convex_hull
+from tessera.operators import neighbors
 from tessera.runtime import ship
 
 BY = ["cell_id"]
@@ -44,6 +45,15 @@ def arena(points: DataFrame, bins: int = 128, margin: float = 0.15, by: list[str
     )
 
 
+def square_bins(arenas: DataFrame) -> DataFrame:
+    """arenas (x0, x1, y0, y1, h, w) whose bins are square to within one bin of a side; others raise."""
+    aspect = (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    fine = (aspect * F.col("h") >= F.col("w") - 1) & (aspect * F.col("h") <= F.col("w") + 1)
+    told = F.concat(F.lit("an arena of aspect "), aspect.cast("string"), F.lit(" on "), F.col("w").cast("string"), F.lit(" x "), F.col("h").cast("string"), F.lit(" bins"))
+    # inside the column that all later steps read, so that no optimiser can leave it out
+    return arenas.withColumn("w", F.when(fine, F.col("w")).otherwise(F.raise_error(told).cast("int")))
+
+
 def meters_to_unit(x: Column, low: Column, high: Column) -> Column:
     return (x - low) / (high - low)
 
@@ -184,22 +194,19 @@ def boundary_distance(points: DataFrame, mask: DataFrame, height: int, width: in
     to the nearest outside bin for points inside, minus that to the nearest inside bin for points outside; null where a
     mask leaves no bin outside.  Points of keys without a mask are dropped.
 
-    The nearest bin of the other kind always touches a bin of the point's own kind, so a key's row holds only the bins on
-    either side of the edge; whether a point is inside comes from an equi-join on its bin.
+    The nearest bin of the other kind always touches a bin of the point's own kind, so only the bins on either side of the
+    edge are searched (`neighbors.nearest`); whether a point is inside comes from an equi-join on its bin.
     """
     inner = mask.select(*by, "iy", "ix").distinct()
     step = F.array(*[F.struct((F.col("iy") + i).alias("iy"), (F.col("ix") + j).alias("ix")) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))])
     around = lambda df: df.select(*by, F.inline(step)).where(f"iy between 0 and {height - 1} and ix between 0 and {width - 1}").distinct()
     out = around(inner).join(inner, [*by, "iy", "ix"], "left_anti")
     rim = around(out).join(inner, [*by, "iy", "ix"], "left_semi")
-    spot = F.struct("iy", "ix")
-    none = F.lit(None).cast(out.select(spot.alias("s")).schema["s"].dataType)
-    sides = out.select(*by, spot.alias("out"), none.alias("rim")).unionByName(rim.select(*by, none.alias("out"), spot.alias("rim")))
-    sides = sides.unionByName(inner.select(*by).distinct().select(*by, none.alias("out"), none.alias("rim")))
-    packed = sides.groupBy(*by).agg(F.collect_list("out").alias("out"), F.collect_list("rim").alias("rim"))
-    joined = points.join(inner.withColumn("own", F.lit(True)), [*by, "iy", "ix"], "left").join(packed, by)
-    nearest = lambda c: F.array_min(F.transform(c, lambda b: F.hypot(b["iy"] - F.col("by_"), b["ix"] - F.col("bx"))))
-    return joined.select(*by, key, F.when(F.coalesce("own", F.lit(False)), nearest("out")).otherwise(-nearest("rim")).alias("distance"))
+    spot = lambda df, own: df.select(*by, F.lit(own).alias("own"), (F.col("iy") * width + F.col("ix")).alias("bin"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
+    owned = points.join(inner.withColumn("own", F.lit(True)), [*by, "iy", "ix"], "left").join(inner.select(*by).distinct(), by, "left_semi")
+    asked = owned.select(*by, F.coalesce("own", F.lit(False)).alias("own"), key, F.col("bx").cast("double").alias("x"), F.col("by_").cast("double").alias("y"))
+    near = neighbors.nearest(asked, spot(out, True).unionByName(spot(rim, False)), "bin", [*by, "own"])
+    return near.select(*by, key, F.when(F.col("own"), F.col("near_distance")).otherwise(-F.col("near_distance")).alias("distance"))
 
 
 def ellipse_radius(p: float, mode: str = "2D") -> float:

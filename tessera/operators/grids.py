@@ -53,10 +53,15 @@ def biased_rate(n: Column, k: Column, mean: Column, rho: float = 0.9, gamma: flo
     return (k + mean * rho + gamma * (1 - rho)) / (n + rho)
 
 
-def kde_biased(grid: DataFrame, height: int, width: int, sigma: float, by: list[str] = BY) -> DataFrame:
-    """The earlier estimator: unit-sum kernel exp(-d^2 / sigma^2) and `biased_rate`."""
+def kde_biased(grid: DataFrame, height: int, width: int, sigma: float, by: list[str] = BY, mask: DataFrame | None = None) -> DataFrame:
+    """The earlier estimator: unit-sum kernel exp(-d^2 / sigma^2) and `biased_rate`.  With a mask (by, iy, ix), every bin
+    of a key's grid outside it has rate 0; the blur itself takes all bins."""
     blurred = blur(grid, ["n", "k"], height, width, sigma, by, half=False, unit=True)
-    return blurred.select(*by, "iy", "ix", biased_rate(F.col("n"), F.col("k"), _overall_rate(by)).alias("rate"))
+    rates = blurred.select(*by, "iy", "ix", biased_rate(F.col("n"), F.col("k"), _overall_rate(by)).alias("rate"))
+    if mask is None:
+        return rates
+    inside = mask.select(*by, "iy", "ix").distinct().withColumn("_in", F.lit(True))
+    return rates.join(inside, [*by, "iy", "ix"], "left").select(*by, "iy", "ix", F.when(F.col("_in"), F.col("rate")).otherwise(0.0).alias("rate"))
 
 
 def dense(grid: DataFrame, height: int, width: int, values: list[str], by: list[str] = BY) -> DataFrame:

@@ -202,3 +202,19 @@ def circular_smooth(values: DataFrame, sigma: float, size: int, by: list[str] =
     taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("g")) for k, w in enumerate(g / g.sum())])
     spread = values.select(*by, "i", "v", F.inline(taps)).withColumn("i", ((F.col("i") + F.col("k")) % size).cast("int"))
     return spread.groupBy(*by, "i").agg(F.sum(F.col("v") * F.col("g")).alias("v"))
+
+
+def upsample(values: DataFrame, size: int, factor: int, circular: bool = False, by: list[str] = BY) -> DataFrame:
+    """v over i in 0..size-1 interpolated to `factor` times as many places by its Hann-tapered spectrum: periodic, or of the
+    profile mirrored at its start (the half that is the profile).  Absent places count as 0.
+
+    Interpolation is linear, so every value is spread by the weights of one table and summed: no key meets one task whole."""
+    n = size if circular else 2 * size
+    k = np.arange(n) - n // 2
+    weights = (np.hanning(n) * np.cos(2 * np.pi * np.outer(np.arange(n * factor), k) / (n * factor))).sum(axis=1) / n
+    first = 0 if circular else size * factor  # outputs before it are the mirror's
+    at = [F.col("i")] if circular else [F.col("i") + size, F.lit(size - 1) - F.col("i")]
+    placed = values.select(*by, F.explode(F.array(*at)).alias("_at"), "v")
+    taps = F.array(*[F.struct(F.lit(o).alias("_o"), F.lit(float(g)).alias("_g")) for o, g in enumerate(weights)])
+    spread = placed.select(*by, "v", "_at", F.inline(taps)).withColumn("i", ((F.col("_at") * factor + F.col("_o")) % (n * factor) - first).cast("int"))
+    return spread.where("i >= 0").groupBy(*by, "i").agg(F.sum(F.col("v") * F.col("_g")).alias("v"))

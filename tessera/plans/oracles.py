@@ -360,6 +360,18 @@ ORACLES = {
     "kde_packed": f"WITH {PTS}, {lin(16)}, {kde(16, 2.0)} SELECT cell_id, iy, ix, {r('rate')} AS rate FROM kde_",
     "kde_v1": f"""WITH {PTS}, {lin(16)}, {blurred(16, 2.0, False, True)}, mu_ AS (SELECT cell_id, sum(k) / sum(n) AS mu FROM grid GROUP BY 1)
       SELECT cell_id, iy, ix, {r('(k + 0.9 * mu + 0.05) / (n + 0.9)')} AS rate FROM soft JOIN mu_ USING (cell_id)""",
+    "kde_v1_masked": f"""WITH {PTS}, {lin(16)}, {blurred(16, 2.0, False, True)}, mu_ AS (SELECT cell_id, sum(k) / sum(n) AS mu, avg(n) AS m FROM grid GROUP BY 1)
+      SELECT cell_id, iy, ix, CASE WHEN g.n > m + 1e-6 THEN {r('(soft.k + 0.9 * mu + 0.05) / (soft.n + 0.9)')} ELSE 0.0::DOUBLE END AS rate
+      FROM soft JOIN mu_ USING (cell_id) LEFT JOIN grid g USING (cell_id, iy, ix)""",
+    "blur_covariance": f"""WITH {PTS}, {lin(16)}, off_ AS (SELECT i AS o, CASE WHEN i < 8 THEN i ELSE i - 16 END AS d FROM range(16) AS q(i)),
+      taps AS (SELECT a.o AS oy, b.o AS ox, exp(-0.5 * (2.0::DOUBLE * b.d * b.d - 2.0 * a.d * b.d + 3.0 * a.d * a.d) / 5.0::DOUBLE) AS g FROM off_ a, off_ b)
+      SELECT cell_id, ((iy + oy) % 16)::INT AS iy, ((ix + ox) % 16)::INT AS ix, {r('sum(n * g)')} AS n, {r('sum(k * g)')} AS k FROM grid, taps GROUP BY 1, 2, 3""",
+    "upsampled_profile": f"""WITH {PTS}, {lin(16)}, v_ AS (SELECT cell_id, ix AS i, sum(n) AS v FROM grid GROUP BY ALL),
+      long_ AS (SELECT cell_id, TRUE AS circular, 16 AS n, 0 AS skip, i AS place, v FROM v_ UNION ALL SELECT cell_id, FALSE, 32, 48, i + 16, v FROM v_ UNION ALL SELECT cell_id, FALSE, 32, 48, 15 - i, v FROM v_),
+      wave_ AS (SELECT n, m - n // 2 AS f, 0.5 - 0.5 * cos(2 * pi() * m / (n - 1)) AS h FROM (VALUES (16), (32)) AS s(n), range(32) AS q(m) WHERE m < n),
+      part_ AS (SELECT cell_id, circular, n, skip, f, any_value(h) AS h, sum(v * cos(2 * pi() * f * place / n)) AS re, sum(v * sin(2 * pi() * f * place / n)) AS im FROM long_ JOIN wave_ USING (n) GROUP BY ALL)
+      SELECT cell_id, circular, (j - skip)::INT AS i, {r('sum(h * (re * cos(2 * pi() * f * j / (3 * n)) + im * sin(2 * pi() * f * j / (3 * n)))) / any_value(n)')} AS v
+      FROM part_, range(96) AS q(j) WHERE j >= skip AND j < 3 * n GROUP BY 1, 2, 3""",
     "acorr_grid": f"""WITH {PTS}, {lin(8)}, {field(8)}, m AS (SELECT cell_id, avg(y) AS m, var_pop(y) AS v FROM field GROUP BY 1),
       t AS (SELECT cell_id, iy, ix, v, (y - m) * 0.25 * (1 - cos(2 * pi() * iy / 7)) * (1 - cos(2 * pi() * ix / 7)) AS y FROM field JOIN m USING (cell_id)),
       a AS (SELECT p.cell_id, ((p.iy - q.iy + 12) % 8)::INT AS iy, ((p.ix - q.ix + 12) % 8)::INT AS ix, sum(p.y * q.y) AS ac, any_value(p.v) AS v FROM t p JOIN t q USING (cell_id) GROUP BY ALL)

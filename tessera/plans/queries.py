@@ -218,6 +218,24 @@ def circular_smooth(s, d):
     return tidy(series.circular_smooth(v, 1.5, 16))
 
 
+def upsampled_profile(s, d):
+    v = _grid(s, d, 16).groupBy("cell_id", F.col("ix").alias("i")).agg(F.sum("n").alias("v"))
+    both = [series.upsample(v, 16, 3, c).withColumn("circular", F.lit(c)) for c in (False, True)]
+    return tidy(both[0].unionByName(both[1]))
+
+
+def blur_covariance(s, d):
+    """Blurred along a direction: the packed maps by a covariance that is not diagonal."""
+    return tidy(grids.unpack(fits.blurred_maps(_packed(s, d), ["n", "k"], [[3.0, 1.0], [1.0, 2.0]]), ["n", "k"]))
+
+
+def kde_v1_masked(s, d):
+    """The earlier estimator on the bins with more than the key's mean of samples; 0 elsewhere."""
+    g = _grid(s, d, 16)
+    mask = g.join(g.groupBy("cell_id").agg(F.avg("n").alias("m")), "cell_id").where("n > m + 1e-6")
+    return tidy(grids.kde_biased(g, 16, 16, 2.0, mask=mask))
+
+
 def blur_grid(s, d):
     return tidy(grids.blur(_grid(s, d), ["n", "k"], 16, 16, 1.5))
 
@@ -858,7 +876,7 @@ NAMES = [
     "unit_meter_bin_roundtrip", "normalised_square", "safe_math", "safe_div_cases", "lgamma_table", "unitscale_percentile", "lognormal_moments", "hex_grid",
     "simulated_rate_map", "bin_coordinates", "hull_edges_coarse", "in_hull", "mask_from_hull",
     "spike_times_to_counts", "run_edges", "run_edges_inner", "interpolate_gaps", "interpolate_gaps_linear", "glitch_patch", "sg_smooth", "sg_derivative", "heading_angle",
-    "block_resample_fixed", "cv_folds", "learning_curve", "circular_smooth", "blur_grid", "kde_rate_map", "kde_v1", "acorr_grid", "radial_average", "hartley_transform",
+    "block_resample_fixed", "cv_folds", "learning_curve", "circular_smooth", "blur_grid", "kde_rate_map", "kde_v1", "kde_v1_masked", "blur_covariance", "upsampled_profile", "acorr_grid", "radial_average", "hartley_transform",
     "hessian_grid", "peaks_local_max", "peaks_interpolated", "packed_roundtrip", "nearest_point", "voronoi_assign", "region_moments", "weighted_region_moments",
     "mutual_nn_round1", "match_adjacent_layers", "chain_components", "alias_flags", "nearest_clustered", "alias_flags_clustered", "confidence_ellipse", "map_similarity", "poisson_deviance_cv", "density_rgb_mix",
     "estimator_spread", "streaming_counts_batch", "lgcp_fit_map", "lgcp_elbo_sweep", "lgcp_hill_climb", "lgcp_posterior_samples", "lgcp_heading_fit", "laplace_confidence", "linear_gp",

@@ -75,3 +75,50 @@ def test_equal_places_and_none(spark):
         empty = o.where("o < 0")
         assert [r.near_id for r in neighbors.nearest(p, empty, "o", small=small).collect()] == [None, None]
         assert [r.aliased for r in neighbors.alias_flags(p, empty, "o", small=small).collect()] == [False, False]
+
+
+def test_boundary_distance_at_any_size(spark, monkeypatch):
+    """A mask in parts: against all bins of the other kind, with the edge packed and with it in a tree."""
+    from tessera.operators import geometry
+
+    g = np.random.default_rng(5)
+    mask = g.random((24, 20)) < 0.3
+    rows = [(1, int(i), int(j)) for i, j in zip(*np.nonzero(mask))] + [(2, i, j) for i in range(24) for j in range(20)]
+    at = g.random((80, 2)) * [19, 23]
+    points = [(k, i, float(x), float(y), int(round(y)), int(round(x))) for k in (1, 2, 3) for i, (x, y) in enumerate(at)]
+    m = spark.createDataFrame(rows, "cell_id long, iy int, ix int")
+    p = spark.createDataFrame(points, "cell_id long, point_id long, bx double, by_ double, iy int, ix int")
+    results = []
+    for small in (10**6, 0):
+        monkeypatch.setattr(neighbors.nearest, "__defaults__", ([], None, small))
+        got = {(r.cell_id, r.point_id): r.distance for r in geometry.boundary_distance(p, m, 24, 20).collect()}
+        results.append(got)
+        for i, (x, y) in enumerate(at):
+            own = mask[round(y), round(x)]
+            d = min(np.hypot(b - x, a - y) for a, b in zip(*np.nonzero(mask != own)))
+            assert got[1, i] == pytest.approx(d if own else -d) and got[2, i] is None
+        assert len(got) == 160
+    assert results[0] == pytest.approx(results[1])
+
+
+def test_square_bins(spark):
+    from tessera.operators import geometry
+
+    a = spark.createDataFrame([(1, 0.0, 2.0, 0.0, 1.0, 10, 20), (2, 0.0, 2.0, 0.0, 1.0, 10, 21)], "cell_id long, x0 double, x1 double, y0 double, y1 double, h int, w int")
+    assert geometry.square_bins(a).count() == 2 and len(geometry.square_bins(a).collect()) == 2
+    with pytest.raises(Exception, match="aspect"):
+        geometry.square_bins(a.withColumn("w", F.lit(24))).collect()
+
+
+@pytest.mark.parametrize("size, factor, circular", [(7, 4, True), (8, 3, True), (5, 2, False), (6, 5, False)])
+def test_upsample(spark, size, factor, circular):
+    from tessera.operators import series
+
+    x = np.random.default_rng(size).random(size)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "cell_id long, i int, v double")
+    got = [r.v for r in series.upsample(df, size, factor, circular).orderBy("i").collect()]
+    both = x if circular else np.concatenate([x[::-1], x])
+    n, wide = len(both), len(both) * factor
+    f = np.fft.fftshift(np.fft.fft(both)) * np.hanning(n)
+    want = [(f * np.exp(2j * np.pi * (np.arange(n) - n // 2) * j / wide)).sum().real / n for j in range(wide)]
+    assert got == pytest.approx(want if circular else want[wide // 2 :], abs=1e-12)
