@@ -18,6 +18,7 @@ CAP = 64  # places of a leaf
 STEP = 3  # levels a split: 8 x 8 squares
 DEPTH = 48
 CELL = ["_cx", "_cy"]
+FEW = 8192  # squares of a level up to which it is broadcast (about a MB); counted
 
 
 def placed() -> Column:
@@ -28,8 +29,9 @@ def placed() -> Column:
 
 @dataclass
 class Tree:
-    """levels[i]: squares of level i * STEP (by, _cx, _cy, bounds of their places, n points, leaf); members: places of
-    each leaf as an array of (x, y, id, n)."""
+    """levels[i]: squares of level i * STEP (by, _cx, _cy, bounds of their places, n points, leaf), to be broadcast where
+    they are FEW, as the upper levels are, of which every square holds many rows; members: places of each leaf as an array
+    of (x, y, id, n)."""
 
     levels: list[DataFrame]
     members: DataFrame
@@ -58,13 +60,16 @@ def build(others: DataFrame, key: str, by: list[str], cap: int = CAP) -> Tree |
             (F.lit(last) | (F.count(F.lit(1)) <= cap)).alias("leaf"),
         )
         squares = cut(squares)
+        kinds = {r["leaf"]: r["count"] for r in squares.groupBy("leaf").count().collect()}
+        squares = F.broadcast(squares) if sum(kinds.values()) <= FEW else squares
         levels.append(squares)
         place = F.struct("x", "y", "id", "n")
-        mine = here.join(squares.where("leaf").select(*by, *CELL), [*by, *CELL], "left_semi")
+        parted = here.join(squares.select(*by, *CELL, "leaf"), [*by, *CELL])
+        mine = parted.where("leaf").drop("leaf")
         leaves.append(mine.groupBy(*by, *CELL).agg(F.collect_list(place).alias("places")).withColumn("_level", F.lit(level)))
-        if squares.where("not leaf").isEmpty():
+        if not kinds.get(False):
             break
-        rest = cut(here.join(squares.where("not leaf").select(*by, *CELL), [*by, *CELL], "left_semi").drop(*CELL))
+        rest = cut(parted.where("not leaf").drop("leaf", *CELL))
         level += STEP
     members = leaves[0]
     for more in leaves[1:]:
