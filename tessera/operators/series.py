@@ -86,7 +86,8 @@ def fir_all(series: DataFrame, filters: dict[str, tuple[str, np.ndarray]], by: l
         last, low = F.col("_n") - 1, F.greatest(F.lit(0), F.col("t") - m)
         at = lambda index, k=k, low=low: F.element_at(f"_v{k}", (index - low + 1).cast("int"))
         total = F.lit(0.0)
-        for lag, x in zip(range(-m, m + 1), w.tolist()):
+        # last lag first, as DuckDB adds them: where a sum cancels, the sign of what rounding leaves decides an angle
+        for lag, x in reversed(list(zip(range(-m, m + 1), w.tolist()))):
             here = F.col("t") + lag
             inside = F.when(here < 0, -here).when(here > last, 2 * last - here).otherwise(here)
             value = at(F.greatest(F.lit(0), F.least(last, inside)))

@@ -43,5 +43,15 @@ def test_repeats(spark, name):
     assert first and first == sorted(map(repr, catalogue.QUERIES[name](spark, FOLDER).collect()))
 
 
+def test_heading_of_copied_events(spark, tmp_path):
+    """With every event six times the filters cancel at the series' ends, where only rounding is left of the velocity."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id + 10000000 * r AS event_id, ts, user_id, event_type, value, props FROM '{FOLDER}/events.parquet', range(6) AS q(r)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = catalogue.QUERIES["heading_angle"](spark, str(tmp_path))
+    want = con.execute(catalogue.ORACLES["heading_angle"])
+    assert rows(got.columns, got.collect()) == rows([c[0] for c in want.description], want.fetchall())
+
+
 def test_flagship():
     assert catalogue.FLAGSHIP in catalogue.ORACLES
