@@ -1,20 +1,21 @@
 """Nearest neighbours, Voronoi regions, mutual matching, alias flags and chains over point sets per key.
 
 Small searched sides (grid points, centroids, peaks: at most SMALL points in all) are packed into one array a key and
-broadcast.  Larger ones are searched in a tree of squares split by counts (`trees`); pairs within a radius meet in square
-buckets of that side.  Both are equi-joins that broadcast nothing by themselves.
+broadcast.  Larger ones are dealt to tasks by place (`blocks`), where most points find their closest; the others are searched
+in a tree of squares split by counts (`trees`) from there.  Matches of large sets are settled in blocks of open points, too.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import trees
+from tessera.operators import blocks, trees
 from tessera.runtime import cut, ship
 
 
@@ -123,10 +124,11 @@ def near_pairs(left: DataFrame, right: DataFrame, by: list[str], radius: float)
 def match(left: DataFrame, right: DataFrame, by: list[str], radius: float, small: int = 2048) -> DataFrame:
     """Repeated mutual matching until a side is used up, and of that the pairs within the radius.  Points that are each
     other's nearest beyond the radius have no partner within it, so only pairs within the radius need to be looked at.
-    Keys of up to `small` points a side are matched in one task each; if any is larger, all run as rounds of joins."""
+    Keys of up to `small` points are matched in one task each; if any is larger, all run in blocks of points."""
+    left, right = (df.where(trees.placed()).dropna(subset=by) if by else df.where(trees.placed()) for df in (left, right))
     largest = left.unionByName(right).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > small:
-        return match_rounds(left, right, by, radius)
+        return match_blocks(left, right, by, radius)
     ship(left.sparkSession)
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -164,6 +166,37 @@ def match_rounds(left: DataFrame, right: DataFrame, by: list[str], radius: float
         pairs = cut(pairs.join(new.select(*by, "src"), [*by, "src"], "left_anti").join(new.select(*by, "dst"), [*by, "dst"], "left_anti"))
 
 
+def match_blocks(left: DataFrame, right: DataFrame, by: list[str], radius: float, cap: int = blocks.CAP) -> DataFrame:
+    """`match` for keys of any size without a list of the pairs within the radius, whose number grows with the square of the
+    points: each round deals the open points to tasks of about `cap` by place, a task takes the pairs that no other task
+    can disturb (`blocks.pair_off`), and the rest is dealt again with shifted edges, until one task holds it.  Where a round
+    settles little, as in chains of pairs that wait for each other, the tasks double."""
+    ship(left.sparkSession)
+    types = "".join(f"{k} {left.schema[k].dataType.simpleString()}, " for k in by)
+
+    def task(batches, where, tasks):
+        for g, far in blocks.groups(batches, by, where, tasks):
+            src, dst, dist, rest = blocks.pair_off(g, far, radius)
+            pairs = pd.DataFrame({"side": 2, "id": src, "dst": dst, "x": dist, "y": 0.0})
+            out = pd.concat([pairs, rest.assign(dst=0)], ignore_index=True)
+            for k in by:
+                out[k] = g[k].iloc[0]
+            yield out[[*by, "side", "id", "dst", "x", "y"]].astype({"side": "int32", "id": "int64", "dst": "int64"})
+
+    sides = [df.select(*by, F.lit(k).alias("side"), "id", "x", "y") for k, df in enumerate((left, right))]
+    open_, found, turn = cut(sides[0].unionByName(sides[1])), [], 0
+    n = open_.count()
+    while n or not found:
+        where, tasks = blocks.frame(open_, turn) or blocks.Frame(0.0, 0.0, 1.0, (0.0, 0.0)), max(1, -(-n // cap))
+        work = lambda batches, where=where, tasks=tasks: task(batches, where, tasks)
+        out = cut(blocks.dealt(open_, by, where, tasks).mapInPandas(work, f"{types}side int, id long, dst long, x double, y double"))
+        found.append(out.where("side = 2").select(*by, F.col("id").alias("src"), "dst", F.col("x").alias("dist")))
+        open_ = out.where("side < 2").drop("dst")
+        rest = open_.count()
+        cap, n, turn = cap * 2 if rest > 0.7 * n else cap, rest, turn + 1
+    return reduce(DataFrame.unionByName, found)
+
+
 def match_layers(layers: DataFrame, count: int, radius: float) -> DataFrame:
     """Matches layer, id with layer + 1 (cyclic): edges (layer, src, dst, dist)."""
     after = layers.withColumn("layer", F.pmod(F.col("layer") - 1, F.lit(count)))
