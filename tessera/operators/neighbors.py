@@ -239,16 +239,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _places(steps: DataFrame) -> DataFrame:
-    """(node, pos) along paths given as steps(a, b) with one way into and out of every node and no cycle: list ranking by
-    pointer jumping, a logarithmic number of checkpointed rounds."""
-    nodes = steps.select(F.col("a").alias("node")).union(steps.select("b")).distinct()
-    state = nodes.join(steps.select(F.col("b").alias("node"), F.col("a").alias("up")), "node", "left")
-    state = cut(state.withColumn("pos", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
-    while not state.where("up is not null").isEmpty():
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("pos").alias("more"))
-        state = cut(state.join(above, "up", "left").select("node", F.col("further").alias("up"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos")))
-    return state.select("node", "pos")
+def _walked(steps: DataFrame) -> DataFrame:
+    """(node, label, pos, size) along steps(a, b) with at most one way into and out of every node: the smallest node of the
+    node's path or loop, its place from the path's open end (of a loop: from the smallest node) and their number of nodes.
+
+    Pointer doubling: a round's `up` is twice as far back as the last one's, so a path of n nodes takes log2(n) checkpointed
+    rounds of one join.  `low` is the smallest node from here to before `up` and the way to it.  A loop is done when no node's
+    `low` differs from its `up`'s: windows of one length, laid end to end, then all have the loop's."""
+    both = steps.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(steps.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("up")))
+    state = both.groupBy("node").agg(F.max("up").alias("up"))
+    low = F.struct(F.col("node").alias("low"), F.lit(0).cast("long").alias("way")).alias("low")
+    head = F.when(F.col("up").isNull(), F.col("node")).alias("head")
+    state = cut(state.select("node", "up", head, F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("pos"), low, F.lit(True).alias("moved")))
+    while True:
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("head").alias("_head"), F.col("pos").alias("_pos"), F.col("low").alias("_low"))
+        further = F.struct(F.col("_low.low").alias("low"), (F.col("_low.way") + F.col("pos")).alias("way"))
+        # while paths are open, some node of them comes to its end in every round
+        moved = F.col("_up").isNull() | (F.col("low.low") != F.col("_low.low"))
+        going = state.where("up is not null").join(above, "up").select("node", F.col("_up").alias("up"), F.col("_head").alias("head"), (F.col("pos") + F.col("_pos")).alias("pos"), F.least("low", further).alias("low"), moved.alias("moved"))
+        state = cut(state.where("up is null").withColumn("moved", F.lit(False)).unionByName(going))
+        waiting, moving = state.agg(F.count_if(F.col("up").isNotNull()), F.count_if("moved")).first()
+        if not waiting or not moving:
+            break
+    own = state.withColumn("_of", F.coalesce("head", F.col("low.low")))
+    sizes = own.groupBy("_of").agg(F.min("node").alias("label"), F.count(F.lit(1)).alias("size"))
+    return own.join(sizes, "_of").select("node", "label", F.when(F.col("up").isNull(), F.col("pos")).otherwise(F.col("low.way")).alias("pos"), "size")
 
 
 def chains(edges: DataFrame, count: int, shortest: int) -> DataFrame:
@@ -256,13 +271,8 @@ def chains(edges: DataFrame, count: int, shortest: int) -> DataFrame:
     least `shortest` nodes as (chain_id, layer, id, pos), pos counting along the path from its open end (a closed loop
     starts at its smallest node).  Matched layers give every node at most one edge either way."""
     node = lambda layer, i: i * count + layer
-    pairs = cut(edges.select(node(F.col("layer"), F.col("src")).alias("a"), node((F.col("layer") + 1) % count, F.col("dst")).alias("b")))
-    labels = components(pairs)
-    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    owned = pairs.join(labels.select(F.col("node").alias("a"), "label"), "a")
-    loops = owned.groupBy("label").agg(F.count(F.lit(1)).alias("steps")).join(size, "label").where("steps >= size").select("label")
-    steps = owned.join(loops.select(F.col("label"), F.col("label").alias("b")), ["label", "b"], "left_anti").select("a", "b")
-    long_ = labels.join(size.where(F.col("size") >= shortest), "label").join(_places(steps), "node")
+    steps = edges.select(node(F.col("layer"), F.col("src")).cast("long").alias("a"), node((F.col("layer") + 1) % count, F.col("dst")).cast("long").alias("b"))
+    long_ = _walked(steps).where(F.col("size") >= shortest)
     return long_.select(F.col("label").alias("chain_id"), (F.col("node") % count).alias("layer"), F.floor(F.col("node") / count).cast("long").alias("id"), "pos")
 
 

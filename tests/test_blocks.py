@@ -72,3 +72,27 @@ def test_match_of_nothing(spark):
     for a, b in ((none, none), (some, none), (none, some), (some, odd)):
         assert neighbors.match(a, b, ["g"], 1.0).count() == 0
         assert neighbors.match(a, b, ["g"], 1.0, small=1).count() == 0
+
+
+def test_walks_of_paths_and_loops(spark):
+    """One long path, one loop and pieces of a random permutation, whose ends are found in a logarithmic number of rounds."""
+    r = np.random.default_rng(2)
+    names = r.permutation(3000).tolist()
+    steps = list(zip(names[:999], names[1:1000])) + list(zip(names[1000:1700], names[1001:1700] + names[1000:1001]))
+    turned = dict(zip(names[1700:], r.permutation(names[1700:]).tolist()))
+    steps += [(a, b) for a, b in turned.items() if a % 7 and a != b]
+    after, before = dict(steps), {b: a for a, b in steps}
+    want = {}
+    for n in sorted({*after, *before}):
+        if n in want:
+            continue
+        start = n
+        while start in before and before[start] != n:
+            start = before[start]
+        start = n if start in before else start
+        walk = [start]
+        while walk[-1] in after and after[walk[-1]] != start:
+            walk.append(after[walk[-1]])
+        want |= {m: (min(walk), k, len(walk)) for k, m in enumerate(walk)}
+    got = neighbors._walked(spark.createDataFrame(steps, "a long, b long")).collect()
+    assert {x.node: (x.label, x.pos, x.size) for x in got} == want and len(got) == len(want)
