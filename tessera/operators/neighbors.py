@@ -75,11 +75,30 @@ def _back(points: DataFrame, found: DataFrame, by: list[str], column: str) -> Da
 
 
 def _nearest_tree(points: DataFrame, others: DataFrame, key: str, by: list[str], radius: float | None) -> DataFrame:
-    tree = trees.build(others, key, by)
-    if tree is None:
-        return points.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("near_id", others.schema[key].dataType), ("near_x", "double"), ("near_y", "double"), ("near_distance", "double"))])
-    found = _back(points, cut(trees.search(points, tree, by, 1, radius)), by, "_b")
-    return found.select(*points.columns, *_near(radius))
+    """Each place looks among the others of its block of places; only where a closer one may lie beyond, the tree is
+    searched, from the distance found."""
+    kind = others.schema[key].dataType
+    where = blocks.frame(others)
+    if where is None:
+        return points.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("near_id", kind), ("near_x", "double"), ("near_y", "double"), ("near_distance", "double"))])
+    ship(points.sparkSession)
+    reach = float("inf") if radius is None else float(radius)
+    places = points.where(trees.placed()).select(*by, F.lit(0).alias("side"), F.lit(0).cast(kind).alias("id"), "x", "y").distinct()
+    both = cut(places.unionByName(others.select(*by, F.lit(1).alias("side"), F.col(key).alias("id"), "x", "y")).dropna(subset=[*by, "id"]))
+    tasks = max(1, -(-both.count() // blocks.CAP))
+
+    def look(batches):
+        for g, far in blocks.groups(batches, by, where, tasks):
+            yield blocks.nearest(g, far, by, reach)
+
+    types = "".join(f"{k} {points.schema[k].dataType.simpleString()}, " for k in by)
+    seen = cut(blocks.dealt(both, by, where, tasks).mapInPandas(look, f"{types}x double, y double, d double, id {kind.simpleString()}, ox double, oy double, done boolean"))
+    best = F.struct("d", "id", F.col("ox").alias("x"), F.col("oy").alias("y")).alias("_b")
+    found, rest = seen.where("done").where(F.col("d") < float("inf")).select(*by, "x", "y", best), seen.where("not done")
+    if not rest.isEmpty():
+        tree = trees.build(others, key, by)
+        found = found.unionByName(cut(trees.search(rest.select(*by, "x", "y", F.col("d").alias("_reach")), tree, by, 1, radius)).select(*by, "x", "y", "_b"))
+    return _back(points, found, by, "_b").select(*points.columns, *_near(radius))
 
 
 def voronoi(points: DataFrame, regions: DataFrame, key: str, by: list[str] = [], radius: float | None = None) -> DataFrame:  # noqa: B006

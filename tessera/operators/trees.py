@@ -79,7 +79,8 @@ def build(others: DataFrame, key: str, by: list[str], cap: int = CAP) -> Tree |
 
 def search(points: DataFrame, tree: Tree, by: list[str], k: int = 1, radius: float | None = None) -> DataFrame:
     """(by, x, y, rank, _b: struct of d, id, x, y) for every different finite place of points: its k closest others within
-    the radius (ties: lowest id; equal others count one by one but bear one id).
+    the radius (ties: lowest id; equal others count one by one but bear one id).  A column _reach of points, the same for
+    equal places, is a distance within which k others are known to lie.
 
     A row of the frontier is a place and a square that may hold one of its k closest: its least distance is not above the
     bound, the smallest of the greatest distances of squares with at least k others."""
@@ -87,8 +88,9 @@ def search(points: DataFrame, tree: Tree, by: list[str], k: int = 1, radius: flo
     lo = F.hypot(F.greatest(F.col("x0") - F.col("_px"), F.col("_px") - F.col("x1"), F.lit(0.0)), F.greatest(F.col("y0") - F.col("_py"), F.col("_py") - F.col("y1"), F.lit(0.0)))
     hi = F.hypot(F.greatest(F.abs(F.col("x0") - F.col("_px")), F.abs(F.col("x1") - F.col("_px"))), F.greatest(F.abs(F.col("y0") - F.col("_py")), F.abs(F.col("y1") - F.col("_py"))))
     carried = [*spot, "_level", *CELL, "leaf", "_lo", "_bound"]
-    start = points.where(placed()).select(*by, F.col("x").alias("_px"), F.col("y").alias("_py")).distinct()
-    start = start.withColumn("_bound", F.lit(float("inf") if radius is None else radius).cast("double"))
+    bound = F.lit(float("inf") if radius is None else radius).cast("double")
+    bound = F.least(bound, "_reach") if "_reach" in points.columns else bound
+    start = points.where(placed()).select(*by, F.col("x").alias("_px"), F.col("y").alias("_py"), bound.alias("_bound")).distinct()
     frontier = None
     for i, squares in enumerate(tree.levels):
         if frontier is None:

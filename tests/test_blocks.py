@@ -74,6 +74,20 @@ def test_match_of_nothing(spark):
         assert neighbors.match(a, b, ["g"], 1.0, small=1).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["uniform", "clustered", "copies", "lattice"])
+@pytest.mark.parametrize("radius", [None, 0.05])
+def test_nearest_in_blocks(spark, monkeypatch, kind, radius):
+    monkeypatch.setattr(blocks, "CAP", 48)
+    r = np.random.default_rng(4)
+    a, b = ([places(kind, n, r) for n in sizes] for sizes in ((150, 90), (110, 120)))
+    got = neighbors.nearest(table(spark, a), table(spark, b), "id", ["g"], radius, small=0).collect()
+    assert len(got) == 240
+    for x in got:
+        d, i = min((np.hypot(u - x.x, v - x.y), i) for i, u, v in b[x.g])
+        assert x.near_id == (i if radius is None or d <= radius else None)
+        assert x.near_distance == (pytest.approx(d, abs=1e-12) if x.near_id is not None else None)
+
+
 def test_walks_of_paths_and_loops(spark):
     """One long path, one loop and pieces of a random permutation, whose ends are found in a logarithmic number of rounds."""
     r = np.random.default_rng(2)
