@@ -15,8 +15,9 @@ its few thousand weights are broadcast.
 
 The whole of every text is decoded, in lanes of LANE characters that overlap by
 2 * HALO.  Their labels are stitched in the middle of each overlap into one
-sequence a text, from which spans of any length are read.  Only lanes whose best
-path leaves "outside" are traced back.  A span is added if its mean marginal is
+sequence a text, from which spans of any length are read.  The network reads every
+lane in both directions; best paths are sought only in lanes where an upper bound
+(`suspects`) lets one leave "outside", and traced back only where one does.  A span is added if its mean marginal is
 at least CONFIDENCE, it overlaps no base span, and what it spells passes the
 check of its kind (`plausible`: Luhn, parts below 256, counts of digits, ...).
 Base spans always stay.
@@ -42,9 +43,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._arrow import map_arrow, map_text
+from tessera.llm._arrow import map_arrow, map_text, slices
 from tessera.llm._store import table
-from tessera.llm._text import mix, text_chunks
+from tessera.llm._text import CHUNK_BYTES, buffers, mix
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE_KINDS = 4
@@ -62,7 +63,7 @@ MARGIN = 1e-3
 LABELS = 1 + 2 * len(KINDS)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -300,6 +301,7 @@ class Tagger:
         grads["o"] = both.reshape(t_ * b_, -1).T @ de.reshape(t_ * b_, -1)
         dh = de @ self.p["o"].T
         h_ = self.hidden
+        places = (ids.astype(np.intp)[:, :, None] * (4 * h_) + np.arange(4 * h_)).reshape(t_, -1)  # flat, as add.at is faster there
         for d, memory, own in (("f", mf, dh[:, :, :h_]), ("b", mb, dh[:, :, h_:])):
             gw, gu, gc = np.zeros_like(self.p[f"w{d}"]), np.zeros_like(self.p[f"u{d}"]), np.zeros(4 * h_, dtype=np.float32)
             next_h, next_c = np.zeros((b_, h_), dtype=np.float32), np.zeros((b_, h_), dtype=np.float32)
@@ -307,7 +309,7 @@ class Tagger:
                 x = own[t] + next_h
                 dc = x * o * (1 - tc * tc) + next_c
                 dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * fo * (1 - fo), x * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                np.add.at(gw, ids[t], dz)
+                np.add.at(gw.reshape(-1), places[t], dz.reshape(-1))
                 gu += h0.T @ dz
                 gc += dz.sum(axis=0)
                 next_h, next_c = dz @ self.p[f"u{d}"].T, dc * fo
@@ -348,47 +350,84 @@ class Tagger:
         of a machine's arithmetic; a span that is better by less is about as likely as none, far below CONFIDENCE."""
         return s[-1].max(axis=0) <= outside + MARGIN
 
-    def _fast_lstm(self, ids: np.ndarray, d: str, out: np.ndarray) -> None:
-        """Hidden states into out (T, H, B): one product and one exponential a step, as NumPy's exponential takes half the time
-        of its tanh; signs and the factor of tanh x = 2 / (1 + exp(-2 x)) - 1 are folded into the weights."""
+    def _walk(self, ids: np.ndarray, d: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(place, half its hidden states (B, H), overwritten by the next) in the order in which d reads ids (T, B): one product
+        and one exponential a step, as NumPy's exponential takes half the time of its tanh.  Gates are kept as what they
+        divide by, 1 + exp(-x), that of the input as a quarter of it, and the cell as exp's argument in
+        tanh x = 2 * (1 / (1 + exp(-2 x)) - 1 / 2); signs and factors are folded into the weights."""
         h_, (t_, b_) = self.hidden, ids.shape
-        fold = np.repeat(np.array([-1.0, -2.0], np.float32), [3 * h_, h_])
-        w = np.ascontiguousarray(((self.p[f"w{d}"] + self.p[f"c{d}"]) * fold).T, dtype=np.float32)
-        u = np.ascontiguousarray((self.p[f"u{d}"] * fold).T, dtype=np.float32)
-        h, c = np.zeros((h_, b_), np.float32), np.zeros((h_, b_), np.float32)
-        z, x = np.empty((4 * h_, b_), np.float32), np.empty((4 * h_, b_), np.float32)
-        i, f, o, g = (z[k * h_ : (k + 1) * h_] for k in range(4))
-        with np.errstate(over="ignore"):  # an infinite exponential is a gate of zero
-            for t in range(t_) if d == "f" else range(t_ - 1, -1, -1):
-                np.take(w, ids[t], axis=1, out=x, mode="clip")
-                np.matmul(u, h, out=z)
-                z += x
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                g *= 2
-                g -= 1
-                c *= f
-                i *= g
-                c += i
-                h = out[t]
-                np.multiply(c, -2, out=h)
-                np.exp(h, out=h)
-                h += 1
-                np.divide(2, h, out=h)
-                h -= 1
-                h *= o
+        fold = np.array([-1, -1, -1, -2], np.float32)[:, None, None]
+        w = np.ascontiguousarray((self.p[f"w{d}"] + self.p[f"c{d}"]).reshape(-1, 4, h_).swapaxes(0, 1) * fold, dtype=np.float32)
+        w[0] -= np.log(np.float32(4))
+        u = np.ascontiguousarray(self.p[f"u{d}"].reshape(h_, 4, h_).swapaxes(0, 1) * (2 * fold), dtype=np.float32)
+        h, c = np.zeros((b_, h_), np.float32), np.zeros((b_, h_), np.float32)
+        z, x = np.empty((4, b_, h_), np.float32), np.empty((4, b_, h_), np.float32)
+        i, f, o, g = z
+        half, one = np.array(0.5, np.float32), np.array(1, np.float32)  # a Python number costs a call a microsecond more
+        ones = np.array([0.25, 1, 1, 1], np.float32)[:, None]
+        flat = z.reshape(4, -1)
+        ids = ids.astype(np.intp)
+        for t in range(t_) if d == "f" else range(t_ - 1, -1, -1):
+            w.take(ids[t], 1, x, "clip")
+            np.matmul(h, u, out=z)
+            z += x
+            np.exp(z, out=z)
+            flat += ones
+            np.reciprocal(g, out=g)
+            np.subtract(half, g, out=g)
+            g /= i
+            c /= f
+            c += g  # minus twice the cell
+            np.exp(c, out=h)
+            h += one
+            np.reciprocal(h, out=h)
+            h -= half
+            h /= o
+            yield t, h
 
     def fast_emissions(self, ids: np.ndarray) -> np.ndarray:
         """As emissions, but (T, L, B)."""
-        t_, b_ = ids.shape
-        both = np.empty((t_, 2, self.hidden, b_), np.float32)
-        self._fast_lstm(ids, "f", both[:, 0])
-        self._fast_lstm(ids, "b", both[:, 1])
-        e = np.matmul(np.ascontiguousarray(self.p["o"].T), both.reshape(t_, 2 * self.hidden, b_))
+        h_, (t_, b_) = self.hidden, ids.shape
+        both = np.empty((t_, b_, 2 * h_), np.float32)
+        with np.errstate(over="ignore"):  # an infinite exponential is a closed gate
+            for k, d in enumerate("fb"):
+                for t, h in self._walk(ids, d):
+                    both[t, :, k * h_ : (k + 1) * h_] = h
+        e = np.matmul(np.ascontiguousarray(2 * self.p["o"].T), both.transpose(0, 2, 1))
         e += self.p["ob"][:, None]
         return e
 
+    def suspects(self, ids: np.ndarray) -> np.ndarray:
+        """Which columns of ids (T, B) may have a span on their best path; the others have none, whatever the text.
+
+        Every character is read in both directions.  In place of the best path into each label, the way back bounds what any
+        path can gain over the one that stays outside: after a place outside (`free`) or in any label (`held`), from the best
+        of the labels at each place with the best transition into each.  Where even that bound gains nothing, no span can."""
+        h_, (t_, b_), a = self.hidden, ids.shape, self.p["a"] + self.bar - self.p["a"][0, 0]
+        n, order = len(KINDS), [*range(1, LABELS, 2), *range(2, LABELS, 2)]
+        enter, stay = a[0, 1::2], np.maximum(np.diagonal(a[1::2, 2::2]), np.diagonal(a[2::2, 2::2]))
+        again, leave = np.array((a[1:, 1::2].max(axis=0) - enter).max()), np.array(a[1:, 0].max())
+        begin = (self.p["s"][1::2] - self.p["s"][0] - enter).max()
+        o = np.ascontiguousarray(2 * (self.p["o"] - self.p["o"][:, :1])[:, order].T)
+        ob = (self.p["ob"][order] - self.p["ob"][0] + np.concatenate([enter, stay]))[:, None]
+        gain, own, best = (np.empty((*k, b_), np.float32) for k in ((t_, 2 * n), (2 * n,), (2,)))
+        first, inside = best
+        free, held = np.zeros(b_, np.float32), np.zeros(b_, np.float32)
+        with np.errstate(over="ignore"):  # an infinite exponential is a closed gate
+            for t, h in self._walk(ids, "f"):
+                np.matmul(o[:, :h_], h.T, out=gain[t])
+            for t, h in self._walk(ids, "b"):
+                np.matmul(o[:, h_:], h.T, out=own)
+                own += gain[t]
+                own += ob
+                np.maximum.reduce(own.reshape(2, n, b_), axis=1, out=best)
+                if t:
+                    np.maximum(inside, first + again, out=inside)
+                    best += held
+                    np.maximum(free + leave, inside, out=held)
+                    np.maximum(free, first, out=free)
+        return np.maximum(free, first + begin + held) > 0
+
     def spans_of(self, ids: np.ndarray, all_: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(columns whose best path holds a span, their best labels (T, m) by Viterbi, their marginals (T, m)); all columns if all_."""
         e = self.fast_emissions(ids)
@@ -522,14 +561,18 @@ def find(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
     width = np.minimum(LANE, -(-size // STRIDE) * STRIDE)  # a function of the text alone, so equal texts have equal spans
     found: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     for w in np.unique(width).tolist():
-        lanes = np.flatnonzero(width == w)
-        for a in range(0, len(lanes), LANES):
-            k = lanes[a : a + LANES]
-            step = np.arange(w)[:, None]
-            part = flat[begin[k] + step]
+        windows = np.lib.stride_tricks.sliding_window_view(flat, w)
+
+        def cut(k: np.ndarray, w=w, windows=windows) -> np.ndarray:
+            part = np.ascontiguousarray(windows[begin[k]].T)
             if (size[k] < w).any():
-                part[step >= size[k]] = 0
-            for j, y, q in zip(*(x.T for x in model.spans_of(part))):
+                part[np.arange(w)[:, None] >= size[k]] = 0
+            return part
+
+        lanes = np.flatnonzero(width == w)
+        lanes = np.concatenate([k[model.suspects(cut(k))] for k in (lanes[a : a + LANES] for a in range(0, len(lanes), LANES))])
+        for k in (lanes[a : a + LANES] for a in range(0, len(lanes), LANES)):
+            for j, y, q in zip(*(x.T for x in model.spans_of(cut(k)))):
                 found.setdefault(int(owner[k[j]]), {})[int(k[j])] = (y, q)
     for k, lanes in found.items():
         a, b = int(first[k]), int(first[k + 1])
@@ -543,9 +586,9 @@ def find(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, words in text_chunks(batch.column("text")):
-            at = np.searchsorted(np.flatnonzero(_TRIGGER[words.raw]), words.offsets)
-            part = batch.slice(i, j - i)
+        for part in slices(batch, "text"):
+            raw, offsets = buffers(part.column("text"))
+            at = np.searchsorted(np.flatnonzero(_TRIGGER[raw]), offsets)
             rows = []
             for k in np.flatnonzero(np.diff(at)).tolist():
                 rank = part.column("rank")[k].as_py()
@@ -607,7 +650,8 @@ def _tag(params: dict[str, np.ndarray] | None):
 
 def tag(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """docs plus pii: spans (kind, start, end, base), by kind as in KINDS, then start."""
-    return map_text(docs, docs.columns, FIELDS, _tag(model.p if model else None))
+    # larger batches fill the last lanes of texts, dealt by width, and the few lanes that are traced back
+    return map_text(docs, docs.columns, FIELDS, _tag(model.p if model else None), limit=4 * CHUNK_BYTES)
 
 
 def redact(tagged: DataFrame) -> DataFrame:
